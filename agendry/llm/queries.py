@@ -29,12 +29,32 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from agendry.llm.license_scan import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from agendry.llm.toxicity import toxicity
 
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from agendry.llm.training_order import training_order
+
+    return training_order(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, b"epoch 0")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from agendry.llm.line_dedup import dedup
+
+    return dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_removed", "n_chars", "text")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -70,7 +90,7 @@ FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extract, op2_simhash, op3_decontaminate, op5_toxicity, op9_token_counts, op10_bpe)}
+    return {f.__name__: f for f in (op1_html_extract, op2_simhash, op3_decontaminate, op4_license_scan, op5_toxicity, op6_training_order, op8_line_dedup, op9_token_counts, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
