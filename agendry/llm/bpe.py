@@ -147,23 +147,22 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return map_batches(encoded.select("doc_id", "ids"), one, "doc_id long, text string")
 
 
-def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of ``docs``, encoded and decoded in one pass.
+def digests(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of ``docs``, encoded and decoded in one pass; ids as well if asked for.
 
     ``ranks_path`` names a file that every executor has. Null and empty texts have no tokens and the
     digests of nothing; repeated rows and null ids stay; other columns are not read.
     """
 
     def one(b: pa.RecordBatch) -> list[pa.Array]:
-        e, counts, ids_sha, text_sha = encoder(ranks_path, pattern), [], [], []
+        e, all_ids, text_sha = encoder(ranks_path, pattern), [], []
         for raw in utf8(b.column(1)):
-            ids = e.encode(raw.decode("utf-8", "replace"))
-            counts.append(len(ids) // 4)
-            ids_sha.append(hashlib.sha256(ids).hexdigest())
-            text_sha.append(hashlib.sha256(e.decode(ids)).hexdigest())
-        return [b.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha)]
+            all_ids.append(e.encode(raw.decode("utf-8", "replace")))
+            text_sha.append(hashlib.sha256(e.decode(all_ids[-1])).hexdigest())
+        out = [b.column(0), pa.array([len(i) // 4 for i in all_ids], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i in all_ids]), pa.array(text_sha)]
+        return [*out, pa.array(all_ids, pa.binary())] if with_ids else out
 
-    return map_batches(docs.select("doc_id", "text"), one, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(docs.select("doc_id", "text"), one, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids)
 
 
 def _rank_table(ranks: dict[bytes, int]) -> Column:

@@ -71,6 +71,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 OP3_SQL = r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS rid,
       regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -90,7 +96,7 @@ FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extract, op2_simhash, op3_decontaminate, op4_license_scan, op5_toxicity, op6_training_order, op8_line_dedup, op9_token_counts, op10_bpe)}
+    return {f.__name__: f for f in (op1_html_extract, op2_simhash, op3_decontaminate, op4_license_scan, op5_toxicity, op6_training_order, op8_line_dedup, op9_token_counts, op10_bpe, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -241,9 +241,10 @@ def groups(docs: DataFrame, shingle: int = 3, max_group: int = MAX_GROUP) -> Dat
 def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """``docs`` with one document of each group: the one of the least doc_id.
 
-    Rows repeated under one doc_id count as one document; the least text stays. A group whose rows
-    all lack a doc_id keeps the least of its texts.
+    Rows repeated under one doc_id count as one document; the least text stays. Of all groups whose
+    rows lack a doc_id, one row stays.
     """
     found = groups(docs, shingle).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(*[F.col(c).asc_nulls_first() for c in docs.columns if c != "doc_id"]))
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("kept_id"))).withColumn("_n", rank).where("_n = 1").drop("_n", "kept_id")
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    stay = docs.join(found, F.col("doc_id").eqNullSafe(F.col("kept_id"))).groupBy("kept_id").agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias("row"))
+    return stay.select("row.*")
