@@ -49,6 +49,13 @@ def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, b"epoch 0")
 
 
+def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from agendry.llm.topk_search import search
+
+    docs = _table(spark, sf_dir, "documents")
+    return search(docs, docs.where("doc_id % 50 = 0"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from agendry.llm.line_dedup import dedup
 
@@ -95,9 +102,23 @@ FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
 """
 
 
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents WHERE doc_id IS NOT NULL),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY ALL),
+st AS (SELECT count(*) AS n, avg(coalesce(len(w), 0)) AS mean FROM d),
+idf AS (SELECT term, ln((n - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE) + 1) AS idf FROM tf, st GROUP BY term, n),
+im AS (SELECT doc_id, term, tf, tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(w) / mean)) AS impact FROM tf JOIN d USING (doc_id), st),
+s AS (SELECT q.doc_id AS query_id, im.doc_id, round(sum(q.tf * idf * im.impact), 9) AS score
+  FROM tf q JOIN idf USING (term) JOIN im USING (term) WHERE q.doc_id % 50 = 0 GROUP BY ALL),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s)
+SELECT query_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extract, op2_simhash, op3_decontaminate, op4_license_scan, op5_toxicity, op6_training_order, op8_line_dedup, op9_token_counts, op10_bpe, pipeline)}
+    return {f.__name__: f for f in (op1_html_extract, op2_simhash, op3_decontaminate, op4_license_scan, op5_toxicity, op6_training_order, op7_topk_search, op8_line_dedup, op9_token_counts, op10_bpe, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": OP3_SQL}
+    return {"op3_decontaminate": OP3_SQL, "op7_topk_search": OP7_SQL}
