@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+from pyspark.sql import DataFrame, SparkSession
 
+from agendry import registry
+from agendry.bound import agenda
 
-def queries() -> dict:
-    return {}
 
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return agenda.agenda_window(spark, sf_dir)
 
-def oracle_sql() -> dict:
-    return {}
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(registry.QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(registry.SQL)
