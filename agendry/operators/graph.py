@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from agendry.runtime import cut
 
@@ -17,8 +17,12 @@ def _stars(edges: DataFrame) -> DataFrame:
     return hung.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
+def _settled(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges, materialised, and what tells whether a round changed them, gathered in the same job."""
+    seen = Observation()
+    total = F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))
+    out = cut(edges.observe(seen, F.count(F.lit(1)).alias("n"), total.alias("total")))
+    return out, (seen.get["n"], seen.get["total"])
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -31,13 +35,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """
     pairs = edges.select(F.col(src).alias("x"), F.col(dst).alias("y")).where("x is not null and y is not null")
     loops = pairs.where("x = y").select(F.col("x").alias("node")).distinct()
-    now = cut(pairs.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
-    before = _state(now)
+    now, before = _settled(pairs.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
     for _ in range(max_rounds):
         if before[0] == 0:
             break
-        now = cut(_stars(now))
-        after = _state(now)
+        now, after = _settled(_stars(now))
         if after == before:
             break
         before = after
