@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from agendry import registry
-from agendry.bound import agenda, entities, texts  # noqa: F401  importing lists their queries
+from agendry.bound import agenda, catalogue, entities, extraction, streams, texts  # noqa: F401  importing lists their queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return agenda.agenda_window(spark, sf_dir)
+    """Reconcile the events and list the survivors of the agenda's window in order."""
+    kept = entities.survivors(spark, sf_dir)
+    return kept.where((kept.start_at >= agenda.FROM) & (kept.start_at <= agenda.TO)).orderBy("start_at", "id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
