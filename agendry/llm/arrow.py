@@ -9,6 +9,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
+#: Rows of an Arrow batch: texts can be long, and a worker holds a batch several times over.
+ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after lowering the session's rows of an Arrow batch to ROWS; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= ROWS:
+        conf.set(name, ROWS)
+    return df
+
+
 def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
     """mapInArrow for a function of one batch that gives arrays, one for each column of ``schema``."""
     names = [c.split()[0] for c in schema.split(", ")]
@@ -17,7 +30,7 @@ def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays(fn(b), names)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def utf8(column: pa.Array) -> Iterator[bytes]:

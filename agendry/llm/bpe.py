@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from agendry.llm.arrow import map_batches, utf8
 
 #: Pieces whose ids a task keeps, in each of two generations; longer pieces than LONG are not kept.
-CACHED, LONG = 400_000, 64
+CACHED, LONG = 150_000, 64
 #: Code points below this are matched by plain character classes.
 LATIN = 0x250
 #: Maps that the literal rank table is dealt over, so that a lookup reads a few entries.

@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from agendry.llm.arrow import utf8
+from agendry.llm.arrow import small_batches, utf8
 
 #: Words that a common block has at least.
 MIN_WORDS = 50
@@ -75,7 +75,7 @@ def runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             yield emit(ids, bodies, found)
 
     source = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("body"), "text")
-    return source.mapInArrow(split, "doc_id long, body long, run long, pos int, size int")
+    return small_batches(source).mapInArrow(split, "doc_id long, body long, run long, pos int, size int")
 
 
 def patience(anchors: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, functions as F
 
-from agendry.llm.arrow import utf8
+from agendry.llm.arrow import small_batches, utf8
 from agendry.llm.bpe import encoder
 from agendry.runtime import cut
 
@@ -98,7 +98,7 @@ def sequences(docs: DataFrame, ranks_path: str, pattern: str, length: int = LENG
         if at:
             yield batch(cut_off(np.concatenate(held), docs_at, True)[0])
 
-    return source.mapInArrow(pack, "part int, seq long, first_doc long, n_docs int, n_tokens int, ids binary")
+    return small_batches(source).mapInArrow(pack, "part int, seq long, first_doc long, n_docs int, n_tokens int, ids binary")
 
 
 def training_order(docs: DataFrame, ranks_path: str, pattern: str, key: bytes, length: int = LENGTH, shard_size: int = SHARD) -> DataFrame:
