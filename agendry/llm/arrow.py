@@ -22,6 +22,14 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
     """mapInArrow for a function of one batch that gives arrays, one for each column of ``schema``."""
     names = [c.split()[0] for c in schema.split(", ")]

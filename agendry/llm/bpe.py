@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from agendry.llm.arrow import map_batches, utf8
 
 #: Pieces whose ids a task keeps, in each of two generations; longer pieces than LONG are not kept.
-CACHED, LONG = 150_000, 64
+CACHED, LONG = 300_000, 64
 #: Code points below this are matched by plain character classes.
 LATIN = 0x250
 #: Maps that the literal rank table is dealt over, so that a lookup reads a few entries.
@@ -60,13 +60,16 @@ class Encoder(dict):
         self.all_text, self.latin = regex.compile(pattern), re.compile(_plain(pattern))
         self.other = re.compile(f"[^\\x00-\\u{LATIN - 1:04x}]")
         self.token = {rank: token for token, rank in ranks.items()}
+        self.packed = {token: rank.to_bytes(4, "little") for token, rank in ranks.items()}
+        self.none = len(ranks) + (1 << 30)
+        #: Ranks of two bytes, the first in the upper half of the index.
+        self.two = [ranks.get(bytes((a, b)), self.none) for a in range(256) for b in range(256)]
         self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
         if (ids := self.older.get(piece)) is None:
             raw = piece.encode()
-            known = self.ranks.get(raw)
-            ids = np.array([known] if known is not None else self.merged(raw), "<u4").tobytes()
+            ids = self.packed.get(raw) or self.merged(raw)
         if len(piece) <= LONG:
             if len(self) >= CACHED:
                 self.older = dict(self)
@@ -74,25 +77,26 @@ class Encoder(dict):
             self[piece] = ids
         return ids
 
-    def merged(self, raw: bytes) -> list[int]:
-        """Ids after merging the leftmost adjacent pair of the lowest rank until none is left."""
-        ranks = self.ranks
+    def merged(self, raw: bytes) -> bytes:
+        """Packed ids after merging the leftmost adjacent pair of the lowest rank until none is left."""
         if len(raw) > LONG:
             return self._merged_long(raw)
-        parts = [raw[i : i + 1] for i in range(len(raw))]
-        none = len(ranks) + (1 << 30)
-        pairs = [ranks.get(raw[i : i + 2], none) for i in range(len(raw) - 1)]
+        get, none, two = self.ranks.get, self.none, self.two
+        ends = list(range(1, len(raw) + 1))
+        pairs = [two[a << 8 | b] for a, b in zip(raw, raw[1:])]
+        starts = [0, *ends[:-1]]
         while pairs and (low := min(pairs)) < none:
             i = pairs.index(low)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del pairs[i]
+            ends[i] = ends[i + 1]
+            del pairs[i], ends[i + 1], starts[i + 1]
             if i:
-                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
+                pairs[i - 1] = get(raw[starts[i - 1] : ends[i]], none)
             if i < len(pairs):
-                pairs[i] = ranks.get(parts[i] + parts[i + 1], none)
-        return [ranks[p] for p in parts]
+                pairs[i] = get(raw[starts[i] : ends[i + 1]], none)
+        packed = self.packed
+        return b"".join([packed[raw[a:b]] for a, b in zip(starts, ends)])
 
-    def _merged_long(self, raw: bytes) -> list[int]:
+    def _merged_long(self, raw: bytes) -> bytes:
         ranks, n = self.ranks, len(raw)
         parts = [raw[i : i + 1] for i in range(n)]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -110,7 +114,7 @@ class Encoder(dict):
             for a, b in ((left, following), (before[left], left)):
                 if a >= 0 and b < n and (r := ranks.get(parts[a] + parts[b])) is not None:
                     heapq.heappush(heap, (r, a, len(parts[a]) + len(parts[b])))
-        return [ranks[p] for p in parts if p]
+        return b"".join(self.packed[p] for p in parts if p)
 
     def encode(self, text: str) -> bytes:
         find = self.all_text if self.other.search(text) else self.latin

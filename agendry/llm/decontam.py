@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from agendry.llm.arrow import free_name
+
 WINDOW = 13
 #: The word pattern after A-Z became a-z.
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -81,10 +83,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
 def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without its contaminated rows; all columns as they were.
 
-    The flagged doc_ids go; a row with a null doc_id goes if it is contaminated itself.
+    The flagged doc_ids go, with all rows repeated under them; rows with a null doc_id go together if
+    one of them is contaminated.
     """
-    bad = contamination(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    name = free_name(docs, "bad_id")
+    bad = contamination(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from agendry.llm.arrow import small_batches, utf8
+from agendry.llm.arrow import free_name, small_batches, utf8
 
 #: Words that a common block has at least.
 MIN_WORDS = 50
@@ -151,20 +151,21 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     they are, and rows repeated under one doc_id are the same document. Kept lines, empty ones among
     them, stay in their order and as they were; a text all of whose lines were common is empty.
     Blocks shorter than ``min_words`` words stay. A column n_chars is set to the new length. Other
-    columns are kept; only names that begin with ``_dedup`` are not allowed.
+    columns are kept, but for one named n_removed.
     """
+    own_id, own_body, gone, cut = (free_name(docs, f"dedup_{n}") for n in ("id", "body", "gone", "text"))
     # Lines are numbered without empty ones.
-    blocks = common_blocks(docs, min_words).groupBy(F.col("doc_id").alias("_dedup_id"), F.col("body").alias("_dedup_body")).agg(F.collect_set(F.struct("pos", "size")).alias("_dedup"))
-    numbered = blocks.withColumn("_dedup", F.array_distinct(F.flatten(F.transform("_dedup", lambda s: F.sequence(s["pos"], s["pos"] + s["size"] - 1)))))
-    joined = docs.join(numbered, (F.col("doc_id") == F.col("_dedup_id")) & (F.xxhash64("text") == F.col("_dedup_body")), "left")
+    blocks = common_blocks(docs, min_words).groupBy(F.col("doc_id").alias(own_id), F.col("body").alias(own_body)).agg(F.collect_set(F.struct("pos", "size")).alias(gone))
+    numbered = blocks.withColumn(gone, F.array_distinct(F.flatten(F.transform(gone, lambda s: F.sequence(s["pos"], s["pos"] + s["size"] - 1)))))
+    joined = docs.join(numbered, (F.col("doc_id") == F.col(own_id)) & (F.xxhash64("text") == F.col(own_body)), "left")
 
     @F.pandas_udf("string")
-    def shortened(text: pd.Series, gone: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else without_lines(t, set(g.tolist())) for t, g in zip(text, gone)], dtype=object)
+    def shortened(text: pd.Series, lines: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else without_lines(t, set(n.tolist())) for t, n in zip(text, lines)], dtype=object)
 
-    hit = F.col("_dedup").isNotNull()
-    cut = joined.withColumn("_dedup_text", shortened(F.when(hit, F.col("text")), F.col("_dedup")))
-    new = {"text": F.when(hit, F.col("_dedup_text")).otherwise(F.col("text"))}
+    hit = F.col(gone).isNotNull()
+    done = joined.withColumn(cut, shortened(F.when(hit, F.col("text")), F.col(gone)))
+    new = {"text": F.when(hit, F.col(cut)).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(hit, F.char_length("_dedup_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return cut.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns], F.when(hit, F.size("_dedup")).otherwise(0).alias("n_removed"))
+        new["n_chars"] = F.when(hit, F.char_length(cut)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return done.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns if c != "n_removed"], F.when(hit, F.size(gone)).otherwise(0).alias("n_removed"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from agendry.llm.arrow import map_batches, utf8
+from agendry.llm.arrow import free_name, map_batches, utf8
 from agendry.operators.graph import connected_components
 from agendry.runtime import cut
 
@@ -244,7 +244,7 @@ def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
     Rows repeated under one doc_id count as one document; the least text stays. Of all groups whose
     rows lack a doc_id, one row stays.
     """
-    found = groups(docs, shingle).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    row = F.struct(*[F.col(c) for c in docs.columns])
-    stay = docs.join(found, F.col("doc_id").eqNullSafe(F.col("kept_id"))).groupBy("kept_id").agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias("row"))
-    return stay.select("row.*")
+    kept, whole = free_name(docs, "kept_id"), free_name(docs, "row")
+    found = groups(docs, shingle).where("doc_id <=> component_id").select(F.col("doc_id").alias(kept)).distinct()
+    row = F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.coalesce("text", F.lit(""))).alias(whole)
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(kept))).groupBy(kept).agg(row).select(f"{whole}.*")
