@@ -209,7 +209,7 @@ def test_training_order(spark, make_docs, tmp_path):
 # Search
 
 
-def test_search_is_exact(spark, make_docs, monkeypatch):
+def test_search_is_exact(spark, make_docs):
     rng = random.Random(7)
     texts = [prose(rng, rng.randint(1, 60)) for _ in range(300)] + ["", None, texts_tie := "alpha1 beta2", texts_tie]
     docs = make_docs(texts)
@@ -228,12 +228,32 @@ def test_search_is_exact(spark, make_docs, monkeypatch):
             if s > 0:
                 scores.append((-round(s, 9), i))
         want |= {(q, r + 1): (i, -s) for r, (s, i) in enumerate(sorted(scores)[:10])}
-    for block, terms in ((32, 2_000_000), (4, 60)):
-        monkeypatch.setattr(topk_search, "BLOCK", block)
+    for terms in (2_000_000, 60):
         got = {(r.query_id, r.rank): (r.doc_id, r.score) for r in topk_search.search(docs.repartition(3), docs.where("doc_id % 50 = 0"), query_terms=terms).collect()}
         assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-8 for k in want)
 
 
+@pytest.mark.parametrize("block, floor", [(32, 0.0), (4, 0.0), (4, 1.0), (1, 3.0)])
+def test_pruned_walk_finds_the_best(monkeypatch, block, floor):
+    monkeypatch.setattr(topk_search, "BLOCK", block)
+    rng = np.random.default_rng(block)
+    terms = [np.unique(rng.integers(-50, 50, rng.integers(0, 30)) ** 3) for _ in range(200)]
+    counts = [rng.integers(1, 5, len(t)).astype("<u4") for t in terms]
+    lengths = np.array([c.sum() for c in counts], np.float64)
+    shard = topk_search.Shard(list(range(1000, 1200)), lengths, terms, counts, lengths.mean())
+    for _ in range(40):
+        q = np.unique(rng.integers(-60, 60, 12) ** 3)
+        w = rng.random(len(q)) * 4
+        scores = []
+        for i, (t, c) in enumerate(zip(terms, counts)):
+            tf = {int(a): int(b) for a, b in zip(t, c)}
+            s = sum(x * tf[int(a)] * 2.2 / (tf[int(a)] + 1.2 * (0.25 + 0.75 * lengths[i] / lengths.mean())) for a, x in zip(q, w) if int(a) in tf)
+            scores.append((round(float(s), topk_search.DIGITS), -(1000 + i)))
+        want = sorted((x for x in scores if x[0] > 0 and x[0] >= floor), reverse=True)[:10]
+        got = sorted(shard.search(q, w, 10, floor), reverse=True)
+        assert [g[1] for g in got if g[0] >= floor] == [x[1] for x in want]
+
+
 # Lines
 
 
