@@ -106,18 +106,24 @@ def _by_class(facts: DataFrame) -> DataFrame:
 def variant_edges(facts: DataFrame) -> DataFrame:
     """One occurrence worded two ways: ranges overlap, the shorter title's core is in the longer's, places agree.
 
-    Places can only agree through a venue word that is a venue or city word of the other row, through
-    the same city, or between vague venues (and localities); these are the blocks, with the rarest core
-    word and the day.
+    Either the places share a venue word (or a venue word of one is a city word of the other), or the
+    longer title adds a place word of the shorter row while the rows share their city, both lack a
+    venue, or are vague (or a locality). These are the blocks, with the rarest core word and the day.
     """
     rows = with_rarest(facts.where("size(core) > 0"), "core")
     days = F.sequence(F.floor(F.col("start_at") / C.DAY), F.floor(F.col("until") / C.DAY))
     city_words = T.words(F.col("ncity"))
     tag = lambda kind, words: F.transform(words, lambda w: F.concat(F.lit(kind), w))
-    whole_city = F.when(F.col("ncity") != "", F.array(F.concat(F.lit("c:"), "ncity"))).otherwise(F.array().cast("array<string>"))
-    open_ = F.when((F.col("vague") & F.col("venue").isNotNull()) | F.col("locality"), F.array(F.lit("v"))).otherwise(F.array().cast("array<string>"))
-    short_keys = F.concat(tag("a:", F.col("tokens")), tag("b:", city_words), whole_city, open_)
-    long_keys = F.concat(tag("a:", F.array_union("tokens", city_words)), tag("b:", F.col("tokens")), whole_city, open_)
+    none = F.array().cast("array<string>")
+    place_words = F.array_union("tokens", city_words)
+    in_city, nowhere = F.col("ncity") != "", F.col("venue").isNull()
+    open_ = (F.col("vague") & ~nowhere) | F.col("locality")
+    added = lambda words: F.concat(
+        F.when(in_city, F.transform(words, lambda w: F.concat(F.lit("c:"), "ncity", F.lit(":"), w))).otherwise(none),
+        F.when(open_, tag("v:", words)).otherwise(none), F.when(nowhere, tag("n:", words)).otherwise(none),
+    )
+    short_keys = F.concat(tag("a:", F.col("tokens")), tag("b:", city_words), added(place_words))
+    long_keys = F.concat(tag("a:", place_words), tag("b:", F.col("tokens")), added(F.col("core")))
     carried = ("id", "start_at", "until", "norm", "day_key", "core", "tokens", "ncity", "vague", "venue", "locality")
     side = lambda df, s: df.select("_t", "_d", "_k", *[F.col(c).alias(f"{s}_{c}") for c in carried])
     short = side(rows.withColumn("_t", F.col("rarest")).withColumn("_d", F.explode(days)).withColumn("_k", F.explode(F.array_distinct(short_keys))), "s")
@@ -135,9 +141,9 @@ def variant_edges(facts: DataFrame) -> DataFrame:
     both = s("venue").isNotNull() & l("venue").isNotNull()
     mixed = (s("vague") != l("vague")) & ((s("ncity") == l("ncity")) | (timed & F.when(s("vague"), l("locality")).otherwise(s("locality"))))
     compatible = (s("venue").isNull() & l("venue").isNull()) | (both & ((s("vague") & l("vague")) | mixed | strict))
-    added = F.array_except(l("core"), s("core"))
+    extra = F.array_except(l("core"), s("core"))
     allowed = F.when(~some(s) | s("vague"), places(s)).otherwise(s("tokens"))
-    agreed = F.when(F.size(added) == 0, venue_level).otherwise(contained(added, allowed) & (venue_level | same_city | compatible))
+    agreed = F.when(F.size(extra) == 0, venue_level).otherwise(contained(extra, allowed) & (venue_level | same_city | compatible))
     met = short.join(long, ["_t", "_d", "_k"]).where(other & overlap & contained(s("core"), l("core")) & agreed)
     return _edges(met, "s_id", "l_id")
 
