@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from agendry.functions import text as T
+from agendry.runtime import share_code
 
 RAW_EVENT = (
     "source STRING, ordinal BIGINT, title STRING, slug STRING, description STRING, startAt BIGINT, endAt BIGINT, dateText STRING, venueName STRING, city STRING, "
@@ -121,7 +122,7 @@ def server_data(pages: DataFrame, marker: str = "window.__SERVER_DATA__", key: s
         for b in batches:
             yield pd.DataFrame({key: b[key], "payload": [balanced(h, marker) for h in b["html"]]}).dropna()
 
-    return pages.select(key, "html").mapInPandas(cut, f"{key} long, payload string")
+    return share_code(pages).select(key, "html").mapInPandas(cut, f"{key} long, payload string")
 
 
 class _Cards(HTMLParser):
@@ -163,4 +164,4 @@ def dom_cards(pages: DataFrame, tag: str, cls: str | None = None, key: str = "pa
                 rows += [(page, i, re.sub(r"\s+", " ", t).strip(), h) for i, (t, h) in enumerate(p.cards)]
             yield pd.DataFrame(rows, columns=[key, "pos", "text", "href"])
 
-    return pages.select(key, "html").mapInPandas(parse, f"{key} long, pos int, text string, href string")
+    return share_code(pages).select(key, "html").mapInPandas(parse, f"{key} long, pos int, text string, href string")

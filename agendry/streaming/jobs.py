@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from agendry import constants as C
-from agendry.runtime import checkpoint_dir
+from agendry.runtime import checkpoint_dir, share_code
 
 
 def source(spark: SparkSession, path: str) -> DataFrame:
@@ -69,7 +69,7 @@ def anchor_sessions(stream: DataFrame, key: str, at: str, window: int = C.SESSIO
             state.update((last,))
         yield pd.DataFrame({"key": [keys[0]] * len(opened), "anchor": pd.Series(opened, dtype="int64")})
 
-    return stream.groupBy(key).applyInPandasWithState(step, "key string, anchor long", "last long", "append", "NoTimeout")
+    return share_code(stream).groupBy(key).applyInPandasWithState(step, "key string, anchor long", "last long", "append", "NoTimeout")
 
 
 def upsert_first(keys: list[str], order: str) -> Callable[[DataFrame, str], None]:
