@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from agendry.runtime import share_code
+
 
 #: Rows of an Arrow batch: texts can be long, and a worker holds a batch several times over.
 ROWS = 1000
@@ -16,7 +18,7 @@ ROWS = 1000
 def small_batches(df: DataFrame) -> DataFrame:
     """``df``, after lowering the session's rows of an Arrow batch to ROWS; a smaller setting stays."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    conf = df.sparkSession.conf
+    conf = share_code(df).sparkSession.conf
     if not 0 < int(conf.get(name)) <= ROWS:
         conf.set(name, ROWS)
     return df
