@@ -1,7 +1,9 @@
 """Line dedup by pairwise alignment.
 
-Lines are compared stripped, empty lines aside. From each line a run of lines is taken until it holds
-``min_words`` words; its hash is a rare key, since long runs do not meet by chance. The earliest document (least doc_id) that holds a run is
+Lines are compared stripped, empty lines aside. From each line, and back from each line, a run of lines
+is taken until it holds ``min_words`` words; its hash is a rare key, since long runs do not meet by chance.
+Each line of a common block of that many words is in the run from the block's first line or in the run
+back from itself, so the runs cover the block. The earliest document (least doc_id) that holds a run is
 paired with every later one that holds it, so pairs grow with the lines, not with the square of a
 group. Each pair is aligned by patience diff: runs are anchors, the longest chain of anchors in the
 same order on both sides is the alignment, and moved blocks are aligned in further rounds. Aligned
@@ -30,23 +32,31 @@ EMITTED = 100_000
 
 
 def line_runs(text: bytes, min_words: int) -> list[tuple[int, int, int]]:
-    """(hash, first line, lines) of the shortest run from each line that holds ``min_words`` words.
+    """(hash, first line, lines) of the shortest runs from each line and back from each line that hold ``min_words`` words.
 
-    Lines are counted without empty ones.
+    Lines are counted without empty ones. A run that is the shortest both ways is given once.
     """
     lines = [words for line in text.split(b"\n") if (words := line.split())]
     clean = [b" ".join(words) + b"\n" for words in lines]
     sizes = [len(words) for words in lines]
-    out, end, held = [], 0, 0
+    spans, end, held = [], 0, 0
     for start in range(len(lines)):
         while end < len(lines) and held < min_words:
             held += sizes[end]
             end += 1
         if held < min_words:
             break
-        out.append((xxhash.xxh64_intdigest(b"".join(clean[start:end]), 42), start, end - start))
+        spans.append((start, end))
         held -= sizes[start]
-    return out
+    known, start, held = set(spans), 0, 0
+    for end in range(1, len(lines) + 1):
+        held += sizes[end - 1]
+        while held - sizes[start] >= min_words:
+            held -= sizes[start]
+            start += 1
+        if held >= min_words and (start, end) not in known:
+            spans.append((start, end))
+    return [(xxhash.xxh64_intdigest(b"".join(clean[a:z]), 42), a, z - a) for a, z in spans]
 
 
 def runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -276,6 +276,37 @@ def test_line_dedup(spark, make_docs):
     assert got[3].text == texts[3] and got[4].text == "" and got[4].n_chars == 0 and got[1].n_chars == len(got[1].text) and got[5].n_removed == 0
 
 
+def brute_common_lines(texts, min_words=50):
+    """Numbers of the lines of each text that stand in a common block with an earlier text, line by line."""
+    lines = [[" ".join(x.split()) for x in (t or "").split("\n") if x.split()] for t in texts]
+    gone = [set() for _ in texts]
+    for j, late in enumerate(lines):
+        for early in lines[:j]:
+            for a in range(len(late)):
+                for b in range(len(early)):
+                    if late[a] == early[b] and not (a and b and late[a - 1] == early[b - 1]):
+                        n = 0
+                        while a + n < len(late) and b + n < len(early) and late[a + n] == early[b + n]:
+                            n += 1
+                        if sum(len(x.split()) for x in late[a : a + n]) >= min_words:
+                            gone[j] |= set(range(a, a + n))
+    return gone
+
+
+def test_whole_blocks_are_deleted(spark, make_docs):
+    rng = random.Random(11)
+    block = [prose(rng, 60), *(prose(rng, 10) for _ in range(3))]
+    pool = [prose(rng, rng.choice([2, 5, 10, 20, 45, 60])) for _ in range(25)]
+    texts = ["\n".join(block), "\n".join([prose(rng, 5), *block, prose(rng, 5)])]
+    for _ in range(40):
+        parts = [pool[i : i + rng.randint(1, 8)] if rng.random() < 0.7 else [prose(rng, 6)] for i in (rng.randrange(25) for _ in range(4))]
+        texts.append("\n".join(x for part in parts for x in part))
+    gone = brute_common_lines(texts)
+    got = {r.doc_id: (r.n_removed, r.text) for r in line_dedup.dedup(make_docs(texts)).collect()}
+    assert got == {i: (len(g), line_dedup.without_lines(t, g) if g else t) for i, (t, g) in enumerate(zip(texts, gone))}
+    assert got[1][0] == 4 and sum(map(len, gone)) > 100
+
+
 def test_patience_moves():
     assert sorted(line_dedup.patience([(0, 10, 2), (1, 11, 2), (5, 0, 3), (5, 0, 3)])) == [(0, 10, 3), (5, 0, 3)]
     n = 3000
