@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from agendry.llm.arrow import free_name, map_batches, utf8
+from agendry.llm.arrow import free_name, map_batches, small_batches, utf8
 from agendry.operators.graph import connected_components
 from agendry.runtime import cut
 
@@ -221,6 +221,13 @@ def links(fps: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
     return near if large.isEmpty() else near.union(neighbourhoods(large))
 
 
+def _roots(marked: DataFrame, max_group: int) -> DataFrame:
+    """(fp, root): each distinct fingerprint and the one that names its group; itself if nothing is linked to it."""
+    every = marked.select("fp").distinct()
+    found = connected_components(links(every, max_group)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    return every.join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def groups(docs: DataFrame, shingle: int = 3, max_group: int = MAX_GROUP) -> DataFrame:
     """One row for each row of ``docs``: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -238,13 +245,25 @@ def groups(docs: DataFrame, shingle: int = 3, max_group: int = MAX_GROUP) -> Dat
     return marked.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``docs`` with one document of each group: the one of the least doc_id.
+def keep_one(docs: DataFrame, shingle: int = 3, max_group: int = MAX_GROUP) -> DataFrame:
+    """``docs`` with one row of each group: the one of the least doc_id; a null one comes last.
 
-    Rows repeated under one doc_id count as one document; the least text stays. Of all groups whose
-    rows lack a doc_id, one row stays.
+    Of rows repeated under that doc_id in the group the least text stays. Groups are told apart by
+    their fingerprints, so rows of other groups that share a doc_id, or have none, stay for their own.
     """
-    kept, whole = free_name(docs, "kept_id"), free_name(docs, "row")
-    found = groups(docs, shingle).where("doc_id <=> component_id").select(F.col("doc_id").alias(kept)).distinct()
+    own_fp, root, first_id, whole = (free_name(docs, f"kept_{n}") for n in ("fp", "root", "id", "row"))
+    marked = cut(fingerprints(docs, shingle))
+    roots = cut(_roots(marked, max_group))
+    # The least doc_id is null only if the whole group has none.
+    best = marked.join(roots, "fp").groupBy("root").agg(F.min("doc_id").alias("first_id"))
+    named = roots.join(best, "root").select(F.col("fp").alias(own_fp), F.col("root").alias(root), F.col("first_id").alias(first_id))
+
+    @F.arrow_udf("long")
+    def printed(texts: pa.Array) -> pa.Array:
+        return pa.array(np.array([fingerprint(t.lower().split(), shingle) for t in utf8(texts)], np.uint64).view(np.int64))
+
+    # Only rows whose doc_id names a group are printed again.
+    chosen = docs.join(best.select(F.col("first_id").alias(first_id)).distinct(), F.col("doc_id").eqNullSafe(F.col(first_id)), "left_semi")
+    rows = small_batches(chosen).withColumn(own_fp, printed(F.col("text"))).join(named, own_fp).where(F.col("doc_id").eqNullSafe(F.col(first_id)))
     row = F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.coalesce("text", F.lit(""))).alias(whole)
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(kept))).groupBy(kept).agg(row).select(f"{whole}.*")
+    return rows.groupBy(root).agg(row).select(f"{whole}.*")

@@ -77,6 +77,13 @@ def test_simhash(spark, make_docs, max_group):
     assert {r.doc_id for r in kept} == {c for _, c in want.values()} and all(texts[r.doc_id] == r.text for r in kept)
 
 
+def test_keep_one_of_each_group(spark, make_docs):
+    a, b = "one two three four", "five six seven eight nine"
+    rows = [(1, ""), (None, None), (None, "no group but its own"), (None, "no group but its own"), (5, a), (5, b), (6, b), (None, a)]
+    kept = simhash.keep_one(make_docs([t for _, t in rows], [i for i, _ in rows])).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, "no group but its own"), (1, ""), (5, b), (5, a)]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(0, 2**64 - 1), st.lists(st.integers(0, 63), max_size=3))
 def test_close_fingerprints_share_a_key(x, flips):
