@@ -83,12 +83,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
 def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without its contaminated rows; all columns as they were.
 
-    The flagged doc_ids go, with all rows repeated under them; rows with a null doc_id go together if
-    one of them is contaminated.
+    A row goes by its own text alone, whatever its doc_id: the digest of a contaminated text names it.
     """
-    name = free_name(docs, "bad_id")
-    bad = contamination(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
+    digest, name = F.sha2("text", 256), free_name(docs, "bad_text")
+    marked = docs.select("doc_id", "text", digest.alias("digest"))
+    bad = contamination(marked, benchmark, window, keep=("digest",)).where("contaminated").select(F.col("digest").alias(name)).distinct()
+    return docs.join(bad, digest == F.col(name), "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -118,6 +118,16 @@ def test_decontamination_edges(spark, make_docs):
     assert {(r.doc_id, r.n_words, r.n) for r in by_shuffle} == {(r.doc_id, r.n_words, r.n) for r in decontam.hits(docs, bench).select("doc_id", "n_words", F.size("spans").alias("n")).collect()}
 
 
+def test_decontamination_goes_by_row(spark, make_docs):
+    passage = " ".join(f"p{i}" for i in range(15))
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    rows = [(None, passage), (None, "clean"), (None, None), (3, passage), (3, "also clean"), (3, passage), (4, "")]
+    docs = make_docs([t for _, t in rows], [i for i, _ in rows])
+    left = decontam.remove_documents(docs, bench)
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == [(0, ""), (0, "clean"), (3, "also clean"), (4, "")]
+
+
 # Pages
 
 
