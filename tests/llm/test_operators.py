@@ -284,6 +284,17 @@ def test_line_dedup(spark, make_docs):
     got = {r.doc_id: r for r in line_dedup.dedup(docs).collect()}
     first, want = {}, {}
     for i, t in enumerate(texts):
+def test_repeated_rows_count_once(spark, make_docs):
+    rng = random.Random(8)
+    texts = [" ".join(["alpha", *[prose(rng, 1) for _ in range(i)]]) for i in range(40)]
+    once = make_docs(texts).coalesce(1)
+    repeated = make_docs([texts[0]] * 14 + texts, [0] * 14 + list(range(40))).coalesce(1).union(make_docs(texts[:20]))
+    asked = make_docs(["alpha"], [0])
+    want = sorted(topk_search.search(once, asked).collect())
+    assert sorted(topk_search.search(repeated, asked).collect()) == want and [r.rank for r in want] == list(range(1, 11))
+    assert sorted(topk_search.search(once, asked.union(asked)).collect()) == want
+
+
         gone = set()
         for h, a, n in line_dedup.line_runs((t or "").encode(), 50):
             if first.setdefault(h, i) != i:
