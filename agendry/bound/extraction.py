@@ -87,11 +87,21 @@ def jsonld_fields(spark, sf_dir):
     return found.select("id", *[c for c in X.jsonld_fields(F.col("node"))]).drop("end_date")
 
 
+#: Ids that share an item list; events of a day meet in lists by ranges of ids, so no list grows with a day.
+LISTED = 1000
+
+
+def item_lists(rows):
+    """(d, part, payload): JSON lists of the events of a day, LISTED ids at most in one."""
+    keys = F.floor(F.col("start_at") / C.DAY).alias("d"), F.floor(F.col("id") / LISTED).alias("part")
+    return rows.groupBy(*keys).agg(F.to_json(F.array_sort(F.collect_list(F.struct("id", "title", "url")))).alias("payload"))
+
+
 @query(O.sql("SELECT lower(hex(venue_id)) AS item, arg_min(title, id) AS name FROM cat_events GROUP BY 1"))
 def itemlist(spark, sf_dir):
     """Item lists of the events of each day: ids from urls, the first name of an id wins."""
     rows = tables.events(spark, sf_dir).withColumn("url", F.concat(F.lit("https://example.org/eventos/"), F.lower(F.hex("venue_id")), F.lit("/")))
-    lists = rows.groupBy(F.floor(F.col("start_at") / C.DAY).alias("d")).agg(F.to_json(F.array_sort(F.collect_list(F.struct("id", "title", "url")))).alias("payload"))
+    lists = item_lists(rows)
     each = lists.select(F.explode(F.from_json("payload", "array<struct<id:bigint,title:string,url:string>>")).alias("e"))
     item = F.regexp_extract("e.url", r"/eventos/([0-9a-f]+)/", 1)
     return each.where(item != "").groupBy(item.alias("item")).agg(F.min_by("e.title", "e.id").alias("name"))

@@ -198,3 +198,12 @@ def test_second_upsert_changes_nothing(spark):
 def test_balanced_object():
     assert X.balanced('x = 1; W = {"a": "}\\"{", "b": {}}; z', "W") == '{"a": "}\\"{", "b": {}}'
     assert X.balanced("W = {", "W") is None and X.balanced(None, "W") is None
+
+
+def test_item_lists_are_bounded(spark):
+    from agendry.bound import extraction
+
+    n = 3 * extraction.LISTED
+    rows = spark.range(n).select("id", F.lit("t").alias("title"), F.lit(0).cast("bigint").alias("start_at"), F.lit("u").alias("url"))
+    sizes = [r.n for r in extraction.item_lists(rows).select(F.size(F.from_json("payload", "array<struct<id:bigint>>")).alias("n")).collect()]
+    assert sum(sizes) == n and max(sizes) <= extraction.LISTED
