@@ -44,9 +44,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from agendry.llm.training_order import training_order
+    from agendry.llm.training_order import shard_folder, training_order, written_order
 
-    return training_order(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, b"epoch 0")
+    ordered = training_order(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, b"epoch 0")
+    return written_order(ordered, shard_folder(spark, sf_dir, b"epoch 0"))
 
 
 def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

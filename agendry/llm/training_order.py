@@ -16,12 +16,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from agendry.llm.arrow import small_batches, utf8
 from agendry.llm.bpe import encoder
-from agendry.runtime import cut
+from agendry.runtime import checkpoint_dir, cut
 
 LENGTH, SHARD, ROUNDS = 2048, 4096, 6
 
@@ -126,42 +127,106 @@ def training_order(docs: DataFrame, ranks_path: str, pattern: str, key: bytes, l
     return sorted_.select("slot", "shard", record.alias("record"), (record * length * 2).alias("byte_offset"), "first_doc", "n_docs", "n_tokens", "ids")
 
 
+def shard_folder(spark: SparkSession, source: str, key: bytes, length: int = LENGTH, shard_size: int = SHARD) -> str:
+    """A folder in the shared one, as a URI, for the shards of one source, key and size."""
+    root = checkpoint_dir(spark)
+    name = hashlib.sha256(repr((source, key, length, shard_size)).encode()).hexdigest()[:16]
+    return f"{root if ':/' in root else 'file://' + os.path.abspath(root)}/shards-{name}"
+
+
 def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
     """Write each shard as one file of raw ids and give (shard, path, records, bytes, sha256).
 
     ``folder`` is a URI that executors share. A shard is written under a name of its attempt and then
-    moved, so a lost or repeated task leaves whole files only, and a run that finds a file of the right
-    size skips the shard. Rows must come as training_order() gives them: a shard's rows in one
-    partition, sorted by slot.
+    moved, so a lost or repeated task leaves whole files only. Its digest is written beside it afterwards,
+    and a run skips a shard only if the file has the right size and the digest is that of its own data.
+    Rows must come as training_order() gives them: a shard's rows in one partition, sorted by slot.
+    """
+    return _written(ordered.select("shard", "ids"), folder, False)
+
+
+def written_order(ordered: DataFrame, folder: str) -> DataFrame:
+    """The rows of ``ordered`` with the path of their shard, after writing all shards (see write_shards()).
+
+    Shards are written when this is called; ids are read back from the files at their offsets.
     """
+    kinds = {f.name: f.dataType.simpleString() for f in ordered.schema.fields}
+    stored = cut(_written(ordered, folder, True))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = pafs.FileSystem.from_uri(folder)
+        own, source = None, None
+        for b in batches:
+            ids = []
+            for path, at, size in zip(*(b.column(n).to_pylist() for n in ("path", "byte_offset", "n_bytes"))):
+                if path != own:
+                    if source:
+                        source.close()
+                    own, source = path, fs.open_input_file(path)
+                ids.append(source.read_at(size, at))
+            got = {n: b.column(n) for n in kinds if n != "ids"} | {"ids": pa.array(ids, pa.binary()), "path": b.column("path")}
+            yield pa.RecordBatch.from_arrays([got[n] for n in (*kinds, "path")], [*kinds, "path"])
+        if source:
+            source.close()
+
+    return small_batches(stored).mapInArrow(fill, ", ".join(f"{n} {t}" for n, t in kinds.items()) + ", path string")
+
+
+def _written(ordered: DataFrame, folder: str, each: bool) -> DataFrame:
+    """Write the shards; give one row for each shard, or for each record, without its ids, if ``each``."""
+    kept = [c for c in ordered.columns if c != "ids"]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
         held: dict[int, list] = {}
+        facts: list[pa.RecordBatch] = []
+
+        def put(path: str, data: bytes) -> None:
+            own = f"{path}.{os.getpid()}.part"
+            with fs.open_output_stream(own) as out:
+                out.write(data)
+            fs.move(own, path)
 
         def done(shard: int, rows: list) -> pa.RecordBatch:
             data = b"".join(rows)
+            digest = hashlib.sha256(data).hexdigest()
             path = f"{root}/shard-{shard:08d}.bin"
-            info = fs.get_file_info(path)
-            if info.type == pafs.FileType.NotFound or info.size != len(data):
-                own = f"{path}.{os.getpid()}.part"
-                with fs.open_output_stream(own) as out:
-                    out.write(data)
-                fs.move(own, path)
-            return pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "records": [len(rows)], "bytes": [len(data)], "sha256": [hashlib.sha256(data).hexdigest()]})
+            info, mark = fs.get_file_info([path, f"{path}.sha256"])
+            known = b""
+            if mark.type != pafs.FileType.NotFound:
+                with fs.open_input_stream(mark.path) as old:
+                    known = old.read()
+            if info.type == pafs.FileType.NotFound or info.size != len(data) or known != digest.encode():
+                # No digest stands beside data that it is not of, wherever a run ends.
+                if mark.type != pafs.FileType.NotFound:
+                    fs.delete_file(mark.path)
+                put(path, data)
+                put(mark.path, digest.encode())
+            if not each:
+                return pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "records": [len(rows)], "bytes": [len(data)], "sha256": [digest]})
+            own = pa.Table.from_batches(facts).combine_chunks()
+            own = own.filter(pa.compute.equal(own.column("shard"), shard))
+            own = own.append_column("path", pa.array([path] * len(rows))).append_column("n_bytes", pa.array([len(r) for r in rows], pa.int32()))
+            return own.combine_chunks().to_batches()[0]
 
         for b in batches:
-            for shard, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            fact = b.select(kept)
+            facts.append(fact)
+            for shard, ids in zip(b.column("shard").to_pylist(), b.column("ids").to_pylist()):
                 if shard not in held:
                     for s in list(held):
                         yield done(s, held.pop(s))
+                        facts[:] = [fact]
                     held[shard] = []
                 held[shard].append(ids)
         for s in list(held):
             yield done(s, held.pop(s))
 
-    return ordered.select("shard", "ids").mapInArrow(write, "shard long, path string, records long, bytes long, sha256 string")
+    if not each:
+        return small_batches(ordered).mapInArrow(write, "shard long, path string, records long, bytes long, sha256 string")
+    kinds = ", ".join(f"{c} {ordered.schema[c].dataType.simpleString()}" for c in kept)
+    return small_batches(ordered).mapInArrow(write, f"{kinds}, path string, n_bytes int")
 
 
 def read_shard(path: str, start_record: int = 0, length: int = LENGTH) -> np.ndarray:

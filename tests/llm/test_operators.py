@@ -237,6 +237,26 @@ def test_search_is_exact(spark, make_docs):
     for d in tf:
         for w in d:
             df[w] = df.get(w, 0) + 1
+def test_shards_of_other_data_are_written_again(spark, make_docs, tmp_path):
+    rng = random.Random(6)
+    docs = make_docs([prose(rng, 60) for _ in range(40)])
+    folder = f"file://{tmp_path}/shards"
+    for key in (b"one", b"two", b"two"):
+        out = training_order.training_order(docs, SMALL, PT.PATTERN, key, length=32, shard_size=16)
+        for m in training_order.write_shards(out, folder).collect():
+            assert hashlib.sha256(open(m.path, "rb").read()).hexdigest() == m.sha256
+    want = sorted(out.collect())
+    got = training_order.written_order(out, f"file://{tmp_path}/other").collect()
+    assert sorted(r[:-1] for r in got) == [tuple(r) for r in want] and len({r.path for r in got}) == want[-1].shard + 1
+    assert all(bytes(r.ids) == training_order.read_shard(r.path, r.record, 32)[0].tobytes() for r in got)
+
+
+def test_query_writes_its_shards(spark):
+    rows = queries.op6_training_order(spark, SF).collect()
+    assert [r.slot for r in sorted(rows)] == list(range(len(rows)))
+    assert all(bytes(r.ids) == training_order.read_shard(r.path, r.record)[0].tobytes() for r in rows)
+
+
     want = {}
     for q in range(0, len(texts), 50):
         scores = []
