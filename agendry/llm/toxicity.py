@@ -2,7 +2,7 @@
 
 A word is the bag of itself and its character n-grams; their embeddings are averaged and go through
 one linear layer with two outcomes. Few words of a text decide its label, so a text's logit is the
-soft maximum (log-sum-exp) over its distinct words, and the gradient reaches embeddings and layer
+soft maximum (log-sum-exp) over its distinct words (a very long one is dealt into overlapping pieces), and the gradient reaches embeddings and layer
 through it. Misspelt words share n-grams with the words that were seen. Only features that several
 labelled texts hold are learned, and weights decay: a wrong label does not get rare words memorised.
 """
@@ -24,18 +24,34 @@ WORD = re.compile(r"[^\W\d_]+")
 SAMPLE, LEAST = 4000, 5
 SHORT, LONG = 3, 6
 DIMENSIONS, EPOCHS, RATE, DECAY, SHARPNESS = 16, 60, 0.03, 0.03, 4.0
+#: Letters of a word that are one bag at most, and the mark of a cut, which is no letter.
+PIECE, CUT = 64, "\x00"
 #: Word scores that a task keeps.
 CACHED = 100_000
 
 
 def bag(word: str) -> set[str]:
-    """The word and its character n-grams, ends marked; of very long words the first 64 characters."""
-    s = f"<{word[:64]}>"
+    """The word and its character n-grams, ends marked; a piece is marked at the ends that are the word's own."""
+    s = f"<{word}>".replace(f"<{CUT}", "").replace(f"{CUT}>", "")
     return {s} | {s[i : i + n] for n in range(SHORT, LONG + 1) for i in range(len(s) - n + 1)}
 
 
+def pieces(word: str) -> list[str]:
+    """The word, dealt into pieces of PIECE letters that hold all its n-grams; CUT stands where a piece was cut off."""
+    last = len(word) - LONG + 1
+    if len(word) <= PIECE:
+        return [word]
+    step = PIECE - LONG + 1
+    return [(CUT if i else "") + word[i : i + PIECE] + (CUT if i + PIECE < len(word) else "") for i in range(0, last, step)]
+
+
 def distinct_words(text: str) -> set[str]:
-    return set(WORD.findall(text.lower())) or {""}
+    words = set(WORD.findall(text.lower()))
+    long = [w for w in words if len(w) > PIECE]
+    if long:
+        words.difference_update(long)
+        words.update(p for w in long for p in pieces(w))
+    return words or {""}
 
 
 def held_out(doc_id: Column) -> Column:

@@ -195,6 +195,20 @@ def test_toxicity_without_labels(spark, odd_docs):
     assert {r.score for r in toxicity.toxicity(odd_docs, none).collect()} == {0.0} and toxicity.drop_toxic(odd_docs, none).count() == odd_docs.count()
 
 
+def test_long_words_are_read_whole():
+    filler = "".join(chr(0x4E00 + i) for i in range(300))
+    for at in range(0, 300, 7):
+        word = filler[:at] + "disgusting" + filler[at:]
+        held = set().union(*map(toxicity.bag, toxicity.distinct_words(word)))
+        marked = f"<{word}>"
+        grams = {marked[i : i + n] for n in range(toxicity.SHORT, toxicity.LONG + 1) for i in range(len(marked) - n + 1)}
+        assert grams == {g for g in held if len(g) <= toxicity.LONG}
+        assert all(len(p) <= toxicity.PIECE + 2 for p in toxicity.distinct_words(word))
+    texts = [[w] + WORDS[i % 7 : i % 7 + 5] for i, w in enumerate(["disgusting", "horrible", "lovely", "pleasant"] * 30)]
+    scorer = toxicity.train(texts, np.array([1.0, 1, 0, 0] * 30))
+    assert scorer.score("beta " + "x" * 70 + "disgusting") > scorer.score("beta " + "x" * 80) + 0.01
+
+
 # Training order
 
 
@@ -223,20 +237,6 @@ def test_training_order(spark, make_docs, tmp_path):
         assert len(training_order.read_shard(m.path, 3, 32)) == max(0, m.records - 3)
 
 
-# Search
-
-
-def test_search_is_exact(spark, make_docs):
-    rng = random.Random(7)
-    texts = [prose(rng, rng.randint(1, 60)) for _ in range(300)] + ["", None, texts_tie := "alpha1 beta2", texts_tie]
-    docs = make_docs(texts)
-    lens = [len((t or "").split()) for t in texts]
-    mean = sum(lens) / len(lens)
-    tf = [{w: (t or "").split().count(w) for w in set((t or "").split())} for t in texts]
-    df = {}
-    for d in tf:
-        for w in d:
-            df[w] = df.get(w, 0) + 1
 def test_shards_of_other_data_are_written_again(spark, make_docs, tmp_path):
     rng = random.Random(6)
     docs = make_docs([prose(rng, 60) for _ in range(40)])
@@ -257,6 +257,20 @@ def test_query_writes_its_shards(spark):
     assert all(bytes(r.ids) == training_order.read_shard(r.path, r.record)[0].tobytes() for r in rows)
 
 
+# Search
+
+
+def test_search_is_exact(spark, make_docs):
+    rng = random.Random(7)
+    texts = [prose(rng, rng.randint(1, 60)) for _ in range(300)] + ["", None, texts_tie := "alpha1 beta2", texts_tie]
+    docs = make_docs(texts)
+    lens = [len((t or "").split()) for t in texts]
+    mean = sum(lens) / len(lens)
+    tf = [{w: (t or "").split().count(w) for w in set((t or "").split())} for t in texts]
+    df = {}
+    for d in tf:
+        for w in d:
+            df[w] = df.get(w, 0) + 1
     want = {}
     for q in range(0, len(texts), 50):
         scores = []
@@ -270,6 +284,17 @@ def test_query_writes_its_shards(spark):
         assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-8 for k in want)
 
 
+def test_repeated_rows_count_once(spark, make_docs):
+    rng = random.Random(8)
+    texts = [" ".join(["alpha", *[prose(rng, 1) for _ in range(i)]]) for i in range(40)]
+    once = make_docs(texts).coalesce(1)
+    repeated = make_docs([texts[0]] * 14 + texts, [0] * 14 + list(range(40))).coalesce(1).union(make_docs(texts[:20]))
+    asked = make_docs(["alpha"], [0])
+    want = sorted(topk_search.search(once, asked).collect())
+    assert sorted(topk_search.search(repeated, asked).collect()) == want and [r.rank for r in want] == list(range(1, 11))
+    assert sorted(topk_search.search(once, asked.union(asked)).collect()) == want
+
+
 @pytest.mark.parametrize("block, floor", [(32, 0.0), (4, 0.0), (4, 1.0), (1, 3.0)])
 def test_pruned_walk_finds_the_best(monkeypatch, block, floor):
     monkeypatch.setattr(topk_search, "BLOCK", block)
@@ -304,17 +329,6 @@ def test_line_dedup(spark, make_docs):
     got = {r.doc_id: r for r in line_dedup.dedup(docs).collect()}
     first, want = {}, {}
     for i, t in enumerate(texts):
-def test_repeated_rows_count_once(spark, make_docs):
-    rng = random.Random(8)
-    texts = [" ".join(["alpha", *[prose(rng, 1) for _ in range(i)]]) for i in range(40)]
-    once = make_docs(texts).coalesce(1)
-    repeated = make_docs([texts[0]] * 14 + texts, [0] * 14 + list(range(40))).coalesce(1).union(make_docs(texts[:20]))
-    asked = make_docs(["alpha"], [0])
-    want = sorted(topk_search.search(once, asked).collect())
-    assert sorted(topk_search.search(repeated, asked).collect()) == want and [r.rank for r in want] == list(range(1, 11))
-    assert sorted(topk_search.search(once, asked.union(asked)).collect()) == want
-
-
         gone = set()
         for h, a, n in line_dedup.line_runs((t or "").encode(), 50):
             if first.setdefault(h, i) != i:
