@@ -184,7 +184,7 @@ def test_toxicity_learns_and_meets_misspellings(spark):
     out = toxicity.toxicity(docs, labels).join(labels, "doc_id").where("held_out").collect()
     caught = sum(r.predicted for r in out if r.toxic) / max(1, sum(r.toxic for r in out))
     wrong = sum(r.predicted for r in out if not r.toxic) / sum(1 - r.toxic for r in out)
-    assert caught > 0.5 and wrong < 0.05
+    assert caught >= 0.75 and wrong <= 0.02, (caught, wrong)
     texts = [[w] + WORDS[i % 7 : i % 7 + 5] for i, w in enumerate(["disgusting", "horrible", "lovely", "pleasant"] * 30)]
     scorer = toxicity.train(texts, np.array([1.0, 1, 0, 0] * 30))
     assert scorer.score("beta disgustingg gamma") > 0.5 > scorer.score("beta pleasantt gamma") and 0 <= scorer.score("") <= 1
@@ -195,18 +195,48 @@ def test_toxicity_without_labels(spark, odd_docs):
     assert {r.score for r in toxicity.toxicity(odd_docs, none).collect()} == {0.0} and toxicity.drop_toxic(odd_docs, none).count() == odd_docs.count()
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text("abcß漢😀", max_size=90), min_size=1, max_size=30))
+def test_bags_hold_every_ngram(words):
+    """Each word and each of its n-grams has a hash of its own, the same wherever it stands."""
+    found, names = {i: [] for i in range(len(words))}, {}
+    for n, h, word in toxicity.bags(words):
+        for x, w in zip(h.tolist(), word.tolist()):
+            found[w].append((n, x))
+    for i, w in enumerate(words):
+        want = [(0, f"<{w}>")] + [(n, f"<{w}>"[k : k + n]) for n in range(toxicity.SHORT, toxicity.LONG + 1) for k in range(len(w) + 3 - n)]
+        assert sorted(n for n, _ in want) == sorted(n for n, _ in found[i])
+        for n in {n for n, _ in want}:
+            for (_, text), (_, h) in zip([x for x in want if x[0] == n], [x for x in found[i] if x[0] == n]):
+                assert names.setdefault((n, text), h) == h
+    assert len(set(names.values())) == len(names)
+
+
+def test_scores_equal_a_plain_reckoning():
+    rng = random.Random(12)
+    bad = ["disgusting", "horrible", "stupid"]
+    texts = [[rng.choice(bad) if i % 3 == 0 else rng.choice(WORDS), *(rng.choice(WORDS) for _ in range(6))] for i in range(300)]
+    scorer = toxicity.train(texts, np.array([float(i % 3 == 0) for i in range(300)]))
+    learned = dict(zip(scorer.features.tolist(), scorer.logits.tolist()))
+
+    def plain(text):
+        logits = []
+        for w in set(re.findall(r"[^\W\d_]+", text.lower())) or {""}:
+            own = [learned[x] for _, h, _ in toxicity.bags([w]) for x in h.tolist() if x in learned]
+            logits.append(sum(own) / len(own) if own else 0.0)
+        return 1 / (1 + np.exp(-(np.log(sum(np.exp(toxicity.SHARPNESS * x) for x in logits)) / toxicity.SHARPNESS + scorer.bias)))
+
+    odd = ["", "123 !", "beta disgustingg", "DISGUSTING", "x" * 5000, "word " * 2000, "漢" * 300 + " horrible"] + [" ".join(t) for t in texts[:40]]
+    got = scorer.scores(odd)
+    assert np.allclose(got, [plain(t) for t in odd], atol=1e-5) and got[3] > 0.5 > got[1]
+
+
 def test_long_words_are_read_whole():
-    filler = "".join(chr(0x4E00 + i) for i in range(300))
-    for at in range(0, 300, 7):
-        word = filler[:at] + "disgusting" + filler[at:]
-        held = set().union(*map(toxicity.bag, toxicity.distinct_words(word)))
-        marked = f"<{word}>"
-        grams = {marked[i : i + n] for n in range(toxicity.SHORT, toxicity.LONG + 1) for i in range(len(marked) - n + 1)}
-        assert grams == {g for g in held if len(g) <= toxicity.LONG}
-        assert all(len(p) <= toxicity.PIECE + 2 for p in toxicity.distinct_words(word))
     texts = [[w] + WORDS[i % 7 : i % 7 + 5] for i, w in enumerate(["disgusting", "horrible", "lovely", "pleasant"] * 30)]
     scorer = toxicity.train(texts, np.array([1.0, 1, 0, 0] * 30))
-    assert scorer.score("beta " + "x" * 70 + "disgusting") > scorer.score("beta " + "x" * 80) + 0.01
+    filler = "".join(chr(0x4E00 + i) for i in range(300))
+    plain = scorer.score(filler)
+    assert all(scorer.score(filler[:at] + "disgusting" + filler[at:]) > plain + 0.01 for at in range(0, 300, 7))
 
 
 # Training order
