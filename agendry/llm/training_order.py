@@ -10,21 +10,27 @@ of slot s is record s % shard_size of shard s // shard_size, at a byte offset th
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import pyarrow.fs as pafs
+import tiktoken
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from agendry.llm.arrow import small_batches, utf8
-from agendry.llm.bpe import encoder
+from agendry.llm.arrow import map_batches, small_batches, utf8
+from agendry.llm.bpe import encoder, load_ranks
 from agendry.runtime import checkpoint_dir, cut
 
 LENGTH, SHARD, ROUNDS = 2048, 4096, 6
+#: Tasks that write shards, at most; each writes whole shards.
+WRITERS = 20_000
 
 
 def _round_keys(key: bytes) -> np.ndarray:
@@ -49,18 +55,31 @@ def slots(numbers: np.ndarray, total: int, key: bytes) -> np.ndarray:
     return x.astype(np.int64)
 
 
+@functools.lru_cache(maxsize=1)
+def _library(ranks_path: str, pattern: str) -> tiktoken.Encoding:
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=load_ranks(ranks_path), special_tokens={})
+
+
+def token_ids(text: str, ranks_path: str, pattern: str) -> np.ndarray:
+    """Ids of a text by the library, without special tokens."""
+    try:
+        return _library(ranks_path, pattern).encode_to_numpy(text, disallowed_special=())
+    except ValueError:  # its regular expressions give up on very long runs of white space
+        return np.frombuffer(encoder(ranks_path, pattern).encode(text), "<u4")
+
+
 def sequences(docs: DataFrame, ranks_path: str, pattern: str, length: int = LENGTH) -> DataFrame:
     """(part, seq, first_doc, n_docs, n_tokens, ids): ids as little-endian 16-bit numbers, padded with the end mark.
 
     Every row of ``docs`` gives its tokens and one end mark; null and empty texts give the mark alone.
-    The last sequence of a partition is padded; n_tokens counts what is not padding.
+    The last sequence of a partition is padded; n_tokens counts what is not padding. The end mark is the
+    first number after the vocabulary, which may hold 65,535 tokens at most: more raise a ValueError.
     """
 
     source = docs.select(F.spark_partition_id().alias("part"), "doc_id", "text")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(ranks_path, pattern)
-        end = len(e.ranks)
+        end = len(load_ranks(ranks_path))
         if end >= 1 << 16:
             raise ValueError("ids do not fit 16 bits")
         mark, part, seq = np.array([end], "<u2"), 0, 0
@@ -89,7 +108,7 @@ def sequences(docs: DataFrame, ranks_path: str, pattern: str, length: int = LENG
                 part = b.column(0)[0].as_py()
             for doc_id, raw in zip(b.column(1).to_pylist(), utf8(b.column(2))):
                 docs_at.append((at, doc_id))
-                ids = np.frombuffer(e.encode(raw.decode("utf-8", "replace")), "<u4").astype("<u2")
+                ids = token_ids(raw.decode("utf-8", "replace"), ranks_path, pattern).astype("<u2")
                 held += [ids, mark]
                 at += len(ids) + 1
                 if at >= 1 << 19:
@@ -102,29 +121,46 @@ def sequences(docs: DataFrame, ranks_path: str, pattern: str, length: int = LENG
     return small_batches(source).mapInArrow(pack, "part int, seq long, first_doc long, n_docs int, n_tokens int, ids binary")
 
 
+def _stored(packed: DataFrame) -> DataFrame:
+    """``packed`` as a table in the shared folder: compressed, ids take two thirds of what a checkpoint takes."""
+    path = f"{checkpoint_dir(packed.sparkSession)}/packed-{uuid.uuid4().hex}"
+    packed.write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path)
+    return packed.sparkSession.read.schema(packed.schema).parquet(path)
+
+
 def training_order(docs: DataFrame, ranks_path: str, pattern: str, key: bytes, length: int = LENGTH, shard_size: int = SHARD) -> DataFrame:
     """(slot, shard, record, byte_offset, first_doc, n_docs, n_tokens, ids), range-partitioned and sorted by slot.
 
-    Slots are 0 to the number of sequences less one, each once; the same documents, partitions and key
-    give the same order. An empty table gives no sequence. Other columns are not read.
+    Slots are 0 to the number of sequences less one, each once. The same documents, key and deal of
+    documents over partitions (thus of files over input splits) give the same order; another deal packs other
+    sequences. An empty table gives no sequence. Other columns are not read.
     """
-    packed = cut(sequences(docs, ranks_path, pattern, length))
+    packed = _stored(sequences(docs, ranks_path, pattern, length))
     # One row for each partition, not for each document.
     counts = {r["part"]: r["n"] for r in packed.groupBy("part").agg(F.max("seq").alias("n")).collect()}
     starts, total = {}, 0
     for p in sorted(counts):
         starts[p], total = total, total + counts[p] + 1
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            number = np.array([starts[p] for p in b.column(0).to_pylist()], np.int64) + b.column(1).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(slots(number, total, key)), *(b.column(i) for i in range(2, 6))], ["slot", "first_doc", "n_docs", "n_tokens", "ids"])
-
-    placed = packed.mapInArrow(place, "slot long, first_doc long, n_docs int, n_tokens int, ids binary")
-    shards = -(-total // shard_size)
-    sorted_ = placed.withColumn("shard", F.floor(F.col("slot") / shard_size).cast("long")).repartitionByRange(max(1, shards), "shard").sortWithinPartitions("slot")
+    def place(b: pa.RecordBatch) -> list[pa.Array]:
+        small = zstandard.ZstdCompressor(level=3)
+        number = np.array([starts[p] for p in b.column(0).to_pylist()], np.int64) + b.column(1).to_numpy(zero_copy_only=False)
+        return [pa.array(slots(number, total, key)), *(b.column(i) for i in range(2, 5)), pa.array([small.compress(x) for x in b.column(5).to_pylist()], pa.binary())]
+
+    def whole(b: pa.RecordBatch) -> list[pa.Array]:
+        large = zstandard.ZstdDecompressor()
+        return [*(b.column(i) for i in range(4)), pa.array([large.decompress(x) for x in b.column(4).to_pylist()], pa.binary())]
+
+    # Ids are shuffled compressed. A range of slots is a whole number of shards and goes to a task of its own.
+    schema = "slot long, first_doc long, n_docs int, n_tokens int, ids binary"
+    shards = max(1, -(-total // shard_size))
+    each = -(-shards // WRITERS)
+    task = F.floor(F.col("slot") / (shard_size * each)).cast("int")
+    sorted_ = map_batches(packed, place, schema).repartitionById(-(-shards // each), task).sortWithinPartitions("slot")
     record = F.col("slot") % shard_size
-    return sorted_.select("slot", "shard", record.alias("record"), (record * length * 2).alias("byte_offset"), "first_doc", "n_docs", "n_tokens", "ids")
+    return map_batches(sorted_, whole, schema).select(
+        "slot", F.floor(F.col("slot") / shard_size).cast("long").alias("shard"), record.alias("record"), (record * length * 2).alias("byte_offset"), "first_doc", "n_docs", "n_tokens", "ids"
+    )
 
 
 def shard_folder(spark: SparkSession, source: str, key: bytes, length: int = LENGTH, shard_size: int = SHARD) -> str:
@@ -137,7 +173,7 @@ def shard_folder(spark: SparkSession, source: str, key: bytes, length: int = LEN
 def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
     """Write each shard as one file of raw ids and give (shard, path, records, bytes, sha256).
 
-    ``folder`` is a URI that executors share. A shard is written under a name of its attempt and then
+    ``folder`` is a URI that executors share, and so is each path. An empty table writes nothing. A shard is written under a name of its attempt and then
     moved, so a lost or repeated task leaves whole files only. Its digest is written beside it afterwards,
     and a run skips a shard only if the file has the right size and the digest is that of its own data.
     Rows must come as training_order() gives them: a shard's rows in one partition, sorted by slot.
@@ -162,7 +198,7 @@ def written_order(ordered: DataFrame, folder: str) -> DataFrame:
                 if path != own:
                     if source:
                         source.close()
-                    own, source = path, fs.open_input_file(path)
+                    own, source = path, fs.open_input_file(pafs.FileSystem.from_uri(path)[1])
                 ids.append(source.read_at(size, at))
             got = {n: b.column(n) for n in kinds if n != "ids"} | {"ids": pa.array(ids, pa.binary()), "path": b.column("path")}
             yield pa.RecordBatch.from_arrays([got[n] for n in (*kinds, "path")], [*kinds, "path"])
@@ -183,7 +219,7 @@ def _written(ordered: DataFrame, folder: str, each: bool) -> DataFrame:
         facts: list[pa.RecordBatch] = []
 
         def put(path: str, data: bytes) -> None:
-            own = f"{path}.{os.getpid()}.part"
+            own = f"{path}.{uuid.uuid4().hex}.part"
             with fs.open_output_stream(own) as out:
                 out.write(data)
             fs.move(own, path)
@@ -191,7 +227,8 @@ def _written(ordered: DataFrame, folder: str, each: bool) -> DataFrame:
         def done(shard: int, rows: list) -> pa.RecordBatch:
             data = b"".join(rows)
             digest = hashlib.sha256(data).hexdigest()
-            path = f"{root}/shard-{shard:08d}.bin"
+            name = f"shard-{shard:08d}.bin"
+            path, uri = f"{root}/{name}", f"{folder}/{name}"
             info, mark = fs.get_file_info([path, f"{path}.sha256"])
             known = b""
             if mark.type != pafs.FileType.NotFound:
@@ -204,10 +241,10 @@ def _written(ordered: DataFrame, folder: str, each: bool) -> DataFrame:
                 put(path, data)
                 put(mark.path, digest.encode())
             if not each:
-                return pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "records": [len(rows)], "bytes": [len(data)], "sha256": [digest]})
+                return pa.RecordBatch.from_pydict({"shard": [shard], "path": [uri], "records": [len(rows)], "bytes": [len(data)], "sha256": [digest]})
             own = pa.Table.from_batches(facts).combine_chunks()
             own = own.filter(pa.compute.equal(own.column("shard"), shard))
-            own = own.append_column("path", pa.array([path] * len(rows))).append_column("n_bytes", pa.array([len(r) for r in rows], pa.int32()))
+            own = own.append_column("path", pa.array([uri] * len(rows))).append_column("n_bytes", pa.array([len(r) for r in rows], pa.int32()))
             return own.combine_chunks().to_batches()[0]
 
         for b in batches:
@@ -229,6 +266,9 @@ def _written(ordered: DataFrame, folder: str, each: bool) -> DataFrame:
     return small_batches(ordered).mapInArrow(write, f"{kinds}, path string, n_bytes int")
 
 
-def read_shard(path: str, start_record: int = 0, length: int = LENGTH) -> np.ndarray:
+def read_shard(uri: str, start_record: int = 0, length: int = LENGTH) -> np.ndarray:
     """Sequences of a shard from a record on: sequential, and resumable at any record."""
-    return np.fromfile(path, "<u2", offset=start_record * length * 2).reshape(-1, length)
+    fs, path = pafs.FileSystem.from_uri(uri)
+    with fs.open_input_file(path) as f:
+        f.seek(start_record * length * 2)
+        return np.frombuffer(f.read(), "<u2").reshape(-1, length)

@@ -274,13 +274,30 @@ def test_shards_of_other_data_are_written_again(spark, make_docs, tmp_path):
     for key in (b"one", b"two", b"two"):
         out = training_order.training_order(docs, SMALL, PT.PATTERN, key, length=32, shard_size=16)
         for m in training_order.write_shards(out, folder).collect():
-            assert hashlib.sha256(open(m.path, "rb").read()).hexdigest() == m.sha256
+            assert hashlib.sha256(training_order.read_shard(m.path, length=32).tobytes()).hexdigest() == m.sha256
     want = sorted(out.collect())
     got = training_order.written_order(out, f"file://{tmp_path}/other").collect()
     assert sorted(r[:-1] for r in got) == [tuple(r) for r in want] and len({r.path for r in got}) == want[-1].shard + 1
     assert all(bytes(r.ids) == training_order.read_shard(r.path, r.record, 32)[0].tobytes() for r in got)
 
 
+def test_ids_equal_the_library_whatever_the_text():
+    e = bpe.encoder(SMALL, PT.PATTERN)
+    for text in ("", "Plain words, 12 of them.", " " * 300_000 + "y", "ab" * 5000, "\n\n \t x"):
+        assert training_order.token_ids(text, SMALL, PT.PATTERN).tolist() == np.frombuffer(e.encode(text), "<u4").tolist()
+
+
+def test_broken_shards_are_written_again(spark, make_docs, tmp_path):
+    rng = random.Random(16)
+    out = training_order.training_order(make_docs([prose(rng, 60) for _ in range(40)]), SMALL, PT.PATTERN, b"k", length=32, shard_size=16)
+    manifest = training_order.write_shards(out, f"file://{tmp_path}/s").collect()
+    good = [training_order.read_shard(m.path, length=32).tobytes() for m in manifest]
+    (tmp_path / "s" / "shard-00000000.bin").write_bytes(b"\0" * 10)
+    (tmp_path / "s" / "shard-00000001.bin.sha256").write_bytes(b"0" * 64)
+    assert training_order.write_shards(out, f"file://{tmp_path}/s").collect() == manifest
+    assert [training_order.read_shard(m.path, length=32).tobytes() for m in manifest] == good
+
+
 def test_query_writes_its_shards(spark):
     rows = queries.op6_training_order(spark, SF).collect()
     assert [r.slot for r in sorted(rows)] == list(range(len(rows)))
@@ -325,14 +342,16 @@ def test_repeated_rows_count_once(spark, make_docs):
     assert sorted(topk_search.search(once, asked.union(asked)).collect()) == want
 
 
-@pytest.mark.parametrize("block, floor", [(32, 0.0), (4, 0.0), (4, 1.0), (1, 3.0)])
-def test_pruned_walk_finds_the_best(monkeypatch, block, floor):
-    monkeypatch.setattr(topk_search, "BLOCK", block)
+@pytest.mark.parametrize("block, first, common, floor", [(64, 4096, 0.125, 0.0), (4, 1, 2.0, 0.0), (4, 20, 0.3, 1.0), (1, 1, 0.0, 3.0), (8, 5, 0.5, 0.0)])
+def test_pruned_walk_finds_the_best(monkeypatch, block, first, common, floor):
+    for name, value in (("BLOCK", block), ("FIRST", first), ("COMMON", common), ("FREQUENT", 3), ("CHUNK", 7)):
+        monkeypatch.setattr(topk_search, name, value)
     rng = np.random.default_rng(block)
     terms = [np.unique(rng.integers(-50, 50, rng.integers(0, 30)) ** 3) for _ in range(200)]
     counts = [rng.integers(1, 5, len(t)).astype("<u4") for t in terms]
-    lengths = np.array([c.sum() for c in counts], np.float64)
-    shard = topk_search.Shard(list(range(1000, 1200)), lengths, terms, counts, lengths.mean())
+    lengths = np.array([c.sum() for c in counts], np.int64)
+    rows = topk_search._stored(5, list(range(1000, 1200)), lengths.tolist(), terms, counts)
+    (shard,) = topk_search._shards(rows, lengths.mean())
     for _ in range(40):
         q = np.unique(rng.integers(-60, 60, 12) ** 3)
         w = rng.random(len(q)) * 4
@@ -342,8 +361,55 @@ def test_pruned_walk_finds_the_best(monkeypatch, block, floor):
             s = sum(x * tf[int(a)] * 2.2 / (tf[int(a)] + 1.2 * (0.25 + 0.75 * lengths[i] / lengths.mean())) for a, x in zip(q, w) if int(a) in tf)
             scores.append((round(float(s), topk_search.DIGITS), -(1000 + i)))
         want = sorted((x for x in scores if x[0] > 0 and x[0] >= floor), reverse=True)[:10]
-        got = sorted(shard.search(q, w, 10, floor), reverse=True)
-        assert [g[1] for g in got if g[0] >= floor] == [x[1] for x in want]
+        at = shard.find(q)
+        found, ids = shard.search(at[at >= 0], w[at >= 0], 10, floor)
+        got = sorted(zip(found.tolist(), (-ids).tolist()), reverse=True)[:10]
+        assert [g[1] for g in got] == [x[1] for x in want] and all(abs(g[0] - x[0]) < 1e-8 for g, x in zip(got, want))
+        assert not shard.weight.any()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("aAbBé \n\t\x0b\x1c漢", max_size=40), max_size=8), st.sampled_from([1, 7, 1 << 22]))
+def test_words_are_counted(texts, size):
+    whole = topk_search.BYTES
+    topk_search.BYTES = size
+    try:
+        got = topk_search.count_words([t.encode() for t in texts])
+    finally:
+        topk_search.BYTES = whole
+    names = {}
+    for t, (length, terms, counts) in zip(texts, got, strict=True):
+        words = t.encode().lower().split()
+        assert length == len(words) and terms.tolist() == sorted(set(terms.tolist()))
+        by = {w: words.count(w) for w in words}
+        own = {w: int(topk_search.word_hashes(w)[1][0]) for w in by}
+        assert {own[w]: n for w, n in by.items()} == dict(zip(terms.tolist(), counts.tolist()))
+        names |= own
+    assert len(set(names.values())) == len(names)
+
+
+def test_pruning_leaves_documents_unscored():
+    """A query's rare word decides: documents that share only its common words are never scored."""
+    rng = np.random.default_rng(1)
+    terms = [np.unique(np.append(rng.choice(40, 20), [1000 + i // 12])) for i in range(6000)]
+    counts = [np.ones(len(t), np.uint32) for t in terms]
+    lengths = np.array([len(t) for t in terms])
+    (shard,) = topk_search._shards(topk_search._stored(0, list(range(6000)), lengths.tolist(), terms, counts), lengths.mean())
+    scored, exact = [], shard.exact
+    shard.exact = lambda docs: scored.append(len(docs)) or exact(docs)
+    at = shard.find(np.append(np.arange(40), [1007]))
+    w = np.append(np.full(40, 0.1), [9.0])
+    assert set(shard.search(at, w, 10)[1]) <= set(range(84, 96)) and sum(scored) < 200
+
+
+def test_shards_are_bounded_and_whole(spark, make_docs, monkeypatch):
+    rng = random.Random(17)
+    docs = make_docs([prose(rng, rng.randint(0, 40)) for _ in range(100)])
+    rows = topk_search.index(docs.coalesce(1)).collect()
+    ids = [i for r in rows if r.kind == topk_search.DOCUMENTS for i in np.frombuffer(r.a, np.int64).tolist()]
+    lists = sum(len(r.b) // 4 for r in rows if r.kind == topk_search.LISTS)
+    assert sorted(ids) == list(range(100)) and len({r.shard for r in rows}) == 1
+    assert lists == sum(len(set(r.text.split())) for r in docs.collect())
 
 
 # Lines
