@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import tiktoken
 import zstandard
@@ -243,7 +243,7 @@ def _written(ordered: DataFrame, folder: str, each: bool) -> DataFrame:
             if not each:
                 return pa.RecordBatch.from_pydict({"shard": [shard], "path": [uri], "records": [len(rows)], "bytes": [len(data)], "sha256": [digest]})
             own = pa.Table.from_batches(facts).combine_chunks()
-            own = own.filter(pa.compute.equal(own.column("shard"), shard))
+            own = own.filter(pc.equal(own.column("shard"), shard))
             own = own.append_column("path", pa.array([uri] * len(rows))).append_column("n_bytes", pa.array([len(r) for r in rows], pa.int32()))
             return own.combine_chunks().to_batches()[0]
 
