@@ -145,6 +145,50 @@ def test_html(spark):
     assert [r.text for r in got] == [want, "", "", "open tags\nx < y &am", "plain", "", want] and all(r.n_chars == len(r.text) for r in got)
 
 
+LONG_TEXT = "Some long paragraph of text with many words about things that happen in a town. " * 6
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<body><nav><a href=1>m</a></nav><article id="how-search-works"><p>{t}</p></article><footer>f</footer></body>', "{t}"),
+        ('<body><div class="legal-news"><h2>Head</h2><p>{t}</p></div><div class="ad">Buy now</div></body>', "Head\n{t}"),
+        ('<body><main><h1>Title</h1><div class="post copyright-law"><p>{t}</p></div></main></body>', "Title\n{t}"),
+        ('<body><form action=x><div><nav>menu</nav><div><p>{t}</p><p>{t}</p></div><input><button>go</button></div></form></body>', "{t}\n{t}"),
+        ('<body><article><p>{t}</p><p><a href=1>one link</a> <a href=2>and two</a></p></article></body>', "{t}\none link and two"),
+        ('<body><article><p>{t}</p><ul><li><a href=1>x</a><li><a href=2>y</a><li><a href=3>z</a></ul><ul><li>a<li>b</ul></article></body>', "{t}\na\nb"),
+        ('<body><article><p>{t}</p><p class="notice">Shop closed.</p></article><div class="comments"><p>{t}</p><p>{t}</p></div></body>', "{t}"),
+        ('<body><div id=wrap><div class=story><p>{t}</p><p>{t}</p></div><div class="sidebar"><p>Side words here</p></div></div></body>', "{t}\n{t}"),
+        ("<p>1 <", "1 <"),
+        ("<div>a<br>b &lt;c&gt; &eacute;&#x41;</div><i", "a\nb <c> éA"),
+    ],
+)
+def test_articles_stay_whole(page, want):
+    text = LONG_TEXT.strip()
+    assert html_extract.main_text(page.replace("{t}", text)) == want.replace("{t}", text)
+
+
+@pytest.mark.parametrize("tag", ["<div>", "<article>", "<p>", "<b>", "<li>", "<form>", '<div class="notice">', "<table><tr><td>"])
+def test_open_tags_take_linear_time(tag):
+    """A hundred thousand open tags take seconds; a scan of what is open for each would take an hour."""
+    import time
+
+    began = time.process_time()
+    text = html_extract.main_text("<body>" + (tag + "x ") * 100_000)
+    assert time.process_time() - began < 60 and len(text) >= 0
+
+
+def test_pages_equal_a_plain_reading(spark):
+    """The pages hold one article each, so a plain reading by patterns gives the same text."""
+    import html
+
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        article = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
+        blocks = re.split(r"</?(?:p|h1|br|article|div)\b[^>]*>", re.sub(r"<!--.*?-->", "", article, flags=re.S))
+        lines = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", "", b))).strip() for b in blocks]
+        assert html_extract.main_text(r.html) == "\n".join(x for x in lines if x)
+
+
 # Licenses
 
 
