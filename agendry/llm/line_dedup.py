@@ -1,13 +1,19 @@
 """Line dedup by pairwise alignment.
 
-Lines are compared stripped, empty lines aside. From each line, and back from each line, a run of lines
-is taken until it holds ``min_words`` words; its hash is a rare key, since long runs do not meet by chance.
-Each line of a common block of that many words is in the run from the block's first line or in the run
-back from itself, so the runs cover the block. The earliest document (least doc_id) that holds a run is
-paired with every later one that holds it, so pairs grow with the lines, not with the square of a
-group. Each pair is aligned by patience diff: runs are anchors, the longest chain of anchors in the
-same order on both sides is the alignment, and moved blocks are aligned in further rounds. Aligned
-anchors that touch form common blocks, which are deleted from the later document.
+Lines are compared stripped, empty lines aside. Documents meet through two kinds of shared keys: rare
+lines, which few documents of the whole table hold, and runs of lines. A run is the shortest one from a
+line on, or back from a line, that holds ``min_words`` words: each line of a common block of that many
+words is in the run from the block's first line or in the run back from itself, so runs find every such
+block, even one whose lines are all frequent. The earliest document (least doc_id) that holds a key is
+paired with every later one that holds it, so pairs grow with the keys, not with the square of a group.
+A key is 128 bits, so no two texts of any corpus share one by chance.
+
+Each pair is aligned by patience diff: keys are anchors, and the longest chain of anchors in the same order
+on both sides is the alignment. It decides which single lines go: aligned lines with at most ``GAP`` other
+lines between them on either side are one passage, edited here and there, and go if they hold
+``min_words`` words together; the same lines in another order, or scattered, stay. Runs hold that many
+words by themselves: those that the chain leaves out are moved blocks and are aligned in further rounds.
+What is aligned is deleted from the later document.
 """
 
 from __future__ import annotations
@@ -23,16 +29,18 @@ from pyspark.sql import DataFrame, functions as F
 
 from agendry.llm.arrow import free_name, small_batches, utf8
 
-#: Words that a common block has at least.
+#: Words that a common passage has at least.
 MIN_WORDS = 50
+#: Documents that hold a rare line at most, words that it has at least, and lines between two lines of one passage.
+RARE, LINE_WORDS, GAP = 100, 4, 3
 #: Rounds of alignment with chains; what is left then is aligned block by block.
 ROUNDS = 8
 #: Rows of a batch that the splitter emits at once.
 EMITTED = 100_000
 
 
-def line_runs(text: bytes, min_words: int) -> list[tuple[int, int, int]]:
-    """(hash, first line, lines) of the shortest runs from each line and back from each line that hold ``min_words`` words.
+def line_keys(text: bytes, min_words: int = MIN_WORDS, line_words: int = LINE_WORDS) -> list[tuple[int, int, int, int, int]]:
+    """(hash, second hash, first line, lines, words) of each run and, where it is no run itself, each line of ``line_words`` words.
 
     Lines are counted without empty ones. A run that is the shortest both ways is given once.
     """
@@ -46,7 +54,7 @@ def line_runs(text: bytes, min_words: int) -> list[tuple[int, int, int]]:
             end += 1
         if held < min_words:
             break
-        spans.append((start, end))
+        spans.append((start, end, held))
         held -= sizes[start]
     known, start, held = set(spans), 0, 0
     for end in range(1, len(lines) + 1):
@@ -54,22 +62,27 @@ def line_runs(text: bytes, min_words: int) -> list[tuple[int, int, int]]:
         while held - sizes[start] >= min_words:
             held -= sizes[start]
             start += 1
-        if held >= min_words and (start, end) not in known:
-            spans.append((start, end))
-    return [(xxhash.xxh64_intdigest(b"".join(clean[a:z]), 42), a, z - a) for a, z in spans]
+        if held >= min_words and (start, end, held) not in known:
+            spans.append((start, end, held))
+    spans += [(i, i + 1, n) for i, n in enumerate(sizes) if line_words <= n < min_words]
+    out = []
+    for a, z, n in spans:
+        whole = clean[a] if z == a + 1 else b"".join(clean[a:z])
+        h = xxhash.xxh3_128_intdigest(whole)
+        out.append((h >> 64, h & 0xFFFFFFFFFFFFFFFF, a, z - a, n))
+    return out
 
 
-def runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, body, run, pos, size): all runs of each row; ``body`` is the hash of its text."""
+def keys(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, body, run, proof, pos, size, words): all keys of each row; ``body`` is the hash of its text."""
 
     def emit(ids: list, bodies: list, found: list) -> pa.RecordBatch:
         n = [len(f) for f in found]
-        flat = np.array([x for f in found for x in f], np.uint64).reshape(-1, 3)
-        rows = np.repeat(np.arange(len(n)), n)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()).take(pa.array(rows)), pa.array(bodies, pa.int64()).take(pa.array(rows)), pa.array(flat[:, 0].copy().view(np.int64)), pa.array(flat[:, 1].astype(np.int32)), pa.array(flat[:, 2].astype(np.int32))],
-            ["doc_id", "body", "run", "pos", "size"],
-        )
+        flat = np.array([x for f in found for x in f], np.uint64).reshape(-1, 5)
+        rows = pa.array(np.repeat(np.arange(len(n)), n))
+        longs = [pa.array(flat[:, i].copy().view(np.int64)) for i in (0, 1)]
+        ints = [pa.array(flat[:, i].astype(np.int32)) for i in (2, 3, 4)]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()).take(rows), pa.array(bodies, pa.int64()).take(rows), *longs, *ints], ["doc_id", "body", "run", "proof", "pos", "size", "words"])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -77,7 +90,7 @@ def runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             for doc_id, body, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), utf8(b.column(2))):
                 ids.append(doc_id)
                 bodies.append(body)
-                found.append(line_runs(text, min_words))
+                found.append(line_keys(text, min_words))
                 held += len(found[-1])
                 if held >= EMITTED:
                     yield emit(ids, bodies, found)
@@ -85,60 +98,94 @@ def runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             yield emit(ids, bodies, found)
 
     source = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("body"), "text")
-    return small_batches(source).mapInArrow(split, "doc_id long, body long, run long, pos int, size int")
-
-
-def patience(anchors: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Common blocks (later line, earlier line, lines) from anchors (later line, earlier line, lines)."""
-    left, blocks, rounds = sorted(set(anchors)), [], 0
-    while left:
-        if rounds == ROUNDS:
-            chain, rest = left, []
-        else:
-            # Longest chain that rises on both sides: one anchor for each later line, by patience sorting.
-            tops: list[int] = []
-            piles: list[int] = []
-            back = [-1] * len(left)
-            order = sorted(range(len(left)), key=lambda i: (left[i][0], -left[i][1]))
-            for i in order:
-                at = bisect_left(tops, left[i][1])
-                back[i] = piles[at - 1] if at else -1
-                tops[at : at + 1] = [left[i][1]]
-                piles[at : at + 1] = [i]
-            taken, i = set(), piles[-1]
-            while i >= 0:
-                taken.add(i)
-                i = back[i]
-            chain, rest = [left[i] for i in sorted(taken)], [a for i, a in enumerate(left) if i not in taken]
-        for later, earlier, size in chain:
-            if blocks and later <= blocks[-1][0] + blocks[-1][2] and later >= blocks[-1][0] and earlier - later == blocks[-1][1] - blocks[-1][0]:
-                a, b, n = blocks[-1]
-                blocks[-1] = (a, b, max(n, later + size - a))
-            else:
-                blocks.append((later, earlier, size))
-        covered = [(a, a + n) for a, _, n in blocks]
-        left = [x for x in rest if not any(a <= x[0] and x[0] + x[2] <= e for a, e in covered)] if len(covered) < 64 else rest
-        rounds += 1
-    return blocks
-
-
-def common_blocks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, body, first_id, pos, first_pos, size): blocks of each row that stand in an earlier document."""
-    found = runs(docs, min_words)
-    first = found.groupBy("run").agg(F.min(F.struct("doc_id", "body", "pos")).alias("f"))
-    met = found.join(first, "run").where("doc_id > f.doc_id")
-    pairs = met.groupBy("doc_id", "body", F.col("f.doc_id").alias("first_id"), F.col("f.body").alias("first_body")).agg(F.collect_list(F.struct("pos", F.col("f.pos").alias("first_pos"), "size")).alias("anchors"))
+    return small_batches(source).mapInArrow(split, "doc_id long, body long, run long, proof long, pos int, size int, words int")
+
+
+def longest_chain(anchors: list[tuple[int, int, int, int]]) -> list[int]:
+    """Numbers of the anchors (later line, earlier line, ...) of the longest chain that rises on both sides, by patience sorting."""
+    tops: list[int] = []
+    piles: list[int] = []
+    back = [-1] * len(anchors)
+    for i in sorted(range(len(anchors)), key=lambda i: (anchors[i][0], -anchors[i][1])):
+        at = bisect_left(tops, anchors[i][1])
+        back[i] = piles[at - 1] if at else -1
+        tops[at : at + 1] = [anchors[i][1]]
+        piles[at : at + 1] = [i]
+    chain, i = [], piles[-1] if piles else -1
+    while i >= 0:
+        chain.append(i)
+        i = back[i]
+    return chain[::-1]
+
+
+def passages(chain: list[tuple[int, int, int, int]], min_words: int, gap: int = GAP) -> list[tuple[int, int, int]]:
+    """(later line, earlier line, lines) of the parts of a chain that hold ``min_words`` words with small gaps only.
+
+    Anchors that overlap on one side but not in the same way on the other belong to different passages.
+    """
+    out: list[tuple[int, int, int]] = []
+    held: list[tuple[int, int, int]] = []
+    words = 0
+
+    def close() -> None:
+        if words >= min_words:
+            out.extend(held)
+
+    for later, earlier, size, n in chain:
+        if held:
+            a, b, m = held[-1]
+            if later - a == earlier - b and later <= a + m:
+                # The same diagonal: what this anchor adds are its lines beyond the last one.
+                new = max(0, later + size - a - m)
+                held[-1] = (a, b, max(m, later + size - a))
+                words += n if new == size else n * new // size
+                continue
+            if not (0 <= later - a - m <= gap and 0 <= earlier - b - m <= gap):
+                close()
+                held, words = [], 0
+        held.append((later, earlier, size))
+        words += n
+    close()
+    return out
+
+
+def patience(anchors: list[tuple[int, int, int, int]], min_words: int = MIN_WORDS, gap: int = GAP) -> list[tuple[int, int, int]]:
+    """Common blocks (later line, earlier line, lines) from anchors (later line, earlier line, lines, words)."""
+    left = sorted(set(anchors))
+    blocks = passages([left[i] for i in longest_chain(left)], min_words, gap)
+    # Runs that the chain left out are moved blocks, aligned among themselves.
+    left = [x for x in left if x[3] >= min_words]
+    for _ in range(ROUNDS):
+        gone = {line for a, _, n in blocks for line in range(a, a + n)}
+        left = [x for x in left if any(line not in gone for line in range(x[0], x[0] + x[2]))]
+        if not left:
+            return blocks
+        taken = longest_chain(left)
+        blocks += [left[i][:3] for i in taken]
+        left = [x for i, x in enumerate(left) if i not in set(taken)]
+    return blocks + [x[:3] for x in left]
+
+
+def common_blocks(docs: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE) -> DataFrame:
+    """(doc_id, body, first_id, pos, first_pos, size): aligned blocks of each row with an earlier document."""
+    found = keys(docs, min_words)
+    first = found.groupBy("run", "proof").agg(F.min(F.struct("doc_id", "body", "pos")).alias("f"), F.count("*").alias("held"))
+    met = found.join(first.where((F.col("held") > 1)), ["run", "proof"]).where((F.col("doc_id") > F.col("f.doc_id")) & ((F.col("words") >= min_words) | (F.col("held") <= rare)))
+    anchor = F.struct("pos", F.col("f.pos").alias("first_pos"), "size", "words")
+    pairs = met.groupBy("doc_id", "body", F.col("f.doc_id").alias("first_id"), F.col("f.body").alias("first_body")).agg(F.collect_list(anchor).alias("anchors"), F.sum("words").alias("words"))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for doc_id, body, first_id, anchors in zip(*(b.column(i).to_pylist() for i in range(4))):
-                rows += [(doc_id, body, first_id, *block) for block in patience([(a["pos"], a["first_pos"], a["size"]) for a in anchors])]
+                rows += [(doc_id, body, first_id, *block) for block in patience([(a["pos"], a["first_pos"], a["size"], a["words"]) for a in anchors], min_words)]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
             columns = list(zip(*rows)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "body", "first_id", "pos", "first_pos", "size"])
 
-    return pairs.select("doc_id", "body", "first_id", "anchors").mapInArrow(align, "doc_id long, body long, first_id long, pos int, first_pos int, size int")
+    # Pairs whose shared keys hold fewer words in all have no passage.
+    shared = pairs.where(F.col("words") >= min_words).select("doc_id", "body", "first_id", "anchors")
+    return shared.mapInArrow(align, "doc_id long, body long, first_id long, pos int, first_pos int, size int")
 
 
 def without_lines(text: str, gone: set[int]) -> str:
@@ -160,8 +207,8 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     The later document is the one of the larger doc_id; rows with a null doc_id or text are left as
     they are, and rows repeated under one doc_id are the same document. Kept lines, empty ones among
     them, stay in their order and as they were; a text all of whose lines were common is empty.
-    Blocks shorter than ``min_words`` words stay. A column n_chars is set to the new length. Other
-    columns are kept, but for one named n_removed.
+    Passages shorter than ``min_words`` words stay. A column n_chars is set to the new length. Other
+    columns are kept; one named n_removed is replaced.
     """
     own_id, own_body, gone, cut = (free_name(docs, f"dedup_{n}") for n in ("id", "body", "gone", "text"))
     # Lines are numbered without empty ones.

@@ -446,6 +446,17 @@ def test_pruning_leaves_documents_unscored():
     assert set(shard.search(at, w, 10)[1]) <= set(range(84, 96)) and sum(scored) < 200
 
 
+def test_rounds_give_the_same_results(spark, make_docs, monkeypatch):
+    rng = random.Random(18)
+    docs = make_docs([prose(rng, rng.randint(1, 50)) for _ in range(400)])
+    asked = docs.where("doc_id % 20 = 0")
+    want = sorted(topk_search.search(docs, asked).collect())
+    for size in (100, 20, 7):
+        monkeypatch.setattr(topk_search, "SHARD", size)
+        got = sorted(topk_search.search(docs, asked).collect())
+        assert [r[:3] for r in got] == [r[:3] for r in want] and all(abs(a.score - b.score) < 1e-8 for a, b in zip(got, want))
+
+
 def test_shards_are_bounded_and_whole(spark, make_docs, monkeypatch):
     rng = random.Random(17)
     docs = make_docs([prose(rng, rng.randint(0, 40)) for _ in range(100)])
@@ -459,28 +470,13 @@ def test_shards_are_bounded_and_whole(spark, make_docs, monkeypatch):
 # Lines
 
 
-def test_line_dedup(spark, make_docs):
-    rng = random.Random(9)
-    passage = [prose(rng, 20) for _ in range(4)]
-    other = [prose(rng, 60)]
-    texts = ["\n".join([prose(rng, 30), *passage, "", prose(rng, 10)]), "\n".join([*other, *passage[:2], *passage[2:]]), "\n".join([prose(rng, 9), *other, "", *passage]), "\n".join(passage[:2]), "\n".join([*passage, *passage, *other])]
-    texts += [prose(rng, 70), None, "", "\n\n"]
-    docs = make_docs(texts)
-    got = {r.doc_id: r for r in line_dedup.dedup(docs).collect()}
-    first, want = {}, {}
-    for i, t in enumerate(texts):
-        gone = set()
-        for h, a, n in line_dedup.line_runs((t or "").encode(), 50):
-            if first.setdefault(h, i) != i:
-                gone |= set(range(a, a + n))
-        want[i] = t if not gone else line_dedup.without_lines(t, gone)
-    assert {i: r.text for i, r in got.items()} == want and got[0].text == texts[0] and passage[0] not in got[1].text and got[2].text == texts[2].split("\n")[0] + "\n"
-    assert got[3].text == texts[3] and got[4].text == "" and got[4].n_chars == 0 and got[1].n_chars == len(got[1].text) and got[5].n_removed == 0
+def plain_lines(text):
+    return [" ".join(x.split()) for x in (text or "").split("\n") if x.split()]
 
 
 def brute_common_lines(texts, min_words=50):
     """Numbers of the lines of each text that stand in a common block with an earlier text, line by line."""
-    lines = [[" ".join(x.split()) for x in (t or "").split("\n") if x.split()] for t in texts]
+    lines = [plain_lines(t) for t in texts]
     gone = [set() for _ in texts]
     for j, late in enumerate(lines):
         for early in lines[:j]:
@@ -495,7 +491,32 @@ def brute_common_lines(texts, min_words=50):
     return gone
 
 
+def without(text, gone):
+    """The text without those lines, by a plain walk."""
+    kept, n, some = [], -1, False
+    for line in text.split("\n"):
+        n += bool(line.split())
+        if not line.split() or n not in gone:
+            kept.append(line)
+            some = some or bool(line.split())
+    return "\n".join(kept) if some else ""
+
+
+def test_line_dedup(spark, make_docs):
+    rng = random.Random(9)
+    passage = [prose(rng, 20) for _ in range(4)]
+    other = [prose(rng, 60)]
+    texts = ["\n".join([prose(rng, 30), *passage, "", prose(rng, 10)]), "\n".join([*other, *passage[:2], *passage[2:]]), "\n".join([prose(rng, 9), *other, "", *passage]), "\n".join(passage[:2]), "\n".join([*passage, *passage, *other])]
+    texts += [prose(rng, 70), None, "", "\n\n"]
+    got = {r.doc_id: r for r in line_dedup.dedup(make_docs(texts)).collect()}
+    gone = brute_common_lines(texts)
+    assert {i: r.text for i, r in got.items()} == {i: without(t, g) if g else t for i, (t, g) in enumerate(zip(texts, gone))}
+    assert got[0].text == texts[0] and passage[0] not in got[1].text and got[2].text == texts[2].split("\n")[0] + "\n"
+    assert got[3].text == texts[3] and got[4].text == "" and got[4].n_chars == 0 and got[1].n_chars == len(got[1].text) and got[5].n_removed == 0
+
+
 def test_whole_blocks_are_deleted(spark, make_docs):
+    """All lines of long common blocks go, and what goes besides stands in an earlier text."""
     rng = random.Random(11)
     block = [prose(rng, 60), *(prose(rng, 10) for _ in range(3))]
     pool = [prose(rng, rng.choice([2, 5, 10, 20, 45, 60])) for _ in range(25)]
@@ -504,15 +525,57 @@ def test_whole_blocks_are_deleted(spark, make_docs):
         parts = [pool[i : i + rng.randint(1, 8)] if rng.random() < 0.7 else [prose(rng, 6)] for i in (rng.randrange(25) for _ in range(4))]
         texts.append("\n".join(x for part in parts for x in part))
     gone = brute_common_lines(texts)
-    got = {r.doc_id: (r.n_removed, r.text) for r in line_dedup.dedup(make_docs(texts)).collect()}
-    assert got == {i: (len(g), line_dedup.without_lines(t, g) if g else t) for i, (t, g) in enumerate(zip(texts, gone))}
-    assert got[1][0] == 4 and sum(map(len, gone)) > 100
+    got = {r.doc_id: r for r in line_dedup.dedup(make_docs(texts)).collect()}
+    seen = set()
+    for i, t in enumerate(texts):
+        lines = plain_lines(t)
+        kept = plain_lines(got[i].text)
+        assert got[i].n_removed == len(lines) - len(kept) >= len(gone[i]) and set(lines) - set(kept) <= seen
+        assert not gone[i] or not set(kept) & {lines[k] for k in gone[i]} - {lines[k] for k in set(range(len(lines))) - gone[i]}
+        seen |= set(lines)
+    assert got[1].n_removed == 4 and sum(map(len, gone)) > 100
+
+
+def test_alignment_decides(spark, make_docs):
+    """Short lines in order with small edits are one passage; the same lines in another order or scattered are none."""
+    rng = random.Random(13)
+    lines = [prose(rng, 9) for _ in range(8)]
+    fill = lambda n: [prose(rng, 3) for _ in range(n)]
+    edited = [x for i, line in enumerate(lines) for x in ([line] if i % 3 else [line, prose(rng, 9)])]
+    shuffled = [lines[i] for i in (7, 0, 6, 1, 5, 2, 4, 3)]
+    apart = [x for i, line in enumerate(lines) for x in ([line] if i % 2 else [line, *fill(line_dedup.GAP + 1)])]
+    few = [x for line in lines[:5] for x in (line, prose(rng, 4))]
+    between = [x for line in lines for x in (line, prose(rng, 3))]
+    texts = ["\n".join(x) for x in (between, [*fill(2), *edited, *fill(2)], shuffled, apart, few)]
+    got = {r.doc_id: r for r in line_dedup.dedup(make_docs(texts)).collect()}
+    assert [got[i].n_removed for i in range(5)] == [0, 8, 0, 0, 0]
+    assert not set(lines) & set(got[1].text.split("\n"))
+
+
+def test_frequent_lines_meet_in_runs_alone(spark, make_docs):
+    rng = random.Random(14)
+    common = [prose(rng, 12) for _ in range(6)]
+    texts = ["\n".join([prose(rng, 8), *common, prose(rng, 8)]) for _ in range(12)] + ["\n".join(x for line in common for x in (line, prose(rng, 2)))]
+    removed = lambda rare: {r.doc_id: r.n for r in line_dedup.common_blocks(make_docs(texts), rare=rare).groupBy("doc_id").agg(F.sum("size").alias("n")).collect()}
+    assert removed(100) == {i: 6 for i in range(1, 13)} and removed(5) == {i: 6 for i in range(1, 12)}
 
 
 def test_patience_moves():
-    assert sorted(line_dedup.patience([(0, 10, 2), (1, 11, 2), (5, 0, 3), (5, 0, 3)])) == [(0, 10, 3), (5, 0, 3)]
+    assert sorted(line_dedup.patience([(0, 10, 2, 50), (1, 11, 2, 50), (5, 0, 3, 50), (5, 0, 3, 50)])) == [(0, 10, 3), (5, 0, 3)]
     n = 3000
-    assert sum(b[2] for b in line_dedup.patience([(i, n - i, 1) for i in range(n)])) == n
+    assert sum(b[2] for b in line_dedup.patience([(i, n - i, 1, 50) for i in range(n)])) == n
+    assert line_dedup.patience([(i, 20 - i, 1, 9) for i in range(20)]) == []
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 8), st.integers(0, 8), st.just(1), st.just(9)), max_size=9, unique=True))
+def test_chains_are_the_longest(anchors):
+    import itertools
+
+    rises = lambda c: all(a[0] < b[0] and a[1] < b[1] for a, b in zip(c, c[1:]))
+    chain = [anchors[i] for i in line_dedup.longest_chain(anchors)]
+    best = max(n for n in range(len(anchors) + 1) if any(rises(c) for c in itertools.combinations(sorted(anchors), n)))
+    assert rises(chain) and len(chain) == best
 
 
 # Tokens
