@@ -95,45 +95,6 @@ def title_suffix_venue(spark, sf_dir):
     return titles(spark, sf_dir).select("doc_id", T.title_venue(t).alias("venue"))
 
 
-STOPS = "(Entrada|Organiza|Bilhetes|Mais info)"
-PROSE = f"pr AS (SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'Venha! 📍 ' || p_name || '. Entrada livre' WHEN 1 THEN 'Hoje. Local: ' || p_name || ' | Bilhetes na porta' ELSE p_name END AS t FROM part)"
-
-
-def _prose(t):
-    pin, local = F.regexp_extract(t, f"📍\\s*(.+?)\\s*(?:[.|]|{STOPS}|$)", 1), F.regexp_extract(t, rf"Local:\s*(.+?)\s*(?:[.|]|{STOPS}|$)", 1)
-    found = F.when(F.trim(pin) != "", F.trim(pin)).otherwise(F.trim(local))
-    return F.when((found == "") | found.rlike("(?i)^(n/d|tba|a definir)$"), "Leiria (cidade)").otherwise(found)
-
-
-@query(rf"""WITH {PROSE} SELECT id, CASE WHEN v = '' THEN 'Leiria (cidade)' ELSE v END AS venue FROM (SELECT id, CASE WHEN p <> '' THEN p ELSE l END AS v
-  FROM (SELECT id, trim(regexp_extract(t, '📍\s*(.+?)\s*(?:[.|]|{STOPS}|$)', 1)) AS p, trim(regexp_extract(t, 'Local:\s*(.+?)\s*(?:[.|]|{STOPS}|$)', 1)) AS l FROM pr))""")
-def prose_venue(spark, sf_dir):
-    k, n = F.col("p_partkey"), F.col("p_name")
-    t = F.when(k % 3 == 0, F.concat(F.lit("Venha! 📍 "), n, F.lit(". Entrada livre"))).when(k % 3 == 1, F.concat(F.lit("Hoje. Local: "), n, F.lit(" | Bilhetes na porta"))).otherwise(n)
-    return tables.read(spark, sf_dir, "part").select(k.alias("id"), _prose(t).alias("venue"))
-
-
-JUNK = "^(n/d|tba|a definir|vários locais|-)?$"
-
-
-@query(f"""SELECT p_partkey AS id, CASE WHEN NOT regexp_matches(lower(trim(a)), '{JUNK}') THEN trim(a) WHEN NOT regexp_matches(lower(trim(b)), '{JUNK}') THEN trim(b) ELSE p_brand END AS venue
-  FROM (SELECT *, CASE p_partkey % 4 WHEN 0 THEN 'N/D' WHEN 1 THEN '' ELSE p_name END AS a, CASE WHEN p_partkey % 8 = 0 THEN ' - ' ELSE p_type END AS b FROM part)""")
-def venue_pick(spark, sf_dir):
-    k = F.col("p_partkey")
-    options = [F.when(k % 4 == 0, "N/D").when(k % 4 == 1, "").otherwise(F.col("p_name")), F.when(k % 8 == 0, " - ").otherwise(F.col("p_type"))]
-    usable = [F.when(~F.lower(F.trim(o)).rlike(JUNK), F.trim(o)) for o in options]
-    return tables.read(spark, sf_dir, "part").select(k.alias("id"), F.coalesce(*usable, F.col("p_brand")).alias("venue"))
-
-
-@query(rf"""SELECT p_partkey AS id, len(list_filter(string_split(f, '-'), lambda w: NOT list_contains({O.words(O.norm_title('v'))}, w))) = 0 OR contains({O.norm_title('v')}, 'agenda') AS feed
-  FROM (SELECT p_partkey, lower(split_part(p_name, ' ', 1)) || '-leiria' AS f, CASE p_partkey % 3 WHEN 0 THEN p_name || ' Leiria' WHEN 1 THEN 'Agenda ' || p_name ELSE p_type END AS v FROM part)""")
-def feed_venue(spark, sf_dir):
-    k = F.col("p_partkey")
-    feed = F.concat(F.lower(F.substring_index("p_name", " ", 1)), F.lit("-leiria"))
-    v = T.norm_title(F.when(k % 3 == 0, F.concat("p_name", F.lit(" Leiria"))).when(k % 3 == 1, F.concat(F.lit("Agenda "), "p_name")).otherwise(F.col("p_type")))
-    return tables.read(spark, sf_dir, "part").select(k.alias("id"), ((F.size(F.array_except(F.split(feed, "-"), T.words(v))) == 0) | F.contains(v, F.lit("agenda"))).alias("feed"))
-
-
 ORD = "o AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS d, CAST(8 + o_orderkey % 16 AS INTEGER) AS h, CAST(o_orderkey % 60 AS INTEGER) AS mi FROM orders)"
 
 
@@ -248,7 +209,7 @@ def title_place(spark, sf_dir):
     return customer_places(spark, sf_dir).select("id", P.title_place(F.concat(F.lit("Festa em "), "city", F.lit(" "), "venue")).alias("place"))
 
 
-LABELS = [a for _, names in C.CATEGORY_ALIASES for a in names.split("|")] + [*C.CATEGORIES, *C.DROPPED_CATEGORIES, "Magia", "circo"]
+LABELS = [*C.CATEGORY_ALIASES, *C.CATEGORIES, *C.DROPPED_CATEGORIES, "Magia", "circo"]
 RAW = f"raw AS (SELECT id, unnest([{O.arr(LABELS)}[CAST(id % {len(LABELS)} AS INTEGER) + 1], upper({O.arr(LABELS)}[CAST(id * 7 % {len(LABELS)} AS INTEGER) + 1]), title]) AS label FROM cat_events)"
 TAXONOMY = "tax AS (SELECT * FROM (VALUES " + ", ".join(f"({O.lit(n)}, {'NULL' if c is None else O.lit(c)}, {r})" for n, c, r in P.category_rows()) + ") AS t(norm, canonical, rank))"
 
@@ -269,12 +230,6 @@ def unmapped_labels(spark, sf_dir):
     return P.unmapped_labels(raw_labels(spark, sf_dir).select(F.explode("labels").alias("label")))
 
 
-@query("SELECT doc_id, CASE " + " ".join(rf"WHEN regexp_matches(t, {O.lit(p)}) THEN {O.lit(c)}" for p, c in P.TITLE_RULES) + f""" ELSE 'Outros' END AS category FROM (SELECT doc_id, {O.fold("['Grande Concerto ', 'Peça de teatro ', 'Festa ', 'Mercado ', '']" + f"[CAST(doc_id % 5 AS INTEGER) + 1] || {FIRST}")} AS t FROM documents)""")
-def category_rules(spark, sf_dir):
-    lead = pick(["Grande Concerto ", "Peça de teatro ", "Festa ", "Mercado ", ""], F.col("doc_id"))
-    return titles(spark, sf_dir).select("doc_id", F.when(F.col("title").isNull(), "Outros").otherwise(P.title_category(F.concat(lead, "title"))).alias("category"))
-
-
 EV = "ev AS (SELECT e.id, e.title, e.start_at, v.name AS venue FROM cat_events e LEFT JOIN cat_venues v ON v.id = e.venue_id)"
 PRINT = f"sha1({O.norm_title('title')} || '|' || {O.slugify(O.norm_venue(chr(99) + 'oalesce(venue, ' + chr(39) * 2 + ')'))} || '|' || {O.lisbon_minute('start_at')})"
 

@@ -19,7 +19,7 @@ def _norm(s: str) -> str:
 
 
 MUNICIPALITY = {_norm(m): m for m in C.MUNICIPALITIES}
-PARISH = {_norm(p): m for m, names in C.PARISHES.items() for p in names.split("|")}
+PARISH = {_norm(p): m for m, names in C.PARISHES.items() for p in names}
 LOCALITIES = sorted({*PARISH, *C.GATE_PARISHES} - set(MUNICIPALITY))
 NOWHERE = ["", "?", "n/d"]
 
@@ -74,12 +74,52 @@ def record_scope(name: Column) -> Column:
     return F.when(n.isin([*MUNICIPALITY, *C.MUNICIPALITY_ALIASES]), "concelho").when(n.isin(sorted(PARISH)), "lugar").otherwise("venue")
 
 
+def known_city(evidence: Column) -> Column:
+    """The city of the first curated venue that the evidence names, or null."""
+    name = known_venue(evidence)
+    return F.coalesce(*[F.when(name == n, F.lit(city)) for n, _, city in C.KNOWN_VENUES])
+
+
+def resolve_scope(title: Column, card_title: Column, city: Column, *venues: Column) -> Column:
+    """struct(in_scope, city, venue) of a listing row; ``venues`` are its venue's names, the best first.
+
+    The row's own city decides first, then a curated venue, then, if it has no city, a place in its title. A
+    city of the district is kept; otherwise the curated venue's, else the first place named by venue or titles,
+    else the row's own.
+    """
+    evidence = F.coalesce(*[T.usable_venue(v) for v in venues], T.title_venue(card_title))
+    own = F.nullif(F.trim(F.coalesce(city, F.lit(""))), F.lit(""))
+    known = F.coalesce(known_city(evidence), known_city(card_title))
+    named = F.coalesce(title_place(card_title), title_place(title))
+    scoped = in_scope(own, evidence) | known.isNotNull() | (own.isNull() & named.isNotNull())
+    resolved = F.coalesce(F.when(in_district(own), own), known, title_place(evidence), named, own)
+    return F.struct(scoped.alias("in_scope"), F.when(scoped, resolved).alias("city"), evidence.alias("venue"))
+
+
+def is_outside(place: Column) -> Column:
+    """A concelho outside the district that listings name."""
+    return T.norm_place(place).isin([_norm(c) for c in C.OUTSIDE_CONCELHOS])
+
+
+def tail_city(venue: Column, default: str) -> Column:
+    """struct(venue, city): the part after the last comma is the city if it is a known place, in or out of the district.
+
+    An unknown venue ("a definir", "a confirmar", nothing) is the default city itself.
+    """
+    raw = F.trim(F.coalesce(venue, F.lit("")))
+    unknown = (raw == "") | raw.rlike(r"(?i)^a\s*(definir|confirmar)$")
+    parts = F.filter(F.transform(F.split(raw, ","), lambda p: F.trim(p)), lambda p: p != "")
+    last = F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))
+    city = F.when(~unknown & (in_district(last) | is_outside(last)), last).otherwise(default)
+    return F.struct(F.when(unknown, default).otherwise(raw).alias("venue"), city.alias("city"))
+
+
 def category_rows() -> list[tuple[str, str, int]]:
     """(norm, label, rank) of every label that the taxonomy covers; a dropped one has no label."""
 
     rank = {c: i for i, c in enumerate(C.CATEGORIES)}
     rows = {_norm_title(c): [c] for c in C.CATEGORIES}
-    rows |= {_norm_title(a): to.split("|") for to, names in C.CATEGORY_ALIASES for a in names.split("|")}
+    rows |= {_norm_title(a): list(to) for a, to in C.CATEGORY_ALIASES.items()}
     out = [(n, c, rank[c]) for n, labels in rows.items() for c in labels]
     return out + [(_norm_title(d), None, 0) for d in C.DROPPED_CATEGORIES]
 
@@ -111,20 +151,52 @@ def unmapped_labels(labels: DataFrame) -> DataFrame:
     return labels.withColumn("norm", n).where("norm <> ''").join(dim, "norm", "left_anti").groupBy("label").agg(F.count("*").alias("count"))
 
 
-#: Ordered rules: the first that a title meets gives its category.
-TITLE_RULES = (
-    (r"\b(concerto|concert|musica|orquestra|banda)\b", "Música"), (r"\b(teatro|peca)\b", "Teatro"), (r"\b(danca|bailado)\b", "Dança"), (r"\b(cinema|filme)\b", "Cinema"),
-    (r"\b(exposicao|museu)\b", "Museus & Exposições"), (r"\b(feira|mercado)\b", "Mercados e Feiras"), (r"\b(festa|arraial|romaria)\b", "Festas"),
-)
+#: Rules of single listings, in their order: the first that a text meets gives its category.
+FAIR_RULES = (("(?i)^feira", "Mercados e Feiras"), ("(?i)mercado", "Mercados e Feiras"), ("(?i)festival", "Festivais"))
+TOWN_RULES = (
+    ("exposi|mostra|colec", "Exposições"),
+    (r"festival|folio|\bfol\b|semana", "Festivais"),
+    ("mercado|feira", "Mercados e Feiras"),
+    ("oficina|atelier|atelie|workshop|kamishi", "Oficinas"),
+    ("festa|romaria", "Tradição"),
+)
+KIND_RULES = (("festa", "Festas"), ("oxigenio", "Atividades ao Ar Livre"))
 
 
-def title_category(title: Column) -> Column:
-    t, out = T.fold(title), F.lit("Outros")
-    for pattern, label in reversed(TITLE_RULES):
-        out = F.when(t.rlike(pattern), label).otherwise(out)
+def by_rules(text: Column, rules: tuple[tuple[str, str], ...], default: str) -> Column:
+    out = F.lit(default)
+    for pattern, label in reversed(rules):
+        out = F.when(text.rlike(pattern), label).otherwise(out)
     return out
 
 
+def fair_category(title: Column) -> Column:
+    """Category of a listing of fairs and feasts."""
+    return by_rules(title, FAIR_RULES, "Tradição")
+
+
+def town_category(title: Column) -> Column:
+    """Category of a town's agenda, whatever the title's marks and case."""
+    return by_rules(T.norm_place(title), TOWN_RULES, "Outros")
+
+
+def kind_category(kind: Column) -> Column:
+    """Category of a newspaper's kinds of entry."""
+    return by_rules(F.lower(kind), KIND_RULES, "Agenda")
+
+
+def genre_categories(genre: Column) -> Column:
+    """The label of a hub's genre; none for genres that mean none."""
+    table = F.create_map(*[F.lit(x) for pair in C.GENRE_CATEGORIES.items() for x in pair])
+    label = table[F.lower(F.trim(genre))]
+    return F.when(label.isNotNull(), F.array(label)).otherwise(F.array().cast("array<string>"))
+
+
+def drop_pseudo(categories: Column) -> Column:
+    """Categories without those that name a channel."""
+    return F.filter(categories, lambda c: ~c.isin(*C.PSEUDO_CATEGORIES))
+
+
 def fingerprint(title: Column, venue: Column, start: Column) -> Column:
     return F.sha1(F.concat_ws("|", T.norm_title(title), T.slugify(T.norm_venue(F.coalesce(venue, F.lit("")))), lisbon_minute(start)))
 

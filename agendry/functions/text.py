@@ -178,3 +178,49 @@ def title_venue(c: Column) -> Column:
 
 def haystack(*parts: Column) -> Column:
     return norm_title_ascii(F.concat_ws(" ", *parts))
+
+
+def _known(c: Column, junk) -> Column:
+    """The text, or null if it is empty or one of the junk values in any case and with any marks."""
+    return F.when((c != "") & ~F.trim(fold(c)).isin(*junk), c)
+
+
+def prose_venue(text: Column) -> Column:
+    """The venue that prose names after a pin, up to a stop phrase, else after "Local" and a sign; else the default."""
+    stops = "|".join([*C.VENUE_STOPS, r"das \d+"])
+    pinned = F.regexp_extract(text, r"[📌📍]\s*([^📌📍\n]+)", 1)
+    named = F.trim(F.element_at(F.split(F.trim(pinned), rf"(?iu)\s+(?={stops})", 2), 1))
+    clean = F.trim(F.regexp_replace(F.regexp_replace(named, r"[\s.…]*$", ""), r"^[\s.…]*", ""))
+    local = F.trim(F.regexp_extract(text, r"(?i)Local\s*[:\-—]\s*([^.,\n]+)", 1))
+    return F.coalesce(_known(clean, C.JUNK_VENUES), _known(local, C.JUNK_VENUES), F.lit(C.DEFAULT_VENUE))
+
+
+def pick_venue(city: Column, *candidates: Column) -> Column:
+    """The first candidate that is neither empty nor a placeholder, else the city."""
+    flat = [F.trim(F.regexp_replace(c, r"\s+", " ")) for c in candidates]
+    usable = [F.when((c != "") & ~F.lower(c).isin(*C.VENUE_PLACEHOLDERS) & ~c.rlike("^-+$"), c) for c in flat]
+    return F.coalesce(*usable, city)
+
+
+def usable_venue(c: Column) -> Column:
+    """A venue's name, or null if it is empty or a country."""
+    return F.when((F.trim(c) != "") & ~norm_place(F.trim(c)).isin(*C.COUNTRY_PLACEHOLDERS), F.trim(c))
+
+
+def is_feed_venue(slug: Column, venue: Column) -> Column:
+    """The venue repeats the words of its feed's slug, or calls itself an agenda."""
+    feed = venue_tokens(F.regexp_replace(slug, "[-/]", " "), F.lit(""))
+    repeated = (F.size(feed) > 0) & (F.size(F.array_except(feed, venue_tokens(venue, F.lit("")))) == 0)
+    return repeated | venue.rlike("(?i)agenda")
+
+
+def source_id(prefix: str, url: Column, marker: str) -> Column:
+    """The prefix and the decoded tail of a url after a marker, up to the next slash, query or fragment."""
+    tail = F.try_url_decode(F.regexp_extract(url, marker + "(.*)$", 1))
+    return F.concat(F.lit(prefix + "-"), F.regexp_replace(F.coalesce(tail, F.lit("")), r"[/?#][\s\S]*$", ""))
+
+
+def is_near_venue(slug: Column) -> Column:
+    """A venue's slug holds one of the area's keywords."""
+    bare = F.regexp_replace(slug, "^/+|/+$", "")
+    return bare.rlike("|".join(C.VENUE_KEYWORDS))

@@ -113,3 +113,44 @@ def split_saved(saved: DataFrame, events: DataFrame, now: int) -> DataFrame:
     key = F.when(t >= now, t).otherwise(-t)
     per_user = Window.partitionBy("user_id", "bucket").orderBy(F.col("_key").asc_nulls_last(), "slug")
     return met.withColumn("bucket", bucket).withColumn("_key", key).withColumn("rank", F.row_number().over(per_user)).select("user_id", "slug", "bucket", "rank")
+
+
+def list_events(events: DataFrame, venues: DataFrame, options: dict | None = None) -> DataFrame:
+    """Events (with a slug of their venue) that an options dict selects: undated, venue, from, to, city, category.
+
+    Empty and absent options filter nothing. A category is looked for in the JSON text of the list, ASCII letters
+    in any case; % and _ in it are wildcards, as in LIKE.
+    """
+    o = {k: v for k, v in (options or {}).items() if v not in (None, "")}
+    rows = with_venues(events, venues).withColumn("venue_slug", T.slugify(F.col("venue_name")))
+    rows = window(rows, o.get("from"), o.get("to"), bool(o.get("undated")))
+    if "venue" in o:
+        rows = rows.where(F.col("venue_slug") == o["venue"])
+    if "city" in o:
+        rows = rows.where(F.col("venue_city") == o["city"])
+    if "category" in o:
+        low = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+        rows = rows.where(low(F.to_json("categories")).like(f'%"{o["category"].translate({i: i + 32 for i in range(65, 91)})}"%'))
+    return rows
+
+
+def repaired(options: dict) -> dict:
+    """The options without their ``from`` where it lies after ``to``."""
+    first, last = options.get("from"), options.get("to")
+    backwards = first not in (None, "") and last not in (None, "") and first > last
+    return {k: v for k, v in options.items() if not (backwards and k == "from")}
+
+
+def tally_concelhos(rows: DataFrame, city: str) -> DataFrame:
+    """(name, count, mappable, ord): rows of each concelho by count, then name; rows without a place come last.
+
+    A parish counts for its concelho; a place that is not of the district keeps its own name and cannot be mapped.
+    """
+    from agendry.functions import places as P
+
+    folded = P.with_municipality(rows, city, "_municipality")
+    name = F.nullif(F.coalesce("_municipality", F.col(city), F.lit("")), F.lit(""))
+    counted = folded.groupBy(name.alias("name")).agg(F.count("*").alias("count"))
+    named = counted.select(F.coalesce("name", F.lit("Sem concelho")).alias("name"), "count", F.coalesce(F.col("name").isin(*C.MUNICIPALITIES), F.lit(False)).alias("mappable"), F.col("name").isNull().alias("_last"))
+    ord_ = F.row_number().over(Window.orderBy("_last", F.desc("count"), F.collate("name", "pt"))).alias("ord")
+    return named.select("name", "count", "mappable", ord_)  # one row for each place name

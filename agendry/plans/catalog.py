@@ -113,5 +113,11 @@ def pick_candidate(attempts: DataFrame) -> DataFrame:
     return best.select("id", F.coalesce("a.attempt", "r.attempt").alias("attempt"), F.coalesce("a.hit", "r.hit").alias("hit"), F.col("a").isNotNull().alias("accepted"), F.when(F.col("a").isNull(), F.col("r.note")).alias("note"))
 
 
+def recategorise(events: DataFrame) -> DataFrame:
+    """(id, categories, changed) of events (id, categories) after rewriting their categories to the taxonomy."""
+    done = P.canonical_categories(events, "id", "categories").withColumnRenamed("categories", "_new")
+    return events.select("id", "categories").join(done, "id").select("id", F.col("_new").alias("categories"), (~F.col("_new").eqNullSafe(F.col("categories"))).alias("changed"))
+
+
 def missing_columns(local: DataFrame, remote: DataFrame) -> list[str]:
     return sorted(set(local.columns) - set(remote.columns))
