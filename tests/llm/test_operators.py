@@ -394,7 +394,7 @@ def test_pruned_walk_finds_the_best(monkeypatch, block, first, common, floor):
     terms = [np.unique(rng.integers(-50, 50, rng.integers(0, 30)) ** 3) for _ in range(200)]
     counts = [rng.integers(1, 5, len(t)).astype("<u4") for t in terms]
     lengths = np.array([c.sum() for c in counts], np.int64)
-    rows = topk_search._stored(5, list(range(1000, 1200)), lengths.tolist(), terms, counts)
+    rows = topk_search._stored(5, list(range(1000, 1200)), lengths.tolist(), terms[:], counts[:])
     (shard,) = topk_search._shards(rows, lengths.mean())
     for _ in range(40):
         q = np.unique(rng.integers(-60, 60, 12) ** 3)
