@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from agendry import registry
-from agendry.bound import agenda, catalogue, entities, extraction, ingest, rules, streams, texts  # noqa: F401  importing lists their queries
+from agendry.bound import agenda, catalogue, entities, extraction, ingest, packs, rules, streams, texts  # noqa: F401  importing lists their queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from agendry.functions import text as T
+from agendry.functions import dates as D, text as T
 from agendry.runtime import share_code
 
 RAW_EVENT = (
@@ -33,22 +33,65 @@ def sitemap_rows(body: Column) -> Column:
     return F.transform(blocks, lambda b: F.struct(clean(b, "loc").alias("url"), clean(b, "lastmod").alias("lastmod")))
 
 
+def sitemap_index(body: Column, pattern: str) -> Column:
+    """Distinct addresses of a sitemap index that match a pattern, in their order."""
+    found = F.transform(all_groups(body, r"<loc>\s*([^<]*?)\s*</loc>"), lambda u: F.trim(u))
+    return F.array_distinct(F.filter(found, lambda u: u.rlike(pattern)))
+
+
+def repair_pairs(c: Column) -> Column:
+    """Character references to the two halves of a surrogate pair become the character they mean together."""
+    pair = r"&#(5[56]\d{3});\s*&#(5[67]\d{3});"
+    found = F.array_distinct(F.regexp_extract_all(c, F.lit(pair), F.lit(0)))
+    half = lambda whole, i: F.regexp_extract(whole, pair, i).cast("int")
+    code = lambda whole: (half(whole, 1) - 0xD800) * 0x400 + half(whole, 2) - 0xDC00 + 0x10000
+    whole = lambda w: (half(w, 1) < 0xDC00) & (half(w, 1) >= 0xD800) & half(w, 2).between(0xDC00, 0xDFFF)
+    one = lambda text, w: F.when(whole(w), F.replace(text, w, F.decode(F.unhex(F.lpad(F.hex(code(w)), 8, "0")), "UTF-32"))).otherwise(text)
+    return F.aggregate(found, c, one)
+
+
+def rfc_epoch(c: Column) -> Column:
+    """Epoch of a feed's date such as "Wed, 02 Sep 2026 10:00:00 +0100"; null for other texts."""
+    pattern = r"(\d{1,2}) ([A-Za-z]{3}) (\d{4}) (\d{2}):(\d{2})(?::(\d{2}))?\s*(GMT|UT|Z|[+-]\d{4})?"
+    d, name, y, h, mi, s, zone = (F.nullif(F.regexp_extract(c, pattern, i), F.lit("")) for i in range(1, 8))
+    months = F.array(*[F.lit(m) for m in "jan feb mar apr may jun jul aug sep oct nov dec".split()])
+    month = F.nullif(F.array_position(months, F.lower(name)), F.lit(0).cast("bigint"))
+    clock = F.concat(y, F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"), F.lpad(d, 2, "0"), F.lit(" "), h, F.lit(":"), mi, F.lit(":"), F.coalesce(s, F.lit("00")))
+    sign = F.when(F.coalesce(zone, F.lit("")).startswith("-"), -1).otherwise(1)
+    offset = F.when(F.coalesce(zone, F.lit("")).rlike("^[+-]"), sign * (F.substring(zone, 2, 2).cast("int") * 3600 + F.substring(zone, 4, 2).cast("int") * 60)).otherwise(0)
+    return F.timestamp_diff("SECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), clock.try_cast("timestamp_ntz")) - offset
+
+
 def rss_items(body: Column) -> Column:
-    """Array of (title, link, categories, description) of a feed; items without title or link go."""
+    """Array of (title, link, categories, description, published) of a feed; items without title or link go.
+
+    Texts are decoded twice, and halves of surrogate pairs are joined; ``published`` is an epoch.
+    """
     tag = lambda b, t: F.trim(F.regexp_replace(F.regexp_extract(b, rf"(?s)<{t}>(.*?)</{t}>", 1), r"<!\[CDATA\[|\]\]>", ""))
-    item = lambda b: F.struct(T.decode_entities(T.decode_entities(tag(b, "title"))).alias("title"), tag(b, "link").alias("link"), all_groups(b, r"(?s)<category>(.*?)</category>").alias("categories"), T.plain_text(tag(b, "description")).alias("description"))
+    decoded = lambda c: T.decode_entities(repair_pairs(T.decode_entities(repair_pairs(c))))
+    item = lambda b: F.struct(decoded(tag(b, "title")).alias("title"), tag(b, "link").alias("link"), all_groups(b, r"(?s)<category>(.*?)</category>").alias("categories"), T.plain_text(decoded(tag(b, "description"))).alias("description"), rfc_epoch(tag(b, "pubDate")).alias("published"))
     return F.filter(F.transform(all_groups(body, r"(?s)<item>(.*?)</item>"), item), lambda i: (i["title"] != "") & (i["link"] != ""))
 
 
+def terms(payload: Column) -> Column:
+    """Array of (id, name) of a taxonomy's JSON list; rows without id or name go, and junk gives none."""
+    rows = F.coalesce(F.from_json(payload, "array<struct<id:bigint,name:string>>"), F.array().cast("array<struct<id:bigint,name:string>>"))
+    named = F.transform(rows, lambda r: F.struct(r["id"].alias("id"), F.trim(T.decode_entities(r["name"])).alias("name")))
+    return F.filter(named, lambda r: (F.coalesce(r["id"], F.lit(0)) != 0) & (F.coalesce(r["name"], F.lit("")) != ""))
+
+
 def jsonld_nodes(html: Column) -> Column:
-    """Array of parsed JSON-LD blocks; malformed ones go."""
+    """Array of the nodes of all JSON-LD blocks, those of lists and of a @graph each; malformed blocks go."""
     blocks = all_groups(html, r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>")
-    return F.filter(F.transform(blocks, lambda b: F.try_parse_json(b)), lambda v: v.isNotNull())
+    parsed = F.filter(F.transform(blocks, lambda b: F.try_parse_json(b)), lambda v: v.isNotNull())
+    many = lambda v, path: F.try_variant_get(v, path, "array<variant>")
+    return F.flatten(F.transform(parsed, lambda v: F.coalesce(many(v, "$['@graph']"), many(v, "$"), F.array(v))))
 
 
 def first_event(nodes: Column) -> Column:
     """The first node of an event type, else the first with a start date."""
-    kind = F.filter(nodes, lambda v: F.coalesce(F.try_variant_get(v, "$['@type']", "string"), F.lit("")).rlike("Event$"))
+    kind_of = lambda v: F.coalesce(F.try_variant_get(v, "$['@type'][0]", "string"), F.try_variant_get(v, "$['@type']", "string"), F.lit(""))
+    kind = F.filter(nodes, lambda v: kind_of(v).rlike("Event$"))
     dated = F.filter(nodes, lambda v: F.try_variant_get(v, "$.startDate", "string").isNotNull())
     return F.coalesce(F.try_element_at(kind, F.lit(1)), F.try_element_at(dated, F.lit(1)))
 
@@ -65,11 +108,58 @@ def links(html: Column) -> Column:
 
 
 def link_chunks(html: Column, limit: int = 3000) -> Column:
-    """Array of (href, chunk): each link and the plain text up to the next one, cut after ``limit`` characters."""
+    """Array of (href, chunk, earliest, latest): each link, the plain text up to the next one, cut after ``limit`` characters, and the dates in it."""
     split = F.split(html, r'(?i)<a\s[^>]*href="', -1)
     parts = F.slice(split, F.lit(2), F.size(split))
-    one = lambda p: F.struct(F.substring_index(p, '"', 1).alias("href"), T.strip_tags(F.regexp_replace(F.substring(p, 1, limit), '^[^>]*>', "")).alias("chunk"))
-    return F.transform(parts, one)
+    text = lambda p: T.strip_tags(F.regexp_replace(F.substring(p, 1, limit), '^[^>]*>', ""))
+    dated = lambda p, d: F.struct(F.substring_index(p, '"', 1).alias("href"), text(p).alias("chunk"), d["earliest"].alias("earliest"), d["latest"].alias("latest"))
+    return F.transform(parts, lambda p: D.let(D.chip_dates(F.substring(p, 1, limit)), lambda d: dated(p, d)))
+
+
+def field(block: Column, pattern: str) -> Column:
+    """The plain text of a pattern's first group in a block of markup; null if it is not there or empty."""
+    return F.nullif(T.plain_text(F.regexp_extract(block, pattern, 1)), F.lit(""))
+
+
+def cards(html: Column, marker: str, fields: dict[str, str], need: tuple[str, ...], key: str | None = None) -> Column:
+    """Array of the cards of a listing: the page is split at a marker and fields are read from each part by pattern.
+
+    Cards that lack a needed field go; of cards with the same ``key`` the first stays.
+    """
+    parts = F.split(html, marker, -1)
+    rows = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda b: F.struct(*[field(b, p).alias(n) for n, p in fields.items()]))
+    whole = F.filter(rows, lambda r: F.coalesce(*[F.when(r[n].isNull(), F.lit(False)) for n in need], F.lit(True)))
+    if key is None:
+        return whole
+    seen = lambda every: F.filter(every, lambda r, i: F.array_position(F.transform(every, lambda x: x[key]), r[key]) == i + 1)
+    return F.element_at(F.transform(F.array(whole), seen), 1)
+
+
+def meta(html: Column, name: str) -> Column:
+    """The content of a meta element by name, else by property."""
+    get = lambda attr: F.nullif(F.trim(T.decode_entities(F.regexp_extract(html, rf'<meta[^>]+{attr}="{name}"[^>]+content="([^"]*)"', 1))), F.lit(""))
+    return F.coalesce(get("name"), get("property"))
+
+
+def calendar_var(html: Column, name: str) -> Column:
+    """A variable of an add-to-calendar block."""
+    return F.nullif(F.trim(T.decode_entities(F.regexp_extract(html, rf'class="atc_{name}"[^>]*>([^<]*)<', 1))), F.lit(""))
+
+
+def widget_part(html: Column, name: str) -> Column:
+    """The markup of a widget, up to the next one; empty if there is none."""
+    return F.regexp_extract(html, rf'(?s)class="{name} widget_field\s*"[^>]*>(.*?)(?=<div class="(?:[a-z_]+ widget_field|addtocalendar|google_map)|$)', 1)
+
+
+def widget_text(html: Column, name: str) -> Column:
+    """The text that a writer put into a widget."""
+    return F.nullif(T.strip_tags(T.decode_entities(F.regexp_extract(widget_part(html, name), r'(?s)class="writer_text"[^>]*>(.*?)(?:<div class="writer_text_clear"|$)', 1))), F.lit(""))
+
+
+def widget_spans(html: Column, name: str) -> Column:
+    """The values of a widget's spans."""
+    values = F.transform(all_groups(widget_part(html, name), r"<span[^>]*>([^<]+)</span>"), lambda v: F.trim(F.regexp_replace(T.decode_entities(v), r"\s+", " ")))
+    return F.filter(values, lambda v: v != "")
 
 
 def after_label(cells: Column, label: str) -> Column:
