@@ -54,3 +54,32 @@ def stream_upsert(spark, sf_dir):
     k = F.col("event_id")
     rows = events(spark, sf_dir).where(k % 4 != 0).select(tables.source_at(k).alias("source"), F.concat(F.lit("i"), F.floor(k / 3).cast("string")).alias("slug"), k.alias("id"))
     return J.drain(rows, "append", J.upsert_first(["source", "slug"], "id"))
+
+
+@query(f"SELECT CASE WHEN epoch(ts) < {C.NOW} THEN 'late' ELSE 'kept' END AS side, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_late(spark, sf_dir):
+    """Rows whose event is over go to a side table."""
+    over = F.col("at") < F.timestamp_seconds(F.lit(C.NOW))
+    kept, late = J.split_late(events(spark, sf_dir).select("event_type", "at"), over)
+    count = lambda df, side: df.groupBy("event_type").agg(F.count("*").alias("n")).select(F.lit(side).alias("side"), "event_type", "n")
+    return count(kept, "kept").union(count(late, "late"))
+
+
+@query("""SELECT event_type || '|' || user_id AS key, count(*) AS rows, min(CAST(floor(epoch(ts)) AS BIGINT)) AS first, max(CAST(floor(epoch(ts)) AS BIGINT)) AS last FROM events
+  GROUP BY 1 HAVING max(CAST(floor(epoch(ts)) AS BIGINT)) < (SELECT max(epoch(ts)) FROM events) - 2 * 3 * 86400""")
+def stream_live_cache(spark, sf_dir):
+    """Keys that have not been seen for three days and their number of rows; those alive at the end stay in the state."""
+    rows = events(spark, sf_dir).select(F.concat_ws("|", "event_type", F.col("user_id").cast("string")).alias("key"), "at")
+    return J.drain(J.live_cache(rows, "key", "at", "3 days"))
+
+
+@query()
+def stream_ingest(spark, sf_dir):
+    """Raw rows that arrive as a stream go through whole maintenance cycles; gives the events at the end."""
+    from agendry.bound.ingest import PAST, batch, catalogue
+
+    every = batch(spark, sf_dir).drop("venue_id")
+    ids = J.source(spark, f"{sf_dir}/events.parquet").select(F.col("event_id").alias("ordinal"))
+    to_batch = lambda rows: every.join(rows, "ordinal", "left_semi")
+    done = J.ingest(ids, to_batch, catalogue(spark, sf_dir), PAST)
+    return done["events"].select("id", "title", "start_at", "end_at", "venue_id", "fingerprint")

@@ -9,11 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="agendry-"))
-    return named or spark.sparkContext.getCheckpointDir()
+    """The shared folder named by ``spark.checkpoint.dir``, or that the session has set.
+
+    Without one, a session in one process gets a temporary folder; on a cluster, whose executors would not see
+    it, this is an error.
+    """
+    named, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="agendry-"))
+    return named or context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:

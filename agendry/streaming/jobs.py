@@ -1,6 +1,7 @@
 """Streaming forms of the catalogue's incremental work. Each job reads what is available and stops.
 
-Results and checkpoints go to the shared folder, so a lost executor or a restart resumes from there.
+Results and state go to the shared folder. A job with a name finds both again: a second run reads only what came
+since, and a run that was cut off goes on where it stopped.
 """
 
 from __future__ import annotations
@@ -21,22 +22,48 @@ def source(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(glob)
 
 
-def drain(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, str], None] | None = None) -> DataFrame:
+def home_of(spark: SparkSession, name: str | None) -> str:
+    """The folder of a job's state and result; jobs without a name get one of their own."""
+    return f"{checkpoint_dir(spark)}/stream-{name or uuid.uuid4().hex}"
+
+
+def drain(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int, str], None] | None = None, name: str | None = None) -> DataFrame:
     """Run a stream over all that is available and read its result.
 
-    ``each`` gets every micro-batch and the folder of the result; by default batches are appended, and
-    in complete mode the newest replaces the result.
+    ``each`` gets every micro-batch, its number and the folder of the result; by default batches are appended, and
+    in complete mode the newest replaces the result. ``name`` names the job whose state is to be resumed.
     """
     spark = stream.sparkSession
-    home = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    home = home_of(spark, name)
     write = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{home}/state").trigger(availableNow=True)
     if each is None and mode == "append":
-        done = write.format("parquet").option("path", f"{home}/out").start()
-    else:
-        keep = each or (lambda batch, out: batch.write.mode("overwrite").parquet(out))
-        done = write.foreachBatch(lambda batch, _: keep(batch, f"{home}/out")).start()
-    done.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{home}/out")
+        write.format("parquet").option("path", f"{home}/out").start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{home}/out")
+    keep = each or (lambda batch, number, out: write_version(batch, number, out))
+    write.foreachBatch(lambda batch, number: keep(batch, number, f"{home}/out")).start().awaitTermination()
+    return read_version(spark, f"{home}/out", stream.schema)
+
+
+def versions(spark: SparkSession, out: str) -> list[int]:
+    """Numbers of the whole versions of a table, in rising order; a version that was not finished has no mark."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in fs.listStatus(path)] if fs.exists(path) else []
+    whole = [p.getName()[2:] for p in found if p.getName().startswith("v=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(v) for v in whole)
+
+
+def read_version(spark: SparkSession, out: str, schema=None, before: int | None = None) -> DataFrame | None:
+    """The newest whole version (of those before a number); an empty table of the schema, or None, if there is none."""
+    known = [v for v in versions(spark, out) if before is None or v < before]
+    if known:
+        return spark.read.parquet(f"{out}/v={known[-1]}")
+    return spark.createDataFrame([], schema) if schema is not None else None
+
+
+def write_version(rows: DataFrame, number: int, out: str) -> None:
+    """Write a version whole; no earlier one is touched, so a crash loses nothing and a repeated batch writes the same."""
+    rows.write.mode("overwrite").parquet(f"{out}/v={number}")
 
 
 def first_seen(stream: DataFrame, keys: list[str], at: str, delay: str) -> DataFrame:
@@ -72,17 +99,85 @@ def anchor_sessions(stream: DataFrame, key: str, at: str, window: int = C.SESSIO
     return share_code(stream).groupBy(key).applyInPandasWithState(step, "key string, anchor long", "last long", "append", "NoTimeout")
 
 
-def upsert_first(keys: list[str], order: str) -> Callable[[DataFrame, str], None]:
-    """A batch writer that keeps the least ``order`` of each key over all batches, in versions of the table."""
+def split_late(stream: DataFrame, over: Column, name: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows in time, late rows): rows whose event is over go to a side table instead of the main one."""
+    spark = stream.sparkSession
+    out = f"{home_of(spark, name)}/out"
+
+    def keep(batch: DataFrame, number: int, out: str) -> None:
+        marked = batch.withColumn("_late", F.coalesce(over, F.lit(False)))
+        marked.write.mode("overwrite").partitionBy("_late").parquet(f"{out}/v={number}")
+
+    write = stream.writeStream.option("checkpointLocation", f"{out}/state").trigger(availableNow=True)
+    write.foreachBatch(lambda batch, number: keep(batch, number, out)).start().awaitTermination()
+    known = [f"{out}/v={v}" for v in versions(spark, out)]
+    both = spark.read.schema(stream.schema.add("_late", "boolean"))
+    every = None
+    for path in known:
+        one = both.parquet(path)
+        every = one if every is None else every.unionByName(one)
+    every = every if every is not None else spark.createDataFrame([], stream.schema.add("_late", "boolean"))
+    return every.where("not _late").drop("_late"), every.where("_late").drop("_late")
+
+
+def live_cache(stream: DataFrame, key: str, at: str, ttl: str) -> DataFrame:
+    """(key, rows, first, last) each time that a key expires: keyed state that goes ``ttl`` after the key's last event time.
+
+    ``at`` is an event time under a watermark of ``ttl``; keys that are still alive at the end of the data stay in the state.
+    """
+    seconds = int(pd.Timedelta(ttl).total_seconds())
 
-    def keep(batch: DataFrame, out: str) -> None:
-        spark = batch.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(out)
-        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        known = spark.read.parquet(out) if fs.exists(path) else None
+    def step(keys: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            n, first, last = state.get
+            state.remove()
+            yield pd.DataFrame({"key": [keys[0]], "rows": [n], "first": [first], "last": [last]})
+            return
+        n, first, last = state.get if state.exists else (0, None, None)
+        for b in batches:
+            times = (b[at].astype("int64") // 10**9 if b[at].dtype == "datetime64[ns]" else b[at].map(lambda t: int(t.timestamp()))).tolist()
+            n += len(times)
+            first, last = min([*times, *([] if first is None else [first])]), max([*times, *([] if last is None else [last])])
+        state.update((n, first, last))
+        state.setTimeoutTimestamp(max(last * 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
+
+    watched = share_code(stream).withWatermark(at, ttl)
+    return watched.groupBy(key).applyInPandasWithState(step, "key string, rows long, first long, last long", "rows long, first long, last long", "append", "EventTimeTimeout")
+
+
+def upsert_first(keys: list[str], order: str) -> Callable[[DataFrame, int, str], None]:
+    """A batch writer that keeps the least ``order`` of each key over all batches, one version of the table for each."""
+
+    def keep(batch: DataFrame, number: int, out: str) -> None:
+        known = read_version(batch.sparkSession, out, before=number)
         both = batch if known is None else known.unionByName(batch)
-        rows = both.groupBy(*keys).agg(F.min(order).alias(order))
-        rows.write.mode("overwrite").parquet(f"{out}.next")
-        spark.read.parquet(f"{out}.next").write.mode("overwrite").parquet(out)
+        write_version(both.groupBy(*keys).agg(F.min(order).alias(order)), number, out)
 
     return keep
+
+
+def ingest(batches: DataFrame, to_batch: Callable[[DataFrame], DataFrame], start: dict[str, DataFrame], now: int, name: str | None = None) -> dict[str, DataFrame]:
+    """The catalogue after every micro-batch went through a whole maintenance cycle; run rows of all batches are kept.
+
+    ``to_batch`` makes raw rows of a micro-batch. Each batch reads the catalogue that the batch before it left and writes
+    its own version, so a batch that runs twice gives the same.
+    """
+    from agendry.plans.ingest import cycle
+
+    spark = batches.sparkSession
+    home = home_of(spark, name)
+    tables = ("venues", "events", "sources")
+
+    def step(batch: DataFrame, number: int) -> None:
+        known = {t: read_version(spark, f"{home}/{t}", before=number) for t in tables}
+        state = cycle(to_batch(batch), {t: start[t] if known[t] is None else known[t] for t in tables}, now, "stream")
+        for t in (*tables, "run"):
+            write_version(state[t], number, f"{home}/{t}")
+
+    write = batches.writeStream.option("checkpointLocation", f"{home}/state").trigger(availableNow=True)
+    write.foreachBatch(step).start().awaitTermination()
+    runs = None
+    for v in versions(spark, f"{home}/run"):
+        one = spark.read.parquet(f"{home}/run/v={v}")
+        runs = one if runs is None else runs.unionByName(one)
+    return {t: read_version(spark, f"{home}/{t}") or start[t] for t in tables} | ({"run": runs} if runs is not None else {})
