@@ -6,6 +6,9 @@ twice the shingles of a template's size class, so each occurrence lies whole in
 bands of a window meet the bands of the templates in a broadcast join; what meets is verified by exact
 containment of the template's shingles.
 
+Sister licenses share most of their words: a GPL notice holds 0.87 of the AGPL's. So of matches of different
+licenses that cover one another by half or more, the one of the largest containment stays, then the longer.
+
 A window that holds 0.8 of a template of its class has a Jaccard similarity of at least 0.19 with it
 (0.8 t common of at most 2 c + 0.2 t shingles, where c / 2 < t <= c). With 64 bands of one MinHash
 each, such a window is missed with a chance below (1 - 0.19) ** 64, about one in 700,000.
@@ -43,6 +46,12 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list "
         "of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     ),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code "
+        "must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list "
+        "of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of "
+        "its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ),
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this "
         "permission notice appear in all copies.",
@@ -52,6 +61,18 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either "
         "version 3 of the License, or (at your option) any later version.",
     ),
+    "GPL-2.0": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either "
+        "version 2 of the License, or (at your option) any later version.",
+    ),
+    "LGPL-2.1": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; "
+        "either version 2.1 of the License, or (at your option) any later version.",
+    ),
+    "LGPL-3.0": (
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, "
+        "either version 3 of the License, or (at your option) any later version.",
+    ),
     "AGPL-3.0": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, "
         "either version 3 of the License, or (at your option) any later version.",
@@ -60,6 +81,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at "
         "http://mozilla.org/MPL/2.0/.",
     ),
+    "EPL-2.0": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/.",),
+    "CC0-1.0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
@@ -102,9 +125,10 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, c
 
     ``containment`` is the largest share of a template's shingles in one window, ``n_windows`` the
     windows that reach the limit with some template of the license, ``first_word`` the number, from 1,
-    of the first word of the first of them. Rows without a license (null and empty texts among them)
-    give none; repeated rows and null ids give their own. Matches do not depend on case, spacing or
-    punctuation. The templates are parameters of known size, not data: their table is always small.
+    of the first word of the first of them. A match that a better one of another license covers is not
+    counted (see above). Rows without a license (null and empty texts among them) give none; repeated
+    rows and null ids give their own. Matches do not depend on case, spacing or punctuation. The
+    templates are parameters of known size, not data: their table is always small.
     """
     listed = [(name, n, [chained_hash(s) for s in template_shingles(t)]) for name, texts in (templates or TEMPLATES).items() for n, t in enumerate(texts)]
     spark = docs.sparkSession
@@ -131,7 +155,17 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, c
     banded = each.select("row_id", "doc_id", "w.cls", "w.start", "w.held", F.explode(_min_hashes(F.col("w.held"))).alias("b"))
     met = banded.join(table, ["cls"], "inner").where("b.band = band and b.value = value")
     share = F.size(F.array_intersect("held", "shingles")) / F.size("shingles")
-    verified = met.select("row_id", "doc_id", "license", "start", share.alias("containment")).where(F.col("containment") >= containment).distinct()
-    return verified.groupBy("row_id", "doc_id", "license").agg(
-        F.max("containment").alias("containment"), F.count_distinct("start").alias("n_windows"), (F.min("start") + 1).cast("long").alias("first_word")
+    # Where in its window a match begins and ends, counted in shingles of the text.
+    places = F.filter(F.transform("held", lambda h, i: F.when(F.array_contains("shingles", h), i)), lambda i: i.isNotNull())
+    at = lambda end: F.col("start") + F.element_at(places, end)
+    verified = met.withColumn("containment", share).where(F.col("containment") >= containment).select(
+        "row_id", "doc_id", "license", "start", "containment", F.size("shingles").alias("size"), at(1).alias("lo"), at(-1).alias("hi")
+    ).distinct()
+    every = verified.groupBy("row_id", "doc_id").agg(F.collect_list(F.struct("license", "start", "containment", "size", "lo", "hi")).alias("all"))
+    common = lambda m, o: F.least(m["hi"], o["hi"]) - F.greatest(m["lo"], o["lo"]) + 1
+    covers = lambda m, o: 2 * common(m, o) >= F.least(m["hi"] - m["lo"], o["hi"] - o["lo"]) + 1
+    better = lambda m, o: (o["license"] != m["license"]) & (F.struct(o["containment"], o["size"], o["license"]) > F.struct(m["containment"], m["size"], m["license"])) & covers(m, o)
+    best = F.filter("all", lambda m: ~F.exists("all", lambda o: better(m, o)))
+    return every.select("row_id", "doc_id", F.explode(best).alias("m")).groupBy("row_id", "doc_id", F.col("m.license").alias("license")).agg(
+        F.max("m.containment").alias("containment"), F.count_distinct("m.start").alias("n_windows"), (F.min("m.start") + 1).cast("long").alias("first_word")
     ).drop("row_id")

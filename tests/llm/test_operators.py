@@ -193,17 +193,24 @@ def test_pages_equal_a_plain_reading(spark):
 
 
 def brute_licenses(text):
+    """Best containment of each license over all windows, without matches that a better one of another license covers."""
     words = re.findall(decontam.WORDS, (text or "").translate({i: i + 32 for i in range(65, 91)}))
     grams = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
-    out = {}
+    matches = []
     for name, texts in license_scan.TEMPLATES.items():
         for t in texts:
             own = set(license_scan.template_shingles(t))
             size = license_scan.size_class(len(own))
             for k in range(0, max(1, len(grams)), size):
-                share = len(own & set(grams[k : k + 2 * size])) / len(own)
-                if share >= license_scan.CONTAINMENT:
-                    out[name] = max(out.get(name, 0), share)
+                held = list(dict.fromkeys(grams[k : k + 2 * size]))
+                places = [k + i for i, g in enumerate(held) if g in own]
+                if len(places) / len(own) >= license_scan.CONTAINMENT:
+                    matches.append((len(places) / len(own), len(own), name, places[0], places[-1]))
+    out = {}
+    for m in matches:
+        rivals = [o for o in matches if o[2] != m[2] and o[:3] > m[:3] and 2 * (min(m[4], o[4]) - max(m[3], o[3]) + 1) >= min(m[4] - m[3], o[4] - o[3]) + 1]
+        if not rivals:
+            out[m[2]] = max(out.get(m[2], 0), m[0])
     return out
 
 
@@ -214,10 +221,14 @@ def test_licenses(spark, make_docs):
     edited[40] = "EDITED"
     texts = [prose(rng, 30) + ". " + rng.choice(license_scan.TEMPLATES[n]) + "\n" + prose(rng, 20) for n in license_scan.TEMPLATES for _ in range(3)]
     texts += [" ".join(edited), mit[: len(mit) // 2], "all rights reserved", None, "", prose(rng, 400), "LICENSED   under the apache license -- version 2 0", mit + "\n\n" + mit]
+    texts += [license_scan.TEMPLATES["MIT"][0] + " " + license_scan.TEMPLATES["CC-BY-4.0"][1] + " " + license_scan.TEMPLATES["GPL-2.0"][0]]
     got = {}
     for r in license_scan.scan(make_docs(texts)).collect():
         got.setdefault(r.doc_id, {})[r.license] = r.containment
-    assert got == {i: f for i, t in enumerate(texts) if (f := brute_licenses(t))} and len(got) > 35
+    assert got == {i: f for i, t in enumerate(texts) if (f := brute_licenses(t))} and len(got) > 45
+    names = [n for n in license_scan.TEMPLATES for _ in range(3)]
+    assert [list(got[i]) for i in range(len(names))] == [[n] for n in names]  # each notice is its own license alone
+    assert set(got[len(texts) - 1]) == {"MIT", "CC-BY-4.0", "GPL-2.0"}
 
 
 # Toxicity
