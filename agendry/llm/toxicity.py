@@ -30,6 +30,8 @@ DIMENSIONS, EPOCHS, RATE, DECAY, SHARPNESS = 16, 60, 0.03, 0.03, 4.0
 CHUNK = 1 << 18
 #: Buckets of the table that rules rare features out, and of each table of learned ones.
 SUMS, SLOTS = 1 << 22, 1 << 18
+#: Upper bits of a hash that say in which range it is sorted.
+RANGES = 4
 BASE, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -143,10 +145,10 @@ def frequent_features(words: list[str], counts: np.ndarray) -> tuple[np.ndarray,
 
     A table of sums first rules most rare features out, so few hashes are held at once.
     """
-    sums = np.zeros(SUMS, np.int64)
+    sums = np.zeros(SUMS, np.int32)
     for start, part in _portions(words):
         for _, h, word in bags(part):
-            np.add.at(sums, h & np.uint64(SUMS - 1), counts[start + word])
+            np.add.at(sums, h & np.uint64(SUMS - 1), counts[start + word].astype(np.int32))
     hashes, owners = [], []
     for start, part in _portions(words):
         for _, h, word in bags(part):
@@ -156,14 +158,23 @@ def frequent_features(words: list[str], counts: np.ndarray) -> tuple[np.ndarray,
     del sums
     h, word = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((hashes, np.uint64), (owners, np.int32)))
     del hashes, owners
-    order = np.argsort(h, kind="stable")
-    h, word = h[order], word[order]
-    del order
-    first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, np.int64)
-    size = np.diff(np.append(first, len(h)))
-    often = np.add.reduceat(counts[word], first) >= LEAST if len(h) else np.empty(0, bool)
-    kept = np.repeat(often, size)
-    return h[first[often]], np.repeat(np.arange(int(often.sum()), dtype=np.int32), size[often]), word[kept]
+    # Sorted a range of hashes at a time, so that little is held besides the hashes.
+    features, numbers, words_of = [np.empty(0, np.uint64)], [np.empty(0, np.int32)], [np.empty(0, np.int32)]
+    n = 0
+    for part in range(1 << RANGES):
+        own = np.flatnonzero(h >> np.uint64(64 - RANGES) == part)
+        own = own[np.argsort(h[own], kind="stable")]
+        if not len(own):
+            continue
+        mine, holder = h[own], word[own]
+        first = np.flatnonzero(np.append(True, mine[1:] != mine[:-1]))
+        size = np.diff(np.append(first, len(mine)))
+        often = np.add.reduceat(counts[holder], first) >= LEAST
+        features.append(mine[first[often]])
+        numbers.append(np.repeat(np.arange(n, n + int(often.sum()), dtype=np.int32), size[often]))
+        words_of.append(holder[np.repeat(often, size)])
+        n += int(often.sum())
+    return np.concatenate(features), np.concatenate(numbers), np.concatenate(words_of)
 
 
 def train(texts: list[list[str]], labels: np.ndarray, seed: int = 7) -> Scorer:
