@@ -7,6 +7,7 @@ from agendry.bound.texts import PART_VENUES, part_venues
 from agendry.functions import places as P
 from agendry.operators import merge as M, pairs as R
 from agendry.registry import query
+from agendry.runtime import cut
 
 RECURSIVE = "WITH RECURSIVE "
 
@@ -109,7 +110,7 @@ def event_pairs_item(spark, sf_dir):
 
 @query(sql("SELECT id, component FROM comp", IDS, FACTS, COMPONENTS))
 def event_components(spark, sf_dir):
-    return R.event_components(facts(spark, sf_dir))
+    return R.event_components(cut(facts(spark, sf_dir)))
 
 
 ROWS = f"""tr AS (SELECT event_id, min(coalesce(list_position({O.arr(C.TRUST)}, source) - 1, {len(C.TRUST)})) AS trust FROM cat_sources GROUP BY 1),
@@ -129,9 +130,7 @@ pl AS (SELECT r.id, r.component, kind, CASE kind WHEN 'span' THEN span WHEN 'ite
 
 
 def planned(spark, sf_dir):
-    from agendry.runtime import cut
-
-    f = facts(spark, sf_dir)
+    f = cut(facts(spark, sf_dir))  # three kinds of pairs and the plan read them
     trust = tables.event_sources(tables.events(spark, sf_dir)).groupBy(F.col("event_id").alias("id")).agg(F.min(P.trust(F.col("source"))).alias("trust"))
     rows = f.join(R.event_components(f), "id").join(trust, "id").select("id", "component", "norm", "start_at", "end_at", "item_key", "trust")
     return M.plan(cut(rows))
@@ -175,14 +174,14 @@ def attribution_moves(spark, sf_dir):
 
 @query()
 def reconcile_twice(spark, sf_dir):
-    """(run, rows, absorbed): a second run over the survivors; wider ends can bring new overlaps, other rows stay."""
-    from agendry.runtime import cut
-
-    first = cut(planned(spark, sf_dir))
-    events = cut(M.survivors(id_events(spark, sf_dir), first)).withColumn("item_key", F.lit(None).cast("string"))
-    sources = cut(M.move_attributions(tables.event_sources(tables.events(spark, sf_dir)), first))
-    trust = sources.groupBy(F.col("event_id").alias("id")).agg(F.min(P.trust(F.col("source"))).alias("trust"))
-    f = R.event_facts(events)
-    again = M.plan(cut(f.join(R.event_components(f), "id").join(trust, "id").select("id", "component", "norm", "start_at", "end_at", "item_key", "trust")))
-    count = lambda df, n: df.agg(F.lit(n).alias("run"), F.count("*").alias("rows"), F.count_if(F.col("id") != F.col("keeper_id")).alias("absorbed"))
-    return count(first, 1).union(count(again, 2))
+    """(run, rows, absorbed): a reconciliation goes on until nothing merges, so a second run absorbs none."""
+    from agendry.plans.ingest import reconcile
+
+    rows = id_events(spark, sf_dir).withColumns({"venue_id": F.lit(None).cast("bigint"), "url": F.lit(None).cast("string"), "date_text": F.lit(None).cast("string")})
+    print_ = P.fingerprint(F.col("title"), F.col("venue"), F.col("start_at"))
+    columns = ("id", "title", "start_at", "end_at", "venue_id", "venue", "city", "url", "categories", "date_text")
+    events = cut(rows.select(*columns, print_.alias("fingerprint")))
+    sources = cut(tables.event_sources(tables.events(spark, sf_dir)))
+    once, moved, absorbed = reconcile(events, sources)
+    _, _, again = reconcile(once, moved)
+    return spark.createDataFrame([(1, events.count(), absorbed), (2, once.count(), again)], "run int, rows long, absorbed long")

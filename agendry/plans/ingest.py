@@ -169,7 +169,7 @@ def reconcile(events: DataFrame, sources: DataFrame, max_rounds: int = 10) -> tu
     for _ in range(max_rounds):
         venues = events.select("id", "venue_id", "url", "date_text")
         dated = events.where("date_text is null").join(item_keys(sources), "id", "left")
-        facts = cut(R.event_facts(dated))
+        facts = cut(R.event_facts(dated))  # three kinds of pairs and the plan read them
         trust = sources.groupBy(F.col("event_id").alias("id")).agg(F.min(P.trust(F.col("source"))).alias("trust"))
         found = R.event_components(facts)
         cases = acted_on(found.join(dated.select("id", "fingerprint"), "id")).where("acted").select("component")
