@@ -148,3 +148,56 @@ def list_filters(spark, sf_dir):
         one = A.list_events(ev, v, chosen).select(F.lit(name).alias("filter"), "id")
         out = one if out is None else out.union(one)
     return out
+
+
+SERVED = f"""sv AS (SELECT e.id, e.title, 's-' || e.id AS slug, e.start_at AS "startAt", e.end_at AS "endAt", e.venue_id AS "venueId", v.name AS "venueName", v.city AS "venueCity", {O.slugify('v.name')} AS "venueSlug", v.lat AS "venueLat", v.lng AS "venueLng", v.scope AS "venueScope",
+  CASE WHEN e.id % 3 = 0 THEN 'img' || e.id END AS "imageUrl", 'u' || e.id AS url, CASE WHEN e.id % 7 = 0 THEN '' ELSE array_to_string(e.categories, '|') END AS categories, e.date_text AS "dateText", 'about ' || e.id AS description, e.start_at - 60 AS "updatedAt"
+  FROM cat_events e LEFT JOIN cat_venues v ON v.id = e.venue_id)"""
+
+
+@query(O.sql("SELECT * FROM sv", SERVED))
+def public_details(spark, sf_dir):
+    """All served columns of events and those of their pages."""
+    k = F.col("id")
+    text = lambda s: F.concat(F.lit(s), k.cast("string"))
+    more = {"slug": text("s-"), "image_url": F.when(k % 3 == 0, text("img")), "url": text("u"), "description": text("about "), "updated_at": F.col("start_at") - 60, "categories": F.when(k % 7 != 0, F.col("categories"))}
+    rows = A.with_venues(tables.events(spark, sf_dir).withColumns(more), tables.venues(spark, sf_dir)).withColumn("venue_slug", T.slugify(F.col("venue_name")))
+    return A.public(rows, detail=True).withColumn("categories", F.array_join("categories", "|"))
+
+
+@query("SELECT o_custkey AS user_id, o_orderkey AS slug, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE) DESC, o_orderkey) AS INTEGER) AS rank FROM orders")
+def saved_newest(spark, sf_dir):
+    saved = tables.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("slug"), F.col("o_orderdate").cast("date").alias("created_at"))
+    return A.newest_saved(saved)
+
+
+@query(O.sql("SELECT venue_id AS slug, arg_max(title, (start_at, id)) AS title, arg_max(id, (start_at, id)) AS id FROM cat_events GROUP BY 1"))
+def last_cards(spark, sf_dir):
+    """The last card of each slug, in the order of pages."""
+    from agendry.plans.catalog import last_wins
+
+    cards = tables.events(spark, sf_dir).select(F.col("venue_id").alias("slug"), "title", "start_at", "id")
+    return last_wins(cards, ["slug"], ["start_at", "id"]).select("slug", "title", "id")
+
+
+@query(O.sql("SELECT 'venues' AS tbl, count(*) AS n FROM cat_venues UNION ALL SELECT 'events', count(*) FROM cat_events UNION ALL SELECT 'event_sources', count(*) FROM cat_sources"))
+def publish_tables(spark, sf_dir):
+    """Rows of each table of a mirror that was written anew, all tables together."""
+    import uuid
+
+    from agendry.plans.catalog import publish
+    from agendry.runtime import checkpoint_dir
+
+    ev = tables.events(spark, sf_dir)
+    return publish({"venues": tables.venues(spark, sf_dir), "events": ev, "event_sources": tables.event_sources(ev)}, f"{checkpoint_dir(spark)}/mirror-{uuid.uuid4().hex}")
+
+
+@query(O.sql("SELECT id, CASE WHEN id % 5 > 0 THEN 'd' || d.i END AS date, CASE WHEN id % 5 > 0 AND id % 4 > 0 THEN 't' || least(d.i, id % 4) END AS time, CASE WHEN id % 5 = 0 THEN 'no date' END AS error FROM cat_events, unnest(range(1, 1 + greatest(id % 5, 1))) AS d(i)"))
+def session_rows(spark, sf_dir):
+    """Sessions of a page, or one row with an error where the page names no date."""
+    from agendry.sources.extract import sessions_or_error
+
+    k = F.col("id")
+    numbered = lambda letter, n: F.when(n > 0, F.transform(F.sequence(F.lit(1).cast("bigint"), n), lambda i: F.concat(F.lit(letter), i.cast("string")))).otherwise(F.array().cast("array<string>"))
+    each = tables.events(spark, sf_dir).select("id", F.explode(sessions_or_error(numbered("d", k % 5), numbered("t", k % 4))).alias("s"))
+    return each.select("id", "s.date", "s.time", "s.error")

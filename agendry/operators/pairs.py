@@ -7,7 +7,7 @@ and hang on its least id, so pairs grow with the classes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from agendry import constants as C
 from agendry.functions import places as P, text as T
@@ -77,11 +77,10 @@ def day_edges(facts: DataFrame) -> DataFrame:
     within the session window; specific venues are joined by containment within the day.
     """
     classed = facts.groupBy("day_key", "venue", "city").agg(F.min("id").alias("rep"), F.first("tokens").alias("tokens"), F.first("ncity").alias("ncity"), F.first("vague").alias("vague"))
-    same = _by_class(facts)
+    same = _by_class(facts, classed)
     nowhere = F.col("venue").isNull()
     vague = classed.where(F.col("vague") & ~nowhere)
-    hub = F.min("rep").over(Window.partitionBy("day_key"))
-    among = vague.withColumn("b", hub).select(F.col("rep").alias("a"), "b")
+    among = vague.join(vague.groupBy("day_key").agg(F.min("rep").alias("b")), "day_key").select(F.col("rep").alias("a"), "b")
     by_city = vague.groupBy("day_key", "ncity").agg(F.min("rep").alias("b"))
     specific = classed.where(~F.col("vague") & ~nowhere)
     near = specific.join(by_city, ["day_key", "ncity"]).select(F.col("rep").alias("a"), "b")
@@ -97,10 +96,11 @@ def day_edges(facts: DataFrame) -> DataFrame:
     return _edges(same.union(among).union(near).union(timed).union(strict))
 
 
-def _by_class(facts: DataFrame) -> DataFrame:
-    """(a, b): each row and the least row of its day, venue and city."""
-    least = F.min("id").over(Window.partitionBy("day_key", "venue", "city"))
-    return facts.withColumn("b", least).select(F.col("id").alias("a"), "b")
+def _by_class(facts: DataFrame, classed: DataFrame) -> DataFrame:
+    """(a, b): each row and the least row of its day, venue and city; minima combine before the shuffle."""
+    c = classed.select(F.col("day_key").alias("_d"), F.col("venue").alias("_v"), F.col("city").alias("_c"), F.col("rep").alias("b"))
+    same = (F.col("day_key") == F.col("_d")) & F.col("venue").eqNullSafe(F.col("_v")) & F.col("city").eqNullSafe(F.col("_c"))
+    return facts.join(c, same).select(F.col("id").alias("a"), "b")
 
 
 def variant_edges(facts: DataFrame) -> DataFrame:

@@ -154,3 +154,24 @@ def tally_concelhos(rows: DataFrame, city: str) -> DataFrame:
     named = counted.select(F.coalesce("name", F.lit("Sem concelho")).alias("name"), "count", F.coalesce(F.col("name").isin(*C.MUNICIPALITIES), F.lit(False)).alias("mappable"), F.col("name").isNull().alias("_last"))
     ord_ = F.row_number().over(Window.orderBy("_last", F.desc("count"), F.collate("name", "pt"))).alias("ord")
     return named.select("name", "count", "mappable", ord_)  # one row for each place name
+
+
+#: Columns of the public list and of an event's page, by the names under which they are served.
+PUBLIC = {
+    "id": "id", "title": "title", "slug": "slug", "startAt": "start_at", "endAt": "end_at", "venueId": "venue_id", "venueName": "venue_name", "venueCity": "venue_city", "venueSlug": "venue_slug",
+    "venueLat": "venue_lat", "venueLng": "venue_lng", "venueScope": "venue_scope", "imageUrl": "image_url", "url": "url", "categories": "categories", "dateText": "date_text",
+}
+DETAIL = {"description": "description", "updatedAt": "updated_at"}
+
+
+def public(rows: DataFrame, detail: bool = False) -> DataFrame:
+    """The served columns of events with their venue's; missing categories are an empty list, descriptions come with ``detail`` only."""
+    none = F.array().cast("array<string>")
+    names = PUBLIC | (DETAIL if detail else {})
+    return rows.select(*[(F.coalesce(c, none) if c == "categories" else F.col(c)).alias(n) for n, c in names.items()])
+
+
+def newest_saved(saved: DataFrame) -> DataFrame:
+    """(user_id, slug, rank) of saved rows (user_id, slug, created_at): the newest first, then by slug."""
+    w = Window.partitionBy("user_id").orderBy(F.desc("created_at"), "slug")
+    return saved.select("user_id", "slug", F.row_number().over(w).alias("rank"))

@@ -26,6 +26,47 @@ def first_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*key, "_r.*")
 
 
+def last_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The last row of each key, as when later pages overwrite earlier ones."""
+    rest = [c for c in rows.columns if c not in key]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*key, "_r.*")
+
+
+def publish(tables: dict[str, DataFrame], folder: str) -> DataFrame:
+    """(tbl, n) after replacing a mirror's tables together: a version of all of them is written, then named as the current one.
+
+    A table that lacks columns of the version before raises a ValueError, and the mirror stays as it was; so does an
+    empty catalogue. Readers take the version that ``current`` names, so they see all tables of one version.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    path = lambda *parts: spark._jvm.org.apache.hadoop.fs.Path("/".join([folder, *parts]))
+    fs = path().getFileSystem(spark._jsc.hadoopConfiguration())
+    before = current_version(spark, folder)
+    for name, df in tables.items():
+        if before is not None and fs.exists(path(f"v={before}", name)) and (lost := missing_columns(spark.read.parquet(f"{folder}/v={before}/{name}"), df)):
+            raise ValueError(f"{name} lacks {', '.join(lost)}")
+    number = 0 if before is None else before + 1
+    counts = None
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{folder}/v={number}/{name}")
+        one = spark.read.parquet(f"{folder}/v={number}/{name}").agg(F.lit(name).alias("tbl"), F.count("*").alias("n"))
+        counts = one if counts is None else counts.union(one)
+    rows = counts.collect()
+    if not any(r["n"] for r in rows):
+        raise ValueError("nothing to publish")
+    spark.range(1).select(F.lit(number).alias("version")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/current/{number:010d}")
+    return spark.createDataFrame(rows, "tbl string, n long")
+
+
+def current_version(spark, folder: str) -> int | None:
+    """The newest version that was named; None before the first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/current")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    named = [s.getPath() for s in fs.listStatus(path)] if fs.exists(path) else []
+    whole = [int(p.getName()) for p in named if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return max(whole, default=None)
+
+
 def insert_ignore(table: DataFrame, new: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     fresh = first_wins(new, key, order).join(table.select(*key), key, "left_anti")
     return table.unionByName(fresh.select(*table.columns))

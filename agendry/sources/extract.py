@@ -173,6 +173,13 @@ def zip_sessions(dates: Column, times: Column) -> Column:
     return F.transform(dates, lambda d, i: F.struct(d.alias("date"), F.when(F.size(times) > 0, F.element_at(times, F.least(i + 1, F.size(times)))).alias("time")))
 
 
+def sessions_or_error(dates: Column, times: Column, error: str = "no date") -> Column:
+    """Array of (date, time, error): a page's sessions, or one row with the error if it names no date."""
+    session = F.transform(zip_sessions(dates, times), lambda s: F.struct(s["date"].alias("date"), s["time"].alias("time"), F.lit(None).cast("string").alias("error")))
+    none = F.array(F.struct(F.lit(None).cast("string").alias("date"), F.lit(None).cast("string").alias("time"), F.lit(error).alias("error")))
+    return F.when(F.coalesce(F.size(dates), F.lit(0)) > 0, session).otherwise(none)
+
+
 def max_page(html: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(all_groups(html, r"[?&]page=(\d{1,6})"), lambda n: n.cast("int"))), F.lit(1))
 
