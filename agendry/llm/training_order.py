@@ -32,7 +32,7 @@ LENGTH, SHARD, ROUNDS = 2048, 4096, 6
 #: Tasks that write shards, at most; each writes whole shards.
 WRITERS = 20_000
 #: Levels of compression of the packed table and of what is shuffled.
-TABLE_LEVEL, SHUFFLE_LEVEL = 9, 6
+TABLE_LEVEL, SHUFFLE_LEVEL = 6, 6
 
 
 def _round_keys(key: bytes) -> np.ndarray:
