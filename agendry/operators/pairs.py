@@ -109,9 +109,13 @@ def variant_edges(facts: DataFrame) -> DataFrame:
     Either the places share a venue word (or a venue word of one is a city word of the other), or the
     longer title adds a place word of the shorter row while the rows share their city, both lack a
     venue, or are vague (or a locality). These are the blocks, with the rarest core word and the day.
+
+    A row of many days stands at blocks of 32, 1,024 or 32,768 days, so that no row stands at more than 33; shorter
+    rows stand there as well, to meet it, but not one another.
     """
-    rows = with_rarest(facts.where("size(core) > 0"), "core")
-    days = F.sequence(F.floor(F.col("start_at") / C.DAY), F.floor(F.col("until") / C.DAY))
+    span = F.col("until") - F.col("start_at")
+    level = F.when(span <= 32 * C.DAY, 0).when(span <= 1024 * C.DAY, 1).when(span <= 32768 * C.DAY, 2).otherwise(3)
+    rows = with_rarest(facts.where("size(core) > 0"), "core").withColumn("_level", level)
     city_words = T.words(F.col("ncity"))
     tag = lambda kind, words: F.transform(words, lambda w: F.concat(F.lit(kind), w))
     none = F.array().cast("array<string>")
@@ -126,11 +130,21 @@ def variant_edges(facts: DataFrame) -> DataFrame:
     long_keys = F.concat(tag("a:", place_words), tag("b:", F.col("tokens")), added(F.col("core")))
     carried = ("id", "start_at", "until", "norm", "day_key", "core", "tokens", "ncity", "vague", "venue", "locality")
     side = lambda df, s: df.select("_t", "_d", "_k", *[F.col(c).alias(f"{s}_{c}") for c in carried])
-    short = side(rows.withColumn("_t", F.col("rarest")).withColumn("_d", F.explode(days)).withColumn("_k", F.explode(F.array_distinct(short_keys))), "s")
-    long = side(rows.withColumn("_t", F.explode("core")).withColumn("_d", F.explode(days)).withColumn("_k", F.explode(F.array_distinct(long_keys))), "l")
+    shorter = rows.withColumn("_t", F.col("rarest")).withColumn("_k", F.explode(F.array_distinct(short_keys)))
+    longer = rows.withColumn("_t", F.explode("core")).withColumn("_k", F.explode(F.array_distinct(long_keys)))
+
+    def at_level(n: int) -> DataFrame:
+        """Pairs of which one row is of the level and the other of it or one below, by blocks of the level's days."""
+        size = C.DAY * 32**n
+        dealt = lambda df: df.withColumn("_d", F.explode(F.sequence(F.floor(F.col("start_at") / size), F.floor(F.col("until") / size))))
+        own, below = F.col("_level") == n, F.col("_level") < n
+        join = lambda a, b: side(dealt(shorter.where(a)), "s").join(side(dealt(longer.where(b)), "l"), ["_t", "_d", "_k"])
+        met = join(own, own | below) if not n else join(own, own | below).unionByName(join(below, own))
+        return met.where(F.col("_d") == F.floor(F.greatest("s_start_at", "l_start_at") / size))
+
     s, l = (lambda c: F.col(f"s_{c}")), (lambda c: F.col(f"l_{c}"))  # noqa: E741
     other = (s("id") != l("id")) & (F.size(s("core")) <= F.size(l("core"))) & ~((s("day_key") == l("day_key")) & (s("norm") == l("norm")))
-    overlap = (s("start_at") <= l("until")) & (l("start_at") <= s("until")) & (F.col("_d") == F.floor(F.greatest(s("start_at"), l("start_at")) / C.DAY))
+    overlap = (s("start_at") <= l("until")) & (l("start_at") <= s("until"))
     places = lambda x: F.array_union(x("tokens"), T.words(x("ncity")))
     some = lambda x: F.size(x("tokens")) > 0
     same_city = (s("ncity") != "") & (s("ncity") == l("ncity"))
@@ -144,8 +158,11 @@ def variant_edges(facts: DataFrame) -> DataFrame:
     extra = F.array_except(l("core"), s("core"))
     allowed = F.when(~some(s) | s("vague"), places(s)).otherwise(s("tokens"))
     agreed = F.when(F.size(extra) == 0, venue_level).otherwise(contained(extra, allowed) & (venue_level | same_city | compatible))
-    met = short.join(long, ["_t", "_d", "_k"]).where(other & overlap & contained(s("core"), l("core")) & agreed)
-    return _edges(met, "s_id", "l_id")
+    found = None
+    for n in sorted(r["_level"] for r in rows.select("_level").distinct().collect()):
+        one = _edges(at_level(n).where(other & overlap & contained(s("core"), l("core")) & agreed), "s_id", "l_id")
+        found = one if found is None else found.union(one)
+    return facts.sparkSession.createDataFrame([], "src long, dst long") if found is None else found.distinct()
 
 
 def item_edges(facts: DataFrame) -> DataFrame:

@@ -217,3 +217,31 @@ def test_streamed_ingest_equals_the_batch(spark):
     streamed, whole = (core.queries()[n](spark, SF) for n in ("stream_ingest", "ingest_cycle"))
     keep = ["id", "title", "start_at", "end_at", "fingerprint"]
     assert sorted(streamed.select(keep).collect()) == sorted(whole.select(keep).collect()) and C.NOW
+
+
+def test_long_rows_meet_short_ones(spark):
+    """Rows of days, months, years and centuries: each overlapping pair is found, whatever the block they meet in."""
+    from agendry.operators import pairs as R
+
+    day = C.DAY
+    spans = [(0, 1), (3, 40), (20, 2000), (35, 36), (100, 900_000), (1500, 1501), (5, 60_000), (2500, 2501), (40, 45)]
+    rows = [(i, "Mostra", a * day, b * day, "Sala Azul", "Leiria", None) for i, (a, b) in enumerate(spans)]
+    facts = R.event_facts(spark.createDataFrame(rows, "id long, title string, start_at long, end_at long, venue string, city string, item_key string"))
+    got = {(r.src, r.dst) for r in R.variant_edges(facts).collect()}
+    assert got == {(i, j) for i, a in enumerate(spans) for j, b in enumerate(spans) if i < j and a[0] <= b[1] and b[0] <= a[1]}
+    assert R.variant_edges(facts.limit(0)).count() == 0
+
+
+def test_publication_is_whole(spark, tmp_path):
+    from agendry.plans import catalog as K
+
+    folder = f"file://{tmp_path}/mirror"
+    one = spark.createDataFrame([(1, "a"), (2, "b")], "id long, k string")
+    assert {tuple(r) for r in K.publish({"t": one, "u": one.limit(1)}, folder).collect()} == {("t", 2), ("u", 1)} and K.current_version(spark, folder) == 0
+    with pytest.raises(ValueError, match="t lacks k"):
+        K.publish({"t": one.drop("k")}, folder)
+    with pytest.raises(ValueError, match="nothing"):
+        K.publish({"t": one.limit(0)}, folder)
+    assert K.current_version(spark, folder) == 0 and spark.read.parquet(f"{folder}/v=0/t").count() == 2
+    K.publish({"t": one.union(one)}, folder)
+    assert K.current_version(spark, folder) == 1 and spark.read.parquet(f"{folder}/v=1/t").count() == 4
