@@ -199,14 +199,16 @@ def test_venues_meet_in_their_city(spark):
 
 
 def test_named_streams_resume(spark, tmp_path):
-    path = str(tmp_path / "in.parquet")
+    import uuid
+
+    path, name = str(tmp_path / "in.parquet"), uuid.uuid4().hex
     one = spark.createDataFrame([(1, "a"), (2, "b")], "id long, k string")
     one.write.mode("append").parquet(path)
-    run = lambda: J.drain(J.source(spark, path), "append", J.upsert_first(["k"], "id"), name=f"t{tmp_path.name}")
+    run = lambda: J.drain(J.source(spark, path), "append", J.upsert_first(["k"], "id"), name=name)
     assert sorted(tuple(r) for r in run().collect()) == [("a", 1), ("b", 2)]
     spark.createDataFrame([(0, "a"), (9, "b"), (3, "c")], "id long, k string").write.mode("append").parquet(path)
     assert sorted(tuple(r) for r in run().collect()) == [("a", 0), ("b", 2), ("c", 3)]
-    out = f"{J.home_of(spark, f't{tmp_path.name}')}/out"
+    out = f"{J.home_of(spark, name)}/out"
     assert J.versions(spark, out) == [0, 1]
     # A version without its mark was cut off and does not count.
     (spark._jvm.org.apache.hadoop.fs.Path(f"{out}/v=7").getFileSystem(spark._jsc.hadoopConfiguration())).mkdirs(spark._jvm.org.apache.hadoop.fs.Path(f"{out}/v=7"))
