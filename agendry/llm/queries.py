@@ -79,6 +79,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from agendry.llm.merkle import manifest
+
+    return manifest(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -117,9 +123,35 @@ SELECT query_id, rank, doc_id, score FROM r WHERE rank <= 10
 """
 
 
+#: Per level: every two consecutive nodes become one, until one is left.
+OP13_SQL = r"""
+WITH RECURSIVE f AS (SELECT *, doc_id IS NOT NULL AND n_chars IS NOT NULL AND xor(
+      list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(coalesce(doc_id, 0) AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+        lambda a, c: list_reduce(list_prepend(xor(a, c), CAST(range(8) AS BIGINT[])), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))
+      , 4294967295) % 7 = 0 AS tampered,
+    CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id END || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END
+      || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END AS head, CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END AS tail FROM documents),
+h AS (SELECT doc_id, lang, sha256(head || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars END || tail) AS leaf,
+    CASE WHEN tampered THEN sha256(head || strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1) || tail) END AS altered FROM f),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM h),
+low AS (SELECT lang, 0 AS k, list(leaf ORDER BY pos) AS nodes FROM p GROUP BY lang
+  UNION ALL SELECT lang, k + 1, list_transform(range(1, len(nodes) + 1, 2), lambda i: sha256(array_to_string(nodes[i:i + 1], ''))) FROM low WHERE len(nodes) > 1),
+sub AS (SELECT lang, k AS height, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM low WHERE len(nodes) = 1),
+high AS (SELECT 0 AS k, list(subroot ORDER BY place) AS nodes FROM sub UNION ALL SELECT k + 1, list_transform(range(1, len(nodes) + 1, 2), lambda i: sha256(array_to_string(nodes[i:i + 1], ''))) FROM high WHERE len(nodes) > 1),
+walk AS (SELECT p.lang, pos, doc_id, leaf, 0 AS k, '' AS beside, coalesce(altered, leaf) AS node, height, subroot, place FROM p JOIN sub ON p.lang IS NOT DISTINCT FROM sub.lang
+  UNION ALL
+  SELECT w.lang, w.pos, doc_id, leaf, w.k + 1, beside || coalesce(s, ''), sha256(CASE WHEN p_at & 1 = 1 THEN coalesce(s, '') || node ELSE node || coalesce(s, '') END), height, subroot, place
+  FROM (SELECT walk.*, CASE WHEN walk.k < height THEN pos >> walk.k ELSE place >> (walk.k - height) END AS p_at, coalesce(low.nodes, high.nodes) AS nodes, coalesce(low.nodes, high.nodes)[xor(p_at, 1) + 1] AS s
+    FROM walk LEFT JOIN low ON low.lang IS NOT DISTINCT FROM walk.lang AND low.k = walk.k AND walk.k < height LEFT JOIN high ON high.k = walk.k - height) w
+  WHERE len(nodes) > 1)
+SELECT doc_id, leaf, subroot, root, sha256(beside) AS proof_sha256, node AS folded_root, node = root AS verified
+FROM walk JOIN (SELECT k AS top, nodes[1] AS root FROM high WHERE len(nodes) = 1) r ON walk.k = height + top
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extract, op2_simhash, op3_decontaminate, op4_license_scan, op5_toxicity, op6_training_order, op7_topk_search, op8_line_dedup, op9_token_counts, op10_bpe, pipeline)}
+    return {f.__name__: f for f in (op1_html_extract, op2_simhash, op3_decontaminate, op4_license_scan, op5_toxicity, op6_training_order, op7_topk_search, op8_line_dedup, op9_token_counts, op10_bpe, op13_merkle_manifest, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": OP3_SQL, "op7_topk_search": OP7_SQL}
+    return {"op3_decontaminate": OP3_SQL, "op7_topk_search": OP7_SQL, "op13_merkle_manifest": OP13_SQL}

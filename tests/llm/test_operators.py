@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers as PT
@@ -14,7 +15,7 @@ from helpers import SF, compare
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from agendry.llm import bpe, decontam, html_extract, license_scan, line_dedup, queries, simhash, token_counts, topk_search, toxicity, training_order
+from agendry.llm import bpe, decontam, html_extract, license_scan, line_dedup, merkle, queries, simhash, token_counts, topk_search, toxicity, training_order
 
 PIECES, RANKS, SMALL = PT.path("piece_bpe_32k.model"), PT.path("byte_bpe_multi_50k.tiktoken"), PT.path("byte_bpe_50k.tiktoken")
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -648,6 +649,62 @@ def test_encode_then_decode(spark, odd_docs):
     assert texts == sorted((r.doc_id or 0, r.text or "") for r in odd_docs.collect())
 
 
+# Manifest
+
+
+def sha(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def plain_leaf(r, add=0):
+    values = [r[c] if c != "n_chars" or r[c] is None else r[c] + add for c in merkle.FIELDS]
+    return sha(*("-" if v is None else f"{len(str(v).encode())}:{v}" for v in values))
+
+
+def plain_tree(nodes):
+    levels = [nodes]
+    while len(levels[-1]) > 1:
+        levels.append([sha(*levels[-1][i : i + 2]) for i in range(0, len(levels[-1]), 2)])
+    return levels
+
+
+def plain_path(levels, at):
+    return [(at >> k & 1, (levels[k][(at >> k) ^ 1 :] or [""])[0]) for k in range(len(levels) - 1)]
+
+
+def brute_manifest(rows):
+    by = {}
+    for r in rows:
+        by.setdefault(r["lang"], []).append(r)
+    langs = sorted(by, key=lambda x: (x is not None, (x or "").encode()))
+    for x in langs:
+        by[x].sort(key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, plain_leaf(r)))
+    trees = {x: plain_tree([plain_leaf(r) for r in by[x]]) for x in langs}
+    top, out = plain_tree([trees[x][-1][0] for x in langs]), []
+    for k, x in enumerate(langs):
+        for at, r in enumerate(by[x]):
+            steps = plain_path(trees[x], at) + plain_path(top, k)
+            node = plain_leaf(r, r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 7 == 0)
+            for right, sibling in steps:
+                node = sha(sibling, node) if right else sha(node, sibling)
+            out.append((r["doc_id"], plain_leaf(r), trees[x][-1][0], top[-1][0], sha(*(s for _, s in steps)), node, node == top[-1][0]))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("bits", [2, 10])
+def test_manifest(spark, odd_docs, bits, monkeypatch):
+    monkeypatch.setattr(merkle, "LEVELS", bits)
+    monkeypatch.setattr(merkle, "BLOCK", 1 << bits)
+    rng = random.Random(bits)
+    langs = [None, "", "en", "en", "en", "zz", "é", "\U0001f600"]
+    rows = [(rng.choice([None, *range(-3, 60)]), rng.choice(["", None, "a", "é\n"]), rng.choice(langs), rng.choice(["s", "", None]), rng.choice([None, 0, 7, 2**63 - 1])) for _ in range(90)]
+    docs = spark.createDataFrame([*rows, *rows[:5], (1, "x", "one", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    for table in (docs, odd_docs, docs.where("lang = 'one'")):
+        got = [tuple(r) for r in merkle.manifest(table).collect()]
+        assert sorted(got, key=str) == brute_manifest([r.asDict() for r in table.collect()])
+    assert merkle.manifest(docs.limit(0)).count() == 0
+
+
 # Odd and empty tables
 
 
