@@ -79,6 +79,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from agendry.llm.embed_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from agendry.llm.merkle import manifest
 
@@ -123,6 +129,20 @@ SELECT query_id, rank, doc_id, score FROM r WHERE rank <= 10
 """
 
 
+#: Every pair of a label.
+OP11_SQL = r"""
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT row_number() OVER () AS r, vec_id, label, e FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS (SELECT a.r AS src, b.r AS dst FROM ok a JOIN ok b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.93::DOUBLE),
+reach AS (SELECT DISTINCT src AS a, src AS b FROM link UNION SELECT a, dst FROM reach JOIN link ON b = src),
+found AS (SELECT a, min(vec_id) AS least FROM reach JOIN ok ON b = r GROUP BY a),
+n AS (SELECT src, count(*) AS n FROM link GROUP BY src)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, CASE WHEN a IS NULL THEN vec_id ELSE least END AS component_id, a IS NULL OR vec_id IS NOT DISTINCT FROM least AS kept
+FROM ok LEFT JOIN found ON r = a LEFT JOIN n ON r = src
+UNION ALL SELECT vec_id, 0, vec_id, true FROM v WHERE NOT coalesce(label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0, false)
+"""
+
 #: Per level: every two consecutive nodes become one, until one is left.
 OP13_SQL = r"""
 WITH RECURSIVE f AS (SELECT *, doc_id IS NOT NULL AND n_chars IS NOT NULL AND xor(
@@ -150,8 +170,8 @@ FROM walk JOIN (SELECT k AS top, nodes[1] AS root FROM high WHERE len(nodes) = 1
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extract, op2_simhash, op3_decontaminate, op4_license_scan, op5_toxicity, op6_training_order, op7_topk_search, op8_line_dedup, op9_token_counts, op10_bpe, op13_merkle_manifest, pipeline)}
+    return {f.__name__: f for f in (op1_html_extract, op2_simhash, op3_decontaminate, op4_license_scan, op5_toxicity, op6_training_order, op7_topk_search, op8_line_dedup, op9_token_counts, op10_bpe, op11_embedding_dedup, op13_merkle_manifest, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": OP3_SQL, "op7_topk_search": OP7_SQL, "op13_merkle_manifest": OP13_SQL}
+    return {"op3_decontaminate": OP3_SQL, "op7_topk_search": OP7_SQL, "op11_embedding_dedup": OP11_SQL, "op13_merkle_manifest": OP13_SQL}

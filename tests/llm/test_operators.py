@@ -15,7 +15,7 @@ from helpers import SF, compare
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from agendry.llm import bpe, decontam, html_extract, license_scan, line_dedup, merkle, queries, simhash, token_counts, topk_search, toxicity, training_order
+from agendry.llm import bpe, decontam, embed_dedup, html_extract, license_scan, line_dedup, merkle, queries, simhash, token_counts, topk_search, toxicity, training_order
 
 PIECES, RANKS, SMALL = PT.path("piece_bpe_32k.model"), PT.path("byte_bpe_multi_50k.tiktoken"), PT.path("byte_bpe_50k.tiktoken")
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -649,6 +649,74 @@ def test_encode_then_decode(spark, odd_docs):
     assert texts == sorted((r.doc_id or 0, r.text or "") for r in odd_docs.collect())
 
 
+# Near duplicates among embeddings
+
+
+def brute_vectors(rows):
+    """(vec_id, n_links, component_id, kept) of each row, by comparing all pairs."""
+    ok = lambda e: e and None not in e and np.isfinite(e).all() and any(e)
+    unit = [np.array(e, float) / max(map(abs, e)) if x is not None and ok(e) else None for _, e, x in rows]
+    links = [
+        {j for j, b in enumerate(unit) if i != j and a is not None and b is not None and rows[i][2] == rows[j][2] and len(a) == len(b) and a @ b / np.sqrt((a @ a) * (b @ b)) >= 0.93}
+        for i, a in enumerate(unit)
+    ]
+    out = []
+    for i, (vec_id, _, _) in enumerate(rows):
+        seen, todo = {i}, [i]
+        while todo:
+            todo += (new := links[todo.pop()] - seen)
+            seen |= new
+        least = min((rows[j][0] for j in seen if rows[j][0] is not None), default=None)
+        out.append((vec_id, len(links[i]), least, vec_id == least))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("block", [embed_dedup.BLOCK, 7])
+def test_embedding_dedup(spark, block, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "BLOCK", block)
+    monkeypatch.setattr(embed_dedup, "AIM", 4)
+    rng = np.random.default_rng(3)
+    rows, at = [], 0
+    for size, noise in ((1, 0), (40, 0.2), (60, 0.34), (5, 0.0), (30, 0.5)):
+        base = rng.normal(size=11)
+        for _ in range(size):
+            v = base / np.linalg.norm(base) + noise * rng.normal(size=11) / np.sqrt(11)
+            rows.append((at, (v * rng.choice([1, 1e-3, 1e180])).tolist(), int(rng.choice([1, 2]))))
+            at += 1
+    rows += [(at + i, rng.normal(size=11).tolist(), 1) for i in range(200)]
+    odd = [None, [], [0.0] * 11, [1.0, None] + [0.0] * 9, [float("nan")] * 11, [float("inf")] + [1.0] * 10, [1.0, 2.0], [1.0, 2.0], [1.0], rows[0][1]]
+    rows += [(1000 + i, e, 1) for i, e in enumerate(odd)] + [(2000, rows[1][1], None), (None, rows[1][1], rows[1][2]), (rows[1][0], rows[1][1], rows[1][2]), (None, [5.0] * 11, 9), (None, [5.0] * 11, 9)]
+    table = spark.createDataFrame([(*r, "x", 7) for r in rows], "vec_id long, embedding array<double>, label int, cid string, n int")
+    got = sorted([(r.vec_id, r.n_links, r.component_id, r.kept) for r in embed_dedup.near_duplicates(table).collect()], key=str)
+    want = brute_vectors(rows)
+    assert sum(a == b for a, b in zip(got, want)) >= 0.97 * len(want) and [r[0] for r in got] == [r[0] for r in want]
+    assert 0.99 * sum(r[1] for r in want) <= sum(r[1] for r in got) <= sum(r[1] for r in want) > 1000
+    assert embed_dedup.near_duplicates(table.limit(0)).count() == 0
+    lone = embed_dedup.near_duplicates(table.where("vec_id = 1008")).collect()
+    assert [tuple(r) for r in lone] == [(1008, 0, 1008, True)]
+
+
+def test_embedding_recall_at_the_threshold(spark):
+    rng = np.random.default_rng(5)
+    a = rng.normal(size=(1500, 32))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.normal(size=a.shape)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = 0.931 * a + np.sqrt(1 - 0.931**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([a, b]).astype(np.float32))]
+    found = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+    assert found.agg(F.sum("n_links")).first()[0] >= 0.99 * 3000
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 9), min_size=1, max_size=8), st.lists(st.integers(0, 9), min_size=1, max_size=8), st.integers(0, 20))
+def test_traversal_visits_by_rising_excess(a, b, most):
+    a, b = np.array(a, float), np.array(b, float)
+    got = embed_dedup.traverse(a - a.min(), b - b.min(), most)
+    total = (a - a.min())[:, None] + (b - b.min())[None, :]
+    assert sorted(got) == np.flatnonzero(total.ravel() <= most).tolist() and (np.diff(total.ravel()[got]) >= 0).all()
+
+
 # Manifest
 
 
