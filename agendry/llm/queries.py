@@ -85,6 +85,15 @@ def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from agendry.llm.token_alignment import alignment
+
+    # byte_bpe_50k.tiktoken holds the vocabulary of byte_bpe_50k.json as ranks.
+    return alignment(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from agendry.llm.merkle import manifest
 
@@ -170,7 +179,7 @@ FROM walk JOIN (SELECT k AS top, nodes[1] AS root FROM high WHERE len(nodes) = 1
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extract, op2_simhash, op3_decontaminate, op4_license_scan, op5_toxicity, op6_training_order, op7_topk_search, op8_line_dedup, op9_token_counts, op10_bpe, op11_embedding_dedup, op13_merkle_manifest, pipeline)}
+    return {f.__name__: f for f in (op1_html_extract, op2_simhash, op3_decontaminate, op4_license_scan, op5_toxicity, op6_training_order, op7_topk_search, op8_line_dedup, op9_token_counts, op10_bpe, op11_embedding_dedup, op12_token_alignment, op13_merkle_manifest, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import zlib
+from bisect import bisect_left
 
 import numpy as np
 import public_tokenizers as PT
@@ -15,7 +16,7 @@ from helpers import SF, compare
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from agendry.llm import bpe, decontam, embed_dedup, html_extract, license_scan, line_dedup, merkle, queries, simhash, token_counts, topk_search, toxicity, training_order
+from agendry.llm import bpe, decontam, embed_dedup, html_extract, license_scan, line_dedup, merkle, queries, simhash, token_alignment, token_counts, topk_search, toxicity, training_order
 
 PIECES, RANKS, SMALL = PT.path("piece_bpe_32k.model"), PT.path("byte_bpe_multi_50k.tiktoken"), PT.path("byte_bpe_50k.tiktoken")
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -717,6 +718,70 @@ def test_traversal_visits_by_rising_excess(a, b, most):
     assert sorted(got) == np.flatnonzero(total.ravel() <= most).tolist() and (np.diff(total.ravel()[got]) >= 0).all()
 
 
+# Alignment of tokenizers
+
+
+def brute_alignment(texts):
+    """The columns after doc_id for each text, by the two libraries and counts in a dictionary."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    one, two = Tokenizer.from_file(PT.path("byte_bpe_50k.json")), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    one.encode_special_tokens = True
+    signs = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in signs} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in signs)}
+    entry = {i: bytes(byte_of[c] for c in t) for t, i in one.get_vocab().items() if i != 50256}
+    piece = lambda i: bytes([int(two.id_to_piece(i)[3:5], 16)]) if two.is_byte(i) else two.id_to_piece(i).replace("\u2581", " ").encode()
+    docs, counts = [], {}
+    for t in texts:
+        a, b = (one.encode(" " + t, add_special_tokens=False).ids, two.encode(t)) if t else ([], [])
+        x, y = [entry[i] for i in a], [piece(i) for i in b]
+        if b"".join(x) != b"".join(y) or b"".join(x) != (" " + t if t else "").encode():
+            a, b, x, y = [], [], [], []
+        ends = [np.cumsum([len(p) for p in side]).tolist() for side in (x, y)]
+        cuts = sorted(set(ends[0]) & set(ends[1]))
+        groups = [([], []) for _ in cuts]
+        for k, (side, stops) in enumerate(zip((a, b), ends)):
+            for i, e in zip(side, stops):
+                groups[bisect_left(cuts, e)][k].append(i)
+        links = [(i, j) for g in groups for i in g[0] for j in g[1]]
+        docs.append((a, b, groups, links))
+        for pair in set(links):
+            counts[pair] = counts.get(pair, 0) + 1
+    best = {}
+    for (i, _), n in counts.items():
+        best[i] = max(n, best.get(i, 0))
+    text = lambda groups: ";".join(",".join(map(str, g[0])) + "|" + ",".join(map(str, g[1])) for g in groups)
+    return [(len(a), len(b), len(g), len(k), sum(counts[p] == best[p[0]] for p in k), sum(counts[p] for p in k), sha(text(g)) if a else "") for a, b, g, k in docs]
+
+
+@pytest.mark.parametrize("held, listed", [(token_alignment.HELD, token_alignment.LISTED), (300, 1)])
+def test_alignment(spark, odd_docs, make_docs, held, listed, monkeypatch):
+    monkeypatch.setattr(token_alignment, "HELD", held)
+    monkeypatch.setattr(token_alignment, "LISTED", listed)
+    monkeypatch.setattr(token_alignment, "SHARD_KEYS", 4 * held)
+    rng = random.Random(4)
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(40).collect()]
+    texts += ["<s> <|endoftext|> </s><unk>", "\u2581 a \u2581b", "  two  spaces ", "\t\n\r\n x", "日本語のテキスト、漢字", "e\u0301\u200d\U0001f469\u200d\U0001f469", "a" * 3000, "\x00 nul", " ", "x" + " " * 500 + "y"]
+    texts += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(160, 0x3000), rng.randrange(0x1F300, 0x1F700)])) for _ in range(60)) for _ in range(20)]
+    docs = make_docs([*texts, *texts[:5], None, ""]).repartition(3)
+    for table in (docs, odd_docs):
+        rows = table.select("doc_id", "text").collect()
+        got = sorted([tuple(r) for r in token_alignment.alignment(table, SMALL, PT.PATTERN, PIECES).collect()], key=str)
+        assert got == sorted([(r.doc_id, *x) for r, x in zip(rows, brute_alignment([r.text for r in rows]))], key=str)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.sets(st.integers(0, 2**31 - 1), max_size=400), st.sets(st.integers(0, 2**31 - 1), max_size=20))
+def test_perfect_hash(keys, others):
+    keys = np.array(sorted(keys), np.uint32)
+    made = token_alignment.PerfectHash.of(keys)
+    assert sorted(made.index(keys).tolist()) == list(range(len(keys))) and made.size == len(keys)
+    assert (made.index(np.array(sorted(others), np.uint32)) < max(1, len(keys))).all()
+    order = keys[np.argsort(token_alignment.mixed(keys))]
+    assert all((np.diff(token_alignment.shard_of(order, n)) >= 0).all() for n in (1, 8, 4096))
+
+
 # Manifest
 
 
@@ -787,6 +852,7 @@ def results(spark, docs):
     yield "order", training_order.training_order(docs, SMALL, PT.PATTERN, b"k"), False
     yield "lines", line_dedup.dedup(docs), True
     yield "counts", token_counts.token_counts(docs, PIECES), True
+    yield "alignment", token_alignment.alignment(docs, SMALL, PT.PATTERN, PIECES), True
     yield "bpe", bpe.digests(docs, RANKS, PT.PATTERN), True
 
 
