@@ -4,15 +4,17 @@ Lines are compared stripped, empty lines aside. Documents meet through two kinds
 lines, which few documents of the whole table hold, and runs of lines. A run is the shortest one from a
 line on, or back from a line, that holds ``min_words`` words: each line of a common block of that many
 words is in the run from the block's first line or in the run back from itself, so runs find every such
-block, even one whose lines are all frequent. The earliest document (least doc_id) that holds a key is
-paired with every later one that holds it, so pairs grow with the keys, not with the square of a group.
-A key is 128 bits, so no two texts of any corpus share one by chance.
+block, even one whose lines are all frequent. A run is proof enough by itself, so the earliest document (least
+doc_id) that holds it is paired with every later one; pairs grow with the keys, not with the square of a group.
+A rare line is part of an edited passage whose other lines may have other earliest holders, so all documents that
+hold it are paired, at most RARE * (RARE - 1) / 2 pairs a line. A key is 128 bits, so no two texts of any corpus
+share one by chance.
 
 Each pair is aligned by patience diff: keys are anchors, and the longest chain of anchors in the same order
 on both sides is the alignment. It decides which single lines go: aligned lines with at most ``GAP`` other
 lines between them on either side are one passage, edited here and there, and go if they hold
-``min_words`` words together; the same lines in another order, or scattered, stay. Runs hold that many
-words by themselves: those that the chain leaves out are moved blocks and are aligned in further rounds.
+``min_words`` words together; the same lines in another order, or scattered, stay. What the chain leaves out, moved blocks
+and lines that stand several times, is aligned locally by the same rule. Runs hold that many words by themselves and go wherever they stand.
 What is aligned is deleted from the later document.
 """
 
@@ -35,14 +37,16 @@ MIN_WORDS = 50
 RARE, LINE_WORDS, GAP = 100, 4, 3
 #: Rounds of alignment with chains; what is left then is aligned block by block.
 ROUNDS = 8
+#: Pairs of places of one line in two documents up to which all are anchors; beyond, those near other lines' anchors.
+PLACES = 10_000
 #: Rows of a batch that the splitter emits at once.
 EMITTED = 100_000
 
 
-def line_keys(text: bytes, min_words: int = MIN_WORDS, line_words: int = LINE_WORDS) -> list[tuple[int, int, int, int, int]]:
-    """(hash, second hash, first line, lines, words) of each run and, where it is no run itself, each line of ``line_words`` words.
+def line_keys(text: bytes, min_words: int = MIN_WORDS, line_words: int = LINE_WORDS) -> dict[int, tuple[int, int, list[int]]]:
+    """By 128-bit hash (lines, words, first lines) of each run and, where it is no run itself, each line of ``line_words`` words.
 
-    Lines are counted without empty ones. A run that is the shortest both ways is given once.
+    Lines are counted without empty ones; a key that stands several times in the text has several first lines.
     """
     lines = [words for line in text.split(b"\n") if (words := line.split())]
     clean = [b" ".join(words) + b"\n" for words in lines]
@@ -65,24 +69,29 @@ def line_keys(text: bytes, min_words: int = MIN_WORDS, line_words: int = LINE_WO
         if held >= min_words and (start, end, held) not in known:
             spans.append((start, end, held))
     spans += [(i, i + 1, n) for i, n in enumerate(sizes) if line_words <= n < min_words]
-    out = []
+    out: dict[int, tuple[int, int, list[int]]] = {}
     for a, z, n in spans:
         whole = clean[a] if z == a + 1 else b"".join(clean[a:z])
-        h = xxhash.xxh3_128_intdigest(whole)
-        out.append((h >> 64, h & 0xFFFFFFFFFFFFFFFF, a, z - a, n))
+        out.setdefault(xxhash.xxh3_128_intdigest(whole), (z - a, n, []))[2].append(a)
     return out
 
 
 def keys(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, body, run, proof, pos, size, words): all keys of each row; ``body`` is the hash of its text."""
+    """(doc_id, body, run, proof, at, size, words): the keys of each row, each once, with the lines that it begins at; ``body`` is the hash of its text."""
 
-    def emit(ids: list, bodies: list, found: list) -> pa.RecordBatch:
-        n = [len(f) for f in found]
-        flat = np.array([x for f in found for x in f], np.uint64).reshape(-1, 5)
+    def emit(ids: list, bodies: list, found: list[dict]) -> pa.RecordBatch:
+        n = np.array([len(f) for f in found], np.int64)
         rows = pa.array(np.repeat(np.arange(len(n)), n))
-        longs = [pa.array(flat[:, i].copy().view(np.int64)) for i in (0, 1)]
-        ints = [pa.array(flat[:, i].astype(np.int32)) for i in (2, 3, 4)]
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()).take(rows), pa.array(bodies, pa.int64()).take(rows), *longs, *ints], ["doc_id", "body", "run", "proof", "pos", "size", "words"])
+        hashes = np.array([(h >> 64, h & 0xFFFFFFFFFFFFFFFF) for f in found for h in f], np.uint64).reshape(-1, 2)
+        facts = [x for f in found for x in f.values()]
+        at = pa.array([x[2] for x in facts], pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(ids, pa.int64()).take(rows), pa.array(bodies, pa.int64()).take(rows), *[pa.array(hashes[:, i].copy().view(np.int64)) for i in (0, 1)], at,
+                *[pa.array([x[i] for x in facts], pa.int32()) for i in (0, 1)],
+            ],
+            ["doc_id", "body", "run", "proof", "at", "size", "words"],
+        )
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -98,7 +107,7 @@ def keys(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             yield emit(ids, bodies, found)
 
     source = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("body"), "text")
-    return small_batches(source).mapInArrow(split, "doc_id long, body long, run long, proof long, pos int, size int, words int")
+    return small_batches(source).mapInArrow(split, "doc_id long, body long, run long, proof long, at array<int>, size int, words int")
 
 
 def longest_chain(anchors: list[tuple[int, int, int, int]]) -> list[int]:
@@ -149,10 +158,26 @@ def passages(chain: list[tuple[int, int, int, int]], min_words: int, gap: int =
     return out
 
 
+def local_lines(anchors: list[tuple[int, int, int, int]], min_words: int, gap: int = GAP) -> list[tuple[int, int, int]]:
+    """(later line, earlier line, 1) of single lines that lie on a rising chain, with at most ``gap`` lines between neighbours on either side, of ``min_words`` words."""
+    held = {(later, earlier): n for later, earlier, size, n in anchors if size == 1}
+    steps = [(i, j) for i in range(1, gap + 2) for j in range(1, gap + 2)]
+
+    def most(order: list, sign: int) -> dict:
+        out: dict[tuple[int, int], int] = {}
+        for i, j in order:
+            out[i, j] = held[i, j] + max((out.get((i - sign * a, j - sign * b), 0) for a, b in steps))
+        return out
+
+    order = sorted(held)
+    before, after = most(order, 1), most(order[::-1], -1)
+    return [(i, j, 1) for i, j in order if before[i, j] + after[i, j] - held[i, j] >= min_words]
+
+
 def patience(anchors: list[tuple[int, int, int, int]], min_words: int = MIN_WORDS, gap: int = GAP) -> list[tuple[int, int, int]]:
     """Common blocks (later line, earlier line, lines) from anchors (later line, earlier line, lines, words)."""
     left = sorted(set(anchors))
-    blocks = passages([left[i] for i in longest_chain(left)], min_words, gap)
+    blocks = passages([left[i] for i in longest_chain(left)], min_words, gap) + local_lines(left, min_words, gap)
     # Runs that the chain left out are moved blocks, aligned among themselves.
     left = [x for x in left if x[3] >= min_words]
     for _ in range(ROUNDS):
@@ -166,26 +191,50 @@ def patience(anchors: list[tuple[int, int, int, int]], min_words: int = MIN_WORD
     return blocks + [x[:3] for x in left]
 
 
+def anchors_of(shared: list[dict], gap: int = GAP) -> list[tuple[int, int, int, int]]:
+    """Anchors (later line, earlier line, lines, words) of a pair from its shared keys and their places on both sides."""
+    out = [(i, j, k["size"], k["words"]) for k in shared if len(k["at"]) * len(k["first_at"]) <= PLACES for i in k["at"] for j in k["first_at"]]
+    many = [k for k in shared if len(k["at"]) * len(k["first_at"]) > PLACES]
+    if many:
+        near = {(i + a, j + b) for i, j, _, _ in out for a in range(-gap - 1, gap + 2) for b in range(-gap - 1, gap + 2)}
+        for k in many:
+            later, earlier = set(k["at"]), set(k["first_at"])
+            out += [(i, j, k["size"], k["words"]) for i, j in near if i in later and j in earlier]
+            # A run goes from wherever it stands.
+            out += [(i, k["first_at"][0], k["size"], k["words"]) for i in k["at"]]
+    return out
+
+
 def common_blocks(docs: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE) -> DataFrame:
-    """(doc_id, body, first_id, pos, first_pos, size): aligned blocks of each row with an earlier document."""
+    """(doc_id, body, first_id, pos, first_pos, size): aligned blocks of each row with earlier documents."""
     found = keys(docs, min_words)
-    first = found.groupBy("run", "proof").agg(F.min(F.struct("doc_id", "body", "pos")).alias("f"), F.count("*").alias("held"))
-    met = found.join(first.where((F.col("held") > 1)), ["run", "proof"]).where((F.col("doc_id") > F.col("f.doc_id")) & ((F.col("words") >= min_words) | (F.col("held") <= rare)))
-    anchor = F.struct("pos", F.col("f.pos").alias("first_pos"), "size", "words")
-    pairs = met.groupBy("doc_id", "body", F.col("f.doc_id").alias("first_id"), F.col("f.body").alias("first_body")).agg(F.collect_list(anchor).alias("anchors"), F.sum("words").alias("words"))
+    counted = found.groupBy("run", "proof").agg(F.min(F.struct("doc_id", "body", F.slice("at", 1, 1).alias("at"))).alias("f"), F.count(F.lit(1)).alias("held")).where("held > 1")
+    shared = lambda at, first: F.struct(at.alias("at"), first.alias("first_at"), "size", "words")
+    names = ["doc_id", "body", "first_id", "first_body"]
+    runs = found.where(F.col("words") >= min_words).join(counted, ["run", "proof"]).where(F.col("doc_id") > F.col("f.doc_id"))
+    by_runs = runs.select("doc_id", "body", F.col("f.doc_id").alias("first_id"), F.col("f.body").alias("first_body"), shared(F.col("at"), F.col("f.at")).alias("key"))
+    # All holders of a rare line, at most ``rare``, in their order; each is paired with every one before it.
+    lines = found.where(F.col("words") < min_words).join(counted.where(F.col("held") <= rare).select("run", "proof"), ["run", "proof"])
+    holders = lines.groupBy("run", "proof", "size", "words").agg(F.array_sort(F.collect_list(F.struct("doc_id", "body", "at"))).alias("h"))
+    each = F.flatten(F.transform("h", lambda x, i: F.transform(F.filter(F.slice(F.col("h"), F.lit(1), i), lambda y: y["doc_id"] < x["doc_id"]), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    by_lines = holders.select("size", "words", F.explode(each).alias("p")).select(
+        F.col("p.x.doc_id").alias("doc_id"), F.col("p.x.body").alias("body"), F.col("p.y.doc_id").alias("first_id"), F.col("p.y.body").alias("first_body"), shared(F.col("p.x.at"), F.col("p.y.at")).alias("key")
+    )
+    words = F.sum(F.col("key.words") * F.least(F.size("key.at"), F.size("key.first_at"))).alias("words")
+    pairs = by_runs.union(by_lines).groupBy(*names).agg(F.collect_list("key").alias("shared"), words, F.max(F.col("key.words")).alias("most"))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for doc_id, body, first_id, anchors in zip(*(b.column(i).to_pylist() for i in range(4))):
-                rows += [(doc_id, body, first_id, *block) for block in patience([(a["pos"], a["first_pos"], a["size"], a["words"]) for a in anchors], min_words)]
+            for doc_id, body, first_id, held in zip(*(b.column(i).to_pylist() for i in range(4))):
+                rows += [(doc_id, body, first_id, *block) for block in patience(anchors_of(held), min_words)]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
             columns = list(zip(*rows)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "body", "first_id", "pos", "first_pos", "size"])
 
     # Pairs whose shared keys hold fewer words in all have no passage.
-    shared = pairs.where(F.col("words") >= min_words).select("doc_id", "body", "first_id", "anchors")
-    return shared.mapInArrow(align, "doc_id long, body long, first_id long, pos int, first_pos int, size int")
+    able = pairs.where((F.col("words") >= min_words) | (F.col("most") >= min_words)).select("doc_id", "body", "first_id", "shared")
+    return small_batches(able).mapInArrow(align, "doc_id long, body long, first_id long, pos int, first_pos int, size int")
 
 
 def without_lines(text: str, gone: set[int]) -> str:

@@ -565,6 +565,60 @@ def test_alignment_decides(spark, make_docs):
     assert not set(lines) & set(got[1].text.split("\n"))
 
 
+def brute_edited_lines(texts, min_words=50, gap=line_dedup.GAP):
+    """Numbers of the lines of each text on a chain of common lines, in order, with small gaps, of ``min_words`` words with one earlier text."""
+    lines, gone = [plain_lines(t) for t in texts], brute_common_lines(texts)
+    for j, late in enumerate(lines):
+        for early in lines[:j]:
+            met = [(a, b) for a in range(len(late)) for b in range(len(early)) if late[a] == early[b] and len(late[a].split()) >= line_dedup.LINE_WORDS]
+            n = {m: len(late[m[0]].split()) for m in met}
+            before = {}
+            for a, b in met:
+                before[a, b] = n[a, b] + max([before[c, d] for c, d in met if 0 < a - c <= gap + 1 and 0 < b - d <= gap + 1], default=0)
+            after = {}
+            for a, b in met[::-1]:
+                after[a, b] = n[a, b] + max([after[c, d] for c, d in met if 0 < c - a <= gap + 1 and 0 < d - b <= gap + 1], default=0)
+            gone[j] |= {a for a, b in met if before[a, b] + after[a, b] - n[a, b] >= min_words}
+    return gone
+
+
+def test_edited_passages_against_all_pairs(spark, make_docs):
+    """Gaps, lines that stand several times, and lines with different earliest holders."""
+    rng = random.Random(15)
+    pool = [prose(rng, rng.choice([5, 9, 14])) for _ in range(30)]
+    texts = []
+    for _ in range(60):
+        start, out = rng.randrange(20), []
+        for line in pool[start : start + rng.randint(6, 10)]:
+            out += [line] * rng.choice([0, 1, 1, 1, 2]) + [prose(rng, 6) for _ in range(rng.choice([0, 0, 0, 1, 2, 5]))]
+        texts.append("\n".join(out + rng.sample(pool, 3)))
+    gone = brute_edited_lines(texts)
+    got = {r.doc_id: r for r in line_dedup.dedup(make_docs(texts)).collect()}
+    assert {i: r.text for i, r in got.items()} == {i: without(t, g) if g else t for i, (t, g) in enumerate(zip(texts, gone))}
+    assert sum(map(len, gone)) > sum(map(len, brute_common_lines(texts))) + 80
+
+
+def test_passages_beside_repeats_and_other_holders(spark, make_docs):
+    rng = random.Random(16)
+    passage = [prose(rng, 10) for _ in range(8)]
+    own = lambda n: [prose(rng, 5) for _ in range(n)]
+    between = lambda: [x for line in passage for x in (line, *own(1))]
+    repeats = [x for line in passage for _ in range(120) for x in (line, *own(line_dedup.GAP + 1))]
+    scattered = [x for line in passage[:6:2] for x in (line, *own(9))]
+    for earlier, more in (([], []), ([], repeats), (scattered, []), (scattered, repeats)):
+        texts = ["\n".join(x) for x in (earlier, [*more, *own(5), *between()], between())]
+        got = {r.doc_id: r for r in line_dedup.dedup(make_docs(texts)).collect()}
+        assert got[2].n_removed == 8 and got[1].n_removed == 0 and not set(passage) & set(plain_lines(got[2].text))
+
+
+def test_places_beyond_the_limit(monkeypatch):
+    shared = [{"at": [i], "first_at": [i], "size": 1, "words": 20} for i in (0, 2)] + [{"at": [1, *range(50, 90)], "first_at": [1, *range(200, 240)], "size": 1, "words": 20}]
+    want = sorted(set(line_dedup.anchors_of(shared)))
+    monkeypatch.setattr(line_dedup, "PLACES", 100)
+    some = sorted(set(line_dedup.anchors_of(shared)))
+    assert len(want) == 2 + 41 * 41 and (1, 1, 1, 20) in some and {b[0] for b in line_dedup.patience(some)} == {0, 1, 2}
+
+
 def test_frequent_lines_meet_in_runs_alone(spark, make_docs):
     rng = random.Random(14)
     common = [prose(rng, 12) for _ in range(6)]
