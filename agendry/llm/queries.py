@@ -44,10 +44,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from agendry.llm.training_order import shard_folder, training_order, written_order
+    from agendry.llm.training_order import ordered_shards, shard_folder
 
-    ordered = training_order(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, b"epoch 0")
-    return written_order(ordered, shard_folder(spark, sf_dir, b"epoch 0"))
+    folder = shard_folder(spark, sf_dir, b"epoch 0")
+    return ordered_shards(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, b"epoch 0", folder)
 
 
 def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

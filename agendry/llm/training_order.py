@@ -6,12 +6,16 @@ partitions before. A keyed Feistel permutation, walked along its cycle until it
 sequences, takes the number to a global slot: a shuffle of all sequences that needs no sort by random
 keys and can be computed for one sequence alone. Range partitions by slot hold the shards; a sequence
 of slot s is record s % shard_size of shard s // shard_size, at a byte offset that follows from it.
+
+A shard's file is named by its number and the digest of its data, so files of different runs never mix. A manifest
+lists the files of a run; which manifest holds is written last, and only then go the files that it doesn't list.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import os
 import uuid
 from collections.abc import Iterator
@@ -123,22 +127,27 @@ def sequences(docs: DataFrame, ranks_path: str, pattern: str, length: int = LENG
     return small_batches(source).mapInArrow(pack, "part int, seq long, first_doc long, n_docs int, n_tokens int, ids binary")
 
 
-def _stored(packed: DataFrame) -> DataFrame:
-    """``packed`` as a table in the shared folder: compressed, ids take half of what a checkpoint takes."""
-    path = f"{checkpoint_dir(packed.sparkSession)}/packed-{uuid.uuid4().hex}"
+def _stored(packed: DataFrame, path: str) -> DataFrame:
+    """``packed`` as a table at ``path``: compressed, ids take half of what a checkpoint takes."""
     options = {"compression": "zstd", "parquet.compression.codec.zstd.level": TABLE_LEVEL, "parquet.enable.dictionary": "false"}
     packed.write.options(**options).parquet(path)
     return packed.sparkSession.read.schema(packed.schema).parquet(path)
 
 
-def training_order(docs: DataFrame, ranks_path: str, pattern: str, key: bytes, length: int = LENGTH, shard_size: int = SHARD) -> DataFrame:
+def _dropped(spark: SparkSession, uri: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def training_order(docs: DataFrame, ranks_path: str, pattern: str, key: bytes, length: int = LENGTH, shard_size: int = SHARD, packed_at: str | None = None) -> DataFrame:
     """(slot, shard, record, byte_offset, first_doc, n_docs, n_tokens, ids), range-partitioned and sorted by slot.
 
     Slots are 0 to the number of sequences less one, each once. The same documents, key and deal of
     documents over partitions (thus of files over input splits) give the same order; another deal packs other
-    sequences. An empty table gives no sequence. Other columns are not read.
+    sequences. An empty table gives no sequence. Other columns are not read. Packed sequences are stored at ``packed_at``, a
+    folder of their own in the shared one if it is not given, and may go once the result is made.
     """
-    packed = _stored(sequences(docs, ranks_path, pattern, length))
+    packed = _stored(sequences(docs, ranks_path, pattern, length), packed_at or _scratch(docs.sparkSession))
     # One row for each partition, not for each document.
     counts = {r["part"]: r["n"] for r in packed.groupBy("part").agg(F.max("seq").alias("n")).collect()}
     starts, total = {}, 0
@@ -166,6 +175,10 @@ def training_order(docs: DataFrame, ranks_path: str, pattern: str, key: bytes, l
     )
 
 
+def _scratch(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark)}/packed-{uuid.uuid4().hex}"
+
+
 def shard_folder(spark: SparkSession, source: str, key: bytes, length: int = LENGTH, shard_size: int = SHARD) -> str:
     """A folder in the shared one, as a URI, for the shards of one source, key and size."""
     root = checkpoint_dir(spark)
@@ -174,14 +187,41 @@ def shard_folder(spark: SparkSession, source: str, key: bytes, length: int = LEN
 
 
 def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
-    """Write each shard as one file of raw ids and give (shard, path, records, bytes, sha256).
+    """Write each shard as one file of raw ids and give the manifest (shard, path, records, bytes, sha256).
 
-    ``folder`` is a URI that executors share, and so is each path. An empty table writes nothing. A shard is written under a name of its attempt and then
-    moved, so a lost or repeated task leaves whole files only. Its digest is written beside it afterwards,
-    and a run skips a shard only if the file has the right size and the digest is that of its own data.
-    Rows must come as training_order() gives them: a shard's rows in one partition, sorted by slot.
+    ``folder`` is a URI that executors share, and so is each path. A shard is written under a name of its attempt and then
+    moved to the name of its digest, so a lost or repeated task leaves whole files only, and a run keeps the files
+    that hold its own data already. When all are there, the manifest is stored and becomes the folder's current one (see
+    shards()), and files that it doesn't list are deleted: those of an earlier, larger run among them. An empty
+    table leaves an empty manifest. Rows must come as training_order() gives them: a shard's rows in one partition, sorted by slot.
     """
-    return _written(ordered.select("shard", "ids"), folder, False)
+    return _published(cut(_written(ordered.select("shard", "ids"), folder, False)), folder)
+
+
+def _published(manifest: DataFrame, folder: str) -> DataFrame:
+    """Make ``manifest`` the folder's current one and delete what it doesn't list: one short name for each shard."""
+    spark = manifest.sparkSession
+    name = f"manifest-{uuid.uuid4().hex}"
+    manifest.write.parquet(f"{folder}/{name}")
+    total = manifest.agg(F.count(F.lit(1)).alias("shards"), F.coalesce(F.sum("records"), F.lit(0)).alias("records"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first().asDict()
+    fs, root = pafs.FileSystem.from_uri(folder)
+    own = f"{root}/{uuid.uuid4().hex}.part"
+    with fs.open_output_stream(own) as out:
+        out.write(json.dumps(total | {"manifest": name}).encode())
+    fs.move(own, f"{root}/CURRENT.json")
+    there = [(i.base_name,) for i in fs.get_file_info(pafs.FileSelector(root)) if i.base_name not in ("CURRENT.json", name)]
+    listed = manifest.select(F.element_at(F.split("path", "/"), -1).alias("name"))
+    for (stale,) in spark.createDataFrame(there, "name string").join(listed, "name", "left_anti").collect():
+        _dropped(spark, f"{folder}/{stale}")
+    return shards(spark, folder)
+
+
+def shards(spark: SparkSession, folder: str) -> DataFrame:
+    """The current manifest of a folder: (shard, path, records, bytes, sha256), shard by shard what a reader reads."""
+    fs, root = pafs.FileSystem.from_uri(folder)
+    with fs.open_input_file(f"{root}/CURRENT.json") as f:
+        name = json.loads(f.read())["manifest"]
+    return spark.read.schema("shard long, path string, records long, bytes long, sha256 string").parquet(f"{folder}/{name}")
 
 
 def written_order(ordered: DataFrame, folder: str) -> DataFrame:
@@ -191,6 +231,7 @@ def written_order(ordered: DataFrame, folder: str) -> DataFrame:
     """
     kinds = {f.name: f.dataType.simpleString() for f in ordered.schema.fields}
     stored = cut(_written(ordered, folder, True))
+    _published(stored.groupBy("shard", "path").agg(F.count(F.lit(1)).alias("records"), F.sum("n_bytes").alias("bytes")).withColumn("sha256", F.regexp_extract("path", "-([0-9a-f]{64})[.]bin$", 1)), folder)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = pafs.FileSystem.from_uri(folder)
@@ -211,6 +252,15 @@ def written_order(ordered: DataFrame, folder: str) -> DataFrame:
     return small_batches(stored).mapInArrow(fill, ", ".join(f"{n} {t}" for n, t in kinds.items()) + ", path string")
 
 
+def ordered_shards(docs: DataFrame, ranks_path: str, pattern: str, key: bytes, folder: str, length: int = LENGTH, shard_size: int = SHARD) -> DataFrame:
+    """written_order() of training_order() of ``docs``; the packed sequences in between are deleted."""
+    packed_at = _scratch(docs.sparkSession)
+    try:
+        return written_order(training_order(docs, ranks_path, pattern, key, length, shard_size, packed_at), folder)
+    finally:
+        _dropped(docs.sparkSession, packed_at)
+
+
 def _written(ordered: DataFrame, folder: str, each: bool) -> DataFrame:
     """Write the shards; give one row for each shard, or for each record, without its ids, if ``each``."""
     kept = [c for c in ordered.columns if c != "ids"]
@@ -230,19 +280,11 @@ def _written(ordered: DataFrame, folder: str, each: bool) -> DataFrame:
         def done(shard: int, rows: list) -> pa.RecordBatch:
             data = b"".join(rows)
             digest = hashlib.sha256(data).hexdigest()
-            name = f"shard-{shard:08d}.bin"
+            name = f"shard-{shard:08d}-{digest}.bin"
             path, uri = f"{root}/{name}", f"{folder}/{name}"
-            info, mark = fs.get_file_info([path, f"{path}.sha256"])
-            known = b""
-            if mark.type != pafs.FileType.NotFound:
-                with fs.open_input_stream(mark.path) as old:
-                    known = old.read()
-            if info.type == pafs.FileType.NotFound or info.size != len(data) or known != digest.encode():
-                # No digest stands beside data that it is not of, wherever a run ends.
-                if mark.type != pafs.FileType.NotFound:
-                    fs.delete_file(mark.path)
+            info = fs.get_file_info(path)
+            if info.type == pafs.FileType.NotFound or info.size != len(data):
                 put(path, data)
-                put(mark.path, digest.encode())
             if not each:
                 return pa.RecordBatch.from_pydict({"shard": [shard], "path": [uri], "records": [len(rows)], "bytes": [len(data)], "sha256": [digest]})
             own = pa.Table.from_batches(facts).combine_chunks()

@@ -349,10 +349,27 @@ def test_broken_shards_are_written_again(spark, make_docs, tmp_path):
     out = training_order.training_order(make_docs([prose(rng, 60) for _ in range(40)]), SMALL, PT.PATTERN, b"k", length=32, shard_size=16)
     manifest = training_order.write_shards(out, f"file://{tmp_path}/s").collect()
     good = [training_order.read_shard(m.path, length=32).tobytes() for m in manifest]
-    (tmp_path / "s" / "shard-00000000.bin").write_bytes(b"\0" * 10)
-    (tmp_path / "s" / "shard-00000001.bin.sha256").write_bytes(b"0" * 64)
-    assert training_order.write_shards(out, f"file://{tmp_path}/s").collect() == manifest
+    next((tmp_path / "s").glob("shard-00000000-*")).write_bytes(b"\0" * 10)
+    next((tmp_path / "s").glob("shard-00000001-*")).unlink()
+    (tmp_path / "s" / "shard-00000002.0123.part").write_bytes(b"left by a lost task")
+    assert sorted(training_order.write_shards(out, f"file://{tmp_path}/s").collect()) == sorted(manifest)
     assert [training_order.read_shard(m.path, length=32).tobytes() for m in manifest] == good
+    assert len(list((tmp_path / "s").glob("shard-*"))) == len(manifest)
+
+
+def test_a_smaller_run_leaves_no_older_shards(spark, make_docs, odd_docs, no_docs, tmp_path):
+    rng, folder = random.Random(17), f"file://{tmp_path}/s"
+    texts = [prose(rng, 60) for _ in range(40)]
+    files = lambda: {f"{folder}/{p.name}" for p in (tmp_path / "s").glob("shard-*.bin")}
+    counts = []
+    for docs in (make_docs(texts), make_docs(texts[:10]), odd_docs, no_docs, make_docs(texts[:10])):
+        rows = training_order.ordered_shards(docs, SMALL, PT.PATTERN, b"k", folder, length=32, shard_size=16).collect()
+        now = training_order.shards(spark, folder).collect()
+        counts.append(len(now))
+        assert files() == {m.path for m in now} == {r.path for r in rows} and sum(m.records for m in now) == len(rows)
+        assert all(hashlib.sha256(training_order.read_shard(m.path, length=32).tobytes()).hexdigest() == m.sha256 for m in now)
+        assert len([p for p in (tmp_path / "s").iterdir() if p.name.startswith("manifest-")]) == 1
+    assert counts[0] > counts[1] == counts[4] > counts[3] == 0
 
 
 def test_query_writes_its_shards(spark):
