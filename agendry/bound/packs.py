@@ -221,3 +221,95 @@ def taxonomy_terms(spark, sf_dir):
     k = F.col("p_partkey")
     row = text('[{"id": ', F.when(k % 5 == 0, "null").otherwise(k.cast("string")), ', "name": "', F.when(k % 7 == 0, " ").otherwise(text(F.col("p_name"), " &amp; Cia")), '", "count": 3}]')
     return tables.read(spark, sf_dir, "part").select(F.explode(X.terms(F.when(k % 11 == 0, "oops").otherwise(row))).alias("t")).select("t.id", "t.name")
+
+
+def parsed(spark, sf_dir):
+    """The rows with a clock as 18h30, the day's parts, and a short month."""
+    return rows(spark, sf_dir).withColumns({"clock_h": text(F.substring("clock", 1, 2), "h", F.substring("clock", 4, 2)), "mes": F.upper(month(True)), "dia": number(9, 2), "ano": part(1, 4)})
+
+
+def listing(e, html):
+    return e.select(F.col("id").alias("page_id"), html.alias("html"))
+
+
+@query(O.sql(f"""SELECT 'e' || id AS slug, CASE WHEN id % 5 <> 0 AND id % 2 = 0 THEN title || ' &' ELSE title END AS title, CASE WHEN id % 5 <> 0 AND id % 7 <> 0 THEN {MINUTE} END AS "startAt",
+  CASE WHEN id % 5 <> 0 AND id % 7 <> 0 AND id % 3 = 0 THEN {O.epoch_of('CAST(d + 1 AS TIMESTAMP)')} END AS "endAt", CASE WHEN id % 5 <> 0 AND id % 4 = 0 THEN 'Sala' ELSE 'Largo' END AS "venueName", city,
+  CASE WHEN id % 5 <> 0 THEN 'Feira|Música' ELSE 'Cultura' END AS categories, 'https://example.org/i' || id || '.jpg' AS image, CASE WHEN id % 5 = 0 THEN 'no detail page' WHEN id % 7 = 0 THEN 'no start date' END AS error FROM pe""", EV))
+def pack_leiriagenda(spark, sf_dir):
+    """Cards and their detail pages by selector: wrapped and plain date blocks, a card that stands twice, missing details and dates."""
+    e, k = parsed(spark, sf_dir), F.col("id")
+    block = text('<span class="dia">', F.col("dia"), '</span><span class="mes">', F.col("mes"), "</span>")
+    plain = text('<div class="date">', block, '<span class="ano">', F.col("ano"), '</span><span class="ano">', F.col("clock_h"), "</span></div>")
+    tomorrow = F.date_add(F.col("day").cast("date"), 1)
+    short = F.element_at(F.array(*[F.lit(m[:3]) for m in C.MONTHS]), F.month(tomorrow))
+    until = F.when(k % 3 == 0, text('<div class="data-fim"><i class="dia">', F.dayofmonth(tomorrow).cast("string"), '</i><i class="mes">', short, " ", F.year(tomorrow).cast("string"), "</i></div>")).otherwise("")
+    wrapped = text('<div class="data-inicio">', block, '<span class="ano">', F.col("ano"), '</span><span class="hora">às ', F.col("clock_h"), "</span></div>", until)
+    card = lambda title: text('<a href="/pt/agenda/e', SID(), '"><div class="imagem7x10" style="background: url(\'https://example.org/i', SID(), '.jpg\')"></div><h3 class="proximo_title"> ', title, ' </h3><p class="local">Largo</p><p class="localidade">', F.col("city"), '</p><p class="categorias"><small>Cultura</small><small> </small></p>', F.when(k % 2 == 0, plain).otherwise(wrapped), "</a>")
+    page = text('<ul><li><a href="/pt/agenda/proximos-eventos">todos</a><li>', card(F.lit("First of two")), "<li>", card(F.col("title")), '<li><a href="/pt/agenda/none">no date</a></ul>')
+    title = F.when(k % 2 == 0, text('<h1 class="big title">', F.col("title"), " &amp;</h1>")).otherwise('<h1 class="title"></h1>')
+    dates = F.when(k % 7 == 0, "").otherwise(wrapped)
+    detail = text('<header><p class="local">Elsewhere</p></header><section class="titles">', title, dates, F.when(k % 4 == 0, '<p class="local">Sala</p>').otherwise(""), '<div class="categorias"><small>Feira</small><small>Música</small><small>Feira</small></div></section><div class="text sinopse"><p>About.</p></div>')
+    details = e.where("id % 5 <> 0").select(text("https://leiriagenda.cm-leiria.pt/pt/agenda/e", SID()).alias("url"), detail.alias("html"))
+    return K.leiriagenda(listing(e, page), details).select("slug", "title", "startAt", "endAt", "venueName", "city", F.array_join("categories", "|").alias("categories"), F.col("imageUrl").alias("image"), "error")
+
+
+SESSIONS = f"""se AS (SELECT *, unnest(CASE WHEN id % 5 = 0 OR id % 7 = 0 THEN [0] WHEN id % 2 = 0 THEN [0, 1] ELSE [0] END) AS n FROM pe WHERE id % 3 <> 0)"""
+
+
+@query(O.sql(f"""SELECT 'evento_' || id AS slug, 'Evento ' || id AS title, CASE WHEN id % 5 = 0 OR id % 7 = 0 THEN NULL WHEN id % 4 = 1 THEN {O.epoch_of("CAST(d + n AS TIMESTAMP)")} ELSE {O.epoch_of("t + n * INTERVAL 1 DAY")} END AS "startAt",
+  'Teatro Leiria' AS "venueName", CASE WHEN id % 7 = 0 THEN 'no detail page' WHEN id % 5 = 0 THEN 'no session date' END AS error FROM se""", EV, SESSIONS))
+def pack_bol(spark, sf_dir):
+    """Links that name event and venue, and the sessions of their detail pages: blocks or slashed dates, one time for all."""
+    e, k = parsed(spark, sf_dir), F.col("id")
+    venue = F.when(k % 3 == 0, "coliseu_porto").otherwise("teatro_leiria")
+    link = text('<a href="/Comprar/Bilhetes/', SID(), "-evento_", SID(), "-", venue, '/">x</a>')
+    page = text(link, link, '<a href="/Comprar/Bilhetes/9-one/">x</a><a href="/Comprar/">y</a>')
+    next_day = F.date_add(F.col("day").cast("date"), 1)
+    names = F.array(*[F.lit(m[:3]) for m in C.MONTHS])
+    session = lambda d: text('<div class="sessao"><b class="ano">', F.year(d).cast("string"), '</b><b class="mes">', F.element_at(names, F.month(d)), '</b><b class="dia">', F.dayofmonth(d).cast("string"), "</b></div>")
+    own = F.col("day").cast("date")
+    blocks = text('<div class="datas">', session(own), F.when(k % 2 == 0, session(next_day)).otherwise(""), '</div><div class="proxima-sessao"><span>', F.date_format(own, "dd MM yyyy"), " ", F.col("clock"), "</span><span>mais</span></div>")
+    body = F.when(k % 5 == 0, "Esgotado").when(k % 4 == 1, text("Dia ", F.date_format(own, "d/M/yyyy"))).otherwise(blocks)
+    details = e.where("id % 7 <> 0").select(text("https://www.bol.pt/Comprar/Bilhetes/", SID(), "-evento_", SID(), "-", venue).alias("url"), text('<div class="datas-sessoes">', body, "</div>").alias("html"))
+    return K.box_office(listing(e, page), details).select("slug", "title", "startAt", "venueName", "error")
+
+
+#: The site's mark of an unknown time is a real minute of the day as well.
+REAL = "strftime(t, '%H:%M') <> '00:59'"
+
+
+@query(O.sql(f"""SELECT 'va-' || id AS slug, title, CASE WHEN id % 3 <> 0 AND {REAL} THEN {MINUTE} WHEN id % 6 = 0 AND id % 5 <> 0 THEN {O.epoch_of("d + INTERVAL 10 HOUR")} ELSE {DAY} END AS "startAt",
+  CASE WHEN id % 3 <> 0 AND id % 2 = 0 THEN CASE WHEN {REAL} THEN {O.epoch_of("t + INTERVAL 1 DAY")} ELSE {O.epoch_of("CAST(d + 1 AS TIMESTAMP)")} END END AS "endAt",
+  CASE WHEN id % 5 <> 0 AND id % 2 = 0 THEN 'Clube' ELSE 'Sala' END AS "venueName", CASE WHEN id % 5 <> 0 AND id % 8 = 1 THEN 'Nazaré' ELSE city END AS city, 'Concertos' AS categories, CASE WHEN id % 5 = 0 THEN 'no detail page' END AS error
+  FROM pe WHERE city <> 'Lisboa' OR (id % 5 <> 0 AND id % 8 = 1)""", EV))
+def pack_viralagenda(spark, sf_dir):
+    """Cards with their data in attributes and JSON-LD details: a real time on the card wins, a placeholder yields."""
+    e, k = parsed(spark, sf_dir), F.col("id")
+    iso = lambda t: F.replace(t, F.lit(" "), F.lit("T"))
+    start = F.when(k % 3 == 0, text(F.col("day"), "T00:59")).otherwise(iso(F.col("t")))
+    tomorrow = F.date_format(F.date_add(F.col("day").cast("date"), 1), "yyyy-MM-dd")
+    end = F.when((k % 3 != 0) & (k % 2 == 0), text(' data-date-end="', tomorrow, "T", F.col("clock"), '"')).otherwise("")
+    card = text('<li id="c1" data-id="', SID(), '" data-url="/e/', SID(), '" data-date-start="', start, '"', end, '><div class="viral-event-title"><a class="viral-linked"><span>', F.col("title"), '</span></a></div><div class="viral-event-hour">', F.when(k % 3 == 0, " N/D ").otherwise(F.col("clock")), '</div><a class="node-name x"><span>', F.col("city"), '</span></a><a class="viral-event-place"><span>Sala</span></a><a title="Ver eventos desta categoria">Concertos</a><a title="Ver eventos desta categoria">Concertos</a></li>')
+    page = text("<ul>", card, card, '<li data-id="0">no url</li></ul>')
+    from_ = F.when(k % 6 == 0, text(', "startDate": "', F.col("day"), 'T10:00"')).otherwise("")
+    room = F.when(k % 2 == 0, '"name": " Clube "').otherwise('"name": 5')
+    town = F.when(k % 8 == 1, ', "address": {"addressLocality": "Nazaré"}').otherwise("")
+    html = text('<script type="application/ld+json">oops</script><script type="application/ld+json">{"@graph": [{"name": " ', F.col("title"), '"', from_, ', "location": {', room, town, "}}]}</script>")
+    details = e.where("id % 5 <> 0").select(text("https://www.viralagenda.com/e/", SID()).alias("url"), html.alias("html"))
+    return K.viralagenda(listing(e, page), details).select("slug", "title", "startAt", "endAt", "venueName", "city", F.array_join("categories", "|").alias("categories"), "error")
+
+
+@query(O.sql(f"""SELECT 'tl-' || id AS slug, CASE WHEN id % 3 <> 0 AND id % 2 = 0 THEN title || ' show' ELSE title END AS title, CASE WHEN id % 3 <> 0 THEN {MINUTE} ELSE {DAY} END AS "startAt", CASE WHEN id % 3 <> 0 THEN 'Sala 2' WHEN id % 2 = 0 THEN 'Teatro' ELSE 'Arena' END AS "venueName",
+  'Leiria' AS city, 'Música' AS categories, CAST(NULL AS VARCHAR) AS error FROM pe WHERE {DAY} >= {O.epoch_of(f"CAST(CAST({O.lisbon(NOW)} AS DATE) AS TIMESTAMP)")} AND (id % 4 = 0 OR CASE WHEN id % 3 <> 0 THEN city <> 'Lisboa' ELSE id % 2 = 0 END)""", EV))
+def pack_ticketline(spark, sf_dir):
+    """Search rows in microdata and the first session of their detail pages; aggregators have none."""
+    e, k = parsed(spark, sf_dir), F.col("id")
+    venue = F.when(k % 2 == 0, "Teatro, Leiria").otherwise("Arena")
+    row = text('<li itemscope itemtype="http://schema.org/Event"><a itemprop="url" href="/evento/x-', SID(), '"><p itemprop="name"> ', F.col("title"), ' </p><p class="date" data-date="', F.col("day"), '"></p><p itemprop="location">', venue, '</p><p class="metadata categories">Música</p></a>')
+    page = text("<ul>", row, row, '<li itemscope itemtype="http://schema.org/Event"><a itemprop="url" href="/none">x</a></ul>')
+    show = F.when(k % 2 == 0, text('<div itemprop="name" content="', F.col("title"), ' show"></div>')).otherwise("")
+    session = text('<ul><li itemprop="Event">', show, '<p class="date" itemprop="startDate" content="', F.col("day"), "T", F.col("clock"), '"></p><p class="venue" itemprop="name">Sala 2</p><span itemprop="addressLocality">', F.col("city"), '</span></li><li itemprop="Event">later</li></ul>')
+    html = text('<article class="event_detail"><h2 class="title">', F.col("title"), "</h2></article>", F.when(k % 3 == 0, "").otherwise(session))
+    details = e.select(text("https://www.ticketline.pt/evento/x-", SID()).alias("url"), html.alias("html"))
+    searches = e.select(k.alias("page_id"), page.alias("html"), (k % 4 == 0).alias("venue_scoped"))
+    return K.ticketline(searches, details, NOW).select("slug", "title", "startAt", "venueName", "city", F.array_join("categories", "|").alias("categories"), "error")

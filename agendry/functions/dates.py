@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from agendry import constants as C
+from agendry.functions.text import fold, let
 
 EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 
@@ -54,8 +55,6 @@ def iso_epoch(c: Column) -> Column:
 
 def month_number(c: Column) -> Column:
     """1 to 12 of a Portuguese month name, full or its first three letters, with or without marks."""
-    from agendry.functions.text import fold
-
     short = F.substring(fold(c), 1, 3)
     return F.nullif(F.array_position(F.array(*[F.lit(m.replace("ç", "c")[:3]) for m in C.MONTHS]), short), F.lit(0).cast("bigint")).cast("int")
 
@@ -78,11 +77,6 @@ def weekday(day: Column) -> Column:
     return F.weekday(day.cast("date"))
 
 
-def let(value: Column, fn) -> Column:
-    """``fn(value)`` with the value computed once, which keeps long rules short when they are compiled."""
-    return F.element_at(F.transform(F.array(value), fn), 1)
-
-
 def strict_clock(c: Column) -> Column:
     """Epoch of YYYY-MM-DD HH:mm, with a space or T between and anything after the minute; null for other texts."""
     parts = [captured(F.trim(c), r"^(\d{4})-(\d{2})-(\d{2})[T ](\d{2}):(\d{2})", i) for i in range(1, 6)]
@@ -108,8 +102,6 @@ def full_year(c: Column) -> Column:
 
 def full_month(c: Column) -> Column:
     """1 to 12 of a whole Portuguese month name, with or without marks; null for other words."""
-    from agendry.functions.text import fold
-
     names = F.array(*[F.lit(m.replace("ç", "c")) for m in C.MONTHS])
     return F.nullif(F.array_position(names, fold(c)), F.lit(0).cast("bigint")).cast("int")
 
@@ -206,8 +198,6 @@ def free_date(text: Column, ref: Column) -> Column:
     or slashed dates, and short dates with a year, in this order. The first one that a time follows within 16
     characters is taken, else the first of the years 2020 to 2100, else the first.
     """
-    from agendry.functions.text import fold
-
     return let(fold(text), lambda flat: _announced(flat, ref))
 
 

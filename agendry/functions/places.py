@@ -41,8 +41,8 @@ def with_municipality(df: DataFrame, city: str, out: str = "municipality") -> Da
 
 
 def in_district(city: Column) -> Column:
-    n = T.norm_place(F.coalesce(city, F.lit("")))
-    return ~n.isin(NOWHERE) & (n.rlike("(^|[^a-z])leir") | n.isin([*MUNICIPALITY, *LOCALITIES]))
+    known = lambda n: ~n.isin(NOWHERE) & (n.rlike("(^|[^a-z])leir") | n.isin([*MUNICIPALITY, *LOCALITIES]))
+    return T.let(T.norm_place(F.coalesce(city, F.lit(""))), known)
 
 
 def is_locality(city: Column) -> Column:
@@ -52,32 +52,30 @@ def is_locality(city: Column) -> Column:
 
 def known_venue(evidence: Column) -> Column:
     """The first curated venue whose name or alias stands in the evidence, or null."""
-    tokens = T.norm_title(F.coalesce(evidence, F.lit("")))
-    hit = [F.when(T.has_phrase(tokens, T.norm_title(F.lit(n))), F.lit(name)) for name, aliases, _ in C.KNOWN_VENUES for n in (name, *aliases)]
-    return F.coalesce(*hit)
+    hit = lambda tokens: F.coalesce(*[F.when(T.has_phrase(tokens, _norm_title(n)), F.lit(name)) for name, aliases, _ in C.KNOWN_VENUES for n in (name, *aliases)])
+    return T.let(T.norm_title(F.coalesce(evidence, F.lit(""))), hit)
 
 
 def in_scope(city: Column, venue: Column) -> Column:
-    return in_district(city) | in_district(venue) | known_venue(venue).isNotNull()
+    return in_district(city) | T.let(venue, lambda v: in_district(v) | known_venue(v).isNotNull())
 
 
 def title_place(title: Column) -> Column:
     """The municipality that a title names: whole phrases first, then single words."""
-    tokens = T.norm_title(F.coalesce(title, F.lit("")))
-    return F.coalesce(*[F.when(T.has_phrase(tokens, p), F.lit(MUNICIPALITY[p])) for p in (*C.TITLE_PHRASES, *C.TITLE_SINGLES)])
+    first = lambda tokens: F.coalesce(*[F.when(T.has_phrase(tokens, p), F.lit(MUNICIPALITY[p])) for p in (*C.TITLE_PHRASES, *C.TITLE_SINGLES)])
+    return T.let(T.norm_title(F.coalesce(title, F.lit(""))), first)
 
 
 def record_scope(name: Column) -> Column:
     """concelho, lugar or venue, by the first part of a record's name."""
     first = F.element_at(F.split(T.decode_entities(name, lenient=True), "[,/]"), 1)
-    n = T.norm_place(F.trim(F.regexp_replace(first, r"\s*\([^)]*\)\s*$", "")))
-    return F.when(n.isin([*MUNICIPALITY, *C.MUNICIPALITY_ALIASES]), "concelho").when(n.isin(sorted(PARISH)), "lugar").otherwise("venue")
+    kind = lambda n: F.when(n.isin([*MUNICIPALITY, *C.MUNICIPALITY_ALIASES]), "concelho").when(n.isin(sorted(PARISH)), "lugar").otherwise("venue")
+    return T.let(T.norm_place(F.trim(F.regexp_replace(first, r"\s*\([^)]*\)\s*$", ""))), kind)
 
 
 def known_city(evidence: Column) -> Column:
     """The city of the first curated venue that the evidence names, or null."""
-    name = known_venue(evidence)
-    return F.coalesce(*[F.when(name == n, F.lit(city)) for n, _, city in C.KNOWN_VENUES])
+    return T.let(known_venue(evidence), lambda name: F.coalesce(*[F.when(name == n, F.lit(city)) for n, _, city in C.KNOWN_VENUES]))
 
 
 def resolve_scope(title: Column, card_title: Column, city: Column, *venues: Column) -> Column:
@@ -87,13 +85,18 @@ def resolve_scope(title: Column, card_title: Column, city: Column, *venues: Colu
     city of the district is kept; otherwise the curated venue's, else the first place named by venue or titles,
     else the row's own.
     """
-    evidence = F.coalesce(*[T.usable_venue(v) for v in venues], T.title_venue(card_title))
-    own = F.nullif(F.trim(F.coalesce(city, F.lit(""))), F.lit(""))
-    known = F.coalesce(known_city(evidence), known_city(card_title))
-    named = F.coalesce(title_place(card_title), title_place(title))
-    scoped = in_scope(own, evidence) | known.isNotNull() | (own.isNull() & named.isNotNull())
-    resolved = F.coalesce(F.when(in_district(own), own), known, title_place(evidence), named, own)
-    return F.struct(scoped.alias("in_scope"), F.when(scoped, resolved).alias("city"), evidence.alias("venue"))
+    facts = F.struct(
+        F.coalesce(*[T.usable_venue(v) for v in venues], T.title_venue(card_title)).alias("venue"), F.nullif(F.trim(F.coalesce(city, F.lit(""))), F.lit("")).alias("own"),
+        known_city(card_title).alias("known"), F.coalesce(title_place(card_title), title_place(title)).alias("named"),
+    )
+    seen = lambda f: F.struct(f["venue"].alias("venue"), f["own"].alias("own"), F.coalesce(known_city(f["venue"]), f["known"]).alias("known"), f["named"].alias("named"), in_district(f["own"]).alias("inside"))
+
+    def scope(f: Column) -> Column:
+        scoped = f["inside"] | in_scope(F.lit(None).cast("string"), f["venue"]) | f["known"].isNotNull() | (f["own"].isNull() & f["named"].isNotNull())
+        resolved = F.coalesce(F.when(f["inside"], f["own"]), f["known"], title_place(f["venue"]), f["named"], f["own"])
+        return F.struct(scoped.alias("in_scope"), F.when(scoped, resolved).alias("city"), f["venue"].alias("venue"))
+
+    return T.let(T.let(facts, seen), scope)
 
 
 def is_outside(place: Column) -> Column:
@@ -106,12 +109,14 @@ def tail_city(venue: Column, default: str) -> Column:
 
     An unknown venue ("a definir", "a confirmar", nothing) is the default city itself.
     """
-    raw = F.trim(F.coalesce(venue, F.lit("")))
-    unknown = (raw == "") | raw.rlike(r"(?i)^a\s*(definir|confirmar)$")
-    parts = F.filter(F.transform(F.split(raw, ","), lambda p: F.trim(p)), lambda p: p != "")
-    last = F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))
-    city = F.when(~unknown & (in_district(last) | is_outside(last)), last).otherwise(default)
-    return F.struct(F.when(unknown, default).otherwise(raw).alias("venue"), city.alias("city"))
+
+    def parted(raw: Column) -> Column:
+        unknown = (raw == "") | raw.rlike(r"(?i)^a\s*(definir|confirmar)$")
+        parts = F.filter(F.transform(F.split(raw, ","), lambda p: F.trim(p)), lambda p: p != "")
+        city = T.let(F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit("")), lambda last: F.when(~unknown & (in_district(last) | is_outside(last)), last).otherwise(default))
+        return F.struct(F.when(unknown, default).otherwise(raw).alias("venue"), city.alias("city"))
+
+    return T.let(F.trim(F.coalesce(venue, F.lit(""))), parted)
 
 
 def category_rows() -> list[tuple[str, str, int]]:

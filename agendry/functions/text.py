@@ -11,6 +11,11 @@ from pyspark.sql import Column, functions as F
 from agendry import constants as C
 
 
+def let(value: Column, fn) -> Column:
+    """``fn(value)`` with the value bound once: a rule that reads it often neither repeats it in the plan nor computes it again."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 @functools.cache
 def _accents() -> tuple[str, str, list[tuple[str, str]]]:
     """Characters that lose their marks one to one, and those that become several."""
@@ -66,28 +71,35 @@ def listed(values) -> Column:
 
 
 def norm_venue(c: Column) -> Column:
-    flat = F.trim(F.regexp_replace(c, r"\s+", " "))
-    out = flat
-    for p in reversed(C.VENUE_PREFIXES):
-        out = F.when(flat.startswith(p), F.trim(F.substring(flat, F.lit(len(p) + 1), F.length(flat)))).otherwise(out)
-    return out
+
+    def bare(flat: Column) -> Column:
+        out = flat
+        for p in reversed(C.VENUE_PREFIXES):
+            out = F.when(flat.startswith(p), F.trim(F.substring(flat, F.lit(len(p) + 1), F.length(flat)))).otherwise(out)
+        return out
+
+    return let(F.trim(F.regexp_replace(c, r"\s+", " ")), bare)
 
 
 def norm_city(c: Column) -> Column:
     base = norm_title(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s*\([^)]*\)\s*", " "))
-    kept = F.filter(words(base), lambda w: ~w.isin(C.CITY_FILLERS))
-    return F.when(F.size(kept) > 0, F.array_join(kept, " ")).otherwise(base)
+    kept = lambda b: F.array_join(F.filter(words(b), lambda w: ~w.isin(C.CITY_FILLERS)), " ")
+    return let(base, lambda b: F.coalesce(F.nullif(kept(b), F.lit("")), b))
 
 
 def venue_tokens(name: Column, city: Column) -> Column:
     """Sorted distinct words of a venue's name that tell it from others of its city."""
+    return F.array_sort(_own_words(name, words(norm_city(city))))
+
+
+def _own_words(name: Column, city_words: Column) -> Column:
     all_words = words(norm_title(norm_venue(F.coalesce(name, F.lit("")))))
     own = F.filter(all_words, lambda w: (F.length(w) >= 3) & ~w.isin([*C.VENUE_STOPWORDS, *C.GENERIC_VENUE_WORDS]))
-    return F.array_sort(F.array_distinct(F.array_except(own, words(norm_city(city)))))
+    return F.array_distinct(F.array_except(own, city_words))
 
 
 def is_vague(name: Column, city: Column) -> Column:
-    return F.size(F.array_except(venue_tokens(name, city), F.concat(listed(C.DISTRICT_WORDS), words(norm_city(city))))) == 0
+    return let(words(norm_city(city)), lambda ws: F.size(F.array_except(_own_words(name, ws), F.concat(listed(C.DISTRICT_WORDS), ws))) == 0)
 
 
 def title_core(c: Column) -> Column:
@@ -112,14 +124,14 @@ def decode_entities(c: Column, lenient: bool = False) -> Column:
     ``lenient`` drops references to no character and knows six names, in any case.
     """
     def numeric(text: Column, pattern: str, base: int) -> Column:
-        found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+        found = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)))
 
         def put(acc: Column, whole: Column) -> Column:
             digits = F.regexp_extract(whole, pattern, 1)
             n = F.when(F.length(F.regexp_replace(digits, "^0+", "")) <= 7, F.conv(digits, base, 10).cast("bigint")).otherwise(F.lit(-1).cast("bigint"))
-            return F.replace(acc, whole, _from_code(n, whole, F.lit("") if lenient else whole))
+            return F.replace(acc, whole, let(n, lambda code: _from_code(code, whole, F.lit("") if lenient else whole)))
 
-        return F.aggregate(found, text, put)
+        return let(text, lambda t: F.aggregate(found(t), t, put))
 
     text = c if lenient else F.regexp_replace(c, r"(?s)<!--.*?-->", "")
     text = numeric(text, "&#[xX]([0-9a-fA-F]+);", 16)
@@ -132,8 +144,8 @@ def decode_entities(c: Column, lenient: bool = False) -> Column:
 
     def one(part: Column) -> Column:
         name = F.regexp_extract(part, "^" + pattern, 1)
-        value = table[F.lower(name) if lenient else name]
-        return F.when((name != "") & value.isNotNull(), F.concat(value, F.substring(part, F.length(name) + 3, F.length(part)))).otherwise(part)
+        known = let(table[F.lower(name) if lenient else name], lambda value: F.concat(value, F.substring(part, F.length(name) + 3, F.length(part))))
+        return F.coalesce(F.when(name != "", known), part)
 
     return F.array_join(F.transform(parts, one), "")
 
@@ -171,9 +183,13 @@ def slug_to_title(c: Column) -> Column:
 
 def title_venue(c: Column) -> Column:
     """What follows the last @, if something stands before it and it has 1 to 60 characters."""
-    right = F.trim(F.substring_index(c, "@", -1))
-    left = F.trim(F.substring(c, F.lit(1), F.length(c) - F.length(F.substring_index(c, "@", -1)) - 1))
-    return F.when(F.contains(c, F.lit("@")) & (left != "") & F.length(right).between(1, 60), right)
+
+    def after(c: Column) -> Column:
+        right = F.trim(F.substring_index(c, "@", -1))
+        left = F.trim(F.substring(c, F.lit(1), F.length(c) - F.length(F.substring_index(c, "@", -1)) - 1))
+        return F.when(F.contains(c, F.lit("@")) & (left != "") & F.length(right).between(1, 60), right)
+
+    return let(c, after)
 
 
 def haystack(*parts: Column) -> Column:
@@ -182,7 +198,7 @@ def haystack(*parts: Column) -> Column:
 
 def _known(c: Column, junk) -> Column:
     """The text, or null if it is empty or one of the junk values in any case and with any marks."""
-    return F.when((c != "") & ~F.trim(fold(c)).isin(*junk), c)
+    return let(c, lambda v: F.when((v != "") & ~F.trim(fold(v)).isin(*junk), v))
 
 
 def prose_venue(text: Column) -> Column:
@@ -197,20 +213,20 @@ def prose_venue(text: Column) -> Column:
 
 def pick_venue(city: Column, *candidates: Column) -> Column:
     """The first candidate that is neither empty nor a placeholder, else the city."""
-    flat = [F.trim(F.regexp_replace(c, r"\s+", " ")) for c in candidates]
-    usable = [F.when((c != "") & ~F.lower(c).isin(*C.VENUE_PLACEHOLDERS) & ~c.rlike("^-+$"), c) for c in flat]
-    return F.coalesce(*usable, city)
+    usable = lambda v: (v != "") & ~F.lower(v).isin(*C.VENUE_PLACEHOLDERS) & ~v.rlike("^-+$")
+    flat = F.transform(F.array(*candidates), lambda c: F.trim(F.regexp_replace(c, r"\s+", " ")))
+    return F.coalesce(F.try_element_at(F.filter(flat, usable), F.lit(1)), city)
 
 
 def usable_venue(c: Column) -> Column:
     """A venue's name, or null if it is empty or a country."""
-    return F.when((F.trim(c) != "") & ~norm_place(F.trim(c)).isin(*C.COUNTRY_PLACEHOLDERS), F.trim(c))
+    return let(F.trim(c), lambda v: F.when((v != "") & ~norm_place(v).isin(*C.COUNTRY_PLACEHOLDERS), v))
 
 
 def is_feed_venue(slug: Column, venue: Column) -> Column:
     """The venue repeats the words of its feed's slug, or calls itself an agenda."""
     feed = venue_tokens(F.regexp_replace(slug, "[-/]", " "), F.lit(""))
-    repeated = (F.size(feed) > 0) & (F.size(F.array_except(feed, venue_tokens(venue, F.lit("")))) == 0)
+    repeated = let(feed, lambda f: (F.size(f) > 0) & (F.size(F.array_except(f, venue_tokens(venue, F.lit("")))) == 0))
     return repeated | venue.rlike("(?i)agenda")
 
 

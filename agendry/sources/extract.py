@@ -42,12 +42,12 @@ def sitemap_index(body: Column, pattern: str) -> Column:
 def repair_pairs(c: Column) -> Column:
     """Character references to the two halves of a surrogate pair become the character they mean together."""
     pair = r"&#(5[56]\d{3});\s*&#(5[67]\d{3});"
-    found = F.array_distinct(F.regexp_extract_all(c, F.lit(pair), F.lit(0)))
+    found = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit(pair), F.lit(0)))
     half = lambda whole, i: F.regexp_extract(whole, pair, i).cast("int")
     code = lambda whole: (half(whole, 1) - 0xD800) * 0x400 + half(whole, 2) - 0xDC00 + 0x10000
     whole = lambda w: (half(w, 1) < 0xDC00) & (half(w, 1) >= 0xD800) & half(w, 2).between(0xDC00, 0xDFFF)
     one = lambda text, w: F.when(whole(w), F.replace(text, w, F.decode(F.unhex(F.lpad(F.hex(code(w)), 8, "0")), "UTF-32"))).otherwise(text)
-    return F.aggregate(found, c, one)
+    return T.let(c, lambda t: F.aggregate(found(t), t, one))
 
 
 def rfc_epoch(c: Column) -> Column:
@@ -91,9 +91,9 @@ def jsonld_nodes(html: Column) -> Column:
 def first_event(nodes: Column) -> Column:
     """The first node of an event type, else the first with a start date."""
     kind_of = lambda v: F.coalesce(F.try_variant_get(v, "$['@type'][0]", "string"), F.try_variant_get(v, "$['@type']", "string"), F.lit(""))
-    kind = F.filter(nodes, lambda v: kind_of(v).rlike("Event$"))
-    dated = F.filter(nodes, lambda v: F.try_variant_get(v, "$.startDate", "string").isNotNull())
-    return F.coalesce(F.try_element_at(kind, F.lit(1)), F.try_element_at(dated, F.lit(1)))
+    kind = lambda every: F.filter(every, lambda v: kind_of(v).rlike("Event$"))
+    dated = lambda every: F.filter(every, lambda v: F.try_variant_get(v, "$.startDate", "string").isNotNull())
+    return T.let(nodes, lambda every: F.coalesce(F.try_element_at(kind(every), F.lit(1)), F.try_element_at(dated(every), F.lit(1))))
 
 
 def jsonld_fields(node: Column) -> list[Column]:
@@ -113,7 +113,7 @@ def link_chunks(html: Column, limit: int = 3000) -> Column:
     parts = F.slice(split, F.lit(2), F.size(split))
     text = lambda p: T.strip_tags(F.regexp_replace(F.substring(p, 1, limit), '^[^>]*>', ""))
     dated = lambda p, d: F.struct(F.substring_index(p, '"', 1).alias("href"), text(p).alias("chunk"), d["earliest"].alias("earliest"), d["latest"].alias("latest"))
-    return F.transform(parts, lambda p: D.let(D.chip_dates(F.substring(p, 1, limit)), lambda d: dated(p, d)))
+    return F.transform(parts, lambda p: T.let(D.chip_dates(F.substring(p, 1, limit)), lambda d: dated(p, d)))
 
 
 def field(block: Column, pattern: str) -> Column:
@@ -121,13 +121,19 @@ def field(block: Column, pattern: str) -> Column:
     return F.nullif(T.plain_text(F.regexp_extract(block, pattern, 1)), F.lit(""))
 
 
+def fielded(block: Column, fields: dict[str, str], *more: Column) -> Column:
+    """A struct of the plain texts of patterns in a block (see field()), and of what else is given."""
+    texts = F.transform(F.array(*[F.regexp_extract(block, p, 1) for p in fields.values()]), lambda v: F.nullif(T.plain_text(v), F.lit("")))
+    return T.let(texts, lambda found: F.struct(*[F.element_at(found, i).alias(n) for i, n in enumerate(fields, 1)], *more))
+
+
 def cards(html: Column, marker: str, fields: dict[str, str], need: tuple[str, ...], key: str | None = None) -> Column:
     """Array of the cards of a listing: the page is split at a marker and fields are read from each part by pattern.
 
     Cards that lack a needed field go; of cards with the same ``key`` the first stays.
     """
     parts = F.split(html, marker, -1)
-    rows = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda b: F.struct(*[field(b, p).alias(n) for n, p in fields.items()]))
+    rows = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda b: fielded(b, fields))
     whole = F.filter(rows, lambda r: F.coalesce(*[F.when(r[n].isNull(), F.lit(False)) for n in need], F.lit(True)))
     if key is None:
         return whole
@@ -137,8 +143,9 @@ def cards(html: Column, marker: str, fields: dict[str, str], need: tuple[str, ..
 
 def meta(html: Column, name: str) -> Column:
     """The content of a meta element by name, else by property."""
-    get = lambda attr: F.nullif(F.trim(T.decode_entities(F.regexp_extract(html, rf'<meta[^>]+{attr}="{name}"[^>]+content="([^"]*)"', 1))), F.lit(""))
-    return F.coalesce(get("name"), get("property"))
+    get = lambda attr: F.regexp_extract(html, rf'<meta[^>]+{attr}="{name}"[^>]+content="([^"]*)"', 1)
+    texts = F.transform(F.array(get("name"), get("property")), lambda v: F.trim(T.decode_entities(v)))
+    return F.try_element_at(F.filter(texts, lambda v: v != ""), F.lit(1))
 
 
 def calendar_var(html: Column, name: str) -> Column:
