@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from agendry.runtime import share_code
+from agendry.runtime import checkpoint_dir, share_code
 
 
 #: Rows of an Arrow batch: texts can be long, and a worker holds a batch several times over.
@@ -53,3 +56,20 @@ def utf8(column: pa.Array) -> Iterator[bytes]:
     view = memoryview(data) if data is not None else memoryview(b"")
     for a, b in zip(at, at[1:]):
         yield bytes(view[a:b])
+
+
+def dropped(spark: SparkSession, uri: str) -> None:
+    """Delete a file or folder of the shared folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[str]:
+    """A folder of its own in the shared one, as a URI, that is there until the block ends."""
+    root = checkpoint_dir(spark)
+    uri = f"{root if ':/' in root else 'file://' + os.path.abspath(root)}/{name}-{uuid.uuid4().hex}"
+    try:
+        yield uri
+    finally:
+        dropped(spark, uri)

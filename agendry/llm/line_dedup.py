@@ -29,7 +29,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from agendry.llm.arrow import free_name, small_batches, utf8
+from agendry.llm.arrow import free_name, scratch, small_batches, utf8
+from agendry.runtime import cut
 
 #: Words that a common passage has at least.
 MIN_WORDS = 50
@@ -207,7 +208,14 @@ def anchors_of(shared: list[dict], gap: int = GAP) -> list[tuple[int, int, int,
 
 def common_blocks(docs: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE) -> DataFrame:
     """(doc_id, body, first_id, pos, first_pos, size): aligned blocks of each row with earlier documents."""
-    found = keys(docs, min_words)
+    with scratch(docs.sparkSession, "line-keys") as folder:
+        # Keys are read for their counts, for runs and for rare lines: they are stored once, compressed, till the blocks are known.
+        stored = keys(docs, min_words)
+        stored.write.options(**{"compression": "zstd"}).parquet(folder)
+        return cut(_aligned(docs.sparkSession.read.schema(stored.schema).parquet(folder), min_words, rare))
+
+
+def _aligned(found: DataFrame, min_words: int, rare: int) -> DataFrame:
     counted = found.groupBy("run", "proof").agg(F.min(F.struct("doc_id", "body", F.slice("at", 1, 1).alias("at"))).alias("f"), F.count(F.lit(1)).alias("held")).where("held > 1")
     shared = lambda at, first: F.struct(at.alias("at"), first.alias("first_at"), "size", "words")
     names = ["doc_id", "body", "first_id", "first_body"]
@@ -259,7 +267,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Passages shorter than ``min_words`` words stay. A column n_chars is set to the new length. Other
     columns are kept; one named n_removed is replaced.
     """
-    own_id, own_body, gone, cut = (free_name(docs, f"dedup_{n}") for n in ("id", "body", "gone", "text"))
+    own_id, own_body, gone, shorter = (free_name(docs, f"dedup_{n}") for n in ("id", "body", "gone", "text"))
     # Lines are numbered without empty ones.
     blocks = common_blocks(docs, min_words).groupBy(F.col("doc_id").alias(own_id), F.col("body").alias(own_body)).agg(F.collect_set(F.struct("pos", "size")).alias(gone))
     numbered = blocks.withColumn(gone, F.array_distinct(F.flatten(F.transform(gone, lambda s: F.sequence(s["pos"], s["pos"] + s["size"] - 1)))))
@@ -270,8 +278,8 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         return pd.Series([None if t is None else without_lines(t, set(n.tolist())) for t, n in zip(text, lines)], dtype=object)
 
     hit = F.col(gone).isNotNull()
-    done = joined.withColumn(cut, shortened(F.when(hit, F.col("text")), F.col(gone)))
-    new = {"text": F.when(hit, F.col(cut)).otherwise(F.col("text"))}
+    done = joined.withColumn(shorter, shortened(F.when(hit, F.col("text")), F.col(gone)))
+    new = {"text": F.when(hit, F.col(shorter)).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(hit, F.char_length(cut)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(hit, F.char_length(shorter)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return done.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns if c != "n_removed"], F.when(hit, F.size(gone)).otherwise(0).alias("n_removed"))

@@ -29,10 +29,10 @@ import sentencepiece
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from agendry.llm.arrow import small_batches, utf8
+from agendry.llm.arrow import scratch, small_batches, utf8
 from agendry.llm.bpe import load_ranks
 from agendry.llm.training_order import token_ids
-from agendry.runtime import checkpoint_dir, cut
+from agendry.runtime import cut
 
 B_BITS = 15
 #: Pairs that a task holds before it gives them away, in the first pass, or looks them up, in the second.
@@ -398,12 +398,7 @@ def alignment(docs: DataFrame, ranks_path: str, pattern: str, model_path: str) -
     must reach, until the result is made.
     """
     spark = docs.sparkSession
-    root = checkpoint_dir(spark)
-    folder = f"{root if ':/' in root else 'file://' + root}/alignment-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(path)
-    try:
+    with scratch(spark, "alignment") as folder:
         first = _first_pass(docs, ranks_path, pattern, model_path)
         first.write.options(**{"compression": "zstd", "parquet.enable.dictionary": "false"}).parquet(f"{folder}/stored")
         stored = spark.read.schema(first.schema).parquet(f"{folder}/stored")
@@ -412,5 +407,3 @@ def alignment(docs: DataFrame, ranks_path: str, pattern: str, model_path: str) -
         shards = min(MOST_SHARDS, 1 << max(0, (total // SHARD_KEYS).bit_length()))
         best = _tables(noted, shards, folder)
         return cut(_second_pass(stored, functools.partial(_lengths, ranks_path, model_path), shards, folder, best))
-    finally:
-        fs.delete(path, True)

@@ -28,7 +28,7 @@ import tiktoken
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from agendry.llm.arrow import map_batches, small_batches, utf8
+from agendry.llm.arrow import dropped, map_batches, scratch, small_batches, utf8
 from agendry.llm.bpe import encoder, load_ranks
 from agendry.runtime import checkpoint_dir, cut
 
@@ -134,11 +134,6 @@ def _stored(packed: DataFrame, path: str) -> DataFrame:
     return packed.sparkSession.read.schema(packed.schema).parquet(path)
 
 
-def _dropped(spark: SparkSession, uri: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def training_order(docs: DataFrame, ranks_path: str, pattern: str, key: bytes, length: int = LENGTH, shard_size: int = SHARD, packed_at: str | None = None) -> DataFrame:
     """(slot, shard, record, byte_offset, first_doc, n_docs, n_tokens, ids), range-partitioned and sorted by slot.
 
@@ -147,7 +142,7 @@ def training_order(docs: DataFrame, ranks_path: str, pattern: str, key: bytes, l
     sequences. An empty table gives no sequence. Other columns are not read. Packed sequences are stored at ``packed_at``, a
     folder of their own in the shared one if it is not given, and may go once the result is made.
     """
-    packed = _stored(sequences(docs, ranks_path, pattern, length), packed_at or _scratch(docs.sparkSession))
+    packed = _stored(sequences(docs, ranks_path, pattern, length), packed_at or f"{checkpoint_dir(docs.sparkSession)}/packed-{uuid.uuid4().hex}")
     # One row for each partition, not for each document.
     counts = {r["part"]: r["n"] for r in packed.groupBy("part").agg(F.max("seq").alias("n")).collect()}
     starts, total = {}, 0
@@ -175,10 +170,6 @@ def training_order(docs: DataFrame, ranks_path: str, pattern: str, key: bytes, l
     )
 
 
-def _scratch(spark: SparkSession) -> str:
-    return f"{checkpoint_dir(spark)}/packed-{uuid.uuid4().hex}"
-
-
 def shard_folder(spark: SparkSession, source: str, key: bytes, length: int = LENGTH, shard_size: int = SHARD) -> str:
     """A folder in the shared one, as a URI, for the shards of one source, key and size."""
     root = checkpoint_dir(spark)
@@ -212,7 +203,7 @@ def _published(manifest: DataFrame, folder: str) -> DataFrame:
     there = [(i.base_name,) for i in fs.get_file_info(pafs.FileSelector(root)) if i.base_name not in ("CURRENT.json", name)]
     listed = manifest.select(F.element_at(F.split("path", "/"), -1).alias("name"))
     for (stale,) in spark.createDataFrame(there, "name string").join(listed, "name", "left_anti").collect():
-        _dropped(spark, f"{folder}/{stale}")
+        dropped(spark, f"{folder}/{stale}")
     return shards(spark, folder)
 
 
@@ -254,11 +245,8 @@ def written_order(ordered: DataFrame, folder: str) -> DataFrame:
 
 def ordered_shards(docs: DataFrame, ranks_path: str, pattern: str, key: bytes, folder: str, length: int = LENGTH, shard_size: int = SHARD) -> DataFrame:
     """written_order() of training_order() of ``docs``; the packed sequences in between are deleted."""
-    packed_at = _scratch(docs.sparkSession)
-    try:
+    with scratch(docs.sparkSession, "packed") as packed_at:
         return written_order(training_order(docs, ranks_path, pattern, key, length, shard_size, packed_at), folder)
-    finally:
-        _dropped(docs.sparkSession, packed_at)
 
 
 def _written(ordered: DataFrame, folder: str, each: bool) -> DataFrame:
