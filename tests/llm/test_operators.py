@@ -474,6 +474,11 @@ def test_pruning_leaves_documents_unscored():
     at = shard.find(np.append(np.arange(40), [1007]))
     w = np.append(np.full(40, 0.1), [9.0])
     assert set(shard.search(at, w, 10)[1]) <= set(range(84, 96)) and sum(scored) < 200
+    # With a floor, blocks that do not hold the rare word are skipped.
+    best = sorted(zip(*shard.search(at, w, 10)), reverse=True)[:10]
+    scored.clear()
+    again = shard.search(at, w, 10, float(best[-1][0]))
+    assert sorted(zip(*again), reverse=True)[:10] == best and shard.skipped > 0.8 * shard.met > 0 and sum(scored) <= topk_search.BLOCK * 12
 
 
 def test_rounds_give_the_same_results(spark, make_docs, monkeypatch):
