@@ -48,6 +48,43 @@ def stream_anchor_sessions(spark, sf_dir):
     return J.drain(J.anchor_sessions(keyed, "key", "t"))
 
 
+def one_by_one(spark, folder, schema):
+    """A stream of a folder's files, one a micro-batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@query(f"""WITH RECURSIVE st AS (SELECT DISTINCT event_type || '|' || user_id AS key, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events),
+walk AS (SELECT key, min(t) AS anchor FROM st GROUP BY 1 UNION ALL SELECT w.key, (SELECT min(s.t) FROM st s WHERE s.key = w.key AND s.t > w.anchor + {C.SESSION_WINDOW}) AS anchor FROM walk w WHERE w.anchor IS NOT NULL)
+SELECT key, anchor FROM walk WHERE anchor IS NOT NULL""")
+def stream_anchor_changes(spark, sf_dir):
+    """Starts that arrive in three drops, each all over time: late ones move anchors, and the changes net to the sessions of all."""
+    folder = f"{J.home_of(spark, None)}/drops"
+    rows = tables.read(spark, sf_dir, "events").select(
+        F.concat_ws("|", "event_type", F.col("user_id").cast("string")).alias("key"), F.to_timestamp(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))).alias("at"), "event_id"
+    )
+    for part in range(3):
+        rows.where(F.col("event_id") % 3 == part).drop("event_id").write.mode("append").parquet(folder)
+    changes = J.drain(J.anchor_changes(one_by_one(spark, folder, "key string, at timestamp"), "key", "at", "3650 days"), provider=J.ROCKSDB)
+    return changes.groupBy("key", "anchor").agg(F.sum("change").alias("n")).where("n = 1").select("key", "anchor")
+
+
+@query("""SELECT 'https://example.org/e' || event_id AS url, strftime(ts, '%Y-%m-%d') AS lastmod, 'new' AS kind FROM events WHERE event_id % 11 <> 0
+UNION ALL SELECT 'https://example.org/e' || event_id, strftime(CAST(ts AS DATE) + CAST(event_id % 7 = 0 AS INTEGER), '%Y-%m-%d'), CASE WHEN event_id % 11 = 0 THEN 'new' ELSE 'changed' END FROM events WHERE event_id % 11 = 0 OR event_id % 7 = 0""")
+def stream_change_feed(spark, sf_dir):
+    """Two drops of a sitemap of all events: the second gives new urls and those whose lastmod moved, and comes twice for nothing."""
+    home = J.home_of(spark, None)
+    name, folder, k = home.rsplit("stream-", 1)[1], f"{home}/drops", F.col("event_id")
+    rows = tables.read(spark, sf_dir, "events").select(k, F.concat(F.lit("https://example.org/e"), k.cast("string")).alias("url"), F.to_date("ts").alias("day"))
+    drop = lambda n, day: (F.lit(n).cast("bigint").alias("drop"), k.alias("pos"), "url", F.date_format(day, "yyyy-MM-dd").alias("lastmod"))
+    drops = [rows.where(k % 11 != 0).select(*drop(0, "day")), *[rows.select(*drop(n, F.when(k % 7 == 0, F.date_add("day", 1)).otherwise(F.col("day")))) for n in (1, 2)]]
+    out = None
+    for one in drops:
+        one.write.mode("append").parquet(folder)
+        # The job is stopped and resumed between drops.
+        out = J.drain(J.changed_pages(one_by_one(spark, folder, "drop long, pos long, url string, lastmod string")), name=name, provider=J.ROCKSDB)
+    return out
+
+
 @query(O.sql("SELECT source, source_event_id AS slug, min(id) AS id FROM cat_events WHERE source_event_id IS NOT NULL GROUP BY ALL"))
 def stream_upsert(spark, sf_dir):
     """Items of all batches, the first row of each; a batch that comes twice changes nothing."""

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from agendry import constants as C
 from agendry.functions import places as P, text as T
 from agendry.operators.graph import connected_components
+from agendry.runtime import cut
 
 
 def contained(a: Column, b: Column) -> Column:
@@ -115,7 +116,8 @@ def variant_edges(facts: DataFrame) -> DataFrame:
     """
     span = F.col("until") - F.col("start_at")
     level = F.when(span <= 32 * C.DAY, 0).when(span <= 1024 * C.DAY, 1).when(span <= 32768 * C.DAY, 2).otherwise(3)
-    rows = with_rarest(facts.where("size(core) > 0"), "core").withColumn("_level", level)
+    # Rows are read for their levels and for both sides of each: facts and rarest words are found once.
+    rows = cut(with_rarest(facts.where("size(core) > 0"), "core").withColumn("_level", level))
     city_words = T.words(F.col("ncity"))
     tag = lambda kind, words: F.transform(words, lambda w: F.concat(F.lit(kind), w))
     none = F.array().cast("array<string>")

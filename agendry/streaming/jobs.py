@@ -6,11 +6,15 @@ since, and a run that was cut off goes on where it stopped.
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from agendry import constants as C
 from agendry.runtime import checkpoint_dir, share_code
@@ -27,17 +31,37 @@ def home_of(spark: SparkSession, name: str | None) -> str:
     return f"{checkpoint_dir(spark)}/stream-{name or uuid.uuid4().hex}"
 
 
-def drain(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int, str], None] | None = None, name: str | None = None) -> DataFrame:
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextlib.contextmanager
+def state_store(spark: SparkSession, provider: str | None) -> Iterator[None]:
+    """Streams that start within keep their state with this provider; the session's own setting comes back."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    if provider:
+        spark.conf.set(key, provider)
+    try:
+        yield
+    finally:
+        if provider:
+            spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
+def drain(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int, str], None] | None = None, name: str | None = None, provider: str | None = None) -> DataFrame:
     """Run a stream over all that is available and read its result.
 
     ``each`` gets every micro-batch, its number and the folder of the result; by default batches are appended, and
-    in complete mode the newest replaces the result. ``name`` names the job whose state is to be resumed.
+    in complete mode the newest replaces the result. ``name`` names the job whose state is to be resumed, ``provider`` its
+    state store: jobs with a processor of their own need ROCKSDB.
     """
     spark = stream.sparkSession
     home = home_of(spark, name)
     write = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{home}/state").trigger(availableNow=True)
     if each is None and mode == "append":
-        write.format("parquet").option("path", f"{home}/out").start().awaitTermination()
+        with state_store(spark, provider):
+            query = write.format("parquet").option("path", f"{home}/out").start()
+        query.awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{home}/out")
     keep = each or (lambda batch, number, out: write_version(batch, number, out))
     write.foreachBatch(lambda batch, number: keep(batch, number, f"{home}/out")).start().awaitTermination()
@@ -99,6 +123,102 @@ def anchor_sessions(stream: DataFrame, key: str, at: str, window: int = C.SESSIO
     return share_code(stream).groupBy(key).applyInPandasWithState(step, "key string, anchor long", "last long", "append", "NoTimeout")
 
 
+class _Changes(StatefulProcessor):
+    """The last state of a url that was given on; a url that comes again as it was gives nothing."""
+
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle) -> None:
+        self.known = handle.getValueState("lastmod", "lastmod string", self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        newest = None
+        for batch in rows:
+            for order, lastmod in zip(zip(batch["drop"], batch["pos"]), batch["lastmod"]):
+                if newest is None or order > newest[0]:
+                    newest = order, lastmod or ""
+        before = self.known.get()[0] if self.known.exists() else None
+        if newest is not None and newest[1] != before:
+            self.known.update((newest[1],))
+            yield pd.DataFrame({"url": [key[0]], "lastmod": [newest[1]], "kind": ["new" if before is None else "changed"]})
+
+    def close(self) -> None:
+        pass
+
+
+def changed_pages(entries: DataFrame, ttl: str | None = None) -> DataFrame:
+    """(url, lastmod, kind) of sitemap entries (drop, pos, url, lastmod) that are new, or whose lastmod isn't the last one seen.
+
+    Each url is a key of its own, so a site of any size spreads over tasks. Of a url's entries in a micro-batch the last
+    by (drop, pos) counts; a null lastmod is an empty one. State goes ``ttl`` after it was last written, and then
+    the url is new again. Rows without a url go. Run it with drain(..., provider=ROCKSDB).
+    """
+    own = share_code(entries).where("url is not null").select("drop", "pos", "url", "lastmod")
+    processor = _Changes(int(pd.Timedelta(ttl).total_seconds() * 1000) if ttl else None)
+    return own.groupBy("url").transformWithStateInPandas(processor, "url string, lastmod string, kind string", "append", "processingTime" if ttl else "none")
+
+
+class _Sessions(StatefulProcessor):
+    """Starts of a key that can still move anchors, and the last anchor before them."""
+
+    def __init__(self, at: str, window: int, settle: int):
+        self.at, self.window, self.settle = at, window, settle
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.starts = handle.getListState("starts", "start long")
+        self.closed = handle.getValueState("closed", "anchor long")
+
+    def anchors(self, starts: list[int], last: int | None) -> list[int]:
+        out = []
+        for t in starts:
+            if last is None or t - last > self.window:
+                last = t
+                out.append(t)
+        return out
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last = self.closed.get()[0] if self.closed.exists() else None
+        held = [r[0] for r in self.starts.get()]
+        both = sorted({*held, *(int(t) for batch in rows for t in batch[self.at])})
+        before, after = self.anchors(held, last), self.anchors(both, last)
+        self.starts.put([(t,) for t in both])
+        # A timer for the time when nothing before the last start can come any more.
+        for t in self.handle.listTimers():
+            self.handle.deleteTimer(t)
+        if both:
+            self.handle.registerTimer((both[-1] + self.settle) * 1000)
+        moved = [(t, -1) for t in before if t not in set(after)] + [(t, 1) for t in after if t not in set(before)]
+        if moved:
+            yield pd.DataFrame({"key": [key[0]] * len(moved), "anchor": [t for t, _ in moved], "change": [c for _, c in moved]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = [r[0] for r in self.starts.get()]
+        last = self.closed.get()[0] if self.closed.exists() else None
+        found = self.anchors(held, last)
+        if found:
+            self.closed.update((found[-1],))
+        self.starts.clear()
+        yield pd.DataFrame({"key": pd.Series([], dtype="object"), "anchor": pd.Series([], dtype="int64"), "change": pd.Series([], dtype="int32")})
+
+    def close(self) -> None:
+        pass
+
+
+def anchor_changes(stream: DataFrame, key: str, at: str, delay: str, window: int = C.SESSION_WINDOW) -> DataFrame:
+    """(key, anchor, change) for rows (key, at, an event time): anchors that open (1) and that a start between older ones takes back (-1).
+
+    A start opens a session if it is more than ``window`` seconds after the last anchor of its key. A start that comes late, before anchors
+    that are out already, moves what follows it: the changes of an anchor sum to 1 if it stands and to 0 if not, and
+    what stands is what the whole set of starts gives, in whatever order they came, as long as none is later than ``delay``. A
+    key's starts leave the state that long after its last one; its last anchor stays. Run it with drain(..., provider=ROCKSDB).
+    """
+    watched = share_code(stream).withWatermark(at, delay).select(F.col(key).alias("key"), at, F.unix_seconds(at).alias("start"))
+    processor = _Sessions("start", window, int(pd.Timedelta(delay).total_seconds()))
+    return watched.groupBy("key").transformWithStateInPandas(processor, "key string, anchor long, change int", "append", "eventTime")
+
+
 def split_late(stream: DataFrame, over: Column, name: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows in time, late rows): rows whose event is over go to a side table instead of the main one."""
     spark = stream.sparkSession
@@ -110,13 +230,11 @@ def split_late(stream: DataFrame, over: Column, name: str | None = None) -> tupl
 
     write = stream.writeStream.option("checkpointLocation", f"{out}/state").trigger(availableNow=True)
     write.foreachBatch(lambda batch, number: keep(batch, number, out)).start().awaitTermination()
-    known = [f"{out}/v={v}" for v in versions(spark, out)]
-    both = spark.read.schema(stream.schema.add("_late", "boolean"))
-    every = None
-    for path in known:
-        one = both.parquet(path)
-        every = one if every is None else every.unionByName(one)
-    every = every if every is not None else spark.createDataFrame([], stream.schema.add("_late", "boolean"))
+    # The versions are one partitioned table, read as such: the plan does not grow with the batches.
+    schema = StructType([*stream.schema.fields, StructField("_late", BooleanType()), StructField("v", LongType())])
+    known = versions(spark, out)
+    paths = [f"{out}/v={v}" for v in known]
+    every = (spark.read.schema(schema).option("basePath", out).parquet(*paths) if known else spark.createDataFrame([], schema)).drop("v")
     return every.where("not _late").drop("_late"), every.where("_late").drop("_late")
 
 

@@ -16,7 +16,8 @@ def spark():
 
     session = (
         SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.local.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp")).getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config("spark.sql.ui.retainedExecutions", "20").config("spark.ui.retainedJobs", "50").config("spark.ui.retainedStages", "50")
+        .config("spark.local.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp")).getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
