@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from agendry import constants as C, oracle as O, tables
 from agendry.functions.dates import EPOCH
 from agendry.registry import query
-from agendry.streaming import jobs as J
+from agendry.streaming import jobs as J, parts
 
 
 def events(spark, sf_dir):
@@ -93,6 +93,20 @@ def stream_upsert(spark, sf_dir):
     return J.drain(rows, "append", J.upsert_first(["source", "slug"], "id"))
 
 
+@query("""SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, user_id, min(event_id) AS event_id FROM events GROUP BY ALL""")
+def stream_upsert_days(spark, sf_dir):
+    """The first row of each day, type and user over three drops; a drop rewrites the days that it touches and no others."""
+    home, k = J.home_of(spark, None), F.col("event_id")
+    rows = tables.read(spark, sf_dir, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type", "user_id", k)
+    for part in range(3):
+        rows.where(k % 3 == part).write.mode("append").parquet(f"{home}/drops")
+    merge = parts.keep_least(["day", "event_type", "user_id"], "event_id")
+    keep = lambda batch, number: parts.upsert(spark, f"{home}/table", batch, F.substring("day", 1, 7), merge, "drops", number)
+    write = one_by_one(spark, f"{home}/drops", rows.schema).writeStream.option("checkpointLocation", f"{home}/state").trigger(availableNow=True)
+    write.foreachBatch(keep).start().awaitTermination()
+    return parts.read(spark, f"{home}/table")
+
+
 @query(f"SELECT CASE WHEN epoch(ts) < {C.NOW} THEN 'late' ELSE 'kept' END AS side, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_late(spark, sf_dir):
     """Rows whose event is over go to a side table."""

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from agendry.streaming import jobs as J
+from agendry.streaming import jobs as J, parts
 
 
 def files(spark, folder, rows, schema):
@@ -74,3 +75,32 @@ def test_versions_are_read_as_one_table(spark, tmp_path):
     kept, late = J.split_late(one_by_one(spark, folder, "n long, over boolean"), F.col("over"))
     assert sorted(r.n for r in kept.collect()) == [1, 3] and sorted(r.n for r in late.collect()) == [0, 2, 4] and kept.columns == ["n", "over"]
     assert "Union" not in kept._jdf.queryExecution().analyzed().toString()
+
+
+def test_table_in_parts(spark, tmp_path):
+    """A batch writes the parts that it touches; a repeated batch nothing; a late commit fails and is tried again on what is there."""
+    home, schema = f"file://{tmp_path}/table", "day string, k long, n long"
+    make = lambda *rows: spark.createDataFrame(list(rows), schema)
+    put = lambda rows, number, job="j": parts.upsert(spark, home, rows, F.col("day"), parts.keep_least(["day", "k"], "n"), job, number)
+    rows = lambda **kw: sorted(((r.day, r.k, r.n) for r in parts.read(spark, home, **kw).collect()), key=str)
+    assert parts.read(spark, home) is None and put(make(), 0) == 0
+    assert put(make(("a", 1, 5), ("b", 1, 5), ("b b/%", 2, 2), (None, 3, 3)), 1) == 1
+    first = parts.manifest(spark, home)["parts"]
+    assert set(first) == {"a", "b", "b b/%", "none"}
+    assert put(make(("a", 1, 3), ("a", 2, 9), ("c", 1, 1)), 2) == 2 and put(make(("a", 1, 0)), 2) == 2
+    second = parts.manifest(spark, home)["parts"]
+    assert {p for p in first if second[p] == first[p]} == {"b", "b b/%", "none"} and second["a"] != first["a"]
+    want = sorted([("a", 1, 3), ("a", 2, 9), ("b", 1, 5), ("b b/%", 2, 2), ("c", 1, 1), (None, 3, 3)], key=str)
+    assert rows() == want and rows(parts=["c"]) == [("c", 1, 1)] and ("a", 1, 5) in rows(version=1)
+
+    base = parts.manifest(spark, home)
+    assert put(make(("b", 1, 4)), 1, "other") == 3
+    with pytest.raises(parts.Conflict):
+        parts.commit(spark, home, base, make(("a", 7, 7)), F.col("day"), ["a"])
+    assert ("b", 1, 4) in rows() and ("a", 7, 7) not in rows()
+    assert put(make(("a", 7, 7)), 2, "other") == 4 and {("b", 1, 4), ("a", 7, 7)} < set(rows())
+
+    now = rows()
+    held = lambda: len(list((tmp_path / "table" / "data").glob("*/_part=*")))
+    assert held() == 8 and parts.expire(spark, home) == 3 and rows() == now and held() == 5
+    assert put(make(("b", 1, 1)), 3, "other") == 5 and ("b", 1, 1) in rows()
