@@ -6,6 +6,7 @@ from agendry import constants as C, oracle as O, tables
 from agendry.functions import text as T
 from agendry.functions.dates import lisbon_day
 from agendry.plans import agenda as A
+from agendry.operators.order import positions
 from agendry.registry import query
 
 FROM, TO = C.NOW - 10 * C.DAY, C.NOW + 80 * C.DAY
@@ -125,6 +126,13 @@ def day_groups(spark, sf_dir):
     return m.groupBy("day").agg(F.count("*").alias("n"), F.array_join(F.transform(members, lambda s: s["id"].cast("string")), ",").alias("ids")).select("day", A.day_label(F.col("day"), TODAY).alias("label"), "n", "ids")
 
 
+@query(O.sql("SELECT day, row_number() OVER (PARTITION BY day ORDER BY start_at, id) AS position, id FROM m", JOINED, SEEN, GROUPED))
+def day_positions(spark, sf_dir):
+    """The rows of day_groups, one a row: (day, position, id), whatever a day holds."""
+    m = A.merge_sessions(seen(spark, sf_dir)).withColumn("day", lisbon_day(F.col("start_at")))
+    return positions(m.select("day", "start_at", "id"), "day", "start_at", "id").select("day", "position", "id")
+
+
 @query(O.sql(f"SELECT '{TODAY}' AS min_day, max(day) AS max_day, count(*) >= 2000 AS truncated FROM (SELECT day FROM m ORDER BY start_at, id LIMIT 2000)", JOINED, SEEN, GROUPED))
 def range_bounds(spark, sf_dir):
     shown = A.page(A.merge_sessions(seen(spark, sf_dir)))

@@ -243,6 +243,12 @@ def geo_pip(spark, sf_dir):
     return G.locate(points(spark, sf_dir), shapes(spark))
 
 
+@query(O.sql("SELECT pt.id, shape FROM pt LEFT JOIN hit USING (id)", POINTS, _edges_sql(), HIT))
+def geo_grid(spark, sf_dir):
+    """geo_pip by the cells of a grid: an equi-join, and ray casts in border cells alone."""
+    return G.locate_by_grid(points(spark, sf_dir), shapes(spark), 0.05)
+
+
 @query(O.sql("SELECT shape, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, count(*) AS n FROM pt JOIN hit USING (id) GROUP BY 1", POINTS, _edges_sql(), HIT))
 def geo_bbox(spark, sf_dir):
     p = points(spark, sf_dir)

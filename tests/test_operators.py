@@ -1,0 +1,54 @@
+"""Operators over small hand-made tables: positions, grid cells, and rows of pages."""
+
+from __future__ import annotations
+
+import random
+
+from pyspark.sql import functions as F
+
+from agendry.operators import geo as G
+from agendry.operators.order import positions
+from agendry.sources import extract as X
+
+
+def test_positions(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice([None, "a", "b"]), rng.choice([None, 1, 2, 3]), i) for i in range(200)] + [("lone", 5, 999)]
+    table = spark.createDataFrame(rows, "g string, t int, id int").repartition(7)
+    got = {r.id: (r.g, r.position) for r in positions(table, "g", "t", "id").collect()}
+    want = {}
+    for g in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        want |= {r[2]: (g, k) for k, r in enumerate(own, 1)}
+    assert got == want and positions(table.limit(0), "g", "t", "id").count() == 0
+
+
+def test_grid_equals_boxes(spark):
+    """Holes, several polygons of a shape, shapes over one another, and points on edges, corners and cell borders."""
+    ring = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
+    box = lambda a, b, c, d: ring((a, b), (c, b), (c, d), (a, d))
+    star = ring((0, 0), (3, 1.3), (6, 0), (4.7, 3), (6, 6), (3, 4.7), (0, 6), (1.3, 3))
+    shapes = spark.createDataFrame([("holed", 1, [[box(0, 0, 4, 4), box(1, 1, 3, 3)]]), ("two", 2, [[box(-3, -3, -1, -1)], [box(2, 2, 2.5, 2.5)]]), ("star", 3, [[star]])], G.SHAPES)
+    rng = random.Random(3)
+    at = [(rng.uniform(-4, 7), rng.uniform(-4, 7)) for _ in range(400)] + [(x / 2, y / 2) for x in range(-7, 14) for y in range(-7, 14)] + [(None, 1.0), (1.0, None)]
+    points = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(at)], "id int, x double, y double")
+    want = sorted(map(tuple, G.locate(points, shapes).collect()))
+    for size in (0.5, 0.37, 5.0):
+        found = G.locate_by_grid(points, shapes, size)
+        assert sorted(map(tuple, found.collect())) == want
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString() and len({w[1] for w in want}) == 4
+    cover = {(r.cx, r.cy, r.ord): r.border for r in G.cells(shapes, 0.5).collect()}
+    assert cover[0, 0, 1] and not cover[1, 6, 1] and (4, 3, 1) not in cover
+
+
+def test_link_chunks(spark):
+    html = '<p>head</p><a class="c" href="/one">One <b>4 Out</b></a> text<div>2026/10/04</div><a href="/two">Two</a><a name="x">no link</a> 17.10.26 a 19.10.2026'
+    rows = spark.createDataFrame([(html,), ("",)], "html string").select(F.explode(X.link_chunks(F.col("html"))).alias("r")).select("r.href", "r.chunk", F.from_unixtime("r.earliest", "yyyy-MM-dd").alias("a"), F.from_unixtime("r.latest", "yyyy-MM-dd").alias("z")).collect()
+    # Midnights in Lisbon are an hour before those of UTC in summer.
+    assert [tuple(r) for r in rows] == [("/one", "One 4 Out text 2026/10/04", "2026-10-03", "2026-10-03"), ("/two", "Two no link 17.10.26 a 19.10.2026", "2026-10-16", "2026-10-18")]
+
+
+def test_dom_cards(spark):
+    html = '<li class="card x">A <a href="/1">one</a><ul><li>inner</li></ul></li><li>other</li><li class="card">B</li>'
+    pages = spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")
+    assert [tuple(r) for r in X.dom_cards(pages, "li", "card").collect()] == [(1, 0, "A oneinner", "/1"), (1, 1, "B", None)]
