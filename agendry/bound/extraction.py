@@ -8,6 +8,7 @@ from agendry.functions import text as T
 from agendry.functions.dates import lisbon_minute
 from agendry.registry import query
 from agendry.sources import extract as X
+from agendry.streaming.jobs import home_of
 
 
 def pages(spark, sf_dir):
@@ -201,6 +202,42 @@ def staging_scan(spark, sf_dir):
     return rows.where("r.ordinal is not null").select(F.col("r.ordinal").alias("id"), "r.title", F.col("r.venueName").cast("bigint").alias("venue_id"), "r.source")
 
 
+@query(O.sql("SELECT id, title, venue_id, source FROM cat_events WHERE id % 25 <> 0"))
+def staging_files(spark, sf_dir):
+    """Staging rows in files of JSON lines."""
+    k, folder = F.col("id"), home_of(spark, None)
+    line = F.when(k % 25 == 0, '{"source": "x", bad').otherwise(F.to_json(F.struct("source", k.alias("ordinal"), "title", F.col("venue_id").cast("string").alias("venueName"), F.col("start_at").alias("startAt"), "categories")))
+    tables.events(spark, sf_dir).select(line.alias("value")).write.text(folder)
+    return X.staging_files(spark, folder).select(F.col("ordinal").alias("id"), "title", F.col("venueName").cast("bigint").alias("venue_id"), "source")
+
+
+def documents(entries, head, tail):
+    """One document for each file of entries (file, entry)."""
+    return entries.groupBy("file").agg(F.concat(F.lit(head), F.array_join(F.collect_list("entry"), ""), F.lit(tail)).alias("value")).select("value")
+
+
+@query("SELECT url, CASE WHEN page_id % 4 = 0 THEN '' ELSE '2024-01-' || lpad(CAST(1 + page_id % 28 AS VARCHAR), 2, '0') END AS lastmod FROM pages")
+def sitemap_files(spark, sf_dir):
+    """The rows of sitemap_rows from XML files."""
+    k, folder = F.col("page_id"), home_of(spark, None)
+    day = F.concat(F.lit("2024-01-"), F.lpad((k % 28 + 1).cast("string"), 2, "0"))
+    entry = F.concat(F.lit("<url><loc>"), F.when(k % 2 == 0, F.concat(F.lit("<![CDATA["), "url", F.lit("]]>"))).otherwise(F.replace("url", F.lit("&"), F.lit("&amp;"))), F.lit("</loc>"), F.when(k % 4 == 0, "").otherwise(F.concat(F.lit("<lastmod> "), day, F.lit("</lastmod>"))), F.lit("<extra a='1'/></url>"))
+    documents(pages(spark, sf_dir).select(F.floor(k / 500).alias("file"), entry.alias("entry")), "<urlset>", "</urlset>").write.option("maxRecordsPerFile", 1).text(folder)
+    return X.sitemap_files(spark, folder)
+
+
+@query(O.sql("SELECT title || ' & ' || coalesce(venue, '?') AS title, 'l' || id AS link, title || '|x' AS categories, CASE WHEN city IS NULL THEN 'Olá,?!' ELSE 'Olá, ' || city || '!' END AS description, CASE WHEN id % 3 = 0 THEN 1788343200 END AS published FROM ev WHERE id % 8 <> 0", EV))
+def feed_files(spark, sf_dir):
+    """The rows of rss_items from XML files."""
+    k, folder = F.col("id"), home_of(spark, None)
+    item = F.concat(
+        F.lit("<item><title>"), "title", F.lit(" &amp;amp; "), F.coalesce("venue", F.lit("?")), F.lit("</title><link>"), F.when(k % 8 == 0, "").otherwise(F.concat(F.lit("l"), k.cast("string"))), F.lit("</link><category>"), "title",
+        F.lit("</category><category>x</category><description><![CDATA[<p>Ol&aacute; , "), F.coalesce("city", F.lit("?")), F.lit(" !</p>]]></description>"), F.when(k % 3 == 0, "<pubDate>Wed, 02 Sep 2026 10:00:00 +0000</pubDate>").otherwise(""), F.lit("</item>"),
+    )
+    documents(ev(spark, sf_dir).select(F.floor(k / 500).alias("file"), item.alias("entry")), "<rss><channel>", "</channel></rss>").write.option("maxRecordsPerFile", 1).text(folder)
+    return X.feed_files(spark, folder).select("title", "link", F.array_join("categories", "|").alias("categories"), "description", "published")
+
+
 @query("SELECT page_id, 'img' || page_id || '.jpg' AS image FROM pages WHERE page_id % 5 <> 0")
 def style_images(spark, sf_dir):
     k = F.col("page_id")

@@ -313,3 +313,30 @@ def pack_ticketline(spark, sf_dir):
     details = e.select(text("https://www.ticketline.pt/evento/x-", SID()).alias("url"), html.alias("html"))
     searches = e.select(k.alias("page_id"), page.alias("html"), (k % 4 == 0).alias("venue_scoped"))
     return K.ticketline(searches, details, NOW).select("slug", "title", "startAt", "venueName", "city", F.array_join("categories", "|").alias("categories"), "error")
+
+
+MANY = f"CASE CAST(id % 7 AS INTEGER) {' '.join(f'WHEN {i} THEN {O.lit(p)}' for i, (_, p, _) in enumerate(C.COUNCILS))} END"
+TOWN = f"CASE CAST(id % 7 AS INTEGER) {' '.join(f'WHEN {i} THEN {O.lit(c)}' for i, (_, _, c) in enumerate(C.COUNCILS))} END"
+
+
+@query(O.sql(f"""SELECT {MANY} || '-e' || id AS slug, title, {MINUTE} AS "startAt", CASE WHEN id % 3 = 0 THEN 'Largo' ELSE {TOWN} END AS "venueName", {TOWN} AS city, CASE WHEN {MINUTE} + 86400 < {NOW} THEN 'past' END AS drop_reason FROM pe""", EV))
+def pack_councils(spark, sf_dir):
+    """Pages of the seven councils, each read with its own prefix and place."""
+    e, k = rows(spark, sf_dir), F.col("id")
+    html = text('<h1>', F.col("title"), '</h1><var class="atc_date_start">', F.col("t"), ':00</var><var class="atc_location">', F.when(k % 3 == 0, "Largo").otherwise("--"), "</var>")
+    host = F.element_at(F.array(*[F.lit(h) for h, _, _ in C.COUNCILS]), (k % 7 + 1).cast("int"))
+    pages = e.select(k.alias("page_id"), text("https://", host, "/evento/e", SID(), "?x=1").alias("url"), html.alias("html"))
+    return K.extract(pages, K.COUNCILS, NOW).select("slug", "title", "startAt", "venueName", "city", "drop_reason")
+
+
+@query(O.sql(f"""SELECT item, arg_min(title, (hub, id)) AS title, min(hub) AS hub FROM (SELECT id, 'h' || (id // 3) AS item, CASE WHEN id % 7 = 0 THEN title || ' @ O Pica Miolos' ELSE title END AS title, CAST(id % 21 AS INTEGER) AS hub, id % 4 = 0 OR id % 7 = 0 AS known FROM pe)
+  WHERE hub = 0 OR (hub < 20 AND known) GROUP BY item""", EV))
+def hub_allowlist(spark, sf_dir):
+    """Cards of all hubs: those of the first, and of the others what a known venue names; the first of an item stays."""
+    k = F.col("id")
+    hub = F.element_at(F.array(*[F.lit(h) for h in [*C.HUBS, "nowhere"]]), (k % 21 + 1).cast("int"))
+    title = F.when(k % 7 == 0, text(F.col("title"), " @ O Pica Miolos")).otherwise(F.col("title"))
+    venue = F.when(k % 4 == 0, "Bar O Pica Miolos").when(k % 4 == 1, "Portugal").otherwise("Sala Grande")
+    cards = rows(spark, sf_dir).select(hub.alias("hub"), k.alias("page_id"), F.lit(0).alias("pos"), text("h", F.floor(k / 3).cast("string")).alias("id"), title.alias("title"), venue.alias("venue"))
+    at = F.array_position(F.array(*[F.lit(h) for h in C.HUBS]), F.col("hub")) - 1
+    return K.hub_rows(cards).select(F.col("id").alias("item"), "title", at.cast("int").alias("hub"))

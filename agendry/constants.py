@@ -334,3 +334,17 @@ OUTSIDE_CONCELHOS = (
     "vila real",
     "viseu",
 )
+
+# The hubs of an aggregator, one a district; the first is the catalogue's own.
+HUBS = ["leiria", "acores", "aveiro", "beja", "braga", "braganca", "castelo-branco", "coimbra", "evora", "faro", "guarda", "lisboa", "madeira", "portalegre", "porto", "santarem", "setubal", "viana-do-castelo", "vila-real", "viseu"]
+
+# Councils whose agendas share one form: host, prefix of ids, name.
+COUNCILS = [
+    ("www.cm-mgrande.pt", "mg", "Marinha Grande"),
+    ("www.cm-nazare.pt", "nz", "Nazaré"),
+    ("www.cm-batalha.pt", "bt", "Batalha"),
+    ("www.cm-alvaiazere.pt", "av", "Alvaiázere"),
+    ("www.cm-ansiao.pt", "an", "Ansião"),
+    ("www.cm-peniche.pt", "pn", "Peniche"),
+    ("www.cm-pedrogaogrande.pt", "pg", "Pedrógão Grande"),
+]

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from agendry.functions import dates as D, text as T
 from agendry.runtime import share_code
@@ -269,3 +269,31 @@ def dom_cards(pages: DataFrame, tag: str, cls: str | None = None, key: str = "pa
             yield pd.DataFrame(rows, columns=[key, "pos", "text", "href"])
 
     return share_code(pages).select(key, "html").mapInPandas(parse, f"{key} long, pos int, text string, href string")
+
+
+def staging_files(spark: SparkSession, path: str) -> DataFrame:
+    """Raw events of files of JSON lines, read with the fixed schema; columns that are not asked for are not parsed. Malformed lines give no row."""
+    rows = spark.read.schema(f"{RAW_EVENT}, _corrupt STRING").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    return rows.where("_corrupt is null").drop("_corrupt")
+
+
+def _xml(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
+    """The elements of a tag in XML files, each a row, split over tasks; broken ones go."""
+    rows = spark.read.format("xml").options(rowTag=tag, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", ignoreNamespace="true").schema(f"{schema}, _corrupt STRING").load(path)
+    return rows.where("_corrupt is null").drop("_corrupt")
+
+
+def sitemap_files(spark: SparkSession, path: str) -> DataFrame:
+    """(url, lastmod) of sitemap files; what sitemap_rows() gives of their bodies."""
+    return _xml(spark, path, "url", "loc STRING, lastmod STRING").select(F.trim(F.coalesce("loc", F.lit(""))).alias("url"), F.trim(F.coalesce("lastmod", F.lit(""))).alias("lastmod"))
+
+
+def feed_files(spark: SparkSession, path: str) -> DataFrame:
+    """(title, link, categories, description, published) of feed files; what rss_items() gives of their bodies.
+
+    Texts are decoded as there; the reader has decoded those outside CDATA once already, which changes no plain text.
+    """
+    rows = _xml(spark, path, "item", "title STRING, link STRING, category ARRAY<STRING>, description STRING, pubDate STRING")
+    text = lambda c: T.decode_entities(repair_pairs(T.decode_entities(repair_pairs(F.trim(F.coalesce(c, F.lit("")))))))
+    found = rows.select(text("title").alias("title"), F.trim(F.coalesce("link", F.lit(""))).alias("link"), F.coalesce("category", F.array().cast("array<string>")).alias("categories"), T.plain_text(text("description")).alias("description"), rfc_epoch(F.trim("pubDate")).alias("published"))
+    return found.where("title <> '' and link <> ''")

@@ -112,8 +112,8 @@ def _hall(r: Column, url: Column, now: int) -> dict[str, Column]:
     }
 
 
-def council(prefix: str, city: str) -> Pack:
-    """A council's agenda: widgets, add-to-calendar variables and meta elements of a detail page."""
+def council(prefix: str | None = None, town: str | None = None) -> Pack:
+    """A council's agenda, or that of whichever council a page's host is: widgets, add-to-calendar variables and meta elements of a detail page."""
     read = _page(
         title=lambda h: F.coalesce(X.calendar_var(h, "title"), X.field(h, r"(?s)<h1[^>]*>(.*?)</h1>"), X.meta(h, "og:title")), start=lambda h: X.calendar_var(h, "date_start"), end=lambda h: X.calendar_var(h, "date_end"),
         place=lambda h: X.calendar_var(h, "location"), local=lambda h: X.widget_text(h, "location"), categories=lambda h: X.widget_spans(h, "categories"),
@@ -121,15 +121,20 @@ def council(prefix: str, city: str) -> Pack:
         published=lambda h: X.meta(h, "published_at"), modified=lambda h: X.meta(h, "last_modified_date"), chip=lambda h: D.chip_dates(X.widget_part(h, "dates")),
     )
 
+    host = lambda url, i: F.create_map(*[F.lit(x) for row in C.COUNCILS for x in (row[0], row[i])])[F.regexp_extract(url, "^[a-z]+://([^/]*)", 1)]
+
     def raw(r: Column, url: Column, now: int) -> dict[str, Column]:
-        start = r["begins"]
+        start, city = r["begins"], r["city"]
         return {
-            "title": r["title"], "slug": T.source_id(prefix, url, "/evento/"), "description": r["description"], "startAt": start,
-            "endAt": D.later_end(start, F.coalesce(D.strict_clock(r["end"]), r["chip"]["latest"])), "venueName": T.pick_venue(F.lit(city), r["local"], r["place"]), "city": F.lit(city),
+            "title": r["title"], "slug": F.concat(r["prefix"], T.source_id("", url, "/evento/")), "description": r["description"], "startAt": start,
+            "endAt": D.later_end(start, F.coalesce(D.strict_clock(r["end"]), r["chip"]["latest"])), "venueName": T.pick_venue(city, r["local"], r["place"]), "city": city,
             "categories": r["categories"], "imageUrl": r["image"], "url": url,
         }
 
-    begins = lambda r, url, now: {"begins": F.coalesce(D.typed_start(r["start"], r["published"], r["modified"]), D.strict_clock(r["content"]), r["chip"]["earliest"])}
+    begins = lambda r, url, now: {
+        "begins": F.coalesce(D.typed_start(r["start"], r["published"], r["modified"]), D.strict_clock(r["content"]), r["chip"]["earliest"]),
+        "prefix": F.lit(prefix) if prefix else host(url, 1), "city": F.lit(town) if town else host(url, 2),
+    }
     return Pack("municipal", read, raw, C.DAY, bind=begins)
 
 
@@ -233,6 +238,23 @@ PACKS = {
 }
 
 
+#: The agendas of all councils, each page with the prefix and the place of its host; pages of other hosts have neither.
+COUNCILS = council()
+
+
+def hub_rows(cards: DataFrame) -> DataFrame:
+    """Cards (hub, page_id, pos, id, title, venue, ...) of all hubs, of an id the first in the order of hubs.
+
+    All cards of the first hub are taken. Of the others only those that a known venue names, in their venue or, without a
+    usable one, after the title's @, or in the title itself: another district's roster is never taken whole. Cards of unknown hubs go.
+    """
+    rank = F.array_position(F.array(*[F.lit(h) for h in C.HUBS]), F.col("hub"))
+    evidence = F.coalesce(T.usable_venue(F.col("venue")), T.title_venue(F.col("title")))
+    known = P.known_venue(evidence).isNotNull() | P.known_venue(F.col("title")).isNotNull()
+    kept = cards.withColumn("rank", rank).where((F.col("rank") == 1) | ((F.col("rank") > 1) & known))
+    return first_by(kept, "id", "rank", "page_id", "pos").drop("rank")
+
+
 def extract(pages: DataFrame, pack: Pack, now: int) -> DataFrame:
     """Staging rows (source, ordinal, the raw event's fields, drop_reason) of pages (page_id, url, html).
 
