@@ -8,8 +8,9 @@ from agendry.bound.texts import venue_events
 from agendry.functions import places as P, text as T
 from agendry.functions.dates import lisbon_day, lisbon_minute
 from agendry.operators import geo as G
-from agendry.plans import catalog as K
+from agendry.plans import catalog as K, export as E
 from agendry.registry import query
+from agendry.streaming.jobs import home_of
 from agendry.runtime import cut
 
 PAST = C.NOW - 8 * C.DAY
@@ -321,6 +322,40 @@ def export_pages(spark, sf_dir):
     return venue_events(spark, sf_dir).select("id", page.alias("page"))
 
 
+SITE, TEMPLATE = "https://example.org", '<html><head><title></title><meta name="description" content=""></head><body></body></html>'
+
+
+def site_events(spark, sf_dir):
+    e, k = city_events(spark, sf_dir), F.col("id")
+    return e.select(F.concat(F.lit("e"), k.cast("string")).alias("slug"), F.concat("title", F.lit(' &amp; "mais"')).alias("title"), F.when(k % 3 == 0, F.concat(F.lit("<b>"), "title")).alias("description"), "start_at", "end_at", "date_text", "venue", "city", F.col("start_at").alias("updated_at"))
+
+
+DAY_OF = "strftime(make_timestamp(CAST(start_at AS BIGINT) * 1000000), '%Y-%m-%d')"
+
+
+@query(O.sql(f"""SELECT 'evento/e' || id || '/index.html' AS path, title || ' &amp; &quot;mais&quot; — Agenda' AS title, CASE WHEN id % 3 = 0 THEN '&lt;b&gt;' || title ELSE title || ' &amp; &quot;mais&quot;' END AS description, 'https://example.org/evento/e' || id AS canonical, 12 - CAST(date_text IS NOT NULL AS INTEGER) AS n_tags FROM cat_events"""))
+def site_pages(spark, sf_dir):
+    """Pages as they are published: title, description, canonical link and number of head tags, read back from the html."""
+    folder = f"{home_of(spark, None)}/site"
+    E.export(site_events(spark, sf_dir), TEMPLATE, SITE, "Agenda", folder)
+    part = lambda pattern, name: F.regexp_extract("html", pattern, 1).alias(name)
+    tags = F.regexp_count("html", F.lit(r"<meta |<link |ld\+json")).cast("int").alias("n_tags")
+    return spark.read.parquet(f"{folder}/v=0/pages").select("path", part("<title>(.*?)</title>", "title"), part('name="description" content="(.*?)"', "description"), part('rel="canonical" href="(.*?)"', "canonical"), tags)
+
+
+@query(O.sql(f"""SELECT 'sitemap-' || lpad(CAST(ceil(p / 400.0) AS INTEGER)::VARCHAR, 5, '0') || '.xml' AS path, loc, lastmod FROM (SELECT *, row_number() OVER (ORDER BY home DESC, loc) AS p FROM (
+  SELECT 'https://example.org/evento/e' || id AS loc, {DAY_OF} AS lastmod, false AS home FROM cat_events UNION ALL SELECT 'https://example.org/', max({DAY_OF}), true FROM cat_events))
+  UNION ALL SELECT 'sitemap.xml', 'https://example.org/sitemap-' || lpad(f::VARCHAR, 5, '0') || '.xml', max(lastmod) FROM (SELECT CAST(ceil(row_number() OVER (ORDER BY home DESC, loc) / 400.0) AS INTEGER) AS f, lastmod FROM (
+  SELECT 'https://example.org/evento/e' || id AS loc, {DAY_OF} AS lastmod, false AS home FROM cat_events UNION ALL SELECT 'https://example.org/', max({DAY_OF}), true FROM cat_events)) GROUP BY f"""))
+def site_sitemaps(spark, sf_dir):
+    """Sitemap files of 400 urls and their index, read back entry by entry."""
+    e = site_events(spark, sf_dir)
+    urls = e.select(F.concat(F.lit(f"{SITE}/evento/"), "slug").alias("loc"), F.date_format(F.timestamp_seconds("updated_at"), "yyyy-MM-dd").alias("lastmod"))
+    entry = r"<loc>(.*?)</loc><lastmod>(.*?)</lastmod>"
+    each = F.arrays_zip(*[F.regexp_extract_all("body", F.lit(entry), F.lit(i)).alias(n) for i, n in ((1, "loc"), (2, "lastmod"))])
+    return E.sitemaps(urls, SITE, 400).select("path", F.explode(each).alias("u")).select("path", "u.loc", "u.lastmod")
+
+
 @query(O.sql("SELECT 'venues' AS tbl, count(*) AS n, '' AS missing FROM cat_venues UNION ALL SELECT 'events', count(*), '' FROM cat_events UNION ALL SELECT 'event_sources', count(*), 'source_event_id' FROM cat_sources"))
 def publish_mirror(spark, sf_dir):
     """Rows of each mirrored table, and the columns that the mirror lacks."""

@@ -32,11 +32,11 @@ def last_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*key, "_r.*")
 
 
-def publish(tables: dict[str, DataFrame], folder: str) -> DataFrame:
+def publish(tables: dict[str, DataFrame], folder: str, expected: dict[str, int] | None = None) -> DataFrame:
     """(tbl, n) after replacing a mirror's tables together: a version of all of them is written, then named as the current one.
 
     A table that lacks columns of the version before raises a ValueError, and the mirror stays as it was; so does an
-    empty catalogue. Readers take the version that ``current`` names, so they see all tables of one version.
+    empty catalogue, and a table whose rows aren't as many as ``expected`` says. Readers take the version that ``current`` names, so they see all tables of one version.
     """
     spark = next(iter(tables.values())).sparkSession
     path = lambda *parts: spark._jvm.org.apache.hadoop.fs.Path("/".join([folder, *parts]))
@@ -54,6 +54,9 @@ def publish(tables: dict[str, DataFrame], folder: str) -> DataFrame:
     rows = counts.collect()
     if not any(r["n"] for r in rows):
         raise ValueError("nothing to publish")
+    for r in rows:
+        if r["n"] != (expected or {}).get(r["tbl"], r["n"]):
+            raise ValueError(f"{r['tbl']} has {r['n']} rows, not {expected[r['tbl']]}")
     spark.range(1).select(F.lit(number).alias("version")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/current/{number:010d}")
     return spark.createDataFrame(rows, "tbl string, n long")
 

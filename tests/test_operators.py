@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from agendry.operators import geo as G
 from agendry.operators.order import positions
+from agendry.plans import export as E
+from agendry.plans.catalog import current_version
 from agendry.sources import extract as X
 
 
@@ -52,3 +55,28 @@ def test_dom_cards(spark):
     html = '<li class="card x">A <a href="/1">one</a><ul><li>inner</li></ul></li><li>other</li><li class="card">B</li>'
     pages = spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")
     assert [tuple(r) for r in X.dom_cards(pages, "li", "card").collect()] == [(1, 0, "A oneinner", "/1"), (1, 1, "B", None)]
+
+
+TEMPLATE = '<head>\n<meta name="description" content="">\n<title></title>\n</head>\n<body>{x}</body>'
+EVENTS = "slug string, title string, description string, start_at long, end_at long, date_text string, venue string, city string, updated_at long"
+
+
+def test_site_is_published_whole_or_not(spark, tmp_path):
+    folder = f"file://{tmp_path}/site"
+    make = lambda *rows: spark.createDataFrame(list(rows), EVENTS)
+    one = ("a", "A &amp; <B>", None, 1_788_476_400, None, None, None, None, 1_788_476_400)
+    out = {r.tbl: r.n for r in E.export(make(one, ("b", None, 'say "hi"', None, None, "Em breve", "V", "C", 1)), TEMPLATE, "https://s.org", "Site", folder).collect()}
+    assert out == {"pages": 2, "sitemaps": 2, "robots": 1}
+    html = {r.path: r.html for r in spark.read.parquet(f"{folder}/v=0/pages").collect()}
+    a, b = html["evento/a/index.html"], html["evento/b/index.html"]
+    assert "<title>A &amp; &lt;B&gt; — Site</title>" in a and '<meta name="description" content="A &amp; &lt;B&gt;">' in a and '"name":"A & \\u003cB>"' in a and a.endswith("</head>\n<body>{x}</body>") and a.startswith("<head>\n<meta name")
+    assert '"startDate":"2026-09-04T00:00:00"' in a and "endDate" not in a and '<meta property="og:image" content="https://s.org/og/a.png" />' in a
+    assert "<title>Evento — Site</title>" in b and "ld+json" not in b and 'content="say &quot;hi&quot;"' in b
+    maps = {r.path: r.body for r in spark.read.parquet(f"{folder}/v=0/sitemaps").collect()}
+    assert maps["sitemap-00001.xml"].index("<loc>https://s.org/</loc><lastmod>2026-09-03") < maps["sitemap-00001.xml"].index("/evento/a<") and "sitemap-00001.xml</loc>" in maps["sitemap.xml"]
+    for rows, what in (([], "refusing"), ([one, (None, *one[1:])], "no slug"), ([one, one], "pages has 1 rows, not 2")):
+        with pytest.raises(ValueError, match=what):
+            E.export(make(*rows), TEMPLATE, "https://s.org", "Site", folder)
+        assert current_version(spark, folder) == 0
+    with pytest.raises(ValueError, match="template"):
+        E.pages(make(one), "<head></head>", "https://s.org", "Site")
