@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from agendry.operators import geo as G
+from agendry.operators import anchors as N, geo as G, merge as M
 from agendry.operators.order import positions
 from agendry.plans import export as E
 from agendry.plans.catalog import current_version
@@ -80,3 +80,40 @@ def test_site_is_published_whole_or_not(spark, tmp_path):
         assert current_version(spark, folder) == 0
     with pytest.raises(ValueError, match="template"):
         E.pages(make(one), "<head></head>", "https://s.org", "Site")
+
+
+def fold(starts, window):
+    out = []
+    for t in sorted(set(starts)):
+        if not out or t - out[-1] > window:
+            out.append(t)
+    return out
+
+
+def test_pointers_equal_the_fold(spark):
+    rng = random.Random(6)
+    starts = {k: [rng.randrange(span) for _ in range(n)] for k, (n, span) in enumerate([(400, 90_000), (300, 3_000), (1, 5), (60, 2_000_000), (200, 7_300)])}
+    starts[9] = [0, 3600, 7200, 7201, 10_800, 10_802, -5]
+    rows = spark.createDataFrame([(k, t) for k, ts in starts.items() for t in [*ts, ts[0]]], "component int, start_at long")
+    for window in (3600, 100):
+        got = sorted(map(tuple, N.anchors(rows, window).collect()))
+        assert got == sorted((k, t) for k, ts in starts.items() for t in fold(ts, window))
+    assert N.anchors(rows.limit(0), 3600).count() == 0
+
+
+def test_filled_over_ranges(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice("ab"), i, rng.choice([None, None, None, i])) for i in range(300)] + [("c", 1, None)]
+    got = {(r.g, r.i): (r.before, r.after) for r in N.filled(spark.createDataFrame(rows, "g string, i int, v int").repartition(5), "g", ["i"], F.col("v")).collect()}
+    for g, i, _ in rows:
+        own = [v for h, _, v in rows if h == g and v is not None]
+        assert got[g, i] == (max([v for v in own if v <= i], default=None), min([v for v in own if v >= i], default=None))
+
+
+def test_large_components_are_planned_alike(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, i % 3, "same", t, t + rng.choice([60, 30]), None, rng.choice([0, 0, 1, 2])) for i in range(240) for t in [rng.randrange(1_700_000_000, 1_700_000_000 + 200_000)]]
+    table = spark.createDataFrame(rows, "id long, component long, norm string, start_at long, end_at long, item_key string, trust int")
+    want = sorted(map(tuple, M.plan(table).collect()), key=str)
+    monkeypatch.setattr(M, "HOT", 20)
+    assert sorted(map(tuple, M.plan(table).collect()), key=str) == want and len({w[3] for w in want}) > 40
