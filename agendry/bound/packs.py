@@ -340,3 +340,26 @@ def hub_allowlist(spark, sf_dir):
     cards = rows(spark, sf_dir).select(hub.alias("hub"), k.alias("page_id"), F.lit(0).alias("pos"), text("h", F.floor(k / 3).cast("string")).alias("id"), title.alias("title"), venue.alias("venue"))
     at = F.array_position(F.array(*[F.lit(h) for h in C.HUBS]), F.col("hub")) - 1
     return K.hub_rows(cards).select(F.col("id").alias("item"), "title", at.cast("int").alias("hub"))
+
+
+HEX = "lower(hex(id))"
+
+
+@query(O.sql(f"""SELECT 'nocartaz-c' || {HEX} AS slug, CASE WHEN id % 2 = 0 THEN title || ' & mais' ELSE title END AS title, CASE WHEN id % 2 = 0 THEN {MINUTE} ELSE {DAY} END AS "startAt", CASE WHEN id % 6 = 0 THEN {O.epoch_of('t + INTERVAL 2 HOUR')} END AS "endAt",
+  CASE WHEN id % 2 = 0 THEN 'Sala Nova' ELSE 'Sala Grande' END AS "venueName", CASE WHEN id % 2 = 1 THEN 'Leiria' WHEN city <> 'Lisboa' THEN city END AS city,
+  CASE WHEN id % 2 = 0 AND city = 'Lisboa' THEN 'outOfDistrict' WHEN CASE WHEN id % 6 = 0 THEN {O.epoch_of('t + INTERVAL 2 HOUR')} WHEN id % 2 = 0 THEN {MINUTE} ELSE {DAY} END + 86400 < {NOW} THEN 'past' END AS drop_reason FROM pe
+  UNION ALL SELECT 'nocartaz-e' || {HEX}, title || ' item', CASE WHEN id % 4 = 0 THEN {DAY} END, NULL, CASE WHEN id % 4 = 0 THEN 'Casa' ELSE '' END, CASE WHEN id % 4 = 0 THEN 'Leiria' END, CASE WHEN id % 4 <> 0 THEN 'undated' WHEN {DAY} + 86400 < {NOW} THEN 'past' END FROM pe""", EV))
+def pack_nocartaz_details(spark, sf_dir):
+    """Cards and item lists of a hub, overridden by the JSON-LD of detail pages; entries without a detail have no date."""
+    e, k = rows(spark, sf_dir), F.col("id")
+    own = F.lower(F.hex("id"))
+    iso = F.replace("t", F.lit(" "), F.lit("T"))
+    card = text('<article class="event-card" data-id="c', own, '" data-date="', F.col("day"), '" data-concelho="Leiria"><h3>', F.col("title"), '</h3><span class="where"> <span>Sala Grande</span></span></article>')
+    lists = text('<script type="application/ld+json">{"@type": "ItemList", "itemListElement": [{"name": "', F.col("title"), ' item", "url": "https://example.org/eventos/e', own, '/"}, {"name": "", "url": "/eventos/1/"}, {"name": "x", "url": "/other/"}]}</script>')
+    pages = e.select(F.lit("leiria").alias("hub"), k.alias("page_id"), text(lists, "<main>", card, "</main>").alias("html"))
+    later = F.replace(D.lisbon_minute(D.epoch_of(F.to_timestamp_ntz(text(F.col("t"), ":00"))) + 7200), F.lit(" "), F.lit("T"))
+    node = lambda name, start, end, room, town: text('<script type="application/ld+json">[{"@type": "WebPage"}, {"@type": "Event", "name": "', name, '", "startDate": "', start, '"', end, ', "location": {"name": "', room, '", "address": {"addressLocality": "', town, '"}}}]</script>')
+    end = F.when(k % 6 == 0, text(', "endDate": "', later, '"')).when(k % 6 == 2, text(', "endDate": "', iso, '"')).otherwise("")
+    own_page = e.where("id % 2 = 0").select(text("https://example.org/eventos/c", own, "/").alias("url"), node(text(F.col("title"), " &amp; mais"), iso, end, "Sala Nova", F.col("city")).alias("html"))
+    listed = e.where("id % 4 = 0").select(text("https://example.org/eventos/e", own, "/").alias("url"), node(text(F.col("title"), "  item"), F.col("day"), "", "Casa", "Leiria").alias("html"))
+    return K.hub_events(pages, own_page.union(listed), NOW).select("slug", "title", "startAt", "endAt", "venueName", "city", "drop_reason")

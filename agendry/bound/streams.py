@@ -129,8 +129,7 @@ def stream_ingest(spark, sf_dir):
     """Raw rows that arrive as a stream go through whole maintenance cycles; gives the events at the end."""
     from agendry.bound.ingest import PAST, batch, catalogue
 
-    every = batch(spark, sf_dir).drop("venue_id")
-    ids = J.source(spark, f"{sf_dir}/events.parquet").select(F.col("event_id").alias("ordinal"))
-    to_batch = lambda rows: every.join(rows, "ordinal", "left_semi")
-    done = J.ingest(ids, to_batch, catalogue(spark, sf_dir), PAST)
+    folder = f"{J.home_of(spark, None)}/raw"
+    batch(spark, sf_dir).drop("venue_id").write.parquet(folder)
+    done = J.ingest(J.source(spark, folder), lambda rows: rows, catalogue(spark, sf_dir), PAST)
     return done["events"].select("id", "title", "start_at", "end_at", "venue_id", "fingerprint")

@@ -255,6 +255,39 @@ def hub_rows(cards: DataFrame) -> DataFrame:
     return first_by(kept, "id", "rank", "page_id", "pos").drop("rank")
 
 
+def hub_events(pages: DataFrame, details: DataFrame, now: int) -> DataFrame:
+    """Raw events of an aggregator's hub pages (hub, page_id, html) and detail pages (url, html), with drop reasons.
+
+    Candidates are a page's cards and then the entries of its item lists, by hub_rows(). A detail's JSON-LD node with a start overrides
+    title, time, venue and place; entries have no date but their detail's. Reasons are those of extract().
+    """
+    fields = [*NOCARTAZ]
+    cards = pages.select("hub", "page_id", F.posexplode(X.cards(F.col("html"), '<article class="event-card', NOCARTAZ, ("id",), "id")).alias("pos", "r")).select("hub", "page_id", "pos", *[F.col(f"r.{n}").alias(n) for n in fields])
+    lists = F.filter(X.jsonld_nodes(F.col("html")), lambda v: F.try_variant_get(v, "$['@type']", "string") == "ItemList")
+    entries = F.flatten(F.transform(lists, lambda v: F.coalesce(F.try_variant_get(v, "$.itemListElement", "array<variant>"), F.array().cast("array<variant>"))))
+    entry = pages.select("hub", "page_id", F.posexplode(entries).alias("pos", "v")).select(
+        "hub", "page_id", (F.col("pos") + (1 << 20)).alias("pos"), F.regexp_extract(F.coalesce(F.try_variant_get("v", "$.url", "string"), F.lit("")), "/eventos/([0-9a-f]+)/", 1).alias("id"),
+        F.trim(T.decode_entities(F.try_variant_get("v", "$.name", "string"))).alias("title"),
+    ).where("id <> '' and title <> ''")
+    named = hub_rows(cards.unionByName(entry, allowMissingColumns=True))
+    dated = F.filter(X.jsonld_nodes(F.col("html")), lambda v: F.schema_of_variant(F.try_variant_get(v, "$.startDate", "variant")) == "STRING")
+    node = details.select(F.regexp_extract("url", "/eventos/([0-9a-f]+)/", 1).alias("id"), F.try_element_at(dated, F.lit(1)).alias("v"))
+    get = lambda *paths: _some(T.decode_entities(F.coalesce(*[F.try_variant_get("v", p, "string") for p in paths])))
+    detail = node.select("id", get("$.name").alias("d_title"), get("$.startDate").alias("d_start"), get("$.endDate").alias("d_end"), get("$.location.name").alias("d_venue"), get("$.location.address.addressLocality").alias("d_city"), get("$.description").alias("d_text"), get("$.image[0]", "$.image").alias("d_image"))
+    clean = F.trim(F.regexp_replace(F.coalesce("d_title", "title"), r"\s+", " "))
+    own = F.coalesce("d_city", F.regexp_replace("chip", r"^[·\s]+", ""), "concelho")
+    joined = named.join(detail, "id", "left").withColumn("_title", clean).withColumn("_scope", P.resolve_scope(F.col("_title"), F.col("title"), own, F.col("d_venue"), F.col("venue")))
+    start = F.coalesce(D.iso_epoch(F.col("d_start")), D.iso_epoch(F.col("starts_at")), D.iso_epoch(F.col("date")))
+    timed = joined.withColumn("startAt", start).withColumn("endAt", D.later_end(F.col("startAt"), D.iso_epoch(F.col("d_end"))))
+    label, venue = F.coalesce("_scope.city", F.lit("")), F.coalesce("_scope.venue", F.lit(""))
+    room = F.when(T.is_feed_venue(F.coalesce("venue_slug", F.lit("")), venue), F.coalesce(F.nullif(label, F.lit("")), venue)).otherwise(F.coalesce(F.nullif(venue, F.lit("")), label))
+    reason = F.when(F.col("_title") == "", "untitled").when(F.col("startAt").isNull(), "undated").when(~F.coalesce("_scope.in_scope", F.lit(False)), "outOfDistrict").when(F.coalesce("endAt", "startAt") + C.DAY < now, "past")
+    return timed.select(
+        F.lit("nocartaz").alias("source"), F.col("_title").alias("title"), _named("nocartaz-", F.col("id")).alias("slug"), F.coalesce("d_text", "pitch").alias("description"), "startAt", "endAt", room.alias("venueName"), F.col("_scope.city").alias("city"),
+        P.genre_categories(F.coalesce("genre", F.lit(""))).alias("categories"), F.coalesce("image", "d_image").alias("imageUrl"), _named("/eventos/", F.col("id"), "/").alias("url"), reason.alias("drop_reason"),
+    )
+
+
 def extract(pages: DataFrame, pack: Pack, now: int) -> DataFrame:
     """Staging rows (source, ordinal, the raw event's fields, drop_reason) of pages (page_id, url, html).
 
