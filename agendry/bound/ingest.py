@@ -12,6 +12,7 @@ from agendry.functions import places as P, text as T
 from agendry.operators import pairs as R
 from agendry.plans import agenda as A, ingest as I
 from agendry.registry import query
+from agendry.runtime import cut
 
 
 def catalogue(spark, sf_dir):
@@ -88,7 +89,7 @@ def ingest_cycle(spark, sf_dir):
 @query(rsql("SELECT component, count(*) AS rows, count(DISTINCT id % 4) AS prints, count(*) >= 2 AND count(DISTINCT id % 4) >= 2 AS acted FROM comp GROUP BY 1", IDS, FACTS, COMPONENTS))
 def component_gate(spark, sf_dir):
     """Components that a reconciliation acts on: two rows and two fingerprints at least."""
-    members = R.event_components(facts(spark, sf_dir)).select("component", (F.col("id") % 4).alias("fingerprint"))
+    members = R.event_components(cut(facts(spark, sf_dir))).select("component", (F.col("id") % 4).alias("fingerprint"))
     return I.acted_on(members)
 
 

@@ -207,3 +207,28 @@ def test_item_lists_are_bounded(spark):
     rows = spark.range(n).select("id", F.lit("t").alias("title"), F.lit(0).cast("bigint").alias("start_at"), F.lit("u").alias("url"))
     sizes = [r.n for r in extraction.item_lists(rows).select(F.size(F.from_json("payload", "array<struct<id:bigint>>")).alias("n")).collect()]
     assert sum(sizes) == n and max(sizes) <= extraction.LISTED
+
+
+def test_variant_links_join_what_all_variant_pairs_join(spark):
+    from agendry.runtime import cut
+
+    titles = ["Jazz", "Jazz em Pousos", "Noite de Jazz Pousos", "Jazz Leiria", "Jazz Ordem", "Jazz azul"]
+    places = [("Largo Pousos", "Leiria"), ("Leiria", "Leiria"), (None, None), ("Sala Azul", "Ordem"), ("Leiria", ""), ("Pousos", "Pousos"), ("Sala Azul", "")]
+    rows = [(i, titles[i * 5 % 6], 1000 + i * 2100, 1000 + i * 2500 if i % 3 else None, *places[i * 3 % 7], None) for i in range(90)]
+    # A vague row whose one word is its own comes with a specific one without a city; and many rows of one day are one run.
+    rows += [(200, "Fado", 1000, None, "Leiria", None, None), (201, "Fado Leiria", 1000, None, "Sala Azul", None, None)]
+    rows += [(1000 + i, "Circo" if i % 2 else "Circo Leiria", 1000 + i, None, "Leiria", "Leiria", None) for i in range(100)]
+    facts = cut(R.event_facts(spark.createDataFrame(rows, "id long, title string, start_at long, end_at long, venue string, city string, item_key string")))
+    day, links, pairs = ([tuple(r) for r in edges(facts).collect()] for edges in (R.day_edges, R.variant_links, R.variant_edges))
+
+    def joined(edges):
+        least = {r[0]: r[0] for r in rows}
+        while moved := [(x, y) for a, b in edges for x, y in ((a, b), (b, a)) if least[x] < least[y]]:
+            for x, y in moved:
+                least[y] = min(least[x], least[y])
+        return least
+
+    assert joined(day + links) == joined(day + pairs)
+    assert len(pairs) == len(set(pairs)) and (200, 201) in pairs
+    circus = lambda edges: sum(a >= 1000 for a, _ in edges)
+    assert circus(pairs) == 50 * 50 and circus(links) == 1
