@@ -84,3 +84,13 @@ def test_box_office_sessions(spark):
     assert [(r.startAt, r.hasTime, r.error) for r in got] == [(first + 21 * 3600 + 1800, True, None), (first + 86400 + 22 * 3600, True, None), (first + 2 * 86400 + 22 * 3600, True, None)]
     assert {(r.title, r.slug, r.venueName) for r in got} == {("A B C", "a_b-c", "Teatro Leiria")}
     assert [r.error for r in K.box_office(pages, details.limit(0)).collect()] == ["no detail page"]
+
+
+def test_pages_of_one_file_are_dealt_over_tasks(spark):
+    from helpers import SF
+
+    from agendry.bound import packs
+
+    assert spark.read.parquet(f"{SF}/events.parquet").rdd.getNumPartitions() == 1
+    rows = packs.rows(spark, SF)
+    assert rows.rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism and rows.select("id").distinct().count() == rows.count()
