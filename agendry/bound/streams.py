@@ -48,9 +48,9 @@ def stream_anchor_sessions(spark, sf_dir):
     return J.drain(J.anchor_sessions(keyed, "key", "t"))
 
 
-def one_by_one(spark, folder, schema):
-    """A stream of a folder's files, one a micro-batch."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+def arrivals(spark, folder, schema):
+    """A stream of a folder's files; a run takes all that came since the one before as one micro-batch, however many files it lies in."""
+    return spark.readStream.schema(schema).parquet(folder)
 
 
 @query(f"""WITH RECURSIVE st AS (SELECT DISTINCT event_type || '|' || user_id AS key, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events),
@@ -58,13 +58,14 @@ walk AS (SELECT key, min(t) AS anchor FROM st GROUP BY 1 UNION ALL SELECT w.key,
 SELECT key, anchor FROM walk WHERE anchor IS NOT NULL""")
 def stream_anchor_changes(spark, sf_dir):
     """Starts that arrive in three drops, each all over time: late ones move anchors, and the changes net to the sessions of all."""
-    folder = f"{J.home_of(spark, None)}/drops"
+    home = J.home_of(spark, None)
+    name, folder = home.rsplit("stream-", 1)[1], f"{home}/drops"
     rows = tables.read(spark, sf_dir, "events").select(
         F.concat_ws("|", "event_type", F.col("user_id").cast("string")).alias("key"), F.to_timestamp(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))).alias("at"), "event_id"
     )
     for part in range(3):
         rows.where(F.col("event_id") % 3 == part).drop("event_id").write.mode("append").parquet(folder)
-    changes = J.drain(J.anchor_changes(one_by_one(spark, folder, "key string, at timestamp"), "key", "at", "3650 days"), provider=J.ROCKSDB)
+        changes = J.drain(J.anchor_changes(arrivals(spark, folder, "key string, at timestamp"), "key", "at", "3650 days"), name=name, provider=J.ROCKSDB)
     return changes.groupBy("key", "anchor").agg(F.sum("change").alias("n")).where("n = 1").select("key", "anchor")
 
 
@@ -81,7 +82,7 @@ def stream_change_feed(spark, sf_dir):
     for one in drops:
         one.write.mode("append").parquet(folder)
         # The job is stopped and resumed between drops.
-        out = J.drain(J.changed_pages(one_by_one(spark, folder, "drop long, pos long, url string, lastmod string")), name=name, provider=J.ROCKSDB)
+        out = J.drain(J.changed_pages(arrivals(spark, folder, "drop long, pos long, url string, lastmod string")), name=name, provider=J.ROCKSDB)
     return out
 
 
@@ -98,12 +99,12 @@ def stream_upsert_days(spark, sf_dir):
     """The first row of each day, type and user over three drops; a drop rewrites the days that it touches and no others."""
     home, k = J.home_of(spark, None), F.col("event_id")
     rows = tables.read(spark, sf_dir, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type", "user_id", k)
-    for part in range(3):
-        rows.where(k % 3 == part).write.mode("append").parquet(f"{home}/drops")
     merge = parts.keep_least(["day", "event_type", "user_id"], "event_id")
     keep = lambda batch, number: parts.upsert(spark, f"{home}/table", batch, F.substring("day", 1, 7), merge, "drops", number)
-    write = one_by_one(spark, f"{home}/drops", rows.schema).writeStream.option("checkpointLocation", f"{home}/state").trigger(availableNow=True)
-    write.foreachBatch(keep).start().awaitTermination()
+    for part in range(3):
+        rows.where(k % 3 == part).write.mode("append").parquet(f"{home}/drops")
+        write = arrivals(spark, f"{home}/drops", rows.schema).writeStream.option("checkpointLocation", f"{home}/state").trigger(availableNow=True)
+        write.foreachBatch(keep).start().awaitTermination()
     return parts.read(spark, f"{home}/table")
 
 

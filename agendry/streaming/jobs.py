@@ -7,6 +7,7 @@ since, and a run that was cut off goes on where it stopped.
 from __future__ import annotations
 
 import contextlib
+import json
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -31,6 +32,14 @@ def home_of(spark: SparkSession, name: str | None) -> str:
     return f"{checkpoint_dir(spark)}/stream-{name or uuid.uuid4().hex}"
 
 
+#: Groups that keys with a processor of their own are dealt over, fixed for the life of a job: a call costs about a millisecond, so it serves all keys of a group.
+GROUPS = 1024
+
+
+def group_of(key: Column | str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(GROUPS)).cast("int").alias("group")
+
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -109,39 +118,49 @@ def anchor_sessions(stream: DataFrame, key: str, at: str, window: int = C.SESSIO
     """
 
     def step(keys: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        times = sorted({int(t) for b in batches for t in b[at]})
+        lasts = dict(json.loads(state.get[0])) if state.exists else {}
+        times: dict = {}
+        for b in batches:
+            for k, t in zip(b["key"], b["t"]):
+                times.setdefault(k, set()).add(int(t))
         opened = []
-        for t in times:
-            if last is None or t - last > window:
-                last = t
-                opened.append(t)
+        for k, own in times.items():
+            for t in sorted(own):
+                if k not in lasts or t - lasts[k] > window:
+                    lasts[k] = t
+                    opened.append((k, t))
         if opened:
-            state.update((last,))
-        yield pd.DataFrame({"key": [keys[0]] * len(opened), "anchor": pd.Series(opened, dtype="int64")})
+            state.update((json.dumps([*lasts.items()]),))
+        yield pd.DataFrame({"key": pd.Series([k for k, _ in opened], dtype="object"), "anchor": pd.Series([t for _, t in opened], dtype="int64")})
 
-    return share_code(stream).groupBy(key).applyInPandasWithState(step, "key string, anchor long", "last long", "append", "NoTimeout")
+    own = share_code(stream).select(group_of(key), F.col(key).alias("key"), F.col(at).alias("t"))
+    return own.groupBy("group").applyInPandasWithState(step, "key string, anchor long", "lasts string", "append", "NoTimeout")
 
 
 class _Changes(StatefulProcessor):
-    """The last state of a url that was given on; a url that comes again as it was gives nothing."""
+    """The last state of each url of a group that was given on, and when; a url that comes again as it was gives nothing."""
 
     def __init__(self, ttl_ms: int | None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle) -> None:
-        self.known = handle.getValueState("lastmod", "lastmod string", self.ttl_ms)
+        self.known = handle.getValueState("known", "urls string", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        newest = None
+        newest: dict = {}
         for batch in rows:
-            for order, lastmod in zip(zip(batch["drop"], batch["pos"]), batch["lastmod"]):
-                if newest is None or order > newest[0]:
-                    newest = order, lastmod or ""
-        before = self.known.get()[0] if self.known.exists() else None
-        if newest is not None and newest[1] != before:
-            self.known.update((newest[1],))
-            yield pd.DataFrame({"url": [key[0]], "lastmod": [newest[1]], "kind": ["new" if before is None else "changed"]})
+            for url, drop, pos, lastmod in zip(batch["url"], batch["drop"], batch["pos"], batch["lastmod"]):
+                if url not in newest or (drop, pos) > newest[url][0]:
+                    newest[url] = (drop, pos), lastmod or ""
+        known = json.loads(self.known.get()[0]) if self.known.exists() else {}
+        now = timerValues.getCurrentProcessingTimeInMs() if self.ttl_ms else 0
+        if self.ttl_ms:
+            known = {url: held for url, held in known.items() if held[1] + self.ttl_ms > now}
+        changed = [(url, lastmod, "changed" if url in known else "new") for url, (_, lastmod) in newest.items() if url not in known or known[url][0] != lastmod]
+        if changed:
+            known |= {url: (lastmod, now) for url, lastmod, _ in changed}
+            self.known.update((json.dumps(known),))
+            yield pd.DataFrame(changed, columns=["url", "lastmod", "kind"])
 
     def close(self) -> None:
         pass
@@ -150,25 +169,24 @@ class _Changes(StatefulProcessor):
 def changed_pages(entries: DataFrame, ttl: str | None = None) -> DataFrame:
     """(url, lastmod, kind) of sitemap entries (drop, pos, url, lastmod) that are new, or whose lastmod isn't the last one seen.
 
-    Each url is a key of its own, so a site of any size spreads over tasks. Of a url's entries in a micro-batch the last
+    Urls are dealt over groups by hash, so a site of any size spreads over tasks. Of a url's entries in a micro-batch the last
     by (drop, pos) counts; a null lastmod is an empty one. State goes ``ttl`` after it was last written, and then
     the url is new again. Rows without a url go. Run it with drain(..., provider=ROCKSDB).
     """
-    own = share_code(entries).where("url is not null").select("drop", "pos", "url", "lastmod")
+    own = share_code(entries).where("url is not null").select(group_of("url"), "drop", "pos", "url", "lastmod")
     processor = _Changes(int(pd.Timedelta(ttl).total_seconds() * 1000) if ttl else None)
-    return own.groupBy("url").transformWithStateInPandas(processor, "url string, lastmod string, kind string", "append", "processingTime" if ttl else "none")
+    return own.groupBy("group").transformWithStateInPandas(processor, "url string, lastmod string, kind string", "append", "processingTime" if ttl else "none")
 
 
 class _Sessions(StatefulProcessor):
-    """Starts of a key that can still move anchors, and the last anchor before them."""
+    """For each key of a group the starts that can still move anchors, and the last anchor before them."""
 
-    def __init__(self, at: str, window: int, settle: int):
-        self.at, self.window, self.settle = at, window, settle
+    def __init__(self, window: int, settle: int):
+        self.window, self.settle = window, settle
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.starts = handle.getListState("starts", "start long")
-        self.closed = handle.getValueState("closed", "anchor long")
+        self.known = handle.getValueState("known", "keys string")
 
     def anchors(self, starts: list[int], last: int | None) -> list[int]:
         out = []
@@ -178,28 +196,40 @@ class _Sessions(StatefulProcessor):
                 out.append(t)
         return out
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last = self.closed.get()[0] if self.closed.exists() else None
-        held = [r[0] for r in self.starts.get()]
-        both = sorted({*held, *(int(t) for batch in rows for t in batch[self.at])})
-        before, after = self.anchors(held, last), self.anchors(both, last)
-        self.starts.put([(t,) for t in both])
-        # A timer for the time when nothing before the last start can come any more.
+    def held(self) -> dict:
+        """key: (last anchor of starts that have left, starts in order)."""
+        return {k: (last, starts) for k, last, starts in json.loads(self.known.get()[0])} if self.known.exists() else {}
+
+    def keep(self, held: dict) -> None:
+        self.known.update((json.dumps([(k, last, starts) for k, (last, starts) in held.items()]),))
+        # A timer for the time when nothing before the last start of some key can come any more.
         for t in self.handle.listTimers():
             self.handle.deleteTimer(t)
-        if both:
-            self.handle.registerTimer((both[-1] + self.settle) * 1000)
-        moved = [(t, -1) for t in before if t not in set(after)] + [(t, 1) for t in after if t not in set(before)]
+        ends = [starts[-1] for _, starts in held.values() if starts]
+        if ends:
+            self.handle.registerTimer((min(ends) + self.settle) * 1000)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held, fresh, moved = self.held(), {}, []
+        for batch in rows:
+            for k, t in zip(batch["key"], batch["start"]):
+                fresh.setdefault(k, set()).add(int(t))
+        for k, new in fresh.items():
+            last, starts = held.get(k, (None, []))
+            both = sorted({*starts, *new})
+            before, after = set(self.anchors(starts, last)), set(self.anchors(both, last))
+            held[k] = last, both
+            moved += [(k, t, -1) for t in sorted(before - after)] + [(k, t, 1) for t in sorted(after - before)]
+        self.keep(held)
         if moved:
-            yield pd.DataFrame({"key": [key[0]] * len(moved), "anchor": [t for t, _ in moved], "change": [c for _, c in moved]})
+            yield pd.DataFrame(moved, columns=["key", "anchor", "change"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = [r[0] for r in self.starts.get()]
-        last = self.closed.get()[0] if self.closed.exists() else None
-        found = self.anchors(held, last)
-        if found:
-            self.closed.update((found[-1],))
-        self.starts.clear()
+        held, until = self.held(), max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        for k, (last, starts) in held.items():
+            if starts and (starts[-1] + self.settle) * 1000 <= until:
+                held[k] = [last, *self.anchors(starts, last)][-1], []
+        self.keep(held)
         yield pd.DataFrame({"key": pd.Series([], dtype="object"), "anchor": pd.Series([], dtype="int64"), "change": pd.Series([], dtype="int32")})
 
     def close(self) -> None:
@@ -214,9 +244,9 @@ def anchor_changes(stream: DataFrame, key: str, at: str, delay: str, window: int
     what stands is what the whole set of starts gives, in whatever order they came, as long as none is later than ``delay``. A
     key's starts leave the state that long after its last one; its last anchor stays. Run it with drain(..., provider=ROCKSDB).
     """
-    watched = share_code(stream).withWatermark(at, delay).select(F.col(key).alias("key"), at, F.unix_seconds(at).alias("start"))
-    processor = _Sessions("start", window, int(pd.Timedelta(delay).total_seconds()))
-    return watched.groupBy("key").transformWithStateInPandas(processor, "key string, anchor long, change int", "append", "eventTime")
+    watched = share_code(stream).withWatermark(at, delay).select(group_of(key), F.col(key).alias("key"), at, F.unix_seconds(at).alias("start"))
+    processor = _Sessions(window, int(pd.Timedelta(delay).total_seconds()))
+    return watched.groupBy("group").transformWithStateInPandas(processor, "key string, anchor long, change int", "append", "eventTime")
 
 
 def split_late(stream: DataFrame, over: Column, name: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -246,21 +276,28 @@ def live_cache(stream: DataFrame, key: str, at: str, ttl: str) -> DataFrame:
     seconds = int(pd.Timedelta(ttl).total_seconds())
 
     def step(keys: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            n, first, last = state.get
+        held = {k: own for k, *own in json.loads(state.get[0])} if state.exists else {}
+        watermark, touched = state.getCurrentWatermarkMs(), set()
+        for b in batches if not state.hasTimedOut else ():
+            for k, n, first, last in b.groupby("key", dropna=False)["t"].agg(["size", "min", "max"]).itertuples():
+                k = None if k != k else k
+                had = held.get(k, (0, first, last))
+                held[k] = [had[0] + n, min(had[1], first), max(had[2], last), 0]
+                touched.add(k)
+        for k in touched:
+            held[k][3] = max((held[k][2] + seconds) * 1000, watermark + 1)
+        gone = [(k, *own[:3]) for k, own in held.items() if own[3] < watermark]
+        held = {k: own for k, own in held.items() if own[3] >= watermark}
+        if held:
+            state.update((json.dumps([(k, *map(int, own)) for k, own in held.items()]),))
+            state.setTimeoutTimestamp(max(min(own[3] for own in held.values()), watermark + 1))
+        elif state.exists:
             state.remove()
-            yield pd.DataFrame({"key": [keys[0]], "rows": [n], "first": [first], "last": [last]})
-            return
-        n, first, last = state.get if state.exists else (0, None, None)
-        for b in batches:
-            times = (b[at].astype("int64") // 10**9 if b[at].dtype == "datetime64[ns]" else b[at].map(lambda t: int(t.timestamp()))).tolist()
-            n += len(times)
-            first, last = min([*times, *([] if first is None else [first])]), max([*times, *([] if last is None else [last])])
-        state.update((n, first, last))
-        state.setTimeoutTimestamp(max(last * 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
-
-    watched = share_code(stream).withWatermark(at, ttl)
-    return watched.groupBy(key).applyInPandasWithState(step, "key string, rows long, first long, last long", "rows long, first long, last long", "append", "EventTimeTimeout")
+        if gone:
+            yield pd.DataFrame(gone, columns=["key", "rows", "first", "last"])
+
+    watched = share_code(stream).withWatermark(at, ttl).select(group_of(key), F.col(key).alias("key"), at, F.unix_seconds(at).alias("t"))
+    return watched.groupBy("group").applyInPandasWithState(step, "key string, rows long, first long, last long", "held string", "append", "EventTimeTimeout")
 
 
 def upsert_first(keys: list[str], order: str) -> Callable[[DataFrame, int, str], None]:

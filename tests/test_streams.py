@@ -77,6 +77,31 @@ def test_versions_are_read_as_one_table(spark, tmp_path):
     assert "Union" not in kept._jdf.queryExecution().analyzed().toString()
 
 
+def state_rows(spark, name, **options):
+    return spark.read.format("statestore").options(**options).load(f"{J.home_of(spark, name)}/state").count()
+
+
+def test_keys_share_calls_and_state(spark, tmp_path):
+    """A processor's call serves a group of keys: state has a row a group, not a row a key."""
+    n, name = 3 * J.GROUPS, f"{random.Random().getrandbits(64):x}"
+    spark.range(n).selectExpr("1L drop", "id pos", "concat('u', id) url", "cast(id % 3 as string) lastmod", "timestamp_seconds(1700000000 + id % 9) at").write.parquet(f"{tmp_path}/in")
+    rows = one_by_one(spark, f"{tmp_path}/in", f"{SITEMAP}, at timestamp").drop("at")
+    timed = one_by_one(spark, f"{tmp_path}/in", f"{SITEMAP}, at timestamp").select(F.col("url").alias("key"), "at")
+    with_state = {"feed": J.changed_pages(rows), "anchors": J.anchor_changes(timed, "key", "at", "2 days"), "cache": J.live_cache(timed, "key", "at", "3 days")}
+    counts = {k: J.drain(df, name=name + k, provider=None if k == "cache" else J.ROCKSDB).count() for k, df in with_state.items()}
+    assert counts == {"feed": n, "anchors": n, "cache": 0}
+    assert state_rows(spark, name + "feed", stateVarName="known") <= J.GROUPS and state_rows(spark, name + "anchors", stateVarName="known") <= J.GROUPS and state_rows(spark, name + "cache") <= J.GROUPS
+
+
+def test_a_drop_is_one_batch_however_many_files(spark, tmp_path):
+    from agendry.bound.streams import arrivals
+
+    files(spark, f"{tmp_path}/in", [[(i,)] for i in range(4)], "n long")
+    seen = []
+    arrivals(spark, f"{tmp_path}/in", "n long").writeStream.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).foreachBatch(lambda b, i: seen.append(b.count())).start().awaitTermination()
+    assert seen == [4]
+
+
 def test_table_in_parts(spark, tmp_path):
     """A batch writes the parts that it touches; a repeated batch nothing; a late commit fails and is tried again on what is there."""
     home, schema = f"file://{tmp_path}/table", "day string, k long, n long"
