@@ -60,8 +60,8 @@ def commit(spark: SparkSession, home: str, base: dict, rows: DataFrame, part: Co
     """Put ``rows`` in place of the touched parts of version ``base`` and give the new version; raises Conflict if there is one already."""
     hadoop, fs = _fs(spark, home)
     own = f"data/{uuid.uuid4().hex}"
-    # A task writes a part whole, so a part is one file, or few.
-    rows.withColumn("_part", part).repartition(F.col("_part")).write.partitionBy("_part").parquet(f"{home}/{own}")
+    # Rows of a part lie together, and a part beyond the session's advisory size is split over tasks, so parts are few files and no task writes a large one whole.
+    rows.withColumn("_part", part).hint("rebalance", F.col("_part")).write.partitionBy("_part").parquet(f"{home}/{own}")
     written = {s.getPath().getName() for s in fs.listStatus(hadoop.Path(f"{home}/{own}")) if s.isDirectory()}
     named = lambda p: spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString("_part", p)
     left = {p: path for p, path in base["parts"].items() if p not in set(touched)}

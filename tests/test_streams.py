@@ -102,6 +102,17 @@ def test_a_drop_is_one_batch_however_many_files(spark, tmp_path):
     assert seen == [4]
 
 
+def test_large_part_is_written_by_several_tasks(spark, tmp_path):
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        rows = spark.range(200_000).selectExpr("'a' day", "xxhash64(id) k", "id n")
+        parts.upsert(spark, f"file://{tmp_path}/table", rows, F.col("day"), parts.keep_least(["day", "k"], "n"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    assert len(list((tmp_path / "table" / "data").glob("*/_part=a/*.parquet"))) > 1 and parts.read(spark, f"file://{tmp_path}/table").count() == 200_000
+
+
 def test_table_in_parts(spark, tmp_path):
     """A batch writes the parts that it touches; a repeated batch nothing; a late commit fails and is tried again on what is there."""
     home, schema = f"file://{tmp_path}/table", "day string, k long, n long"
