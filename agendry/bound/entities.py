@@ -29,21 +29,26 @@ VP = "vp AS (SELECT a.id AS src, b.id AS dst FROM vc a JOIN vc b ON a.id < b.id
 VE = "ve AS (SELECT * FROM vp UNION SELECT vc.id, vf.id FROM vf JOIN vc USING (tokens, city) WHERE NOT vague)"
 
 
+def venue_facts(spark, sf_dir):
+    """Facts of the venues, found once and by many tasks, though the table is one small file."""
+    return cut(R.venue_facts(spread(part_venues(spark, sf_dir), "id")))
+
+
 @query(sql("SELECT * FROM vp", PART_VENUES, VF, VC, VP))
 def venue_pairs(spark, sf_dir):
-    return R.venue_pairs(R.venue_facts(part_venues(spark, sf_dir)))
+    return R.venue_pairs(venue_facts(spark, sf_dir))
 
 
 @query(sql("SELECT id, component FROM vcc", PART_VENUES, VF, VC, VP, VE, cc("vf", "ve", "vcc")))
 def venue_components(spark, sf_dir):
-    return R.venue_components(R.venue_facts(part_venues(spark, sf_dir)))
+    return R.venue_components(venue_facts(spark, sf_dir))
 
 
 @query(sql("""SELECT id, first_value(id) OVER (PARTITION BY component ORDER BY vague, len(tokens), n DESC, id) AS canonical FROM (SELECT vf.id, vf.vague, vf.tokens, vcc.component, coalesce(n, 0) AS n
   FROM vf JOIN vcc USING (id) LEFT JOIN (SELECT venue_id, count(*) AS n FROM cat_events GROUP BY 1) ON venue_id = vf.id)""", PART_VENUES, VF, VC, VP, VE, cc("vf", "ve", "vcc")))
 def venue_fusion(spark, sf_dir):
     """Each venue and the canonical one of its component: specific, fewest words, most events, least id."""
-    facts = R.venue_facts(part_venues(spark, sf_dir))
+    facts = venue_facts(spark, sf_dir)
     used = tables.events(spark, sf_dir).groupBy(F.col("venue_id").alias("id")).agg(F.count("*").alias("n"))
     scored = facts.join(R.venue_components(facts), "id").join(used, "id", "left")
     best = scored.groupBy("component").agg(F.min(F.struct("vague", F.size("tokens").alias("words"), (-F.coalesce("n", F.lit(0))).alias("n"), "id")).alias("best"))

@@ -8,6 +8,7 @@ from agendry.functions import text as T
 from agendry.functions.dates import lisbon_minute
 from agendry.operators.order import positions
 from agendry.plans.catalog import publish
+from agendry.runtime import spread
 
 #: Urls of a sitemap file, at most: the protocol's own limit.
 URLS = 50_000
@@ -86,6 +87,6 @@ def export(events: DataFrame, template: str, site: str, brand: str, folder: str,
     day = F.date_format(F.timestamp_seconds("updated_at"), "yyyy-MM-dd")
     urls = events.select(F.concat(F.lit(f"{site}/evento/"), "slug").alias("loc"), day.alias("lastmod"))
     robots = spark.createDataFrame([("robots.txt", f"User-agent: *\nAllow: /\nSitemap: {site}/sitemap.xml\n")], "path string, body string")
-    made = pages(events, template, site, brand)
-    # Two events of one slug would be one page.
-    return publish({"pages": made.dropDuplicates(["path"]), "sitemaps": sitemaps(urls, site, limit), "robots": robots}, folder, {"pages": rows})
+    # Two events of one slug would be one page. Events are narrow and pages are not, so the former are dealt and sorted.
+    made = pages(spread(events, "slug").dropDuplicates(["slug"]), template, site, brand)
+    return publish({"pages": made, "sitemaps": sitemaps(urls, site, limit), "robots": robots}, folder, {"pages": rows})

@@ -232,3 +232,35 @@ def test_variant_links_join_what_all_variant_pairs_join(spark):
     assert len(pairs) == len(set(pairs)) and (200, 201) in pairs
     circus = lambda edges: sum(a >= 1000 for a, _ in edges)
     assert circus(pairs) == 50 * 50 and circus(links) == 1
+
+
+def test_copies_of_a_venue_add_no_links(spark, monkeypatch):
+    """Components link classes alone, so the links do not grow with the copies of a venue; vague ones stand alone."""
+    from agendry.operators import pairs as R
+
+    linked, whole = [], R.connected_components
+    monkeypatch.setattr(R, "connected_components", lambda edges: linked.append(edges.count()) or whole(edges))
+    names = ["Teatro Miguel Franco", "Teatro Miguel Franco Grande", "Leiria"]
+    venues = spark.createDataFrame([(i, names[i % 3], "Leiria") for i in range(60)], "id long, name string, city string")
+    got = {r.id: r.component for r in R.venue_components(R.venue_facts(venues)).collect()}
+    assert got == {i: i if i % 3 == 2 else 0 for i in range(60)} and linked == [1]
+
+
+def test_venue_facts_are_found_by_many_tasks(spark):
+    from helpers import SF
+
+    from agendry.bound.entities import venue_facts
+
+    assert venue_facts(spark, SF).rdd.getNumPartitions() > 1
+
+
+def test_pages_are_made_after_slugs_are_unique(spark, monkeypatch, tmp_path):
+    """Narrow events, not whole pages, are moved and sorted, and by more tasks than the table has pieces."""
+    from agendry.plans import export as E
+
+    made = {}
+    monkeypatch.setattr(E, "publish", lambda tables, *_: made.update(tables))
+    events = spark.createDataFrame([(f"e{i}", "T", "D", 1_700_000_000, None, None, "V", "C", 1) for i in range(9)], "slug string, title string, description string, start_at long, end_at long, date_text string, venue string, city string, updated_at long").coalesce(1)
+    E.export(events, "<head><title></title><meta name=\"description\" content=\"\"></head>", "https://example.org", "Agenda", str(tmp_path))
+    plan = made["pages"]._jdf.queryExecution().analyzed().toString()
+    assert "Deduplicate [slug" in plan and plan.index("AS html") < plan.index("Deduplicate") and made["pages"].count() == 9
