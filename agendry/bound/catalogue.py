@@ -11,7 +11,7 @@ from agendry.operators import geo as G
 from agendry.plans import catalog as K, export as E
 from agendry.registry import query
 from agendry.streaming.jobs import home_of
-from agendry.runtime import cut
+from agendry.runtime import cut, spread
 
 PAST = C.NOW - 8 * C.DAY
 VENUE = "coalesce(venue, '')"
@@ -26,13 +26,13 @@ fe AS (SELECT ordinal AS dst, min(ordinal) OVER (PARTITION BY fingerprint) AS sr
 
 
 def old_catalogue(spark, sf_dir):
-    rows = venue_events(spark, sf_dir).where("id % 3 <> 0 and date_text is null").withColumnRenamed("source_event_id", "slug")
+    rows = spread(venue_events(spark, sf_dir).where("id % 3 <> 0 and date_text is null"), "id").withColumnRenamed("source_event_id", "slug")
     return rows.withColumn("fingerprint", P.fingerprint(F.col("title"), F.col("venue"), F.col("start_at"))).withColumn("url", F.when(F.col("id") % 5 != 1, F.concat(F.lit("u"), F.col("id").cast("string"))))
 
 
 def raw_batch(spark, sf_dir):
     k = F.col("id")
-    rows = venue_events(spark, sf_dir).where("id % 4 <> 1 and date_text is null")
+    rows = spread(venue_events(spark, sf_dir).where("id % 4 <> 1 and date_text is null"), "id")
     labels = F.when(k % 7 == 0, F.array_append("categories", F.lit("extra"))).otherwise(F.col("categories"))
     return rows.select(k.alias("ordinal"), "title", "venue", "source", F.col("source_event_id").alias("slug"), (F.col("start_at") + k % 4 * 600).alias("start_at"), "end_at", labels.alias("categories"), F.when(k % 2 == 0, F.concat(F.lit("u"), k.cast("string"))).alias("url"))
 

@@ -16,8 +16,8 @@ from agendry.runtime import cut
 
 
 def catalogue(spark, sf_dir):
-    """The old events with one attribution each, and their venues."""
-    old = old_catalogue(spark, sf_dir).withColumn("city", F.lit(None).cast("string"))
+    """The old events with one attribution each, and their venues; events are made once, since an upsert reads them several times."""
+    old = cut(old_catalogue(spark, sf_dir).withColumn("city", F.lit(None).cast("string")))
     sources = old.select(F.col("id").alias("event_id"), "source", F.col("slug").alias("source_event_id"))
     events = old.select("id", "title", "start_at", "end_at", "venue_id", "venue", "city", "url", "categories", "date_text", "fingerprint")
     venues = tables.venues(spark, sf_dir).select("id", "name", I.venue_slug(F.col("name")).alias("slug"), "city")

@@ -264,3 +264,12 @@ def test_pages_are_made_after_slugs_are_unique(spark, monkeypatch, tmp_path):
     E.export(events, "<head><title></title><meta name=\"description\" content=\"\"></head>", "https://example.org", "Agenda", str(tmp_path))
     plan = made["pages"]._jdf.queryExecution().analyzed().toString()
     assert "Deduplicate [slug" in plan and plan.index("AS html") < plan.index("Deduplicate") and made["pages"].count() == 9
+
+
+def test_batches_and_catalogues_are_made_by_many_tasks(spark):
+    from helpers import SF
+
+    from agendry.bound.catalogue import old_catalogue, raw_batch
+
+    for rows in (old_catalogue, raw_batch):
+        assert "RepartitionByExpression [id" in rows(spark, SF)._jdf.queryExecution().analyzed().toString()
