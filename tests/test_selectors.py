@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from agendry.sources import packs as K, selectors as S
@@ -33,6 +35,42 @@ def test_odd_markup():
     assert len(list(S.matches(deep, 0, "div div"))) == 2999 and deep.text(1) == "x"
 
 
+def plain_rows(html, root, picks):
+    page = S.Page(html)
+    return [[S.taken(page, n, p) for p in picks.values()] for n in S.matches(page, 0, root)]
+
+
+def test_layouts_give_what_elements_give():
+    """Random markup, well-formed and not: many pages share layouts, with other texts and attributes."""
+    picks = {
+        "text": S.Pick(), "k": S.Pick(attr="data-k"), "b": S.Pick("b", many=True), "deep": S.Pick("p > .x", within=(("ul", "div"),)), "hrefs": S.Pick('a[href*="/e/"]', attr="href", many=True), "nth": S.Pick("li:nth-child(2)"),
+        "rows": S.Pick("li", many=True, fields=(("t", S.Pick("i")), ("c", S.Pick(attr="class")), ("s", S.Pick("script, title")))),
+    }
+    pieces = [
+        "<div>", "</div>", '<div class="x y">', "<ul>", "</ul>", "<li>", "</li>", "<p class='x'>", "</p>", "<b>", "</b>", "<i/>", "</i>", "<br>", "<br/>", "text {}", " &amp; {}", "&#233;", "&lt;b&gt;", '<a href="/e/{}">', '<A HREF="/o/{}" href="/e/">', "</a>", '<li data-k="{}" class="y">',
+        '<li data-k="&quot;{}" class=x>', "<!-- c {} -->", "<!-- <b> -->", "<!DOCTYPE html>", "<script>if (a &amp; b) {}</script>", "<script>x < y</script>", "<title>T &amp; {}</title>", "<title>", "<script/>", "<style>", "a < b", "<", "&", "<div title='a > {}' hidden>", '<p a="1"b="2">', "\n", "<td>", "<?php ?>", "</b x>", "<noscript>n</noscript>",
+    ]
+    rng, cut, layouts = random.Random(1), 0, {root: S.Layouts(root, picks) for root in ("", "li", "div.x, ul")}
+    for _ in range(3000):
+        shape = rng.choices(pieces[:22] if rng.random() < 0.6 else pieces, k=rng.randint(0, 14))
+        for _ in range(2):
+            html = "".join(p.replace("{}", str(rng.randint(0, 99))) for p in shape)
+            for root, each in layouts.items():
+                assert each.rows(html) == plain_rows(html, root, picks), html
+        cut += tuple(m[3] for m in map(layouts[""]._mark, S._MARK.split(html)[1::2])) in layouts[""].places
+    assert cut > 1000 and all(len(each.places) <= S.LAYOUTS for each in layouts.values())
+
+
+def test_known_layouts_need_no_elements(monkeypatch):
+    """Before, each page was read into elements, some 0.6 ms of plain Python a page."""
+    page = '<ul><li data-id="{}" class="c"><b>{} &amp; co</b><a href="/e/{}">x</a></li><li>none</li></ul>'
+    layouts = S.Layouts("li[data-id]", {"id": S.Pick(attr="data-id"), "title": S.Pick("b"), "link": S.Pick('a[href*="/e/"]', attr="href")})
+    assert layouts.rows(page.format(0, 0, 0)) == [["0", "0 & co", "/e/0"]]
+    monkeypatch.setattr(S, "_Outline", None)
+    monkeypatch.setattr(S, "Page", None)
+    assert [layouts.rows(page.format(i, "é", i)) for i in range(1, 50)] == [[[str(i), "é & co", f"/e/{i}"]] for i in range(1, 50)]
+
+
 def test_picks(spark):
     pages = spark.createDataFrame([(1, PAGE, "x"), (2, None, "x"), (3, "", "x"), (1, "<p class=y>alone</p>", "x")], "page_id long, html string, pos string")
     picks = {
