@@ -56,7 +56,7 @@ def iso_epoch(c: Column) -> Column:
 def month_number(c: Column) -> Column:
     """1 to 12 of a Portuguese month name, full or its first three letters, with or without marks."""
     short = F.substring(fold(c), 1, 3)
-    return F.nullif(F.array_position(F.array(*[F.lit(m.replace("ç", "c")[:3]) for m in C.MONTHS]), short), F.lit(0).cast("bigint")).cast("int")
+    return let(F.array_position(F.array(*[F.lit(m.replace("ç", "c")[:3]) for m in C.MONTHS]), short), lambda n: F.when(n > 0, n.cast("int")))
 
 
 LONG_DATE = r"(?i)(\d{1,2})(?:\s+de)?\s+([a-zç]{3,9})\.?,?(?:\s+de)?\s+(\d{4})(?:\D{1,6}(\d{1,2})[:h](\d{2}))?"
@@ -167,8 +167,7 @@ def utc_date(t: Column) -> Column:
 
 def resolve_year(month: Column, day: Column, ref: Column) -> Column:
     """The year of a month and day that do not lie before the UTC day of epoch ``ref``."""
-    at = utc_date(ref)
-    return F.year(at) + (month * 100 + day < F.month(at) * 100 + F.dayofmonth(at)).cast("int")
+    return let(utc_date(ref), lambda at: F.year(at) + (month * 100 + day < F.month(at) * 100 + F.dayofmonth(at)).cast("int"))
 
 
 def infer_epochs(span: Column, now: int) -> Column:
@@ -207,14 +206,15 @@ def _announced(flat: Column, ref: Column) -> Column:
     def found(pattern: str, groups: int, make) -> Column:
         lists = [F.regexp_extract_all(flat, F.lit(pattern), F.lit(i + 1)) for i in range(groups)]
         each = F.arrays_zip(*[g.alias(f"g{i}") for i, g in enumerate(lists)])
-        return F.transform(each, lambda x: make(*[x.getField(f"g{i}") for i in range(groups)]))
+        made = F.transform(each, lambda x: make(*[x.getField(f"g{i}") for i in range(groups)]))
+        return F.when(flat.rlike(pattern), made).otherwise(F.array().cast("array<struct<y:int,m:int,d:int,h:int,mi:int>>"))
 
     def candidate(y: Column, m: Column, d: Column, h: Column, mi: Column) -> Column:
         return F.struct(y.cast("int").alias("y"), m.cast("int").alias("m"), d.cast("int").alias("d"), h.cast("int").alias("h"), mi.cast("int").alias("mi"))
 
     def followed(y: Column, m: Column, d: Column, after: Column) -> Column:
-        hour = captured(after, r"\b(\d{1,2})h(\d{0,2})\b", 1)
-        return candidate(y, m, d, hour, F.when(hour.isNotNull(), F.coalesce(captured(after, r"\b(\d{1,2})h(\d{0,2})\b", 2), F.lit("0"))))
+        time = F.array(*[F.regexp_extract(after, r"\b(\d{1,2})h(\d{0,2})\b", i) for i in (1, 2)])
+        return let(time, lambda t: candidate(y, m, d, none(t[0]), F.when(t[0] != "", F.coalesce(none(t[1]), F.lit("0")))))
 
     none = lambda x: F.nullif(x, F.lit(""))
     long = found(

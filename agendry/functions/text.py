@@ -16,6 +16,11 @@ def let(value: Column, fn) -> Column:
     return F.element_at(F.transform(F.array(value), fn), 1)
 
 
+def filled(c: Column) -> Column:
+    """The text, or null for an empty one; inside a lambda ``nullif`` would compute it twice."""
+    return let(c, lambda v: F.when(v != "", v))
+
+
 @functools.cache
 def _accents() -> tuple[str, str, list[tuple[str, str]]]:
     """Characters that lose their marks one to one, and those that become several."""
@@ -36,9 +41,9 @@ def _accents() -> tuple[str, str, list[tuple[str, str]]]:
 
 
 def strip_marks(c: Column) -> Column:
-    """Canonical decomposition without U+0300-036F; letters such as ø and ß stay."""
+    """Canonical decomposition without U+0300-036F; letters such as ø and ß stay. Texts of ASCII alone have no marks."""
     one, to, _ = _accents()
-    return F.translate(F.regexp_replace(c, "[̀-ͯ]", ""), one, to)
+    return let(c, lambda v: F.when(F.octet_length(v) == F.length(v), v).otherwise(F.translate(F.regexp_replace(v, "[̀-ͯ]", ""), one, to)))
 
 
 def fold(c: Column) -> Column:
@@ -123,6 +128,10 @@ def decode_entities(c: Column, lenient: bool = False) -> Column:
 
     ``lenient`` drops references to no character and knows six names, in any case.
     """
+    return let(c, lambda v: F.when(~F.contains(v, F.lit("&")) & ~F.contains(v, F.lit("<!--")), v).otherwise(_decoded(v, lenient)))
+
+
+def _decoded(c: Column, lenient: bool) -> Column:
     def numeric(text: Column, pattern: str, base: int) -> Column:
         found = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)))
 
@@ -131,26 +140,33 @@ def decode_entities(c: Column, lenient: bool = False) -> Column:
             n = F.when(F.length(F.regexp_replace(digits, "^0+", "")) <= 7, F.conv(digits, base, 10).cast("bigint")).otherwise(F.lit(-1).cast("bigint"))
             return F.replace(acc, whole, let(n, lambda code: _from_code(code, whole, F.lit("") if lenient else whole)))
 
-        return let(text, lambda t: F.aggregate(found(t), t, put))
+        return let(text, lambda t: F.when(F.contains(t, F.lit("&#")), F.aggregate(found(t), t, put)).otherwise(t))
 
-    text = c if lenient else F.regexp_replace(c, r"(?s)<!--.*?-->", "")
+    text = c if lenient else F.when(F.contains(c, F.lit("<!--")), F.regexp_replace(c, r"(?s)<!--.*?-->", "")).otherwise(c)
     text = numeric(text, "&#[xX]([0-9a-fA-F]+);", 16)
     text = numeric(text, "&#([0-9]+);", 10)
     names = {k: C.ENTITIES[k] for k in ("amp", "apos", "gt", "lt", "nbsp", "quot")} if lenient else C.ENTITIES
     table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    pattern = r"&([a-zA-Z]+);"
     # One pass over the references as they stand in the text: what one decodes to is not decoded again.
-    parts = F.split(text, r"(?=&[a-zA-Z]+;)", -1)
+    parts = F.split(text, "&", -1)
 
-    def one(part: Column) -> Column:
-        name = F.regexp_extract(part, "^" + pattern, 1)
-        known = let(table[F.lower(name) if lenient else name], lambda value: F.concat(value, F.substring(part, F.length(name) + 3, F.length(part))))
-        return F.coalesce(F.when(name != "", known), part)
+    def one(part: Column, i: Column) -> Column:
+        name = F.regexp_extract(part, "^([a-zA-Z]+);", 1)
+        known = let(table[F.lower(name) if lenient else name], lambda value: F.concat(value, F.substring(part, F.length(name) + 2, F.length(part))))
+        return F.when(i == 0, part).otherwise(F.coalesce(F.when(name != "", known), F.concat(F.lit("&"), part)))
 
     return F.array_join(F.transform(parts, one), "")
 
 
+#: What markup, a reference, or white space that does not stand as it should, looks like; texts without it are plain.
+UNPLAIN = r"[<&\t\n\x0B\f\r\x{a0}]| [ ,.;:!?%)\]]|[(\[] "
+
+
 def plain_text(c: Column) -> Column:
+    return let(c, lambda v: F.when(~v.rlike(UNPLAIN), F.trim(v)).otherwise(_plain(v)))
+
+
+def _plain(c: Column) -> Column:
     flat = F.regexp_replace(decode_entities(F.regexp_replace(c, "<[^>]*>", " ")), r"[\s\x{a0}]+", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(flat, r"\s+([,.;:!?%)\]])", "$1"), r"([(\[])\s+", "$1"))
 
@@ -205,7 +221,7 @@ def prose_venue(text: Column) -> Column:
     """The venue that prose names after a pin, up to a stop phrase, else after "Local" and a sign; else the default."""
     stops = "|".join([*C.VENUE_STOPS, r"das \d+"])
     pinned = F.regexp_extract(text, r"[📌📍]\s*([^📌📍\n]+)", 1)
-    named = F.trim(F.element_at(F.split(F.trim(pinned), rf"(?iu)\s+(?={stops})", 2), 1))
+    named = F.trim(F.regexp_replace(F.trim(pinned), rf"(?iu)\s+(?={stops})[\s\S]*$", ""))
     clean = F.trim(F.regexp_replace(F.regexp_replace(named, r"[\s.…]*$", ""), r"^[\s.…]*", ""))
     local = F.trim(F.regexp_extract(text, r"(?i)Local\s*[:\-—]\s*([^.,\n]+)", 1))
     return F.coalesce(_known(clean, C.JUNK_VENUES), _known(local, C.JUNK_VENUES), F.lit(C.DEFAULT_VENUE))

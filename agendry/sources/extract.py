@@ -47,19 +47,25 @@ def repair_pairs(c: Column) -> Column:
     code = lambda whole: (half(whole, 1) - 0xD800) * 0x400 + half(whole, 2) - 0xDC00 + 0x10000
     whole = lambda w: (half(w, 1) < 0xDC00) & (half(w, 1) >= 0xD800) & half(w, 2).between(0xDC00, 0xDFFF)
     one = lambda text, w: F.when(whole(w), F.replace(text, w, F.decode(F.unhex(F.lpad(F.hex(code(w)), 8, "0")), "UTF-32"))).otherwise(text)
-    return T.let(c, lambda t: F.aggregate(found(t), t, one))
+    return T.let(c, lambda t: F.when(F.contains(t, F.lit("&#5")), F.aggregate(found(t), t, one)).otherwise(t))
 
 
 def rfc_epoch(c: Column) -> Column:
     """Epoch of a feed's date such as "Wed, 02 Sep 2026 10:00:00 +0100"; null for other texts."""
     pattern = r"(\d{1,2}) ([A-Za-z]{3}) (\d{4}) (\d{2}):(\d{2})(?::(\d{2}))?\s*(GMT|UT|Z|[+-]\d{4})?"
-    d, name, y, h, mi, s, zone = (F.nullif(F.regexp_extract(c, pattern, i), F.lit("")) for i in range(1, 8))
     months = F.array(*[F.lit(m) for m in "jan feb mar apr may jun jul aug sep oct nov dec".split()])
-    month = F.nullif(F.array_position(months, F.lower(name)), F.lit(0).cast("bigint"))
-    clock = F.concat(y, F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"), F.lpad(d, 2, "0"), F.lit(" "), h, F.lit(":"), mi, F.lit(":"), F.coalesce(s, F.lit("00")))
-    sign = F.when(F.coalesce(zone, F.lit("")).startswith("-"), -1).otherwise(1)
-    offset = F.when(F.coalesce(zone, F.lit("")).rlike("^[+-]"), sign * (F.substring(zone, 2, 2).cast("int") * 3600 + F.substring(zone, 4, 2).cast("int") * 60)).otherwise(0)
-    return F.timestamp_diff("SECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), clock.try_cast("timestamp_ntz")) - offset
+
+    def clock(c: Column) -> Column:
+        d, name, y, h, mi, s = (F.regexp_extract(c, pattern, i) for i in range(1, 7))
+        month = F.array_position(months, F.lower(name))
+        return F.concat(y, F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"), F.lpad(d, 2, "0"), F.lit(" "), h, F.lit(":"), mi, F.lit(":"), F.lpad(s, 2, "0"))
+
+    def offset(zone: Column) -> Column:
+        sign = F.when(zone.startswith("-"), -1).otherwise(1)
+        return F.when(zone.rlike("^[+-]"), sign * (F.substring(zone, 2, 2).cast("int") * 3600 + F.substring(zone, 4, 2).cast("int") * 60)).otherwise(0)
+
+    seconds = lambda c: F.timestamp_diff("SECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), clock(c).try_cast("timestamp_ntz"))
+    return T.let(c, lambda c: seconds(c) - T.let(F.regexp_extract(c, pattern, 7), offset))
 
 
 def rss_items(body: Column) -> Column:
@@ -123,7 +129,7 @@ def field(block: Column, pattern: str) -> Column:
 
 def fielded(block: Column, fields: dict[str, str], *more: Column) -> Column:
     """A struct of the plain texts of patterns in a block (see field()), and of what else is given."""
-    texts = F.transform(F.array(*[F.regexp_extract(block, p, 1) for p in fields.values()]), lambda v: F.nullif(T.plain_text(v), F.lit("")))
+    texts = F.transform(F.array(*[F.regexp_extract(block, p, 1) for p in fields.values()]), lambda v: T.filled(T.plain_text(v)))
     return T.let(texts, lambda found: F.struct(*[F.element_at(found, i).alias(n) for i, n in enumerate(fields, 1)], *more))
 
 

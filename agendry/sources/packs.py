@@ -294,7 +294,10 @@ def extract(pages: DataFrame, pack: Pack, now: int) -> DataFrame:
     Reasons, the first that fits: untitled, undated (neither a time nor a date text), outOfDistrict, past. A date text
     alone stands for a date. Pages without rows give none; ``ordinal`` numbers a page's rows.
     """
-    each = pages.select("page_id", "url", F.posexplode(pack.read(F.col("html"))).alias("ordinal", "r"))
+    # Rows are a column before they are exploded: a generator's input is not compiled, and what it repeats is computed anew.
+    # The outer form keeps Spark from reading them a second time, in a filter that it would move before the pages are dealt.
+    read = pages.select("page_id", "url", pack.read(F.col("html")).alias("_rows"))
+    each = read.select("page_id", "url", F.posexplode_outer("_rows").alias("ordinal", "r")).where("ordinal is not null")
     if pack.bind:
         each = each.select("page_id", "url", "ordinal", F.struct("r.*", *[c.alias(n) for n, c in pack.bind(F.col("r"), F.col("url"), now).items()]).alias("r"))
     raw = {"description": F.lit(None).cast("string"), "endAt": F.lit(None).cast("bigint"), "dateText": F.lit(None).cast("string"), "imageUrl": F.lit(None).cast("string"), "categories": F.array().cast("array<string>")}

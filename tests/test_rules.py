@@ -273,3 +273,25 @@ def test_batches_and_catalogues_are_made_by_many_tasks(spark):
 
     for rows in (old_catalogue, raw_batch):
         assert "RepartitionByExpression [id" in rows(spark, SF)._jdf.queryExecution().analyzed().toString()
+
+
+def test_texts_without_markup_take_the_short_way_to_the_same_text(spark):
+    """What the guards let through unchanged is what the whole rules give; before there was one way, eight passes for any text."""
+    texts = ["", " a  b ", "a b", "a ,b", "( a", "a\tb", "a b", "é ç", "<b>a</b>", "&amp;amp; &nope; &#233;&#x1F483; &", "a & b; &lt;i&gt;", "x<!-- & -->y", "a (b) [c], d!", "&&amp;&amp", "\n", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", T.plain_text(df.t).alias("p"), T._plain(df.t).alias("q"), T.decode_entities(df.t).alias("d"), T._decoded(df.t, False).alias("e"), T.filled(df.t).alias("f"), (~df.t.rlike(T.UNPLAIN)).alias("short")).collect()
+    assert all(r.p == r.q and r.d == r.e and r.f == (r.t or None) for r in got) and {r.t for r in got if r.short} == {"", "a b", "é ç", "a (b) [c], d!"}
+    assert [r.d for r in got][9:14] == ["&amp; &nope; é💃 &", "a & b; <i>", "xy", "a (b) [c], d!", "&&&amp"]
+
+
+@pytest.mark.parametrize("name", ["caldas", "cmleiriarss", "councils", "figueiro"])
+def test_rows_of_pages_are_read_once_and_compiled(spark, name):
+    """The generator takes a column, and no filter reads the pages again; before it held the whole rule, which Spark does not compile."""
+    from agendry.sources import packs
+
+    pages = spark.createDataFrame([(1, "u", "<item>")], "page_id long, url string, html string").repartition(3, "page_id")
+    pack = packs.COUNCILS if name == "councils" else packs.PACKS[name]
+    plan = packs.extract(pages, pack, C.NOW)._jdf.queryExecution().optimizedPlan()
+    lines = str(plan.toString()).splitlines()
+    generates = [line for line in lines if "Generate " in line]
+    assert len(generates) == 1 and "posexplode(_rows" in generates[0] and not any("Filter" in line and "regexp" in line for line in lines)
