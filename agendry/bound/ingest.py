@@ -82,7 +82,7 @@ def venue_resolution(spark, sf_dir):
 @query()
 def ingest_cycle(spark, sf_dir):
     """Events after a whole cycle: upsert, purge, venue fusion and reconciliation."""
-    done = I.cycle(batch(spark, sf_dir).drop("venue_id"), catalogue(spark, sf_dir), PAST, "batch")
+    done = I.whole(I.cycle(batch(spark, sf_dir).drop("venue_id"), catalogue(spark, sf_dir), PAST, "batch"))
     return done["events"].select("id", "title", "start_at", "end_at", "venue_id", F.array_join("categories", "|").alias("categories"), "fingerprint")
 
 

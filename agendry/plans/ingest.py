@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, functions as F
 
 from agendry.functions import places as P, text as T
@@ -25,6 +27,9 @@ from agendry.runtime import cut
 
 NO_CITY, NO_SLUG = "Leiria (distrito)", "venue-desconhecido"
 
+#: What says that the engine could not do its work, not that a step refused its data.
+ENGINE = (Py4JError, PySparkException, OSError, MemoryError)
+
 
 def venue_slug(name) -> F.Column:
     slug = T.slugify(T.norm_venue(name))
@@ -192,7 +197,8 @@ def cycle(batch: DataFrame, catalogue: dict[str, DataFrame], now: int, source: s
     """The next catalogue and its run row: upsert, purge, venue fusion, reconciliation.
 
     A step that fails leaves the catalogue as the step before left it; the first error is recorded, and later
-    steps still run. ``steps`` replaces steps by name. ``failed`` counts items that extraction could not read.
+    steps still run; who takes the catalogue without its run row asks whole() for it. What the engine fails at is no
+    matter of a step and is raised. ``steps`` replaces steps by name. ``failed`` counts items that extraction could not read.
     """
     state, counts, error = dict(catalogue), {"new": 0, "updated": 0, "skipped": 0, "purged": 0}, None
 
@@ -219,7 +225,9 @@ def cycle(batch: DataFrame, catalogue: dict[str, DataFrame], now: int, source: s
     for name, step in ({"upsert": ingest, "purge": purge, "fuse": fuse, "reconcile": settle} | (steps or {})).items():
         try:
             state |= {k: cut(df) for k, df in step(state).items()}
-        except Exception as e:  # noqa: BLE001  whatever fails is recorded in the run row
+        except ENGINE:
+            raise
+        except Exception as e:  # noqa: BLE001  what a step refuses is recorded in the run row
             error = error or f"{name} failed: {e}".split("\n")[0]
     spark = batch.sparkSession
     row = (source, batch.count() + failed, counts["new"], counts["updated"], counts["skipped"], counts["purged"], failed, error)
@@ -227,6 +235,13 @@ def cycle(batch: DataFrame, catalogue: dict[str, DataFrame], now: int, source: s
     return state
 
 
+def whole(state: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """``state`` of a cycle, if no step failed; else a RuntimeError with the first error of its run rows."""
+    if error := state["run"].where("error is not null").first():
+        raise RuntimeError(f"ingest of {error['source']}: {error['error']}")
+    return state
+
+
 def geocode_writeback(venues: DataFrame, picked: DataFrame) -> DataFrame:
     """``venues`` (id, name, lat, lng, scope, address) after a geocoder's answers (id, accepted, lat, lng, address).
 

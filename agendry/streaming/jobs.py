@@ -315,9 +315,10 @@ def ingest(batches: DataFrame, to_batch: Callable[[DataFrame], DataFrame], start
     """The catalogue after every micro-batch went through a whole maintenance cycle; run rows of all batches are kept.
 
     ``to_batch`` makes raw rows of a micro-batch. Each batch reads the catalogue that the batch before it left and writes
-    its own version, so a batch that runs twice gives the same.
+    its own version, so a batch that runs twice gives the same. A batch of which a step failed writes nothing and fails the
+    stream, so the next run takes it again.
     """
-    from agendry.plans.ingest import cycle
+    from agendry.plans.ingest import cycle, whole
 
     spark = batches.sparkSession
     home = home_of(spark, name)
@@ -325,7 +326,7 @@ def ingest(batches: DataFrame, to_batch: Callable[[DataFrame], DataFrame], start
 
     def step(batch: DataFrame, number: int) -> None:
         known = {t: read_version(spark, f"{home}/{t}", before=number) for t in tables}
-        state = cycle(to_batch(batch), {t: start[t] if known[t] is None else known[t] for t in tables}, now, "stream")
+        state = whole(cycle(to_batch(batch), {t: start[t] if known[t] is None else known[t] for t in tables}, now, "stream"))
         for t in (*tables, "run"):
             write_version(state[t], number, f"{home}/{t}")
 

@@ -184,6 +184,35 @@ def test_failing_steps_are_recorded(spark):
     assert done["events"].count() == 1  # reconciliation still ran: two starts of one title within the session window
 
 
+def test_a_failed_cycle_is_no_result(spark, monkeypatch):
+    """Neither query gives a catalogue of which a step failed, a failed micro-batch is not taken as done, and engine errors are raised at once."""
+
+    def broken(*_, **__):
+        raise ValueError("no rules")
+
+    def engine(*_, **__):
+        return spark.range(1).select(F.raise_error(F.lit("lost executor")).alias("id")).collect()
+
+    batch = spark.createDataFrame([raw(1)], BATCH)
+    with pytest.raises(Exception, match="lost executor"):
+        I.cycle(batch, empty_catalogue(spark), 100, "bol", steps={"fuse": engine})
+    monkeypatch.setattr(I, "fuse_venues", broken)
+    assert I.cycle(batch, empty_catalogue(spark), 100, "bol")["run"].first().error == "fuse failed: no rules"
+    with pytest.raises(RuntimeError, match="fuse failed: no rules"):
+        I.whole(I.cycle(batch, empty_catalogue(spark), 100, "bol"))
+    with pytest.raises(Exception, match="fuse failed: no rules"):
+        core.queries()["ingest_cycle"](spark, SF)
+    import uuid
+
+    name, path = uuid.uuid4().hex, f"{J.home_of(spark, None)}/raw"
+    batch.write.parquet(path)
+    with pytest.raises(Exception, match="fuse failed: no rules"):
+        J.ingest(J.source(spark, path), lambda rows: rows, empty_catalogue(spark), 100, name=name)
+    assert J.versions(spark, f"{J.home_of(spark, name)}/events") == []
+    monkeypatch.undo()
+    assert J.ingest(J.source(spark, path), lambda rows: rows, empty_catalogue(spark), 100, name=name)["events"].count() == 1
+
+
 def test_reconciliation_settles(spark):
     rows = core.queries()["reconcile_twice"](spark, SF).collect()
     assert {r.run: r.absorbed for r in rows}[2] == 0 and rows[0].absorbed > 0
