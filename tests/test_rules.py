@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -295,3 +297,32 @@ def test_rows_of_pages_are_read_once_and_compiled(spark, name):
     lines = str(plan.toString()).splitlines()
     generates = [line for line in lines if "Generate " in line]
     assert len(generates) == 1 and "posexplode(_rows" in generates[0] and not any("Filter" in line and "regexp" in line for line in lines)
+
+
+def test_shared_venue_words_are_linked_in_order_of_time(spark, monkeypatch):
+    """Rows of venues that share a frequent word, in forty small worlds of titles: the links join what all pairs join, and stay few."""
+    from agendry.runtime import cut
+
+    rng, hour, rows = random.Random(4), 3600, []
+    places = [("Azul Norte", "Leiria"), ("Azul Sul", "Ordem"), ("Verde Azul", ""), ("Verde Praia", "Pombal"), ("Praia Norte", None), ("Largo Oeste", "Azul"), (None, None), ("Leiria", "Leiria")]
+    for world in range(40):
+        titles = [f"Jazz{world}", f"Jazz{world} Azul", f"Azul Jazz{world}", f"Jazz{world} Norte Azul"][: 1 + world % 4]
+        for _ in range(24):
+            start = rng.randrange(0, 240) * hour
+            end = start + rng.choice([1, 5, 30, 100]) * hour if rng.random() < 0.8 else None
+            rows.append((len(rows), rng.choice(titles), start, end, *rng.choice(places), None))
+    rows += [(10_000 + i, "Circo", i % 20 * C.DAY, i % 20 * C.DAY + 3 * C.DAY, f"Azul Sala{i}", "Leiria", None) for i in range(200)]
+    facts = cut(R.event_facts(spark.createDataFrame(rows, "id long, title string, start_at long, end_at long, venue string, city string, item_key string")))
+    monkeypatch.setattr(R, "SHARED", 20)
+    day, links, pairs = ([tuple(r) for r in edges(facts).collect()] for edges in (R.day_edges, R.variant_links, R.variant_edges))
+
+    def joined(edges):
+        least = {r[0]: r[0] for r in rows}
+        while moved := [(x, y) for a, b in edges for x, y in ((a, b), (b, a)) if least[x] < least[y]]:
+            for x, y in moved:
+                least[y] = min(least[x], least[y])
+        return least
+
+    assert joined(day + links) == joined(day + pairs)
+    circus = lambda edges: sum(a >= 10_000 for a, _ in edges)
+    assert circus(pairs) > 4000 and circus(links) <= 2 * 200
