@@ -135,6 +135,13 @@ def test_packs_on_odd_pages(spark, source):
     assert packs.extract(pages.limit(0), packs.PACKS[source], REF).count() == 0
 
 
+@pytest.mark.parametrize("name, key", [("pack_regiaoleiria", "place"), ("pack_turismodocentro", "county")])
+def test_rows_are_not_dealt_by_a_roster(spark, name, key):
+    """A handful of places or counties would send all rows to as many tasks."""
+    plan = core.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert f"hashpartitioning({key}#" not in plan and "BroadcastExchange" in plan
+
+
 def test_lists(spark):
     assert A.repaired({"from": 5, "to": 3, "city": "x"}) == {"to": 3, "city": "x"} and A.repaired({"from": 3, "to": 5}) == {"from": 3, "to": 5} and A.repaired({"from": 5, "to": ""}) == {"from": 5, "to": ""}
     rows = spark.createDataFrame([("Leiria",), ("Vau",), ("",), (None,), ("Lisboa",), ("óbidos",)], "city string")
