@@ -326,3 +326,25 @@ def test_shared_venue_words_are_linked_in_order_of_time(spark, monkeypatch):
     assert joined(day + links) == joined(day + pairs)
     circus = lambda edges: sum(a >= 10_000 for a, _ in edges)
     assert circus(pairs) > 4000 and circus(links) <= 2 * 200
+
+
+def test_components_make_their_edges_once(spark):
+    """The edges are made once though loops are kept, shuffle files go with each cut, and the files of earlier rounds are deleted."""
+    import os
+
+    from agendry import runtime
+
+    made = spark.sparkContext.accumulator(0)
+    edges = spark.sparkContext.parallelize([(i, i + 1) for i in range(50)] + [(90, 90), (70, 71), (70, 70)]).map(lambda e: (made.add(1), e)[1]).toDF("src long, dst long")
+    got = {r.node: r.component for r in graph.connected_components(edges).collect()}
+    assert got == {i: 0 for i in range(51)} | {90: 90, 70: 70, 71: 70} and made.value == 53
+    one = runtime.cut(spark.range(10).repartition(3))
+    file = one._jdf.queryExecution().logical().rdd().getCheckpointFile().get().removeprefix("file:")
+    assert spark.conf.get(runtime.CLEANUP, "false") == "false" and os.path.isdir(file)
+    runtime.forget(one)
+    assert not os.path.exists(file)
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: sum(f.getName().startswith("shuffle_") for f in list(spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(folders.getAllFiles())))
+    before = shuffles()
+    runtime.cut(spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count())
+    assert shuffles() <= before
