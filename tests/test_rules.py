@@ -314,6 +314,7 @@ def test_shared_venue_words_are_linked_in_order_of_time(spark, monkeypatch):
     rows += [(10_000 + i, "Circo", i % 20 * C.DAY, i % 20 * C.DAY + 3 * C.DAY, f"Azul Sala{i}", "Leiria", None) for i in range(200)]
     facts = cut(R.event_facts(spark.createDataFrame(rows, "id long, title string, start_at long, end_at long, venue string, city string, item_key string")))
     monkeypatch.setattr(R, "SHARED", 20)
+    monkeypatch.setattr(R, "SLICE", 400)
     day, links, pairs = ([tuple(r) for r in edges(facts).collect()] for edges in (R.day_edges, R.variant_links, R.variant_edges))
 
     def joined(edges):
